@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions import grid
 from starloom.functions.wcs import FIELDS, Wcs, pix_to_sky, separation_deg
+from starloom.operators.ordering import with_row_number
 from starloom.session import materialise
 
 #: Fixed value: how far apart, in pixels of the finer grid, two grids may lie and still match.
@@ -77,14 +78,22 @@ def match_reference(bands: DataFrame, references: DataFrame, key: str) -> DataFr
     return both.select(key, "band", "reference", F.coalesce(ok, F.lit(False)).alias("compatible"))
 
 
-def distinct_grids(bands: DataFrame) -> DataFrame:
-    """One row per exactly equal grid, numbered by its first band; members are counted."""
-    up = bands.withColumn("ctype1", F.upper(F.trim("ctype1"))).withColumn("ctype2", F.upper(F.trim("ctype2")))
-    return up.groupBy(*_GRID).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("members"))
+def _normal(bands: DataFrame) -> DataFrame:
+    """Axis types in upper case, and none at all for a band without a projection."""
+    none = F.col("crpix1").isNull()
+    out = bands
+    for c in ("ctype1", "ctype2"):
+        out = out.withColumn(c, F.when(~none, F.upper(F.trim(c))))
+    return out
+
 
+def distinct_grids(bands: DataFrame, key: str) -> DataFrame:
+    """One row per dataset and exactly equal grid, numbered by its first band."""
+    return _normal(bands).groupBy(key, *_GRID).agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("members"))
 
-def matching_pairs(grids: DataFrame) -> DataFrame:
-    """Pairs (a_ord < b_ord) of distinct grids that match.
+
+def matching_pairs(grids: DataFrame, key: str) -> DataFrame:
+    """Pairs (a_ord < b_ord) of distinct grids of a dataset that match.
 
     Grids that match have centres within a twentieth of a pixel, so only grids in the same
     or touching cells of about one pixel (in 3-D direction cosines: no seam, no pole) are
@@ -102,70 +111,63 @@ def matching_pairs(grids: DataFrame) -> DataFrame:
     unit = [F.cos("_dec") * F.cos("_ra"), F.cos("_dec") * F.sin("_ra"), F.sin("_dec")]
     arcsec = math.radians(1 / 3600)
     size = F.pow(F.lit(2.0), F.col("_lv")) * arcsec
-    cells = ["_c0", "_c1", "_c2"]
-    pre = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in [*FIELDS, "h", "w", "ord"]], *[F.col(c) for c in ["h", "w", "ctype1", "ctype2", "_lv", *cells]])
+    reach = F.pow(F.lit(2.0), F.col("_l")) * arcsec * 2 * MATCH_PIXELS
     own = keyed.withColumn("_lv", F.col("_l"))
-    for c, u in zip(cells, unit):
-        own = own.withColumn(c, F.floor(u / size))
     # A partner's scale differs by less than a factor of two either way: three cell sizes.
     probe = keyed.select("*", F.explode(F.array(F.col("_l") - 1, F.col("_l"), F.col("_l") + 1)).alias("_lv"))
-    reach = F.pow(F.lit(2.0), F.col("_l")) * arcsec * 2 * MATCH_PIXELS
+    cells = ["_c0", "_c1", "_c2"]
     for c, u in zip(cells, unit):
+        own = own.withColumn(c, F.floor(u / size))
         probe = probe.withColumn(c, F.explode(F.sequence(F.floor((u - reach) / size), F.floor((u + reach) / size))))
-    on = ["h", "w", "ctype1", "ctype2", "_lv", *cells]
+    on = [key, "h", "w", "ctype1", "ctype2", "_lv", *cells]
+
+    def side(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*on, *[F.col(c).alias(prefix + c) for c in [*FIELDS, "h", "w", "ord"]])
+
     return (
-        pre(own, "a_").join(pre(probe, "b_"), on)
-        .filter(F.col("a_ord") < F.col("b_ord"))
+        side(own, "a_")
+        .join(side(probe, "b_"), on)
+        .filter(F.col("a_ord") != F.col("b_ord"))
         .filter(_matches("a_", "b_"))
-        .select("a_ord", "b_ord")
-        .unionByName(
-            pre(own, "b_").join(pre(probe, "a_"), on)
-            .filter(F.col("a_ord") < F.col("b_ord"))
-            .filter(_matches("a_", "b_"))
-            .select("a_ord", "b_ord")
-        )
+        .select(F.least("a_ord", "b_ord").alias("a_ord"), F.greatest("a_ord", "b_ord").alias("b_ord"))
         .distinct()
     )
 
 
-def greedy_groups(bands: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Each band joins the earliest earlier group representative it matches, else starts a group.
+def greedy_groups(bands: DataFrame, key: str, max_rounds: int = 100) -> DataFrame:
+    """Each band joins the earliest earlier representative it matches, else starts a group.
 
     The rule is order-dependent and the match is not transitive, so rounds are needed: a
-    grid with no undecided earlier match becomes a representative or joins one; the
-    earliest undecided grid is always decided, and usually nearly all are at once. ``bands``
-    has ord (unique) and the grid columns; the result adds ``rep`` (ord of the
-    representative's first band) and ``grid_group`` (in order of appearance).
+    grid is decided once no undecided earlier match could still be its representative; the
+    earliest undecided grid always is, and usually nearly all are at once. ``bands``: key,
+    band, ord (unique) and the grid columns; the result adds ``grid_group``, numbered per
+    dataset in order of appearance.
     """
-    distinct = materialise(distinct_grids(bands))
-    pairs = materialise(matching_pairs(distinct))
+    distinct = materialise(distinct_grids(bands, key))
+    pairs = materialise(matching_pairs(distinct, key))
     state = distinct.select("ord", F.lit(None).cast("bigint").alias("rep"))
     for _ in range(max_rounds):
         earlier = pairs.join(state.select(F.col("ord").alias("a_ord"), F.col("rep").alias("_ar")), "a_ord")
         seen = earlier.groupBy(F.col("b_ord").alias("ord")).agg(
-            F.min(F.when(F.col("_ar") == F.col("a_ord"), F.col("a_ord"))).alias("_first_rep"),
-            F.min(F.when(F.col("_ar").isNull(), F.col("a_ord"))).alias("_undecided"),
-        )
-        # Decided once no undecided earlier match could still become the earlier representative.
-        free = F.col("_undecided").isNull() | (F.col("_first_rep") < F.col("_undecided"))
-        decided = F.when(free, F.coalesce(F.col("_first_rep"), F.col("ord")))
-        state = materialise(
-            state.join(seen, "ord", "left").select("ord", F.coalesce("rep", decided).alias("rep"))
+            F.min(F.when(F.col("_ar") == F.col("a_ord"), F.col("a_ord"))).alias("_rep"),
+            F.min(F.when(F.col("_ar").isNull(), F.col("a_ord"))).alias("_open"),
         )
+        free = F.col("_open").isNull() | (F.col("_rep") < F.col("_open"))
+        decided = F.when(free, F.coalesce("_rep", "ord"))
+        state = materialise(state.join(seen, "ord", "left").select("ord", F.coalesce("rep", decided).alias("rep")))
         if state.filter("rep is null").isEmpty():
             break
     else:
         raise RuntimeError("grid groups did not settle")
-    reps = distinct.drop("members").withColumnRenamed("ord", "_ord").join(
-        state.withColumnRenamed("ord", "_ord"), "_ord"
+    of_grid = distinct.drop("members").join(state, "ord").drop("ord")
+    numbered = with_row_number(of_grid.select(key, "rep").distinct(), ["rep"], "grid_group", [key])
+    of_grid = of_grid.join(numbered, [key, "rep"]).select(
+        *[F.col(c).alias("_g_" + c) for c in (key, *_GRID)], "grid_group"
     )
-    up = bands.withColumn("_t1", F.upper(F.trim("ctype1"))).withColumn("_t2", F.upper(F.trim("ctype2")))
-    other = reps.select(*[F.col(c).alias("_g_" + c) for c in _GRID], "rep")
-    cond = F.col("_t1").eqNullSafe(F.col("_g_ctype1")) & F.col("_t2").eqNullSafe(F.col("_g_ctype2"))
-    for c in _GRID:
-        if c not in ("ctype1", "ctype2"):
-            cond = cond & F.col(c).eqNullSafe(F.col("_g_" + c))
-    return up.join(other, cond).select(*bands.columns, "rep")
+    cond = F.lit(True)
+    for c in (key, *_GRID):
+        cond = cond & F.col(c).eqNullSafe(F.col("_g_" + c))
+    return _normal(bands).join(of_grid, cond).select(key, "band", "ord", "grid_group")
 
 
 def same_levels(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
