@@ -89,3 +89,19 @@ LEVELS_SQL = f"""levels AS (
 
 def with_levels_sql(*more: str) -> str:
     return "WITH " + ",\n".join([PIXELS_SQL, LEVELS_SQL, *more])
+
+
+def with_wcs(df: DataFrame) -> DataFrame:
+    """Native projection of the test bands: reference pixel at the image centre, rolled 10 degrees."""
+    out = df.withColumn("crpix1", (F.col("img_w") + 1) / F.lit(2.0)).withColumn("crpix2", (F.col("img_h") + 1) / F.lit(2.0))
+    out = out.withColumn("crval1", F.lit(CRVAL[0])).withColumn("crval2", F.lit(CRVAL[1]))
+    for name, v in zip(("cd11", "cd12", "cd21", "cd22"), CD):
+        out = out.withColumn(name, F.lit(v))
+    return out.withColumn("lonpole", F.lit(180.0))
+
+
+def level_wcs(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of every band with their projections and scales."""
+    from starloom.operators import pyramid as P
+
+    return P.level_wcs(with_wcs(P.level_table(dims(spark, sf), TILE)))
