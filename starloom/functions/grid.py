@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from starloom.functions.let import let
+
 TILE_SIZE = 256
 SUPERTILE_BLOCKS = 48
 #: Objects above this size are not cached at the edge.
@@ -158,21 +160,20 @@ def grid_signature(ctype1, ctype2, crval1, crval2, cd11, cd12, cd21, cd22) -> Co
 def fnv1a_hex(text: Column, charset: str = "UTF-8") -> Column:
     """32-bit FNV-1a over bytes (UTF-8) or 16-bit code units (UTF-16BE) as 8 hex digits."""
     digits = {"UTF-8": 2, "UTF-16BE": 4}[charset]
-    packed = F.hex(F.encode(text, charset))
-    n = F.length(packed) / digits
-    units = F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(0), n.cast("int") - 1),
-            lambda i: F.conv(F.substring(packed, i * digits + 1, F.lit(digits)), 16, 10).cast("long"),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    folded = F.aggregate(
-        units,
-        F.lit(FNV_OFFSET).cast("long"),
-        lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)),
-    )
-    return F.lower(F.lpad(F.hex(folded), 8, "0"))
+
+    def fold(packed: Column) -> Column:
+        n = (F.length(packed) / digits).cast("int")
+        # For empty text the sequence runs 0, -1: such indexes are left out.
+        units = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+        return F.aggregate(
+            units,
+            F.lit(FNV_OFFSET).cast("long"),
+            lambda h, i: (
+                h.bitwiseXOR(F.conv(F.substring(packed, i * digits + 1, F.lit(digits)), 16, 10).cast("long")) * F.lit(FNV_PRIME)
+            ).bitwiseAND(F.lit(0xFFFFFFFF)),
+        )
+
+    return F.lower(F.lpad(F.hex(let(F.hex(F.encode(text, charset)), fold)), 8, "0"))
 
 
 def grid_hash_text(ctype1, ctype2, h, w, crpix1, crpix2, crval1, crval2, cd11, cd12, cd21, cd22) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from starloom.functions.let import let, pack
 from starloom.functions.nan import is_finite
 
 
@@ -57,13 +58,18 @@ def format_separation(sep: Column) -> Column:
 
 def _field_degrees(tokens: Column, is_ra: bool) -> Column:
     """One token: degrees. Three: sexagesimal, hours for RA. Anything else: NULL."""
+
+    def value(t: Column) -> Column:
+        n, first = t["n"], F.get(t["n"], F.lit(0))
+        sign = F.when(F.get(t["tokens"], F.lit(0)).startswith("-"), -1.0).otherwise(1.0)
+        angle = F.abs(first) + F.get(n, F.lit(1)) / 60 + F.get(n, F.lit(2)) / 3600
+        good = F.forall(n, lambda x: x.isNotNull() & is_finite(x))
+        return F.when(good & (F.size(n) == 1), first).when(
+            good & (F.size(n) == 3), sign * angle * (15.0 if is_ra else 1.0)
+        )
+
     numbers = F.transform(tokens, lambda t: t.try_cast("double"))
-    good = F.forall(numbers, lambda n: n.isNotNull() & is_finite(n))
-    sign = F.when(tokens[0].startswith("-"), -1.0).otherwise(1.0)
-    value = F.abs(numbers[0]) + F.get(numbers, F.lit(1)) / 60 + F.get(numbers, F.lit(2)) / 3600
-    scaled = sign * value * (15.0 if is_ra else 1.0)
-    n = F.size(tokens)
-    return F.when(good & (n == 1), numbers[0]).when(good & (n == 3), scaled)
+    return let(pack(tokens=tokens, n=numbers), value)
 
 
 def parse_sky(text: Column) -> Column:
@@ -73,13 +79,20 @@ def parse_sky(text: Column) -> Column:
     tokens split in the middle.
     """
     spaced = F.trim(F.regexp_replace(F.regexp_replace(text, "[hHdDmMsS'\":,]", " "), r"\s+", " "))
-    tokens = F.split(spaced, " ")
-    n = F.size(tokens)
-    signed = F.filter(
-        F.transform(tokens, lambda t, i: F.when((i > 0) & t.rlike("^[+-]"), i)), lambda i: i.isNotNull()
-    )
-    cut = F.when(F.size(signed) > 0, signed[0]).when(n == 2, 1).when(n == 6, 3)
-    ra = _field_degrees(F.slice(tokens, F.lit(1), F.coalesce(cut, F.lit(0))), True)
-    dec = _field_degrees(F.slice(tokens, F.coalesce(cut, F.lit(0)) + 1, n), False)
-    inside = (ra >= 0) & (ra <= 360) & (dec >= -90) & (dec <= 90)
-    return F.when(cut.isNotNull() & (spaced != "") & inside, F.struct(ra.alias("ra"), dec.alias("dec")))
+
+    def with_cut(tokens: Column) -> Column:
+        signed = F.array_min(F.transform(tokens, lambda t, i: F.when((i > 0) & t.rlike("^[+-]"), i)))
+        n = F.size(tokens)
+        cut = F.coalesce(signed, F.when(n == 2, 1).when(n == 6, 3), F.lit(0))
+        return let(pack(tokens=tokens, cut=cut), fields)
+
+    def fields(t: Column) -> Column:
+        ra = F.slice(t["tokens"], F.lit(1), t["cut"])
+        dec = F.slice(t["tokens"], t["cut"] + 1, F.size(t["tokens"]))
+        return let(pack(ra=_field_degrees(ra, True), dec=_field_degrees(dec, False), cut=t["cut"]), checked)
+
+    def checked(p: Column) -> Column:
+        inside = (p["ra"] >= 0) & (p["ra"] <= 360) & (p["dec"] >= -90) & (p["dec"] <= 90)
+        return F.when((p["cut"] > 0) & inside, pack(ra=p["ra"], dec=p["dec"]))
+
+    return let(F.split(spaced, " "), with_cut)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from starloom.functions.let import let, pack
 from starloom.functions.nan import is_finite
 
 FIELDS = ("crpix1", "crpix2", "crval1", "crval2", "cd11", "cd12", "cd21", "cd22", "lonpole")
@@ -110,6 +111,79 @@ def sky_to_pix(w: Wcs, ra: Column, dec: Column) -> tuple[Column, Column, Column]
     return u + w.crpix1 - 0.5, v + w.crpix2 - 0.5, facing > 0
 
 
+def sky_at(w: Wcs, x: Column, y: Column) -> Column:
+    """:func:`pix_to_sky` as one value, struct(ra, dec), for use inside larger formulas."""
+
+    def finish(p: Column) -> Column:
+        along = p["c0"] - p["north"] * p["s0"]
+        return pack(
+            ra=F.pmod(w.crval1 + F.degrees(F.atan2(-p["west"], along)), F.lit(360.0)),
+            dec=F.degrees(F.atan2(p["s0"] + p["north"] * p["c0"], F.hypot(p["west"], along))),
+        )
+
+    def turn(q: Column) -> Column:
+        return let(
+            pack(
+                west=q["px"] * q["cp"] + q["py"] * q["sp"],
+                north=q["px"] * q["sp"] - q["py"] * q["cp"],
+                s0=F.sin(F.radians(w.crval2)),
+                c0=F.cos(F.radians(w.crval2)),
+            ),
+            finish,
+        )
+
+    u, v = x + 0.5 - w.crpix1, y + 0.5 - w.crpix2
+    pole = F.radians(w.lonpole)
+    return let(
+        pack(
+            px=F.radians(w.cd11 * u + w.cd12 * v), py=F.radians(w.cd21 * u + w.cd22 * v), cp=F.cos(pole), sp=F.sin(pole)
+        ),
+        turn,
+    )
+
+
+def pix_at(w: Wcs, ra: Column, dec: Column) -> Column:
+    """:func:`sky_to_pix` as one value, struct(x, y, front)."""
+
+    def finish(p: Column) -> Column:
+        return pack(
+            x=(w.cd22 * p["px"] - w.cd12 * p["py"]) / p["det"] + w.crpix1 - 0.5,
+            y=(w.cd11 * p["py"] - w.cd21 * p["px"]) / p["det"] + w.crpix2 - 0.5,
+            front=p["facing"] > 0,
+        )
+
+    def turn(q: Column) -> Column:
+        return let(
+            pack(
+                px=F.degrees(q["west"] * q["cp"] + q["north"] * q["sp"]),
+                py=F.degrees(q["west"] * q["sp"] - q["north"] * q["cp"]),
+                det=w.det,
+                facing=q["facing"],
+            ),
+            finish,
+        )
+
+    def plane(t: Column) -> Column:
+        flat = t["cd"] * t["ca"]
+        return let(
+            pack(
+                facing=t["sd"] * t["s0"] + flat * t["c0"], west=-t["cd"] * t["sa"], north=t["sd"] * t["c0"] - flat * t["s0"]
+            ),
+            lambda f: let(
+                pack(
+                    west=f["west"] / f["facing"], north=f["north"] / f["facing"], facing=f["facing"],
+                    cp=F.cos(F.radians(w.lonpole)), sp=F.sin(F.radians(w.lonpole)),
+                ),
+                turn,
+            ),
+        )
+
+    da, d, d0 = F.radians(ra - w.crval1), F.radians(dec), F.radians(w.crval2)
+    return let(
+        pack(sd=F.sin(d), cd=F.cos(d), sa=F.sin(da), ca=F.cos(da), s0=F.sin(d0), c0=F.cos(d0)), plane
+    )
+
+
 def separation_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
     """Great-circle distance (haversine form) in degrees."""
     sd = F.sin(F.radians(dec2 - dec1) / 2)
@@ -130,55 +204,89 @@ def ruler(w: Wcs | None, x1: Column, y1: Column, x2: Column, y2: Column) -> Colu
     """Pixel distance plus sky separation and position angle (NULL without a projection)."""
     pix = F.hypot(x2 - x1, y2 - y1)
     if w is None:
-        sep = pa = F.lit(None).cast("double")
-    else:
-        (ra1, dec1), (ra2, dec2) = pix_to_sky(w, x1, y1), pix_to_sky(w, x2, y2)
-        sep, pa = separation_deg(ra1, dec1, ra2, dec2), position_angle_deg(ra1, dec1, ra2, dec2)
-    return F.struct(pix.alias("pixel_dist"), sep.alias("sep_deg"), pa.alias("pa_deg"))
+        none = F.lit(None).cast("double")
+        return pack(pixel_dist=pix, sep_deg=none, pa_deg=none)
 
+    def measure(p: Column) -> Column:
+        ends = (p["a"]["ra"], p["a"]["dec"], p["b"]["ra"], p["b"]["dec"])
+        return pack(pixel_dist=pix, sep_deg=separation_deg(*ends), pa_deg=position_angle_deg(*ends))
 
-def local_basis(w: Wcs, ra: Column, dec: Column, eps: float = 1e-4) -> Column:
-    """Native-pixel frame at a sky point: centre, unit North, unit East-side normal, scales."""
-    cx, cy, _ = sky_to_pix(w, ra, dec)
-    nx, ny, _ = sky_to_pix(w, ra, dec + eps)
+    return let(pack(a=sky_at(w, x1, y1), b=sky_at(w, x2, y2)), measure)
+
+
+def _compass(w: Wcs, ra: Column, dec: Column, eps: float) -> Column:
+    """Native positions of a sky point (c), a step north of it (n) and a step east (e), and that step."""
     cos_dec = F.cos(F.radians(dec))
-    step = F.when(F.abs(cos_dec) > 1e-8, eps / cos_dec).otherwise(F.lit(eps))
-    ex, ey, _ = sky_to_pix(w, ra + step, dec)
-    dnx, dny, dex, dey = nx - cx, ny - cy, ex - cx, ey - cy
-    n_len, e_len = F.hypot(dnx, dny), F.hypot(dex, dey)
-    ux, uy = dnx / n_len, dny / n_len
-    side = F.when(-uy * dex + ux * dey >= 0, 1.0).otherwise(-1.0)
-    return F.struct(
-        cx.alias("cx"),
-        cy.alias("cy"),
-        ux.alias("north_x"),
-        uy.alias("north_y"),
-        (-uy * side).alias("east_x"),
-        (ux * side).alias("east_y"),
-        (n_len / eps).alias("north_per_deg"),
-        (e_len / step).alias("east_per_deg"),
-        F.abs((ux * dex + uy * dey) / e_len).alias("shear"),
+    return let(
+        F.when(F.abs(cos_dec) > 1e-8, eps / cos_dec).otherwise(F.lit(eps)),
+        lambda step: pack(
+            c=pix_at(w, ra, dec), n=pix_at(w, ra, dec + eps), e=pix_at(w, ra + step, dec), step=step
+        ),
     )
 
 
+def local_basis(w: Wcs, ra: Column, dec: Column, eps: float = 1e-4) -> Column:
+    """Native-pixel frame at a sky point: centre, unit North, unit East-side normal, scales."""
+
+    def offsets(t: Column) -> Column:
+        return let(
+            pack(
+                cx=t["c"]["x"], cy=t["c"]["y"], step=t["step"],
+                nx=t["n"]["x"] - t["c"]["x"], ny=t["n"]["y"] - t["c"]["y"],
+                ex=t["e"]["x"] - t["c"]["x"], ey=t["e"]["y"] - t["c"]["y"],
+            ),
+            lengths,
+        )
+
+    def lengths(o: Column) -> Column:
+        return let(pack(o=o, n=F.hypot(o["nx"], o["ny"]), e=F.hypot(o["ex"], o["ey"])), frame)
+
+    def frame(t: Column) -> Column:
+        o, ux, uy = t["o"], t["o"]["nx"] / t["n"], t["o"]["ny"] / t["n"]
+        side = F.when(-uy * o["ex"] + ux * o["ey"] >= 0, 1.0).otherwise(-1.0)
+        return pack(
+            cx=o["cx"], cy=o["cy"], north_x=ux, north_y=uy, east_x=-uy * side, east_y=ux * side,
+            north_per_deg=t["n"] / eps, east_per_deg=t["e"] / o["step"],
+            shear=F.abs((ux * o["ex"] + uy * o["ey"]) / t["e"]),
+        )
+
+    return let(_compass(w, ra, dec, eps), offsets)
+
+
 def north_up(w: Wcs, x: Column, y: Column, eps: float = 1e-4) -> Column:
     """2x2 that turns North to screen-up and East to screen-left at a native position."""
-    ra, dec = pix_to_sky(w, x, y)
-    nx, ny, _ = sky_to_pix(w, ra, dec + eps)
-    cos_dec = F.cos(F.radians(dec))
-    step = F.when(F.abs(cos_dec) > 1e-8, eps / cos_dec).otherwise(F.lit(eps))
-    ex, ey, _ = sky_to_pix(w, ra + step, dec)
-    n_len = F.hypot(nx - x, ny - y)
-    # With the unit North vector (p, q), the turn to (0, -1) has cosine -q and sine -p.
-    c, s = -(ny - y) / n_len, -(nx - x) / n_len
-    flip = c * (ex - x) - s * (ey - y) > 0
-    usable = (n_len > 0) & is_finite(n_len)
-    return F.struct(
-        F.when(usable, F.when(flip, -c).otherwise(c)).otherwise(1.0).alias("m11"),
-        F.when(usable, F.when(flip, s).otherwise(-s)).otherwise(0.0).alias("m12"),
-        F.when(usable, s).otherwise(0.0).alias("m21"),
-        F.when(usable, c).otherwise(1.0).alias("m22"),
-    )
+
+    def offsets(t: Column) -> Column:
+        return let(
+            pack(
+                nx=t["n"]["x"] - x, ny=t["n"]["y"] - y, ex=t["e"]["x"] - x, ey=t["e"]["y"] - y,
+                n=F.hypot(t["n"]["x"] - x, t["n"]["y"] - y),
+            ),
+            turn,
+        )
+
+    def turn(o: Column) -> Column:
+        # With the unit North vector (p, q), the turn to (0, -1) has cosine -q and sine -p.
+        return let(
+            pack(
+                c=-o["ny"] / o["n"], s=-o["nx"] / o["n"], usable=(o["n"] > 0) & is_finite(o["n"]),
+                flip=-o["ny"] * o["ex"] + o["nx"] * o["ey"] > 0,
+            ),
+            matrix,
+        )
+
+    def matrix(m: Column) -> Column:
+        def pick(turned: Column, plain: float) -> Column:
+            return F.when(m["usable"], turned).otherwise(F.lit(plain))
+
+        return pack(
+            m11=pick(F.when(m["flip"], -m["c"]).otherwise(m["c"]), 1.0),
+            m12=pick(F.when(m["flip"], m["s"]).otherwise(-m["s"]), 0.0),
+            m21=pick(m["s"], 0.0),
+            m22=pick(m["c"], 1.0),
+        )
+
+    return let(sky_at(w, x, y), lambda p: let(_compass(w, p["ra"], p["dec"], eps), offsets))
 
 
 def world_to_screen(view: Column, m: Column, x: Column, y: Column) -> tuple[Column, Column]:

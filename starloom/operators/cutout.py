@@ -50,37 +50,26 @@ def output_scale(target: Column, fov_x: Column, fov_y: Column, out_x: Column, ou
     return F.coalesce(target, by_size, finest)
 
 
-def sky_box_perimeter(ra: Column, dec: Column, fov_x: Column, fov_y: Column, samples: int = PERIMETER_SAMPLES) -> Column:
-    """Array of struct(ra, dec) along the four edges of a sky box (sizes in arcsec).
+def perimeter_point(i: Column, ra: Column, dec: Column, fov_x: Column, fov_y: Column, samples: int) -> tuple[Column, Column]:
+    """Sample i of 4 * samples along the edges of a sky box (sizes in arcsec): bottom, top, left, right.
 
     The RA offset is divided by the cosine of each sample's own declination.
     """
-    n = max(2, samples)
     hx, hy = fov_x / 7200.0, fov_y / 7200.0
-    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * (2.0 / (n - 1)) - 1.0)
-
-    def edge(dx, dy) -> Column:
-        def at(t: Column) -> Column:
-            d = dec + dy(t)
-            c = F.cos(F.radians(d))
-            c = F.when(F.abs(c) > 1e-9, c).otherwise(F.lit(1e-9))
-            return F.struct((ra + dx(t) / c).alias("ra"), d.alias("dec"))
-
-        return F.transform(steps, at)
-
-    return F.concat(
-        edge(lambda t: t * hx, lambda t: -hy),
-        edge(lambda t: t * hx, lambda t: hy),
-        edge(lambda t: -hx, lambda t: t * hy),
-        edge(lambda t: hx, lambda t: t * hy),
-    )
+    edge = F.floor(i / samples)
+    t = (i % samples) * (2.0 / (samples - 1)) - 1.0
+    dx = F.when(edge < 2, t * hx).when(edge == 2, -hx).otherwise(hx)
+    dy = F.when(edge >= 2, t * hy).when(edge == 0, -hy).otherwise(hy)
+    c = F.cos(F.radians(dec + dy))
+    return ra + dx / F.when(F.abs(c) > 1e-9, c).otherwise(F.lit(1e-9)), dec + dy
 
 
 def pixel_box(requests: DataFrame, bands: DataFrame, rounding: str = "nearest", samples: int = PERIMETER_SAMPLES) -> DataFrame:
-    """Level and clamped half-open pixel box of every request, one row per request, no shuffle
-    beyond the join to ``bands`` (see :func:`pyramids`).
+    """Level and clamped half-open pixel box of every request.
 
-    ``requests``: request_id, band, ra, dec, fov_x, fov_y, out_x, out_y, target_scale.
+    ``requests``: request_id, band, ra, dec, fov_x, fov_y, out_x, out_y, target_scale;
+    ``bands`` from :func:`pyramids`. The samples of a request are rows of one task, so
+    partial aggregation leaves one row per request to shuffle.
     """
     joined = requests.join(bands, "band").withColumn(
         "output_scale",
@@ -90,30 +79,31 @@ def pixel_box(requests: DataFrame, bands: DataFrame, rounding: str = "nearest",
         ),
     )
     chosen = joined.withColumn("z", choose_level(F.col("levels"), F.col("output_scale"), rounding)).withColumn(
-        "level", F.filter("levels", lambda l: l["z"] == F.col("z"))[0]
+        "level", F.get(F.filter("levels", lambda l: l["z"] == F.col("z")), F.lit(0))
+    )
+    n = max(2, samples)
+    keys = ["request_id", "band", "z", "output_scale", "h", "w", "n_tx", "n_ty"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(4 * n - 1)))
+    points = chosen.select(*keys[:4], "level", "ra", "dec", "fov_x", "fov_y", every.alias("i"))
+    sky = perimeter_point(*[F.col(c) for c in ("i", "ra", "dec", "fov_x", "fov_y")], n)
+    points = points.select(
+        *keys[:4], *["level." + c for c in (*keys[4:], *FIELDS)], sky[0].alias("ra"), sky[1].alias("dec")
+    )
+    x, y, front = sky_to_pix(Wcs.of(), F.col("ra"), F.col("dec"))
+    # Array index of a native position: the pixel whose cell holds it.
+    cells = points.select(
+        *keys, F.when(front & is_finite(x), F.floor(x)).alias("_x"), F.when(front & is_finite(y), F.floor(y)).alias("_y")
+    )
+    ends = cells.groupBy(*keys).agg(
+        F.min("_x").alias("x0"), F.min("_y").alias("y0"), (F.max("_x") + 1).alias("x1"), (F.max("_y") + 1).alias("y1")
     )
-    wcs = Wcs.of(F.col("level"))
-
-    def project(p: Column) -> Column:
-        x, y, front = sky_to_pix(wcs, p["ra"], p["dec"])
-        # Array index of a native position: the pixel whose cell holds it.
-        return F.struct((F.floor(x)).alias("x"), F.floor(y).alias("y"), (front & is_finite(x) & is_finite(y)).alias("ok"))
-
-    ring = sky_box_perimeter(F.col("ra"), F.col("dec"), F.col("fov_x"), F.col("fov_y"), samples)
-    seen = chosen.withColumn("_p", F.filter(F.transform(ring, project), lambda p: p["ok"]))
-    xs, ys = F.transform("_p", lambda p: p["x"]), F.transform("_p", lambda p: p["y"])
     zero = F.lit(0).cast("long")
-
-    def box(c: Column) -> Column:
-        return F.coalesce(c, zero)
-
-    return seen.select(
-        *[c for c in requests.columns], "output_scale", "z",
-        box(F.greatest(zero, F.array_min(xs))).alias("x0"),
-        box(F.greatest(zero, F.array_min(ys))).alias("y0"),
-        box(F.least(F.col("level.w").cast("long"), F.array_max(xs) + 1)).alias("x1"),
-        box(F.least(F.col("level.h").cast("long"), F.array_max(ys) + 1)).alias("y1"),
-        F.col("level.n_tx").alias("n_tx"), F.col("level.n_ty").alias("n_ty"),
+    return ends.select(
+        "request_id", "band", "z", "output_scale", "n_tx", "n_ty",
+        F.greatest(zero, "x0").alias("x0"), F.greatest(zero, "y0").alias("y0"),
+        # Without one projected sample the box is empty.
+        F.when(F.col("x1").isNull(), zero).otherwise(F.least("w", "x1")).alias("x1"),
+        F.when(F.col("y1").isNull(), zero).otherwise(F.least("h", "y1")).alias("y1"),
     )
 
 

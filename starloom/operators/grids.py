@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions import grid
-from starloom.functions.wcs import FIELDS, Wcs, pix_to_sky, separation_deg
+from starloom.functions.let import let, pack
+from starloom.functions.wcs import FIELDS, Wcs, separation_deg, sky_at
 from starloom.operators.ordering import with_row_number
 from starloom.session import materialise
 
@@ -50,14 +51,18 @@ def _matches(a: str, b: str) -> Column:
     """Whether grids with column prefixes ``a`` and ``b`` agree at four corners and the centre."""
     wa, wb = Wcs.of(prefix=a), Wcs.of(prefix=b)
     areas = [grid.pixel_scale_area(w.cd11, w.cd12, w.cd21, w.cd22) for w in (wa, wb)]
-    tol = F.least(*areas) * MATCH_PIXELS
     w, h = F.col(a + "w").cast("double"), F.col(a + "h").cast("double")
     zero = F.lit(0.0)
-    out = F.lit(True)
-    for x, y in ((zero, zero), (w, zero), (zero, h), (w, h), (w / 2, h / 2)):
-        (ra1, dec1), (ra2, dec2) = pix_to_sky(wa, x, y), pix_to_sky(wb, x, y)
-        out = out & (separation_deg(ra1, dec1, ra2, dec2) * 3600.0 <= tol)
-    return out
+    places = [(zero, zero), (w, zero), (zero, h), (w, h), (w / 2, h / 2)]
+
+    def apart(p: Column) -> Column:
+        return let(
+            pack(a=sky_at(wa, p["x"], p["y"]), b=sky_at(wb, p["x"], p["y"])),
+            lambda s: separation_deg(s["a"]["ra"], s["a"]["dec"], s["b"]["ra"], s["b"]["dec"]),
+        )
+
+    worst = F.array_max(F.transform(F.array(*[pack(x=x, y=y) for x, y in places]), apart))
+    return worst * 3600.0 <= F.least(*areas) * MATCH_PIXELS
 
 
 def match_reference(bands: DataFrame, references: DataFrame, key: str) -> DataFrame:
@@ -100,12 +105,13 @@ def matching_pairs(grids: DataFrame, key: str) -> DataFrame:
     compared, never all grids of one shape.
     """
     w = Wcs.of()
-    ra, dec = pix_to_sky(w, F.col("w") / 2.0, F.col("h") / 2.0)
+    centre = sky_at(w, F.col("w") / 2.0, F.col("h") / 2.0)
     scale = grid.pixel_scale_area(w.cd11, w.cd12, w.cd21, w.cd22)
     keyed = (
         grids.filter("crpix1 is not null")
-        .withColumn("_ra", F.radians(ra))
-        .withColumn("_dec", F.radians(dec))
+        .withColumn("_sky", centre)
+        .withColumn("_ra", F.radians("_sky.ra"))
+        .withColumn("_dec", F.radians("_sky.dec"))
         .withColumn("_l", F.floor(F.log2(scale)).cast("int"))
     )
     unit = [F.cos("_dec") * F.cos("_ra"), F.cos("_dec") * F.sin("_ra"), F.sin("_dec")]

@@ -19,15 +19,17 @@ def header_cards(headers: DataFrame, text: str = "header", keys: list[str] | Non
     """
     keys = keys or [c for c in headers.columns if c != text]
     n = F.floor(F.length(text) / CARD).cast("int")
-    cards = headers.filter(n > 0).select(
+    cut = headers.filter(n > 0).select(
         *keys,
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * CARD + 1, F.lit(CARD)))
-        ).alias("card_no", "card"),
-    )
-    cards = cards.withColumn("keyword", F.trim(F.substring("card", 1, 8)))
-    ends = cards.filter("keyword = 'END'").groupBy(*keys).agg(F.min("card_no").alias("_end"))
-    live = cards.join(ends, keys).filter(F.col("card_no") < F.col("_end"))
+        F.transform(
+            F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * CARD + 1, F.lit(CARD))
+        ).alias("_cards"),
+    )
+    # END is looked up in the array, so a header is read to its end without meeting itself again.
+    ended = cut.withColumn("_end", F.array_position(F.transform("_cards", lambda c: F.trim(F.substring(c, 1, 8))), "END"))
+    live = ended.filter("_end > 1").select(
+        *keys, F.posexplode(F.slice("_cards", F.lit(1), F.col("_end").cast("int") - 1)).alias("card_no", "card")
+    ).withColumn("keyword", F.trim(F.substring("card", 1, 8)))
     is_value = (F.col("keyword") != "") & (F.substring("card", 9, 2) == "= ")
     raw = F.substring("card", 11, CARD)
     quoted = raw.rlike(r"^[^/]*'")
@@ -127,7 +129,7 @@ def detect_from_names(files: DataFrame, keys: list[str], name: str = "name") ->
     tokens = files.select(
         *keys, B.name_filters(F.col(name)).alias("_f"), B.name_instruments(F.col(name)).alias("_i")
     ).filter(F.size("_f") == 1)
-    tokens = tokens.select(*keys, F.col("_f")[0].alias("_filter"), F.when(F.size("_i") == 1, F.col("_i")[0]).alias("_key"))
+    tokens = tokens.select(*keys, F.get("_f", F.lit(0)).alias("_filter"), F.when(F.size("_i") == 1, F.get("_i", F.lit(0))).alias("_key"))
     # Both tables are fixed: 84 and 6 rows.
     prefs = spark.createDataFrame(B.preference_rows(), "lookup_key string, telescope string, instrument string, pref int")
     table = B.pivot_table(spark).join(F.broadcast(prefs), "lookup_key")

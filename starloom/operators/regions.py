@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starloom.functions import polygon as G
 from starloom.functions.nan import is_finite
-from starloom.functions.wcs import Wcs, local_basis, sky_to_pix
+from starloom.functions.let import let, pack
+from starloom.functions.wcs import Wcs, local_basis, pix_at
 from starloom.operators.spatial import bucketed_join
 
 #: Fixed value: scale mismatch and shear above which a sky rectangle is not drawn.
@@ -72,8 +73,7 @@ def resolve_polygons(polygons: DataFrame, w: Wcs | None) -> DataFrame:
     else:
 
         def project(v: Column) -> Column:
-            x, y, _ = sky_to_pix(w, v["ra"], v["dec"])
-            return F.struct(x.alias("x"), y.alias("y"))
+            return let(pix_at(w, v["ra"], v["dec"]), lambda p: pack(x=p["x"], y=p["y"]))
 
         placed = F.when(F.col("vertices").isNotNull(), F.transform("vertices", project)).otherwise(shifted)
     v = polygons.select("id", "ord", placed.alias("verts")).filter(G.is_valid(F.col("verts")))

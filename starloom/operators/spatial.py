@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from starloom.session import materialise
+
 #: Points per cell above which the cell is split over several join keys.
 ROWS_PER_SALT = 100_000
 
@@ -30,7 +32,8 @@ def bucketed_join(
     """
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(cell)) / cell))).cast("int")
-    probes = probes.withColumn("_lvl", level)
+    # Probes are used three times below (levels, splitting, join); they are worked out once.
+    probes = materialise(probes.withColumn("_lvl", level))
     # The levels in use: a handful of integers (a double spans at most 2100).
     used = sorted(r[0] for r in probes.select("_lvl").distinct().collect())
     used = used or [0]

@@ -487,7 +487,7 @@ def tile_lookup(spark, sf):
 
 WANT_SQL = """want AS (
   SELECT band, z, tile_x, tile_y, n_tx FROM (SELECT *, unnest(range(0, n_tx)) AS tile_x FROM (SELECT *, unnest(range(0, n_ty)) AS tile_y FROM levels))
-), have AS (SELECT * FROM want WHERE (tile_x * 7 + tile_y * 13 + z * 5 + substr(band, 2, 1)::INT) % 3 <> 0), top AS (SELECT max(z) AS top FROM levels)"""
+), have AS (SELECT * FROM want WHERE (tile_x * 7 + tile_y * 13 + z * 5 + substr(band, 2, 1)::INT * (tile_y % 2)) % 3 <> 0), top AS (SELECT max(z) AS top FROM levels)"""
 
 
 def wanted(spark, sf):
@@ -496,7 +496,7 @@ def wanted(spark, sf):
 
 def have(spark, sf):
     b = F.substring("band", 2, 1).cast("int")
-    return wanted(spark, sf).filter((F.col("tile_x") * 7 + F.col("tile_y") * 13 + F.col("z") * 5 + b) % 3 != 0)
+    return wanted(spark, sf).filter((F.col("tile_x") * 7 + F.col("tile_y") * 13 + F.col("z") * 5 + b * (F.col("tile_y") % 2)) % 3 != 0)
 
 
 @query(

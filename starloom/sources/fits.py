@@ -198,31 +198,37 @@ def table_layout(headers: DataFrame) -> DataFrame:
     n = lambda k: F.min_by(F.when(F.col("keyword") == k, F.col("value")), F.when(F.col("keyword") == k, F.col("card_no")))
     numbered = F.regexp_extract("keyword", r"^TTYPE(\d+)$|^TFORM(\d+)$", 0) != ""
     index = F.regexp_extract("keyword", r"(\d+)$", 1).try_cast("int")
-    per = cards.groupBy(*keys).agg(
-        *[n(k).alias(k.lower()) for k in ("NAXIS1", "NAXIS2", "PCOUNT", "THEAP", "ZCMPTYPE", "ZNAXIS1", "ZNAXIS2", "ZTILE1", "ZTILE2", "ZBLOCKSIZE", "ZQUANTIZ", "ZDITHER0", "ZBLANK")],
-        F.map_from_entries(F.collect_list(F.when(numbered & F.col("keyword").startswith("TTYPE"), F.struct(index, "value")))).alias("_names"),
-        F.map_from_entries(F.collect_list(F.when(numbered & F.col("keyword").startswith("TFORM"), F.struct(index, "value")))).alias("_forms"),
-    )
-    i = lambda c, default=None: F.coalesce(F.col(c).try_cast("bigint"), F.lit(default).cast("bigint") if default is not None else F.lit(None).cast("bigint"))
-    forms = F.transform(F.array_sort(F.map_keys("_forms")), lambda k: F.struct(
-        F.coalesce(F.element_at("_names", k), F.concat(F.lit("COL"), k.cast("string"))).alias("name"),
-        F.element_at("_forms", k).alias("tform"),
+    def numbered_cards(prefix: str) -> Column:
+        hit = numbered & F.col("keyword").startswith(prefix)
+        return F.map_from_entries(F.collect_list(F.when(hit, F.struct(index, "value"))))
+
+    names, tforms = numbered_cards("TTYPE"), numbered_cards("TFORM")
+    forms = F.transform(F.array_sort(F.map_keys(tforms)), lambda k: F.struct(
+        F.coalesce(F.element_at(names, k), F.concat(F.lit("COL"), k.cast("string"))).alias("name"),
+        F.element_at(tforms, k).alias("tform"),
     ))
     placed = F.aggregate(
         forms,
-        F.array().cast("array<struct<name:string,tform:string,offset:int,width:int>>"),
-        lambda acc, f: F.concat(acc, F.array(F.struct(
-            f["name"].alias("name"), f["tform"].alias("tform"),
-            F.aggregate(acc, F.lit(0), lambda s, e: s + e["width"]).alias("offset"), _tform_width(f["tform"]).cast("int").alias("width"),
-        ))),
+        F.struct(F.array().cast("array<struct<name:string,tform:string,offset:int>>").alias("cols"), F.lit(0).alias("at")),
+        lambda acc, f: F.struct(
+            F.concat(acc["cols"], F.array(F.struct(f["name"].alias("name"), f["tform"].alias("tform"), acc["at"].alias("offset")))).alias("cols"),
+            (acc["at"] + _tform_width(f["tform"]).cast("int")).alias("at"),
+        ),
+        lambda acc: acc["cols"],
+    )
+    # Worked out inside the grouped pass, so nothing above it can repeat the work.
+    per = cards.groupBy(*keys).agg(
+        *[n(k).alias(k.lower()) for k in ("NAXIS1", "NAXIS2", "PCOUNT", "THEAP", "ZCMPTYPE", "ZNAXIS1", "ZNAXIS2", "ZTILE1", "ZTILE2", "ZBLOCKSIZE", "ZQUANTIZ", "ZDITHER0", "ZBLANK")],
+        placed.alias("columns"),
     )
+    i = lambda c, default=None: F.coalesce(F.col(c).try_cast("bigint"), F.lit(default).cast("bigint") if default is not None else F.lit(None).cast("bigint"))
     laid = per.select(
         *keys, "zcmptype", i("naxis1").alias("row_bytes"), i("naxis2").alias("n_rows"), i("pcount", 0).alias("pcount"),
         F.coalesce(i("theap"), i("naxis1") * i("naxis2")).alias("theap"),
         i("znaxis1").alias("znaxis1"), i("znaxis2").alias("znaxis2"),
         F.coalesce(i("ztile1"), i("znaxis1")).alias("ztile1"), i("ztile2", 1).alias("ztile2"),
         i("zblocksize", 32).alias("block_size"), "zquantiz", i("zdither0", 0).alias("zdither0"), i("zblank").alias("zblank_key"),
-        placed.alias("columns"),
+        "columns",
     )
     return laid.withColumn("heap_start", F.col("data_start") + F.col("theap")).withColumn(
         "has_zscale", F.exists("columns", lambda c: c["name"] == "ZSCALE")
