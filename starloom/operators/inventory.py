@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions import bands as B, naming as N
+from starloom.functions.let import let
 from starloom.operators.ordering import with_row_number
 from starloom.session import materialise
 
@@ -18,13 +19,15 @@ def header_cards(headers: DataFrame, text: str = "header", keys: list[str] | Non
     keep inner text with doubled quotes undone and trailing blanks dropped.
     """
     keys = keys or [c for c in headers.columns if c != text]
-    n = F.floor(F.length(text) / CARD).cast("int")
-    cut = headers.filter(n > 0).select(
-        *keys,
-        F.transform(
-            F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col(text), i * CARD + 1, F.lit(CARD))
-        ).alias("_cards"),
-    )
+
+    def cards_of(t: Column) -> Column:
+        n = F.floor(F.length(t) / CARD).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(t, i * CARD + 1, F.lit(CARD))
+        )
+
+    # Bound once: a text that is itself computed must not be computed again for every card.
+    cut = headers.select(*keys, let(F.col(text), cards_of).alias("_cards"))
     # END is looked up in the array, so a header is read to its end without meeting itself again.
     ended = cut.withColumn("_end", F.array_position(F.transform("_cards", lambda c: F.trim(F.substring(c, 1, 8))), "END"))
     live = ended.filter("_end > 1").select(

@@ -266,9 +266,12 @@ def relative_paths(spark, sf):
 
 def headers(spark, sf):
     """Parts as image headers: every instrument, wheel layout and a few that cannot be told."""
-    p, k = D.read(spark, sf, "part"), F.col("p_partkey")
-    table = [F.lit(f) for _, f, _ in B.pivot_rows()]
-    known = F.element_at(F.array(*table), (k % len(table) + 1).cast("int"))
+    k = F.col("p_partkey")
+    rows = [(i, f) for i, (_, f, _) in enumerate(B.pivot_rows())]
+    # 84 rows, fixed.
+    table = spark.createDataFrame(rows, "_i bigint, _known string")
+    p = D.read(spark, sf, "part").withColumn("_i", k % len(rows)).join(F.broadcast(table), "_i")
+    known = F.col("_known")
     odd = F.concat(F.lit("F"), F.lpad((k % 900 + 100).cast("string"), 3, "0"), F.when(k % 2 == 0, "W").otherwise("N"))
     filt = F.when(k % 5 == 0, odd).otherwise(known)
     ins = F.element_at(F.array(*[F.lit(i) for i in ("NIRCAM", "NIRISS", "MIRI", "ACS", "WFC3", "NIRSPEC")]), (k % 6 + 1).cast("int"))

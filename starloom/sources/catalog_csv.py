@@ -93,7 +93,8 @@ def write_catalog(df: DataFrame, path: str, order: list[str], format_name: str =
     shortest exact form; the version line goes to ``path + '.version'``."""
     check_columns(df)
     full = with_ids(df, order)
-    full.select(*canonical_columns(full)).write.mode("overwrite").csv(path, header=True, nanValue="nan", nullValue="nan")
+    ordered = full.select(*canonical_columns(full))
+    ordered.write.mode("overwrite").option("nanValue", "nan").csv(path, header=True, nullValue="nan")
     spark = df.sparkSession
     spark.createDataFrame([(f"# {format_name}-catalog v{VERSION}",)], "value string").coalesce(1).write.mode(
         "overwrite"

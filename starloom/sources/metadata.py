@@ -78,7 +78,9 @@ def manifest_json(levels: DataFrame, supertiles: DataFrame, key: str = "band") -
     return (
         levels.join(st, [key, "z"])
         .groupBy(key, "source_file", "tile_size", "img_h", "img_w")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("z"), level.alias("l")))).alias("_l"))
+        .agg(F.array_sort(
+            F.collect_list(F.struct(F.col("z"), level.alias("l"))), lambda a, b: a["z"] - b["z"]
+        ).alias("_l"))
         .select(
             key,
             F.to_json(
