@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from starloom.functions.let import let, pack
+
 # Pivot wavelengths in microns by instrument key and filter.
 PIVOTS = """
 NIRCAM     F070W 0.704  F090W 0.902  F115W 1.154  F140M 1.404  F150W 1.501  F150W2 1.659
@@ -85,38 +87,39 @@ def is_broadband(filt: Column) -> Column:
 
 
 def instrument_key(telescop: Column, instrume: Column) -> Column:
-    """NIRCAM, NIRISS, MIRI, ACS or WFC3; NULL for anything else.
-
-    The instrument word decides; a telescope word that contradicts it does not matter
-    for HST names under TELESCOP=JWST except that the pair is then unsupported.
-    """
-    tel, ins = word(telescop), word(instrume)
-    jwst = (tel == "JWST") | ins.isin("NIRCAM", "NIRISS", "MIRI")
-    hst = (tel == "HST") | ins.isin("ACS", "WFC3")
-    return F.when(jwst, F.when(ins.isin("NIRCAM", "NIRISS", "MIRI"), ins)).when(
-        hst, F.when(ins.isin("ACS", "WFC3"), ins)
-    )
+    """NIRCAM, NIRISS, MIRI, ACS or WFC3; NULL for anything else or for a pair that cannot be."""
+    jwst_names, hst_names = ("NIRCAM", "NIRISS", "MIRI"), ("ACS", "WFC3")
+
+    def decide(w: Column) -> Column:
+        in_jwst, in_hst = w["ins"].isin(*jwst_names), w["ins"].isin(*hst_names)
+        return F.when((w["tel"] == "JWST") | in_jwst, F.when(in_jwst, w["ins"])).when(
+            (w["tel"] == "HST") | in_hst, F.when(in_hst, w["ins"])
+        )
+
+    return let(pack(tel=word(telescop), ins=word(instrume)), decide)
 
 
 def by_instrument(key: Column, what: int) -> Column:
-    out = None
-    for name, pair in INSTRUMENTS.items():
-        out = F.when(key == name, pair[what]) if out is None else out.when(key == name, pair[what])
-    return out
+    """Telescope (0) or display name (1) of an instrument word."""
+    pairs = [F.lit(x) for name, pair in INSTRUMENTS.items() for x in (name, pair[what])]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def header_filter(key: Column, filt: Column, pupil: Column, filter1: Column, filter2: Column) -> Column:
     """The science filter: pupil before filter wheel (NIRCam, NIRISS), the single
     non-clear wheel (ACS), the FILTER word otherwise."""
-    f, p, f1, f2 = word(filt), word(pupil), word(filter1), word(filter2)
-    plain = F.when(is_filter_token(f), f)
-    wheel1, wheel2 = ~is_clear(f1) & is_filter_token(f1), ~is_clear(f2) & is_filter_token(f2)
-    acs = F.when(wheel1 & ~wheel2, f1).when(wheel2 & ~wheel1, f2)
-    return (
-        F.when(key.isin("NIRCAM", "NIRISS"), F.when(is_filter_token(p), p).otherwise(plain))
-        .when(key.isin("MIRI", "WFC3"), plain)
-        .when(key == "ACS", acs)
-    )
+
+    def decide(w: Column) -> Column:
+        plain = F.when(is_filter_token(w["f"]), w["f"])
+        first = ~is_clear(w["f1"]) & is_filter_token(w["f1"])
+        second = ~is_clear(w["f2"]) & is_filter_token(w["f2"])
+        return (
+            F.when(w["key"].isin("NIRCAM", "NIRISS"), F.when(is_filter_token(w["p"]), w["p"]).otherwise(plain))
+            .when(w["key"].isin("MIRI", "WFC3"), plain)
+            .when(w["key"] == "ACS", F.when(first & ~second, w["f1"]).when(second & ~first, w["f2"]))
+        )
+
+    return let(pack(key=key, f=word(filt), p=word(pupil), f1=word(filter1), f2=word(filter2)), decide)
 
 
 def lookup_key(key: Column, detector: Column) -> Column:
@@ -140,6 +143,11 @@ def name_filters(filename: Column) -> Column:
     return F.array_distinct(F.transform(found, F.upper))
 
 
+def only(tokens: Column) -> Column:
+    """The token of a one-token array, else NULL."""
+    return let(tokens, lambda t: F.when(F.size(t) == 1, F.get(t, F.lit(0))))
+
+
 def name_instruments(filename: Column) -> Column:
     found = F.regexp_extract_all(filename, F.lit(NAME_INSTRUMENT_PATTERN), 1)
     return F.array_distinct(F.transform(found, F.upper))

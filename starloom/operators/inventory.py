@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from starloom.functions import bands as B, naming as N
-from starloom.functions.let import let
+from starloom.functions import bands as B, cards as C, naming as N
 from starloom.operators.ordering import with_row_number
 from starloom.session import materialise
 
-CARD = 80
-
 
 def header_cards(headers: DataFrame, text: str = "header", keys: list[str] | None = None) -> DataFrame:
     """Cards of fixed-width header text: keys, card_no, keyword, value, comment, is_value.
@@ -19,48 +16,17 @@ def header_cards(headers: DataFrame, text: str = "header", keys: list[str] | Non
     keep inner text with doubled quotes undone and trailing blanks dropped.
     """
     keys = keys or [c for c in headers.columns if c != text]
-
-    def cards_of(t: Column) -> Column:
-        n = F.floor(F.length(t) / CARD).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(t, i * CARD + 1, F.lit(CARD))
-        )
-
-    # Bound once: a text that is itself computed must not be computed again for every card.
-    cut = headers.select(*keys, let(F.col(text), cards_of).alias("_cards"))
-    # END is looked up in the array, so a header is read to its end without meeting itself again.
-    ended = cut.withColumn("_end", F.array_position(F.transform("_cards", lambda c: F.trim(F.substring(c, 1, 8))), "END"))
-    live = ended.filter("_end > 1").select(
-        *keys, F.posexplode(F.slice("_cards", F.lit(1), F.col("_end").cast("int") - 1)).alias("card_no", "card")
-    ).withColumn("keyword", F.trim(F.substring("card", 1, 8)))
-    is_value = (F.col("keyword") != "") & (F.substring("card", 9, 2) == "= ")
-    raw = F.substring("card", 11, CARD)
-    quoted = raw.rlike(r"^[^/]*'")
-    inner = F.regexp_extract(raw, r"^[^']*'((?:[^']|'')*)", 1)
-    value = F.when(quoted, F.rtrim(F.regexp_replace(inner, "''", "'"))).otherwise(
-        F.trim(F.split(raw, "/")[0])
-    )
-    comment = F.when(quoted, F.trim(F.regexp_extract(raw, r"^[^']*'(?:[^']|'')*'[^/]*/(.*)$", 1))).otherwise(
-        F.trim(F.regexp_extract(raw, r"^[^/]*/(.*)$", 1))
-    )
+    live = headers.select(*keys, F.posexplode(C.split_cards(F.col(text))).alias("card_no", "card"))
+    raw = F.substring("card", 11, C.CARD)
+    is_value = C.is_value_card(F.col("card"))
     return live.select(
-        *keys, "card_no", "keyword",
-        F.when(is_value, value).otherwise(F.lit(None)).alias("value"),
-        F.when(is_value, comment).otherwise(F.trim(F.substring("card", 9, CARD))).alias("comment"),
+        *keys, "card_no", C.card_keyword(F.col("card")).alias("keyword"),
+        F.when(is_value, C.card_value(raw)).alias("value"),
+        F.when(is_value, C.card_comment(raw)).otherwise(F.trim(F.substring("card", 9, C.CARD))).alias("comment"),
         is_value.alias("is_value"),
     )
 
 
-def first_values(cards: DataFrame, keys: list[str], keywords: list[str]) -> DataFrame:
-    """Wide header: the first value card of each keyword."""
-    return cards.filter("is_value").groupBy(*keys).agg(
-        *[
-            F.min_by(F.when(F.col("keyword") == k, F.col("value")), F.when(F.col("keyword") == k, F.col("card_no"))).alias(k.lower())
-            for k in keywords
-        ]
-    )
-
-
 def merge_headers(cards: DataFrame, file: str = "file") -> DataFrame:
     """One value per file and keyword; the later HDU overrides, within an HDU the first card wins."""
     per_hdu = cards.filter("is_value").groupBy(file, "keyword", "hdu").agg(F.min_by("value", "card_no").alias("value"))
@@ -103,23 +69,54 @@ def _pivoted(df: DataFrame, key: str, filt: str) -> DataFrame:
     return joined.select(*[df[c] for c in df.columns], F.coalesce(table["pivot_um"], B.pivot_estimate(F.col(key), F.col(filt))).alias("pivot_um"))
 
 
+def _by_header(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _key, _hf (filter, NULL if unknown) and _hl (table key) from the header words."""
+    keyed = files.withColumn("_key", B.instrument_key(F.col("telescop"), F.col("instrume")))
+    return keyed.withColumn(
+        "_hf", B.header_filter(F.col("_key"), *[F.col(c) for c in ("filter", "pupil", "filter1", "filter2")])
+    ).withColumn("_hl", B.lookup_key(F.col("_key"), F.col("detector")))
+
+
+def _by_name(files: DataFrame, name: str) -> DataFrame:
+    """Adds _nf, _nk (instrument token or NULL), _nl (table key), _ni, _nt from the file name."""
+    spark = files.sparkSession
+    # Both tables are fixed: 84 and 6 rows.
+    prefs = spark.createDataFrame(B.preference_rows(), "lookup_key string, telescope string, instrument string, pref int")
+    choices = B.pivot_table(spark).join(F.broadcast(prefs), "lookup_key").groupBy(F.col("filter").alias("_nf")).agg(
+        F.min_by(F.struct("lookup_key", "telescope", "instrument"), "pref").alias("_first"),
+        F.bool_or(F.col("lookup_key") == "WFC3/IR").alias("_ir"),
+    )
+    tokens = files.withColumn("_nf", B.only(B.name_filters(F.col(name)))).withColumn(
+        "_nk", B.only(B.name_instruments(F.col(name)))
+    )
+    joined = tokens.join(F.broadcast(choices), "_nf", "left")
+    told = F.col("_nk").isNotNull()
+    wfc3 = F.when(F.col("_ir"), "WFC3/IR").otherwise("WFC3/UVIS")
+    own = F.when(F.col("_nk") == "WFC3", wfc3).otherwise(F.col("_nk"))
+    return (
+        joined.withColumn("_nl", F.when(told, own).otherwise(F.coalesce("_first.lookup_key", F.lit("NIRCAM"))))
+        .withColumn("_ni", F.when(told, B.by_instrument(F.col("_nk"), 1)).otherwise(F.coalesce("_first.instrument", F.lit(""))))
+        .withColumn("_nt", F.when(told, B.by_instrument(F.col("_nk"), 0)).otherwise(F.coalesce("_first.telescope", F.lit(""))))
+        .drop("_first", "_ir")
+    )
+
+
+def _finish(df: DataFrame, keys: list[str], filt: Column, lookup: Column, instrument: Column, telescope: Column) -> DataFrame:
+    rows = df.select(
+        *keys, filt.alias("band_filter"), lookup.alias("_lookup"), instrument.alias("instrument"), telescope.alias("telescope")
+    ).filter("band_filter is not null")
+    return _pivoted(rows, "_lookup", "band_filter").select(
+        *keys, "band_filter", "instrument", "telescope", "pivot_um", B.is_broadband(F.col("band_filter")).alias("is_broadband")
+    )
+
+
 def detect_from_headers(headers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, filter, instrument, telescope, pivot_um, is_broadband; files without a band have no row.
+    """keys, band_filter, instrument, telescope, pivot_um, is_broadband; files without a band have no row.
 
     ``headers``: keys, telescop, instrume, filter, pupil, filter1, filter2, detector.
     """
-    key = B.instrument_key(F.col("telescop"), F.col("instrume"))
-    found = headers.withColumn("_key", key).select(
-        *keys,
-        "_key",
-        B.header_filter(F.col("_key"), *[F.col(c) for c in ("filter", "pupil", "filter1", "filter2")]).alias("_filter"),
-        B.lookup_key(F.col("_key"), F.col("detector")).alias("_lookup"),
-    )
-    out = _pivoted(found.filter("_filter is not null"), "_lookup", "_filter")
-    return out.select(
-        *keys, F.col("_filter").alias("band_filter"), B.by_instrument(F.col("_key"), 1).alias("instrument"),
-        B.by_instrument(F.col("_key"), 0).alias("telescope"), "pivot_um", B.is_broadband(F.col("_filter")).alias("is_broadband"),
-    )
+    key = F.col("_key")
+    return _finish(_by_header(headers, keys), keys, F.col("_hf"), F.col("_hl"), B.by_instrument(key, 1), B.by_instrument(key, 0))
 
 
 def detect_from_names(files: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
@@ -128,35 +125,17 @@ def detect_from_names(files: DataFrame, keys: list[str], name: str = "name") ->
     Without an instrument the first in a fixed preference whose table lists the filter is
     taken; with none the instrument stays empty.
     """
-    spark = files.sparkSession
-    tokens = files.select(
-        *keys, B.name_filters(F.col(name)).alias("_f"), B.name_instruments(F.col(name)).alias("_i")
-    ).filter(F.size("_f") == 1)
-    tokens = tokens.select(*keys, F.get("_f", F.lit(0)).alias("_filter"), F.when(F.size("_i") == 1, F.get("_i", F.lit(0))).alias("_key"))
-    # Both tables are fixed: 84 and 6 rows.
-    prefs = spark.createDataFrame(B.preference_rows(), "lookup_key string, telescope string, instrument string, pref int")
-    table = B.pivot_table(spark).join(F.broadcast(prefs), "lookup_key")
-    choices = table.groupBy("filter").agg(
-        F.min_by(F.struct("lookup_key", "telescope", "instrument"), "pref").alias("_first"),
-        F.bool_or(F.col("lookup_key") == "WFC3/IR").alias("_ir"),
-    )
-    joined = tokens.join(F.broadcast(choices), tokens["_filter"] == choices["filter"], "left")
-    by_name = F.when(F.col("_key") == "WFC3", F.when(F.col("_ir"), "WFC3/IR").otherwise("WFC3/UVIS")).otherwise(F.col("_key"))
-    resolved = joined.select(
-        *keys, "_filter",
-        F.when(F.col("_key").isNotNull(), by_name).otherwise(F.coalesce("_first.lookup_key", F.lit("NIRCAM"))).alias("_lookup"),
-        F.when(F.col("_key").isNotNull(), B.by_instrument(F.col("_key"), 1)).otherwise(F.coalesce("_first.instrument", F.lit(""))).alias("instrument"),
-        F.when(F.col("_key").isNotNull(), B.by_instrument(F.col("_key"), 0)).otherwise(F.coalesce("_first.telescope", F.lit(""))).alias("telescope"),
-    )
-    out = _pivoted(resolved, "_lookup", "_filter")
-    return out.select(*keys, F.col("_filter").alias("band_filter"), "instrument", "telescope", "pivot_um", B.is_broadband(F.col("_filter")).alias("is_broadband"))
+    return _finish(_by_name(files, name), keys, *[F.col(c) for c in ("_nf", "_nl", "_ni", "_nt")])
 
 
 def detect_bands(files: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
-    """Header detection, with the file name as the fallback."""
-    by_header = detect_from_headers(files, keys)
-    rest = files.join(by_header.select(*keys), keys, "left_anti")
-    return by_header.unionByName(detect_from_names(rest, keys, name))
+    """Header detection, with the file name as the fallback; one pass, no shuffle."""
+    both = _by_name(_by_header(files, keys), name)
+    known, key = F.col("_hf").isNotNull(), F.col("_key")
+    return _finish(
+        both, keys, F.coalesce("_hf", "_nf"), F.when(known, F.col("_hl")).otherwise(F.col("_nl")),
+        F.when(known, B.by_instrument(key, 1)).otherwise(F.col("_ni")), F.when(known, B.by_instrument(key, 0)).otherwise(F.col("_nt")),
+    )
 
 
 def contended_filters(bands: DataFrame, key: list[str]) -> DataFrame:

@@ -63,13 +63,16 @@ def tile_tables(tables: DataFrame) -> DataFrame:
     checks = [
         ("compression", ~F.col("zcmptype").isin("RICE_1", "GZIP_2"), F.col("zcmptype")),
         ("no_zscale", (F.col("zcmptype") == "RICE_1") & ~F.col("has_zscale"), F.col("zcmptype")),
-        ("row_count", F.col("n_rows") != expected, F.col("n_rows")),
+        ("row_count", F.col("n_rows") != expected, F.col("n_rows").cast("string")),
     ]
-    out = None
-    for rule, bad, detail in checks:
-        part = tables.filter(bad).select(*_violation(F.col("entity"), rule, detail))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # One pass: the rules a table breaks are listed in its row, then exploded.
+    broken = F.filter(
+        F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))) for rule, bad, detail in checks]),
+        lambda v: v.isNotNull(),
+    )
+    return tables.select(F.col("entity").cast("string").alias("entity"), F.explode(broken).alias("_v")).select(
+        "entity", "_v.rule", "_v.detail"
+    )
 
 
 def view_weights(weights: DataFrame) -> DataFrame:

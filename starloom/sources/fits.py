@@ -14,7 +14,8 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from starloom.operators.inventory import header_cards
+from starloom.functions.cards import word, words
+from starloom.functions.let import let, pack
 
 BLOCK, CARD = 2880, 80
 GLOB = "*.{fits,fit,fits.gz,fits.fz}"
@@ -95,14 +96,8 @@ def scan_headers(paths: DataFrame) -> DataFrame:
 def wide_headers(headers: DataFrame, keywords: list[str]) -> DataFrame:
     """One row per HDU with the first value of each keyword, lower-case columns, all text."""
     keys = ["file", "hdu", "data_start"]
-    cards = header_cards(headers.filter("header is not null").select(*keys, "header"), "header", keys)
-    picks = cards.filter("is_value").groupBy(*keys).agg(
-        *[
-            F.min_by(F.when(F.col("keyword") == k, F.col("value")), F.when(F.col("keyword") == k, F.col("card_no"))).alias(k.lower())
-            for k in keywords
-        ]
-    )
-    return headers.filter("header is not null").select(*keys).join(picks, keys, "left")
+    named = let(words(F.col("header")), lambda w: pack(**{k.lower(): word(w, k) for k in keywords}))
+    return headers.filter("header is not null").select(*keys, named.alias("_w")).select(*keys, "_w.*")
 
 
 def _read_ranges(batches):
@@ -181,7 +176,8 @@ def image_rows(spark: SparkSession, headers: DataFrame) -> DataFrame:
 def _tform_width(t: Column) -> Column:
     """Bytes of one table column from its TFORM."""
     code = F.regexp_extract(t, r"^\s*\d*([A-Z])", 1)
-    rep = F.coalesce(F.regexp_extract(t, r"^\s*(\d+)", 1).try_cast("int"), F.lit(1))
+    # NULL, not '', for a missing count: a cast that fails costs far more than one that does not run.
+    rep = F.coalesce(F.nullif(F.regexp_extract(t, r"^\s*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1))
     # Bytes per element of each column code.
     one = F.coalesce(*[F.when(code.isin(*codes), n) for n, codes in ((1, "LXBA"), (2, "I"), (4, "JE"), (8, "KDC"), (16, "M"))])
     return F.when(t.contains("Q"), 16).when(t.contains("P"), 8).otherwise(rep * one)
@@ -193,49 +189,58 @@ def table_layout(headers: DataFrame) -> DataFrame:
     ``headers``: file, header, data_start. Adds the table and image keywords and ``cols``,
     a map of column name to struct(offset, tform).
     """
-    keys = ["file", "data_start"]
-    cards = header_cards(headers.select(*keys, "header"), "header", keys).filter("is_value")
-    n = lambda k: F.min_by(F.when(F.col("keyword") == k, F.col("value")), F.when(F.col("keyword") == k, F.col("card_no")))
-    numbered = F.regexp_extract("keyword", r"^TTYPE(\d+)$|^TFORM(\d+)$", 0) != ""
-    index = F.regexp_extract("keyword", r"(\d+)$", 1).try_cast("int")
-    def numbered_cards(prefix: str) -> Column:
-        hit = numbered & F.col("keyword").startswith(prefix)
-        return F.map_from_entries(F.collect_list(F.when(hit, F.struct(index, "value"))))
-
-    names, tforms = numbered_cards("TTYPE"), numbered_cards("TFORM")
-    forms = F.transform(F.array_sort(F.map_keys(tforms)), lambda k: F.struct(
-        F.coalesce(F.element_at(names, k), F.concat(F.lit("COL"), k.cast("string"))).alias("name"),
-        F.element_at(tforms, k).alias("tform"),
-    ))
-    placed = F.aggregate(
-        forms,
-        F.struct(F.array().cast("array<struct<name:string,tform:string,offset:int>>").alias("cols"), F.lit(0).alias("at")),
-        lambda acc, f: F.struct(
-            F.concat(acc["cols"], F.array(F.struct(f["name"].alias("name"), f["tform"].alias("tform"), acc["at"].alias("offset")))).alias("cols"),
-            (acc["at"] + _tform_width(f["tform"]).cast("int")).alias("at"),
-        ),
-        lambda acc: acc["cols"],
-    )
-    # Worked out inside the grouped pass, so nothing above it can repeat the work.
-    per = cards.groupBy(*keys).agg(
-        *[n(k).alias(k.lower()) for k in ("NAXIS1", "NAXIS2", "PCOUNT", "THEAP", "ZCMPTYPE", "ZNAXIS1", "ZNAXIS2", "ZTILE1", "ZTILE2", "ZBLOCKSIZE", "ZQUANTIZ", "ZDITHER0", "ZBLANK")],
-        placed.alias("columns"),
-    )
-    i = lambda c, default=None: F.coalesce(F.col(c).try_cast("bigint"), F.lit(default).cast("bigint") if default is not None else F.lit(None).cast("bigint"))
-    laid = per.select(
-        *keys, "zcmptype", i("naxis1").alias("row_bytes"), i("naxis2").alias("n_rows"), i("pcount", 0).alias("pcount"),
-        F.coalesce(i("theap"), i("naxis1") * i("naxis2")).alias("theap"),
-        i("znaxis1").alias("znaxis1"), i("znaxis2").alias("znaxis2"),
-        F.coalesce(i("ztile1"), i("znaxis1")).alias("ztile1"), i("ztile2", 1).alias("ztile2"),
-        i("zblocksize", 32).alias("block_size"), "zquantiz", i("zdither0", 0).alias("zdither0"), i("zblank").alias("zblank_key"),
-        "columns",
-    )
-    return laid.withColumn("heap_start", F.col("data_start") + F.col("theap")).withColumn(
-        "has_zscale", F.exists("columns", lambda c: c["name"] == "ZSCALE")
+
+    def read(w: Column) -> Column:
+        def number(keyword: str, default: int | None = None) -> Column:
+            v = word(w, keyword).try_cast("bigint")
+            return v if default is None else F.coalesce(v, F.lit(default).cast("bigint"))
+
+        def column(i: Column) -> Column:
+            n = i.cast("string")
+            return let(
+                word(w, F.concat(F.lit("TFORM"), n)),
+                lambda form: pack(
+                    name=F.coalesce(word(w, F.concat(F.lit("TTYPE"), n)), F.concat(F.lit("COL"), n)),
+                    tform=form, width=_tform_width(form).cast("int"),
+                ),
+            )
+
+        indexes = F.filter(F.sequence(F.lit(0), number("TFIELDS", 0).cast("int")), lambda i: i > 0)
+        return pack(
+            zcmptype=word(w, "ZCMPTYPE"), zquantiz=word(w, "ZQUANTIZ"), row_bytes=number("NAXIS1"), n_rows=number("NAXIS2"),
+            pcount=number("PCOUNT", 0), theap=number("THEAP"), zblank_key=number("ZBLANK"), znaxis1=number("ZNAXIS1"),
+            znaxis2=number("ZNAXIS2"), ztile1=F.coalesce(number("ZTILE1"), number("ZNAXIS1")), ztile2=number("ZTILE2", 1),
+            block_size=number("ZBLOCKSIZE", 32), zdither0=number("ZDITHER0", 0), columns=placed(F.transform(indexes, column)),
+        )
+
+    def placed(cols: Column) -> Column:
+        return F.aggregate(
+            cols,
+            F.struct(F.array().cast("array<struct<name:string,tform:string,offset:int>>").alias("cols"), F.lit(0).alias("at")),
+            lambda acc, f: F.struct(
+                F.concat(acc["cols"], F.array(pack(name=f["name"], tform=f["tform"], offset=acc["at"]))).alias("cols"),
+                (acc["at"] + f["width"]).alias("at"),
+            ),
+            lambda acc: acc["cols"],
+        )
+
+    names = (
+        "zcmptype zquantiz row_bytes n_rows pcount zblank_key znaxis1 znaxis2 ztile1 ztile2 block_size zdither0 columns".split()
     )
 
+    def judged(t: Column) -> Column:
+        has = lambda name: F.exists(t["columns"], lambda c: c["name"] == name)
+        nx, ny = F.ceil(t["znaxis1"] / t["ztile1"]), F.ceil(t["znaxis2"] / t["ztile2"])
+        valid = t["zcmptype"].isin("RICE_1", "GZIP_2") & (t["n_rows"] == nx * ny) & has("COMPRESSED_DATA")
+        valid = valid & ((t["zcmptype"] != "RICE_1") | has("ZSCALE"))
+        return pack(
+            **{c: t[c] for c in names}, theap=F.coalesce(t["theap"], t["row_bytes"] * t["n_rows"]), nx=nx,
+            has_zscale=has("ZSCALE"), valid=F.coalesce(valid, F.lit(False)),
+        )
 
-_INDEX = "row int, heap_offset bigint, length bigint, zscale double, zzero double, zblank double"
+    # One bound value per header: a filter on it repeats the parse once, not once per field.
+    parsed = headers.select("file", "data_start", let(let(words(F.col("header")), read), judged).alias("_l"))
+    return parsed.select("file", "data_start", "_l.*").withColumn("heap_start", F.col("data_start") + F.col("theap"))
 
 
 def _column(table: np.ndarray, columns, name: str, kind: str, width: int):
@@ -247,6 +252,7 @@ def _column(table: np.ndarray, columns, name: str, kind: str, width: int):
 
 
 def _decode_rows(batches):
+    """Row tables to one row per tile; everything known per file rides along."""
     for pdf in batches:
         frames = []
         for r in pdf.itertuples(index=False):
@@ -258,19 +264,28 @@ def _decode_rows(batches):
             blank = _column(table, r.columns, "ZBLANK", ">i4", 4)
             key = np.nan if r.zblank_key is None or pd.isna(r.zblank_key) else float(r.zblank_key)
             scale, zero = (_column(table, r.columns, c, ">f8", 8) for c in ("ZSCALE", "ZZERO"))
+            row = np.arange(n)
+            lx, ly = row % int(r.nx), row // int(r.nx)
             frames.append(
-                pd.DataFrame(
-                    {
-                        "file": r.file, "row": np.arange(n, dtype=np.int32),
-                        "heap_offset": desc[:, 1].astype(np.int64), "length": desc[:, 0].astype(np.int64),
-                        "zscale": np.nan if scale is None else scale[:, 0].astype(float),
-                        "zzero": np.nan if zero is None else zero[:, 0].astype(float),
-                        "zblank": key if blank is None else blank[:, 0].astype(float),
-                    }
-                )
+                {
+                    "file": np.full(n, r.file, dtype=object), "local_x": lx, "local_y": ly, "row": row,
+                    "start": int(r.heap_start) + desc[:, 1].astype(np.int64), "length": desc[:, 0].astype(np.int64),
+                    "w": np.minimum(int(r.ztile1), int(r.znaxis1) - lx * int(r.ztile1)), "h": np.minimum(int(r.ztile2), int(r.znaxis2) - ly * int(r.ztile2)),
+                    "zscale": np.full(n, np.nan) if scale is None else scale[:, 0].astype(float),
+                    "zzero": np.full(n, np.nan) if zero is None else zero[:, 0].astype(float),
+                    "zblank": np.full(n, key) if blank is None else blank[:, 0].astype(float),
+                    "dither_method": np.full(n, r.dither_method), "zdither0": np.full(n, r.zdither0),
+                    "compression": np.full(n, r.zcmptype, dtype=object), "block_size": np.full(n, r.block_size),
+                }
             )
-        cols = ["file", "row", "heap_offset", "length", "zscale", "zzero", "zblank"]
-        yield pd.concat(frames)[cols] if frames else pd.DataFrame(columns=cols)
+        if frames:
+            yield pd.DataFrame({c: np.concatenate([f[c] for f in frames]) for c in frames[0]})
+
+
+_INDEX = (
+    "file string, local_x int, local_y int, row int, start bigint, length bigint, w int, h int, zscale double, zzero double, "
+    "zblank double, dither_method int, zdither0 int, compression string, block_size int"
+)
 
 
 def tile_index(layouts: DataFrame, row_tables: DataFrame) -> DataFrame:
@@ -281,29 +296,11 @@ def tile_index(layouts: DataFrame, row_tables: DataFrame) -> DataFrame:
     """
     from starloom.operators.quantise import dither_method
 
-    nx = F.ceil(F.col("znaxis1") / F.col("ztile1"))
-    ny = F.ceil(F.col("znaxis2") / F.col("ztile2"))
-    good = layouts.filter(
-        F.col("zcmptype").isin("RICE_1", "GZIP_2")
-        & (F.col("n_rows") == nx * ny)
-        & ((F.col("zcmptype") != "RICE_1") | F.col("has_zscale"))
-        & F.exists("columns", lambda c: c["name"] == "COMPRESSED_DATA")
-    )
-    rows = (
-        good.select("file", "n_rows", "row_bytes", "columns", "zblank_key")
-        .join(row_tables.select("file", "content"), "file")
-        .mapInPandas(_decode_rows, "file string, " + _INDEX)
-    )
-    meta = good.select("file", "heap_start", "zcmptype", "zquantiz", "zdither0", "block_size", "znaxis1", "znaxis2", "ztile1", "ztile2", nx.alias("_nx"))
-    lx, ly = F.col("row") % F.col("_nx"), F.floor(F.col("row") / F.col("_nx"))
-    return rows.join(meta, "file").select(
-        "file", lx.cast("int").alias("local_x"), ly.cast("int").alias("local_y"), "row",
-        (F.col("heap_start") + F.col("heap_offset")).alias("start"), "length",
-        F.least(F.col("ztile1"), F.col("znaxis1") - lx * F.col("ztile1")).cast("int").alias("w"),
-        F.least(F.col("ztile2"), F.col("znaxis2") - ly * F.col("ztile2")).cast("int").alias("h"),
-        "zscale", "zzero", "zblank", dither_method(F.col("zquantiz")).alias("dither_method"), F.col("zdither0").cast("int").alias("zdither0"),
-        F.col("zcmptype").alias("compression"), F.col("block_size").cast("int").alias("block_size"),
+    ready = layouts.filter("valid").select(
+        "file", "n_rows", "row_bytes", "columns", "zblank_key", "heap_start", "zcmptype", "zdither0", "block_size",
+        "znaxis1", "znaxis2", "ztile1", "ztile2", "nx", dither_method(F.col("zquantiz")).alias("dither_method"),
     )
+    return ready.join(row_tables.select("file", "content"), "file").mapInPandas(_decode_rows, _INDEX)
 
 
 def scan_tile_index(headers: DataFrame) -> DataFrame:
