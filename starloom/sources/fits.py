@@ -7,6 +7,7 @@ row tables and image strips are then read by byte range on the executors.
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,74 +174,89 @@ def image_rows(spark: SparkSession, headers: DataFrame) -> DataFrame:
     return decode_image_rows(read_ranges(ranges), ["file", "img_h", "img_w"])
 
 
-def _tform_width(t: Column) -> Column:
-    """Bytes of one table column from its TFORM."""
-    code = F.regexp_extract(t, r"^\s*\d*([A-Z])", 1)
-    # NULL, not '', for a missing count: a cast that fails costs far more than one that does not run.
-    rep = F.coalesce(F.nullif(F.regexp_extract(t, r"^\s*(\d+)", 1), F.lit("")).try_cast("int"), F.lit(1))
-    # Bytes per element of each column code.
-    one = F.coalesce(*[F.when(code.isin(*codes), n) for n, codes in ((1, "LXBA"), (2, "I"), (4, "JE"), (8, "KDC"), (16, "M"))])
-    return F.when(t.contains("Q"), 16).when(t.contains("P"), 8).otherwise(rep * one)
+# Bytes per element of each table column code.
+_CODE_BYTES = {"L": 1, "X": 1, "B": 1, "A": 1, "I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "C": 8, "M": 16}
+_LAYOUT = (
+    "file string, data_start bigint, zcmptype string, zquantiz string, row_bytes bigint, n_rows bigint, pcount bigint, "
+    "zblank_key bigint, znaxis1 bigint, znaxis2 bigint, ztile1 bigint, ztile2 bigint, block_size bigint, zdither0 bigint, "
+    "theap bigint, heap_start bigint, nx bigint, has_zscale boolean, valid boolean, "
+    "columns array<struct<name:string,tform:string,offset:int>>"
+)
 
 
-def table_layout(headers: DataFrame) -> DataFrame:
-    """Byte layout of compressed-image tables from their header text.
+def _width(tform: str) -> int | None:
+    """Bytes of one table column: descriptors are 16 or 8, the rest count times element size."""
+    if "Q" in tform or "P" in tform:
+        return 16 if "Q" in tform else 8
+    found = re.match(r"\s*(\d*)([A-Z])", tform)
+    if found is None or found[2] not in _CODE_BYTES:
+        return None
+    return int(found[1] or 1) * _CODE_BYTES[found[2]]
+
+
+def _words(text: str) -> dict[str, str]:
+    """First value of each keyword up to END: quoted text unquoted, else the word before the slash."""
+    out: dict[str, str] = {}
+    for i in range(0, len(text), CARD):
+        key, raw = text[i : i + 8].strip(), text[i + 10 : i + CARD]
+        if key == "END":
+            break
+        if key and text[i + 8 : i + 10] == "= " and key not in out:
+            quoted = re.match(r"[^/']*'((?:[^']|'')*)", raw)
+            out[key] = quoted[1].replace("''", "'").rstrip() if quoted else raw.split("/")[0].strip()
+    return out
+
+
+def _layout_of(text: str) -> dict:
+    w = _words(text)
+
+    def number(key: str, default: int | None = None) -> int | None:
+        value = w.get(key, "")
+        return int(value) if re.fullmatch(r"[+-]?\d+", value) else default
+
+    columns, at = [], 0
+    for i in range(1, (number("TFIELDS", 0) or 0) + 1):
+        form = w.get(f"TFORM{i}", "")
+        columns.append({"name": w.get(f"TTYPE{i}", f"COL{i}"), "tform": form, "offset": at})
+        width = _width(form)
+        at = None if at is None or width is None else at + width
+    row_bytes, n_rows, n1, n2 = (number(k) for k in ("NAXIS1", "NAXIS2", "ZNAXIS1", "ZNAXIS2"))
+    t1, t2 = number("ZTILE1", n1), number("ZTILE2", 1)
+    names = {c["name"] for c in columns}
+    known = None not in (row_bytes, n_rows, n1, n2, at) and t1 and t2
+    nx = -(-n1 // t1) if known else None
+    kind = w.get("ZCMPTYPE")
+    valid = bool(
+        known and at == row_bytes and n_rows == nx * -(-n2 // t2) and kind in ("RICE_1", "GZIP_2")
+        and "COMPRESSED_DATA" in names and (kind != "RICE_1" or "ZSCALE" in names)
+    )
+    theap = number("THEAP", row_bytes * n_rows if known else None)
+    return {
+        "zcmptype": kind, "zquantiz": w.get("ZQUANTIZ"), "row_bytes": row_bytes, "n_rows": n_rows, "pcount": number("PCOUNT", 0),
+        "zblank_key": number("ZBLANK"), "znaxis1": n1, "znaxis2": n2, "ztile1": t1, "ztile2": t2,
+        "block_size": number("ZBLOCKSIZE", 32), "zdither0": number("ZDITHER0", 0), "theap": theap, "nx": nx,
+        "has_zscale": "ZSCALE" in names, "valid": valid, "columns": columns if at is not None else [],
+    }
 
-    ``headers``: file, header, data_start. Adds the table and image keywords and ``cols``,
-    a map of column name to struct(offset, tform).
-    """
 
-    def read(w: Column) -> Column:
-        def number(keyword: str, default: int | None = None) -> Column:
-            v = word(w, keyword).try_cast("bigint")
-            return v if default is None else F.coalesce(v, F.lit(default).cast("bigint"))
-
-        def column(i: Column) -> Column:
-            n = i.cast("string")
-            return let(
-                word(w, F.concat(F.lit("TFORM"), n)),
-                lambda form: pack(
-                    name=F.coalesce(word(w, F.concat(F.lit("TTYPE"), n)), F.concat(F.lit("COL"), n)),
-                    tform=form, width=_tform_width(form).cast("int"),
-                ),
-            )
+def _layouts(batches):
+    order = [part.split()[0] for part in re.sub(r"<.*>", "", _LAYOUT).split(", ")]
+    for pdf in batches:
+        rows = []
+        for file, text, start in zip(pdf.file, pdf.header, pdf.data_start):
+            made = _layout_of(text)
+            made.update(file=file, data_start=start, heap_start=None if made["theap"] is None else start + made["theap"])
+            rows.append([made[c] for c in order])
+        yield pd.DataFrame(rows, columns=order, dtype=object)
 
-        indexes = F.filter(F.sequence(F.lit(0), number("TFIELDS", 0).cast("int")), lambda i: i > 0)
-        return pack(
-            zcmptype=word(w, "ZCMPTYPE"), zquantiz=word(w, "ZQUANTIZ"), row_bytes=number("NAXIS1"), n_rows=number("NAXIS2"),
-            pcount=number("PCOUNT", 0), theap=number("THEAP"), zblank_key=number("ZBLANK"), znaxis1=number("ZNAXIS1"),
-            znaxis2=number("ZNAXIS2"), ztile1=F.coalesce(number("ZTILE1"), number("ZNAXIS1")), ztile2=number("ZTILE2", 1),
-            block_size=number("ZBLOCKSIZE", 32), zdither0=number("ZDITHER0", 0), columns=placed(F.transform(indexes, column)),
-        )
-
-    def placed(cols: Column) -> Column:
-        return F.aggregate(
-            cols,
-            F.struct(F.array().cast("array<struct<name:string,tform:string,offset:int>>").alias("cols"), F.lit(0).alias("at")),
-            lambda acc, f: F.struct(
-                F.concat(acc["cols"], F.array(pack(name=f["name"], tform=f["tform"], offset=acc["at"]))).alias("cols"),
-                (acc["at"] + f["width"]).alias("at"),
-            ),
-            lambda acc: acc["cols"],
-        )
-
-    names = (
-        "zcmptype zquantiz row_bytes n_rows pcount zblank_key znaxis1 znaxis2 ztile1 ztile2 block_size zdither0 columns".split()
-    )
 
-    def judged(t: Column) -> Column:
-        has = lambda name: F.exists(t["columns"], lambda c: c["name"] == name)
-        nx, ny = F.ceil(t["znaxis1"] / t["ztile1"]), F.ceil(t["znaxis2"] / t["ztile2"])
-        valid = t["zcmptype"].isin("RICE_1", "GZIP_2") & (t["n_rows"] == nx * ny) & has("COMPRESSED_DATA")
-        valid = valid & ((t["zcmptype"] != "RICE_1") | has("ZSCALE"))
-        return pack(
-            **{c: t[c] for c in names}, theap=F.coalesce(t["theap"], t["row_bytes"] * t["n_rows"]), nx=nx,
-            has_zscale=has("ZSCALE"), valid=F.coalesce(valid, F.lit(False)),
-        )
-
-    # One bound value per header: a filter on it repeats the parse once, not once per field.
-    parsed = headers.select("file", "data_start", let(let(words(F.col("header")), read), judged).alias("_l"))
-    return parsed.select("file", "data_start", "_l.*").withColumn("heap_start", F.col("data_start") + F.col("theap"))
+def table_layout(headers: DataFrame) -> DataFrame:
+    """Byte layout of compressed-image tables from their header text, one row per file.
+
+    ``headers``: file, header, data_start. ``valid`` is false where the tile index cannot be
+    read (see ``validate.tile_tables`` for the reasons); ``columns`` lists name, tform, offset.
+    """
+    return headers.select("file", "header", "data_start").mapInPandas(_layouts, _LAYOUT)
 
 
 def _column(table: np.ndarray, columns, name: str, kind: str, width: int):
