@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import mixing, preference, sharding, url_lists
+from starloom.llm import decontaminate, licenses, mixing, preference, sharding, simhash, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,39 @@ def op5_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mix_sources")
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("start", "run")
+
+
+@query("op7_simhash_components")
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op9_decontaminate",
+    r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+wins AS (SELECT DISTINCT item_id, len, array_to_string(words[i0:i0 + len - 1], ' ') AS win FROM (
+  SELECT item_id, words, least(13, len(words)) AS len, unnest(range(1, greatest(len(words) - 11, 2))) AS i0 FROM b WHERE len(words) > 0)),
+lens AS (SELECT DISTINCT len FROM wins),
+places AS (SELECT doc_id, len, i0, array_to_string(words[i0:i0 + len - 1], ' ') AS win FROM (
+  SELECT doc_id, words, len, unnest(range(1, len(words) - len + 2)) AS i0 FROM w, lens WHERE len(words) >= len)),
+hits AS (SELECT p.doc_id, p.i0, p.len, wins.item_id FROM places p JOIN wins ON wins.len = p.len AND wins.win = p.win),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i0, i0 + len)) AS pos FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+""",
+)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
