@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import decontaminate, licenses, main_text, mixing, preference, sharding, simhash, url_lists
+from starloom.llm import decontaminate, licenses, main_text, mixing, phrases, preference, sharding, simhash, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_main_text")
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_phrase_fingerprints")
+def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
