@@ -26,20 +26,29 @@ def build_session(name: str = "starloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as named by ``spark.checkpoint.dir``.
+
+    A local master without the setting gets a temporary folder, once; a cluster has to name one.
+    """
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isEmpty():
+        return current.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-")
+    sc.setCheckpointDir(configured)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and return it cut from its lineage.
 
     Used where a second step must see the very partitions the first one saw
     (prefix sums over a range-partitioned table) and between iterations.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    shared_folder(df.sparkSession)
     return df.checkpoint()
