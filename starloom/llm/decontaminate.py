@@ -124,3 +124,10 @@ def decontaminate(
         "id", "h", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    bad = decontaminate(docs, items, key, text, **options).where("contaminated").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_h"))
+    return docs.join(bad, same, "left_anti")

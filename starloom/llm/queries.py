@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import decontaminate, licenses, main_text, mixing, phrases, preference, sharding, simhash, url_lists
+import corpus_pipeline
+from starloom.llm import decontaminate, licenses, main_text, mixing, phrases, preference, sharding, simhash, toxicity, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +141,13 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_phrase_fingerprints")
 def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -46,15 +46,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``id, fp`` of all rows. A null text has no words, so its fingerprint is 0."""
-    narrow = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    """``id, h, fp`` of all rows, ``h`` being a hash of the text. A null text has no words, so its fingerprint is 0."""
+    narrow = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), words, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["id", "h", "fp"])
 
-    return narrow.mapInArrow(run, "id bigint, fp bigint")
+    return narrow.mapInArrow(run, "id bigint, h bigint, fp bigint")
 
 
 def _halves(fp: Column) -> tuple[Column, Column]:
@@ -126,19 +126,29 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """``id, fp, component_id`` of all rows: the smallest id whose fingerprint is reachable over links of at most two bits.
+    """All rows as ``id, h, fp, component_id, kept``: the smallest id whose fingerprint is reachable over links of at most two bits.
 
-    Equal fingerprints are linked, so texts without words form one component. A null id is never a component's id
-    unless all ids of the component are null; repeated rows stay; an empty table gives an empty result; other columns
-    are ignored.
+    Equal fingerprints are linked, so texts without words form one component. ``kept`` marks the row that stands for its component,
+    the one of least id, then least text hash (rows that repeat both are all marked). A null id comes after all others; repeated
+    rows stay; an empty table gives an empty result; other columns are ignored.
     """
     prints = materialise(fingerprints(docs, key, text, words, seed))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    first = F.struct(F.col("id").isNull().alias("missing"), "id", "h")
+    nodes = materialise(prints.groupBy("fp").agg(F.min(first).alias("least")))
     found = materialise(components(links(nodes)))
     named = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    firsts = materialise(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))
-    classes = named.join(firsts, F.col("root") == F.col("r")).select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
+    firsts = materialise(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("chosen")))
+    classes = named.join(firsts, F.col("root") == F.col("r")).select(F.col("fp").alias("_fp"), "chosen")
+    stands = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("h") == F.col("chosen.h"))
+    return prints.join(classes, F.col("fp") == F.col("_fp")).select("id", "h", "fp", F.col("chosen.id").alias("component_id"), stands.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one each."""
+    kept = near_duplicates(docs, key, text, words, seed).where("kept").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    marked = docs.withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
+    same = F.col(key).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    return marked.join(kept, same).dropDuplicates(["_id", "_h"]).select(*docs.columns)
 
 
 def hex_digits(fp: Column) -> Column:
