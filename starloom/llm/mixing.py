@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from starloom.llm.common import SPACED_WORD, count_words, running_start
+from starloom.llm.common import SPACED_WORD, count_words, drawn, running_start
 
 #: Weights of the sources in code point order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -106,7 +106,7 @@ def mix_documents(
         *[F.col(c).alias(f"k_{c}") for c in kept],
         F.col(source).cast("string").alias("source"),
         F.col(key).alias("_key"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_draw"),
+        drawn(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_draw"),
         count_words(F.col(text), SPACED_WORD).alias("size"),
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -114,7 +114,7 @@ def mix_documents(
         F.col("source").alias("_source"), "source_size", "target",
         F.least(most * F.col("source_size"), shards * F.col("quota") * F.col("block")).alias("run"),
     )
-    placed = running_start(rows, ["source"], ["_draw", "_key", "size"], F.col("size"), "start")
+    placed = running_start(rows, ["source"], "_draw", ["_key", "size"], F.col("size"), "start")
     mixed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")))
     turns = [_overlap(F.col("start") + i * F.col("source_size"), F.col("size"), F.lit(0), F.col("run")) for i in range(most)]
     return mixed.select(

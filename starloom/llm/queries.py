@@ -27,7 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op3_jump_shards")
+#: The generator of the jumps, and the table of CRC-32 from its polynomial.
+@query(
+    "op3_jump_shards",
+    """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+bytes AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, list_transform(range(1, coalesce(octet_length(encode(text)), 0) + 1),
+    lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT) AS b
+  FROM documents),
+summed AS (
+  SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]))) AS text_crc32
+  FROM bytes, crc),
+jumps AS (
+  SELECT doc_id, doc_id::HUGEINT AS k, 0::BIGINT AS shard, 0::BIGINT AS grown, 0::BIGINT AS j FROM documents
+  UNION ALL
+  SELECT doc_id, n AS k, CASE WHEN j < 16 THEN j ELSE shard END, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((n // 8589934592)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM jumps WHERE j < 17)),
+landed AS (SELECT doc_id, max(shard) AS shard, max(grown) AS grown FROM jumps GROUP BY doc_id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || '|' || text_crc32)) - 1)::BIGINT AS slot, grown::INT AS grown_shard
+FROM summed JOIN landed USING (doc_id)
+""",
+)
 def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -90,9 +113,30 @@ def op5_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.evaluate_captures(captures, url_lists.derived_entries(pages, events), ["page_id", "url", "fetched"])
 
 
-#: Twice a source's words at most, 150 % of all words shared by weights 5, 2, 1. Sources are filled one after another until
-#: none stands above its cap; seats go one by one to the highest quotient in the operator, in SQL by the rank of all quotients.
-@query("op6_mix_sources")
+#: Seats go by bounds and a few ranked quotients in the operator, in SQL by the rank of all quotients.
+@query(
+    "op6_mix_sources",
+    r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('20240901|' || doc_id || '|' || md5(coalesce(text, ''))) AS draw FROM documents),
+s AS (
+  SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS weight, sum(source_size) OVER () AS total
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source)),
+f AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS full_at, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+    sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s),
+l AS (SELECT *, (1.5::DOUBLE * total - given) / open AS level FROM f),
+t AS (
+  SELECT *, least(2.0::DOUBLE * source_size, coalesce((SELECT min_by(level, full_at) FROM l WHERE full_at >= level) * weight, 2.0::DOUBLE * source_size)) AS target,
+    greatest(1, floor(1.5::DOUBLE * total / (16 * 65536)))::BIGINT AS block FROM l),
+h AS (SELECT *, ceil((SELECT sum(target) FROM t) / (16 * block))::BIGINT AS seats FROM t),
+q AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place, seats FROM (SELECT rank, target, seats, unnest(range(seats)) AS k FROM h WHERE target > 0)),
+w AS (SELECT rank, count(*) AS quota FROM q WHERE place <= seats GROUP BY rank),
+r AS (SELECT h.*, least(2 * source_size, 16 * coalesce(quota, 0) * block) AS run FROM h LEFT JOIN w USING (rank)),
+p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id) - size AS start FROM d)
+SELECT doc_id, size, source_size, target, (greatest(0, least(start + size, run) - start) + greatest(0, least(start + source_size + size, run) - (start + source_size)))::BIGINT AS taken
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
+""",
+)
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("start", "run")
 
@@ -128,7 +172,33 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_license_scan")
+_NOTICES = ", ".join(f"({i}, '{label}', string_split('{words}', ' '))" for i, (label, words) in enumerate(licenses.TEMPLATES))
+
+
+@query(
+    "op10_license_scan",
+    r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+b AS (
+  SELECT doc_id, i - 1 AS at_word, unnest(list_filter([CASE WHEN words[i] = 'cc' AND words[i + 1] = 'by' THEN 'cc-by' END,
+    CASE WHEN words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license' THEN 'gpl' END,
+    CASE WHEN words[i] = 'all' AND words[i + 1] = 'rights' AND words[i + 2] = 'reserved' THEN 'reserved' END], lambda x: x IS NOT NULL)) AS label FROM p),
+base AS (SELECT doc_id, count(*) AS n, min(at_word) AS lo, max(at_word) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id),
+notices(n, label, words) AS (VALUES """ + _NOTICES + r"""),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(text, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words FROM d),
+met AS (
+  SELECT doc_id, label, len(list_intersect(l.words, list_distinct(t.words))) AS shared, len(list_distinct(t.words)) AS size FROM lines l, notices t),
+found AS (SELECT doc_id, label, shared::DOUBLE / size AS c FROM met WHERE shared >= ceil(0.9 * size)),
+every AS (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM b),
+named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
+best AS (SELECT doc_id, max(c) AS c FROM found GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.lo::BIGINT AS first_word, base.hi::BIGINT AS last_word,
+  coalesce(base.labels, '') AS base_labels, coalesce(named.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(best.c, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
+""",
+)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starloom.functions.let import let
-from starloom.llm.common import running_start
+from starloom.llm.common import drawn, running_start
 
 #: The multiplier of the published generator, and powers of two.
 MULTIPLIER = 2862933555777941757
@@ -64,8 +64,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         (F.octet_length(content) + 1).cast("bigint").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         jump(F.col(key), shards).alias("_jump"),
-    ).select("*", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"))
-    slots = running_start(rows.drop("_jump"), ["shard"], ["_key", "text_crc32", "size"], F.lit(1).cast("bigint"), "slot")
+    ).select("*", drawn(F.col("_key"), F.col("text_crc32")).alias("_draw")).select("*", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"))
+    slots = running_start(rows.drop("_jump"), ["shard"], "_draw", ["_key", "size"], F.lit(1).cast("bigint"), "slot")
     return slots.select(
         *[F.col(f"k_{c}").alias(c) for c in (keep or [key])],
         "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
