@@ -80,6 +80,28 @@ def _overlap(start: Column, size: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(start + size, high) - F.greatest(start, low))
 
 
+def _placed(
+    docs: DataFrame, kept: list[str], key: str, source: str, text: str, weights: tuple[float, ...], share: float, most: int, shards: int, seats: int, seed: int
+) -> DataFrame:
+    """Rows with the kept columns as ``k_<name>``, the numbers of ``mix_documents`` and, as ``turns``, the words taken each time."""
+    rows = docs.select(
+        *[F.col(c).alias(f"k_{c}") for c in kept],
+        F.col(source).cast("string").alias("source"),
+        F.col(key).alias("_key"),
+        drawn(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_draw"),
+        count_words(F.col(text), SPACED_WORD).alias("size"),
+    )
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    quotas = apportion(source_targets(sizes, weights, share, float(most)), shards, seats, share).select(
+        F.col("source").alias("_source"), "source_size", "target",
+        F.least(most * F.col("source_size"), shards * F.col("quota") * F.col("block")).alias("run"),
+    )
+    placed = running_start(rows, ["source"], "_draw", ["_key", "size"], F.col("size"), "start")
+    mixed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")))
+    turns = F.array(*[_overlap(F.col("start") + i * F.col("source_size"), F.col("size"), F.lit(0), F.col("run")).cast("bigint") for i in range(most)])
+    return mixed.select(*[f"k_{c}" for c in kept], "size", "source_size", F.col("target").cast("double").alias("target"), "start", "run", turns.alias("turns"))
+
+
 def mix_documents(
     docs: DataFrame,
     key: str = "doc_id",
@@ -97,45 +119,40 @@ def mix_documents(
 
     ``size`` words, ``source_size`` and ``target`` of its source, ``start`` on the source's circle, ``run`` words the
     source gives in all (``shards`` runs of quota blocks, at most ``most`` times its words), ``taken`` words of this
-    document, repeats counted. ``keep`` names input columns to carry (default: the key).
+    document, repeats counted. ``keep`` names input columns to carry (default: the key; not one of these names).
     A null text has no words, takes none and leaves nothing out; a null source is a source, the last in order; repeated
     rows are documents of their own; an empty table gives an empty result; other columns are ignored.
     """
     kept = keep or [key]
-    rows = docs.select(
-        *[F.col(c).alias(f"k_{c}") for c in kept],
-        F.col(source).cast("string").alias("source"),
-        F.col(key).alias("_key"),
-        drawn(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_draw"),
-        count_words(F.col(text), SPACED_WORD).alias("size"),
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    quotas = apportion(source_targets(sizes, weights, share, float(most)), shards, seats, share).select(
-        F.col("source").alias("_source"), "source_size", "target",
-        F.least(most * F.col("source_size"), shards * F.col("quota") * F.col("block")).alias("run"),
-    )
-    placed = running_start(rows, ["source"], "_draw", ["_key", "size"], F.col("size"), "start")
-    mixed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")))
-    turns = [_overlap(F.col("start") + i * F.col("source_size"), F.col("size"), F.lit(0), F.col("run")) for i in range(most)]
-    return mixed.select(
-        *[F.col(f"k_{c}").alias(c) for c in kept],
-        "size", "source_size", F.col("target").cast("double").alias("target"), "start", "run",
-        sum(turns[1:], turns[0]).cast("bigint").alias("taken"),
-    )
+    placed = _placed(docs, kept, key, source, text, weights, share, most, shards, seats, seed)
+    taken = F.aggregate("turns", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return placed.select(*[F.col(f"k_{c}").alias(c) for c in kept], "size", "source_size", "target", "start", "run", taken.alias("taken"))
 
 
-def mixed_rows(docs: DataFrame, most: int = 2, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame,
+    key: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    n_chars: str = "n_chars",
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    most: int = 2,
+    shards: int = SHARDS,
+    seats: int = SEATS,
+    seed: int = SEED,
+) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is taken.
 
     Where a run's end cuts a document, only its words inside the run remain, joined by spaces.
     """
     columns = docs.columns
-    mixed = mix_documents(docs, text=text, most=most, keep=columns, **options)
-    turns = F.array(*[_overlap(F.col("start") + i * F.col("source_size"), F.col("size"), F.lit(0), F.col("run")).cast("int") for i in range(most)])
-    taken = mixed.select(*columns, F.col("size").alias("_size"), F.explode(turns).alias("_taken")).where(F.col("_taken") > 0)
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(F.col("_taken") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_taken")), " ")).otherwise(F.col(text))
-    out = taken.withColumn(text, cut)
+    placed = _placed(docs, columns, key, source, text, weights, share, most, shards, seats, seed)
+    taken = placed.withColumn("taken", F.explode("turns")).where(F.col("taken") > 0)
+    said = F.col(f"k_{text}")
+    words = F.filter(F.split(said, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(said)
+    out = taken.withColumn(f"k_{text}", cut)
     if n_chars in columns:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(*columns)
+        out = out.withColumn(f"k_{n_chars}", F.length(said).cast(docs.schema[n_chars].dataType))
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in columns])

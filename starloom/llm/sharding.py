@@ -15,6 +15,7 @@ from starloom.llm.common import drawn, running_start
 #: The multiplier of the published generator, and powers of two.
 MULTIPLIER = 2862933555777941757
 TWO_64, TWO_33, TWO_31 = 1 << 64, 1 << 33, 1 << 31
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _unsigned(key: Column) -> Column:
@@ -53,13 +54,14 @@ def jump(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """All rows with their shard, the shard they would have with one more, and a gapless slot in their shard.
 
-    ``keep`` names the input columns to carry (default: the key). Sizes are the text's UTF-8 bytes plus 1 (null:
+    ``keep`` names the input columns to carry (default: the key; a name of the result is not carried). Sizes are the text's UTF-8 bytes plus 1 (null:
     none plus 1). A null key counts as 0; repeated rows all get a slot; an empty table gives an empty result; other
     columns are ignored unless kept. Equal texts under different keys may part: the law is ``key``.
     """
+    kept = [c for c in keep or [key] if c not in RESULT]
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        *[F.col(c).alias(f"k_{c}") for c in (keep or [key])],
+        *[F.col(c).alias(f"k_{c}") for c in kept],
         F.col(key).alias("_key"),
         (F.octet_length(content) + 1).cast("bigint").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
@@ -67,6 +69,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     ).select("*", drawn(F.col("_key"), F.col("text_crc32")).alias("_draw")).select("*", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"))
     slots = running_start(rows.drop("_jump"), ["shard"], "_draw", ["_key", "size"], F.lit(1).cast("bigint"), "slot")
     return slots.select(
-        *[F.col(f"k_{c}").alias(c) for c in (keep or [key])],
+        *[F.col(f"k_{c}").alias(c) for c in kept],
         "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
     )

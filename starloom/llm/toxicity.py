@@ -273,13 +273,24 @@ def _held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """All rows as the ``keep`` columns (default: the key), ``held_out, score, predicted``.
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """All rows as the key, ``held_out, score, predicted``.
 
     Nothing but the text is an input of a score. Null and empty texts have no words and get the score of such a text; without
-    labels all scores are that of the base rate; a null id is not held out; repeated rows stay; other columns are dropped.
+    labels all scores are that of the base rate; a null id is not held out; repeated rows stay; other columns are ignored.
     """
-    kept = keep or [key]
+    scored = _scored(docs, labels, key, text, sample, [key])
+    return scored.select(F.col(f"k_{key}").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    scored = _scored(docs, labels, key, text, sample, docs.columns)
+    return scored.where(F.col("score") < threshold).select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int, kept: list[str]) -> DataFrame:
+    """All rows as ``score``, the kept columns as ``k_<name>``, and ``held_out``."""
     sc = docs.sparkSession.sparkContext
     counts = np.zeros(SYMBOLS**3, np.int64)
     for r in trigram_counts(docs, text).collect():  # SYMBOLS^3 rows at most
@@ -325,5 +336,4 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(text).cast("string").alias("_text"), *[F.col(c).alias(f"k_{c}") for c in kept], _held_out(key).alias("held_out"))
     names = ["score", *rows.columns[1:]]
     schema = ", ".join(f"`{n}` {t}" for n, t in [("score", "double"), *rows.dtypes[1:]])
-    scored = rows.mapInArrow(judge, schema)
-    return scored.select(*[F.col(f"k_{c}").alias(c) for c in kept], "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(judge, schema)
