@@ -5,109 +5,126 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions import stretch as S
+from starloom.functions.let import let, pack
 
 NAN = float("nan")
 
 
-def align_bands(pixels: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Pixels of the chosen bands side by side: z, y, x and one column per role.
+def align_tiles(tiles: DataFrame, roles: dict[str, str], carried: dict[str, Column] | None = None) -> DataFrame:
+    """Tiles of the chosen bands side by side: z, tile_x, tile_y, w, h and an array per role.
 
-    One grouped pass; partial aggregation keeps one row per pixel and role before the
-    shuffle. A pixel no band stores has no row, a pixel one band lacks has NULL there.
+    One grouped pass over tiles, no pixel exploded. A band without the tile is NaN there.
+    ``carried`` names values of a tile's row to keep: the largest of each.
     """
-    v = F.col("v")
-    picked = pixels.filter(F.col("band").isin(*set(roles.values())))
-    return picked.groupBy("z", "y", "x").agg(
-        *[F.max(F.when(F.col("band") == b, v)).alias(r) for r, b in roles.items()]
+    picked = tiles.filter(F.col("band").isin(*set(roles.values())))
+    arrays = [F.max(F.when(F.col("band") == b, F.col("pixels"))).alias(r) for r, b in roles.items()]
+    more = [F.max(c).alias(n) for n, c in (carried or {}).items()]
+    # Bands of one grid have one width; a band that ends higher up just has fewer rows in its last tiles.
+    gathered = picked.groupBy("z", "tile_x", "tile_y", "w").agg(F.max("h").alias("h"), *arrays, *more)
+    blank = F.array_repeat(F.lit(NAN).cast("float"), F.col("w") * F.col("h"))
+    return gathered.withColumns({r: F.coalesce(r, blank) for r in roles})
+
+
+def composite_pixels(composites: DataFrame, tile_size: int) -> DataFrame:
+    """z, y, x and the three channels of the pixels that have data: the last step, for display or comparison."""
+    flat = composites.select("z", "tile_x", "tile_y", "w", F.posexplode("out").alias("i", "o")).filter("o.shown")
+    return flat.select(
+        "z",
+        (F.col("tile_y") * tile_size + F.floor(F.col("i") / F.col("w"))).cast("int").alias("y"),
+        (F.col("tile_x") * tile_size + F.col("i") % F.col("w")).cast("int").alias("x"),
+        *[F.col("o." + c).alias("out_" + c) for c in "rgb"],
     )
 
 
-def align_tiles(tiles: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """As :func:`align_bands`, at tile grain: arrays of the roles on (z, tile_x, tile_y)."""
-    keys = ["z", "tile_x", "tile_y"]
-    out = None
-    for role, band in roles.items():
-        side = tiles.filter(F.col("band") == band).select(*keys, F.col("pixels").alias(role))
-        out = side if out is None else out.join(side, keys, "full")
-    return out
-
-
 def _has_data(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def _any_data(cols: list[Column]) -> Column:
-    out = _has_data(cols[0])
-    for c in cols[1:]:
-        out = out | _has_data(c)
-    return out
+def _shown(channels, shown: Column) -> Column:
+    return F.struct(*[v.cast("double").alias(c) for c, v in zip("rgb", channels, strict=True)], shown.alias("shown"))
+
+
+def _over_pixels(aligned: DataFrame, body) -> DataFrame:
+    """``out``: ARRAY of struct(r, g, b, shown), ``body`` of the three values at each pixel."""
+    out = F.transform(F.arrays_zip("r", "g", "b"), body)
+    return aligned.select("z", "tile_x", "tile_y", "w", "h", out.alias("out"))
+
+
+def _any_data(p: Column) -> Column:
+    return _has_data(p["r"]) | _has_data(p["g"]) | _has_data(p["b"])
 
 
 def rgb_composite(
     aligned: DataFrame, ranges: dict[str, tuple[Column, Column]], mode: str, saturation: float = 1.0
 ) -> DataFrame:
-    """Each channel stretched over its own range; NaN is 0; no row when all three are NaN."""
-    chans = [
-        F.when(_has_data(F.col(c)), S.scale_value(F.col(c), *ranges[c], mode)).otherwise(0.0) for c in "rgb"
-    ]
-    out = S.saturate(*chans, saturation)
-    return aligned.filter(_any_data([F.col(c) for c in "rgb"])).select(
-        "z", "y", "x", *[v.alias("out_" + c) for c, v in zip("rgb", out)]
-    )
+    """Each channel stretched over its own range; NaN is 0; not shown where all three are NaN. Tiles in, tiles out."""
+
+    def body(p: Column) -> Column:
+        chans = [F.when(_has_data(p[c]), S.scale_value(p[c], *ranges[c], mode)).otherwise(0.0) for c in "rgb"]
+        if saturation == 1.0:
+            return _shown(chans, _any_data(p))
+        return let(pack(**dict(zip("rgb", chans))), lambda q: _shown(S.saturate(q["r"], q["g"], q["b"], saturation), _any_data(p)))
+
+    return _over_pixels(aligned, body)
 
 
 def luminance_composite(
     aligned: DataFrame, black: dict[str, Column], lsat: Column, k: Column, saturation: float = 1.0
 ) -> DataFrame:
-    """Colour-preserving composite: subtract black points, stretch the mean, scale all three alike."""
-    lifted = [
-        F.when(_has_data(F.col(c)), F.greatest(F.col(c).cast("double") - black[c], F.lit(0.0))).otherwise(0.0)
-        for c in "rgb"
-    ]
-    staged = aligned.filter(_any_data([F.col(c) for c in "rgb"])).select(
-        "*", *[v.alias("_" + c) for c, v in zip("rgb", lifted)]
-    )
-    lum = (F.col("_r") + F.col("_g") + F.col("_b")) / 3
-    scale = F.when(lum > 0, S.trilogy_curve(S.clamp01(lum / lsat), k) / lum).otherwise(0.0)
-    scaled = staged.withColumn("_scale", scale)
-    chans = S.saturate(*[S.clamp01(F.col("_" + c) * F.col("_scale")) for c in "rgb"], saturation)
-    return scaled.select("z", "y", "x", *[v.alias("out_" + c) for c, v in zip("rgb", chans)])
+    """Colour-preserving composite: subtract black points, stretch the mean, scale all three alike. Tiles in, tiles out."""
+
+    def body(p: Column) -> Column:
+        lifted = {c: F.when(_has_data(p[c]), F.greatest(p[c].cast("double") - black[c], F.lit(0.0))).otherwise(0.0) for c in "rgb"}
+
+        def scaled(q: Column) -> Column:
+            lum = (q["r"] + q["g"] + q["b"]) / 3
+            scale = F.when(lum > 0, S.trilogy_curve(S.clamp01(lum / lsat), k) / lum).otherwise(0.0)
+            return let(scale, lambda s: _shown(S.saturate(*[S.clamp01(q[c] * s) for c in "rgb"], saturation), _any_data(p)))
 
+        return let(pack(**lifted), scaled)
 
-def weighted_composite(pixels: DataFrame, weighted: DataFrame, saturation: float = 1.0) -> DataFrame:
-    """Weighted mean of trilogy-stretched bands per channel.
+    return _over_pixels(aligned, body)
 
-    ``weighted``: band, x0, x2, k, wr, wg, wb (at most 12 rows). A NaN band adds nothing
-    but its weight stays in the divisor; a channel without weight is 0; a pixel where
-    every stored band is NaN has no row.
+
+def weighted_composite(tiles: DataFrame, weighted: DataFrame, saturation: float = 1.0) -> DataFrame:
+    """Weighted mean of trilogy-stretched bands per channel. Tiles in, tiles out.
+
+    ``weighted``: band, x0, x2, k, wr, wg, wb, one row for each band of the view, however many. A NaN band adds nothing
+    but its weight stays in the divisor; a channel without weight is 0; a pixel where every stored band is NaN is not
+    shown. A tile gathers one array per band.
     """
-    weighted = weighted.limit(S.MAX_BANDS)
-    total = weighted.agg(*[F.sum(c).alias("_t" + c) for c in ("wr", "wg", "wb")])
-    # At most MAX_BANDS rows, and one row of totals.
-    joined = pixels.join(F.broadcast(weighted), "band").filter(~F.isnan("v"))
-    s = S.scale_value(F.col("v"), F.col("x0"), F.col("x2"), "trilogy", F.col("k"))
-    summed = (
-        joined.withColumn("_s", s)
-        .groupBy("z", "y", "x")
-        .agg(*[F.sum(F.col(c) * F.col("_s")).alias("_" + c) for c in ("wr", "wg", "wb")])
-        .join(F.broadcast(total))
+    whole = Window.partitionBy()  # a row per band of one view
+    named = weighted.withColumns({"_t" + c: F.sum(c).over(whole) for c in ("wr", "wg", "wb")})
+    knobs = ["x0", "x2", "k", "wr", "wg", "wb", "_twr", "_twg", "_twb"]
+    joined = tiles.join(named, "band").groupBy("z", "tile_x", "tile_y", "w").agg(
+        F.max("h").alias("h"), F.array_sort(F.collect_list(F.struct("band", *knobs, "pixels"))).alias("bands")
     )
-    chans = [
-        F.when(F.col("_t" + c) > 0, S.clamp01(F.col("_" + c) / F.col("_t" + c))).otherwise(0.0)
-        for c in ("wr", "wg", "wb")
-    ]
-    out = S.saturate(*chans, saturation)
-    return summed.select("z", "y", "x", *[v.alias("out_" + c) for c, v in zip("rgb", out)])
+    none = F.struct(*[F.lit(0.0).alias(c) for c in "rgb"], F.lit(False).alias("shown"))
+
+    def added(acc: Column, b: Column) -> Column:
+        def one(a: Column, v: Column) -> Column:
+            s = S.scale_value(v, b["x0"], b["x2"], "trilogy", b["k"])
+            more = let(s, lambda x: F.struct(*[(a[c] + b["w" + c] * x).alias(c) for c in "rgb"], F.lit(True).alias("shown")))
+            return F.when(_has_data(v), more).otherwise(a)
+
+        return F.zip_with(acc, b["pixels"], one)
+
+    sums = F.aggregate("bands", F.array_repeat(none, F.col("w") * F.col("h")), added)
+    total = {c: F.col("bands")[0]["_tw" + c] for c in "rgb"}
+
+    def finished(a: Column) -> Column:
+        chans = [F.when(total[c] > 0, S.clamp01(a[c] / total[c])).otherwise(0.0) for c in "rgb"]
+        return _shown(S.saturate(*chans, saturation), a["shown"])
+
+    return joined.select("z", "tile_x", "tile_y", "w", "h", F.transform(sums, finished).alias("out"))
 
 
 def colour_mapped(pixels: DataFrame, lut: DataFrame, scaled: Column, size: int = 256) -> DataFrame:
-    """Pixels through a lookup table (``i, r, g, b``, ``size`` rows); NaN pixels have no row."""
-    return (
-        pixels.filter(~F.isnan("v"))
-        .withColumn("i", S.lut_index(scaled, size))
-        .join(F.broadcast(lut.limit(size)), "i")
-        .drop("i")
-    )
+    """Pixels through a lookup table (``i, r, g, b``, ``size`` rows); NaN pixels have no row.
+
+    A value whose row the table lacks keeps its pixel, without a colour.
+    """
+    return pixels.filter(~F.isnan("v")).withColumn("i", S.lut_index(scaled, size)).join(lut, "i", "left").drop("i")
 
 
 def gray_lut(spark, size: int = 256) -> DataFrame:
@@ -142,29 +159,11 @@ def merge_weights(entries: DataFrame) -> DataFrame:
     )
 
 
-def unit_weights(views: DataFrame) -> DataFrame:
-    """Default weights of views (view, r, g, b): one pure channel per role."""
-    return views.select(
-        "view",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("ord"), F.col(c).alias("band"),
-                        *[F.lit(1.0 if j == i else 0.0).alias(w) for j, w in enumerate(("wr", "wg", "wb"))],
-                    )
-                    for i, c in enumerate("rgb")
-                ]
-            )
-        ).alias("e"),
-    ).select("view", "e.*")
-
-
-def rainbow_weights(bands: DataFrame) -> DataFrame:
+def rainbow_weights(bands: DataFrame, most: int | None = S.MAX_BANDS) -> DataFrame:
     """Hue-spread weights of each group's bands, bluest 240 to reddest 0 degrees.
 
     ``bands``: grp, band, pivot_um, ord. Bands without wavelength come last in their given
-    order; more than 12 are thinned evenly, both ends kept. Rank and size of a group are
+    order; more than ``most`` (the rule's 12; none: all stay) are thinned evenly, both ends kept. Rank and size of a group are
     worked out by range, so one large group is no single task's burden.
     """
     from starloom.operators.ordering import with_row_number
@@ -173,7 +172,7 @@ def rainbow_weights(bands: DataFrame) -> DataFrame:
     ranked = with_row_number(keyed, ["_none", "pivot_um", "ord"], "i", ["grp"])
     sizes = ranked.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     m = F.col("m")
-    slots = sizes.withColumn("m", F.least(F.lit(S.MAX_BANDS), F.col("n")).cast("int")).select(
+    slots = sizes.withColumn("m", (F.col("n") if most is None else F.least(F.lit(most), F.col("n"))).cast("int")).select(
         "grp", "n", "m", F.explode(F.sequence(F.lit(0), m - 1)).alias("slot")
     )
     place = F.when(m > 1, F.floor(F.col("slot") * (F.col("n") - 1) / (m - 1) + 0.5)).otherwise(F.lit(0))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from starloom.functions import grid
 
@@ -115,40 +119,81 @@ def exposure_tiles(placed: DataFrame, tile_size: int = grid.TILE_SIZE) -> DataFr
     )
 
 
-def resolve_overlaps(strips: DataFrame, placed: DataFrame) -> DataFrame:
-    """One value per covered frame pixel: that of the exposure whose centre is nearest.
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of one image row of one tile, laid over each other: each pixel from the exposure whose centre is nearest."""
+    for batch in batches:
+        values, ords = [], []
+        for x0, width, runs in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True):
+            near = np.full(width, np.iinfo(np.int64).max)
+            v = np.full(width, np.nan, np.float32)
+            o = np.full(width, -1, np.int64)
+            for run in sorted(runs, key=lambda r: r["ord"]):
+                at = run["x"] - x0
+                line = np.array(run["values"], np.float32)
+                # Four times the squared distance: whole numbers, as offsets are whole pixels.
+                far = (2 * (run["col"] + np.arange(len(line), dtype=np.int64)) - (run["nx"] - 1)) ** 2 + run["dy2"]
+                span = slice(at, at + len(line))
+                won = far < near[span]
+                near[span] = np.where(won, far, near[span])
+                v[span] = np.where(won, line, v[span])
+                o[span] = np.where(won, run["ord"], o[span])
+            values.append(v)
+            ords.append(o)
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(i) for i in range(6)], pa.array(values, pa.list_(pa.float32())), pa.array(ords, pa.list_(pa.int64()))],
+            ["band", "tile_y", "tile_x", "y", "x0", "w", "values", "ords"],
+        )
+
 
-    ``strips``: band, exposure, row, values (one image row each). The earlier exposure
-    wins ties, and a NaN of the winner stays NaN. Offsets are whole pixels, so four
-    times the squared distance is a whole number; packed with the input order into one
-    64-bit key it lets min_by run as a hash aggregate with partial results, whatever
-    the depth of the stack.
+def resolve_runs(strips: DataFrame, placed: DataFrame, tile_size: int = grid.TILE_SIZE) -> DataFrame:
+    """Covered rows of frame tiles: band, tile_y, tile_x, y, x0, w, values, ords (-1: nothing placed there).
+
+    ``strips``: band, exposure, row, values (one image row each). Each pixel has the value of the exposure whose centre
+    is nearest; the earlier exposure wins ties, and a NaN of the winner stays NaN. Strips are cut at tile borders and
+    meet by row of a tile: a group holds one run for each exposure of the stack there.
     """
-    pixels = (
-        strips.join(placed.select("band", "exposure", "ord", "ox", "oy", "nx", "ny"), ["band", "exposure"])
-        .select("band", "ord", "ox", "oy", "nx", "ny", "row", F.posexplode("values").alias("col", "v"))
+    on_frame = strips.join(placed.select("band", "exposure", "ord", "ox", "oy", "nx", "ny", F.col("w").alias("frame_w")), ["band", "exposure"])
+    first, last = F.floor(F.col("ox") / tile_size), F.floor((F.col("ox") + F.size("values") - 1) / tile_size)
+    cut = on_frame.filter(F.size("values") > 0).select(
+        "band", "ord", "ox", "nx", "frame_w", "values", (F.col("oy") + F.col("row")).cast("int").alias("y"),
+        F.pow(2 * F.col("row").cast("bigint") - (F.col("ny") - 1), 2).cast("bigint").alias("dy2"),
+        F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("tile_x"),
+    )
+    col = F.greatest(F.lit(0), F.col("tile_x") * tile_size - F.col("ox"))
+    length = F.least(F.size("values"), (F.col("tile_x") + 1) * tile_size - F.col("ox")) - col
+    runs = cut.select(
+        "band", F.floor(F.col("y") / tile_size).cast("int").alias("tile_y"), "tile_x", "y", "frame_w",
+        F.struct(
+            "ord", (F.col("ox") + col).alias("x"), col.alias("col"), F.col("nx").cast("int").alias("nx"), "dy2",
+            F.slice("values", (col + 1).cast("int"), length.cast("int")).alias("values"),
+        ).alias("run"),
     )
-    dx = F.col("col").cast("long") * 2 - (F.col("nx") - 1)
-    dy = F.col("row").cast("long") * 2 - (F.col("ny") - 1)
-    # 26 bits of order leave 37 bits of distance: frames up to 180 000 pixels a side.
-    key = F.shiftleft(dx * dx + dy * dy, 26) + F.col("ord")
-    return pixels.groupBy(
-        "band", (F.col("oy") + F.col("row")).cast("int").alias("y"), (F.col("ox") + F.col("col")).cast("int").alias("x")
-    ).agg(F.min_by("v", key).alias("v"), (F.min(key).bitwiseAND(F.lit((1 << 26) - 1))).alias("ord"))
-
-
-def padded_rows(resolved: DataFrame, frame: DataFrame) -> DataFrame:
-    """Full image rows of each band's frame, NaN where nothing was placed: input of tiles_from_rows."""
-    covered = resolved.groupBy("band", "y").agg(
-        F.map_from_entries(F.collect_list(F.struct("x", "v"))).alias("_m")
+    gathered = runs.groupBy("band", "tile_y", "tile_x", "y", "frame_w").agg(F.collect_list("run").alias("runs")).select(
+        "band", "tile_y", "tile_x", "y", (F.col("tile_x") * tile_size).alias("x0"), grid.tile_extent(F.col("frame_w"), F.col("tile_x"), tile_size).cast("int").alias("w"), "runs"
+    )
+    return gathered.mapInArrow(_nearest, "band string, tile_y int, tile_x int, y int, x0 int, w int, values array<float>, ords array<bigint>")
+
+
+def resolve_overlaps(strips: DataFrame, placed: DataFrame, tile_size: int = grid.TILE_SIZE) -> DataFrame:
+    """One row per covered frame pixel: band, y, x, v, ord of the exposure it is from."""
+    runs = resolve_runs(strips, placed, tile_size)
+    flat = runs.select("band", "y", "x0", F.posexplode(F.arrays_zip("values", "ords")).alias("i", "p")).filter("p.ords >= 0")
+    return flat.select("band", "y", (F.col("x0") + F.col("i")).cast("int").alias("x"), F.col("p.values").alias("v"), F.col("p.ords").alias("ord"))
+
+
+def mosaic_tiles(runs: DataFrame, frame: DataFrame, tile_size: int = grid.TILE_SIZE) -> DataFrame:
+    """All tiles of each band's frame from :func:`resolve_runs`, NaN where nothing was placed. A tile gathers ``tile_size`` rows at most."""
+    gathered = runs.groupBy("band", "tile_y", "tile_x").agg(F.map_from_entries(F.collect_list(F.struct("y", "values"))).alias("_rows"))
+    tall = F.sequence(F.lit(0), grid.tile_count(F.col("h"), tile_size) - 1)
+    wide = F.sequence(F.lit(0), grid.tile_count(F.col("w"), tile_size) - 1)
+    every = frame.select("band", F.col("h").alias("img_h"), F.col("w").alias("img_w"), F.explode(tall).alias("tile_y"), wide.alias("_wide")).select("*", F.explode("_wide").alias("tile_x"))
+    sized = every.withColumn("w", grid.tile_extent(F.col("img_w"), F.col("tile_x"), tile_size).cast("int")).withColumn(
+        "h", grid.tile_extent(F.col("img_h"), F.col("tile_y"), tile_size).cast("int")
     )
-    rows = frame.select("band", F.col("h").alias("img_h"), F.col("w").alias("img_w"), F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    nan = F.lit(float("nan")).cast("float")
-    return rows.join(covered, ["band", "y"], "left").select(
-        "band", "img_h", "img_w", "y",
-        F.transform(
-            F.sequence(F.lit(0), F.col("img_w") - 1), lambda x: F.coalesce(F.element_at("_m", x), nan)
-        ).alias("values"),
+    blank = F.array_repeat(F.lit(float("nan")).cast("float"), F.col("w"))
+    lines = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.coalesce(F.try_element_at("_rows", F.col("tile_y") * tile_size + i), blank))
+    return sized.join(gathered, ["band", "tile_y", "tile_x"], "left").select(
+        "band", F.lit(0).alias("z"), "tile_x", "tile_y", "w", "h", "img_h", "img_w", F.flatten(lines).alias("pixels")
     )
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starloom.functions.let import let
 from starloom.session import materialise
 
 _PID, _ROW, _OFF = "_pid", "_row", "_off"
@@ -110,64 +111,83 @@ def coalesce_ranges(df: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFra
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins: int = 1024, passes: int = 2
-) -> DataFrame:
-    """Linear-interpolated quantiles of finite ``value`` per key, exact at any group size.
+#: Values of one key that a window may rank at once; larger brackets are narrowed by digits first.
+RANKED_AT_ONCE = 1 << 16
+
+
+def ordered_code(v: Column) -> Column:
+    """A 64-bit integer in the order of a finite double, one to one: sign, exponent, 52 bits of mantissa."""
+
+    def coded(a: Column) -> Column:
+        guess = F.greatest(F.floor(F.log2(a)).cast("int"), F.lit(-1074))
+        part = a / F.pow(F.lit(2.0), guess)
+        # The logarithm may miss a power of two by one.
+        e = F.when(part >= 2.0, guess + 1).when((part < 1.0) & (guess > -1074), guess - 1).otherwise(guess)
+        return F.when(a == 0.0, F.lit(0).cast("bigint")).otherwise(
+            let(e, lambda x: F.call_function("shiftleft", (x + 1075).cast("bigint"), F.lit(52)) + ((a / F.pow(F.lit(2.0), x) - 1.0) * float(1 << 52)).cast("bigint"))
+        )
+
+    return let(F.abs(v), coded) * F.when(v < 0, -1).otherwise(1)
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Column, bound: int = RANKED_AT_ONCE) -> DataFrame:
+    """Per key: ``n`` finite values and ``at`` (MAP rank -> value) for ``ranks``, an array computed from ``n``.
 
-    Each pass counts values in ``bins`` equal cells between the known minimum and
-    maximum of the cell that holds the wanted rank, with map-side partial counts, so
-    a group holding most of the rows still shuffles at most ``bins`` rows per task.
-    The rank is then read off the distinct values left in that cell. One row per key:
-    ``n`` and ``q`` (array in the order of ``probs``).
+    A bracket of more than ``bound`` values is narrowed by the next 16 bits of :func:`ordered_code`, counted with partial
+    aggregates: at most 65 536 rows per bracket and task, four times at most, whatever the distribution. What is left
+    is ranked by its distinct values. Brackets are checkpointed, so each pass is one scan of ``df``. A key without
+    finite values has ``n`` = 0 and an empty map.
     """
     keys = list(keys)
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf"))
+    v = F.col(value).cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    whole = materialise(
+        df.groupBy(*keys).agg(F.count(F.when(finite, 1)).alias("n"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"))
     )
-    whole = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    places = [F.lit(p) * (F.col("n") - 1) for p in probs]
-    ranks = F.array_distinct(
-        F.concat(F.array(*[F.floor(p) for p in places]), F.array(*[F.ceil(p) for p in places]))
-    )
-    cell = F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)),
-    ).otherwise(F.lit(0))
-
-    def cumulative(counted: DataFrame, by: list[str]) -> DataFrame:
-        # At most ``bins`` rows per partition of this window.
-        upto = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-        return counted.withColumn("_skip", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-
-    def pick(cum: DataFrame, rank: Column) -> DataFrame:
-        return cum.filter((rank >= F.col("_skip")) & (rank < F.col("_skip") + F.col("_c")))
-
-    counts = [F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi")]
-    first = base.join(whole.select(*keys, "_lo", "_hi"), keys).withColumn("_cell", cell)
-    cum = cumulative(first.groupBy(*keys, "_cell").agg(*counts), keys)
-    cum = cum.join(whole.select(*keys, F.explode(ranks).alias("_rank")), keys)
-    brackets = pick(cum, F.col("_rank")).select(
-        *keys, "_rank", (F.col("_rank") - F.col("_skip")).alias("_at"), F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi")
-    )
-    by = [*keys, "_rank"]
-    for _ in range(passes - 1):
-        inner = base.join(brackets, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        cum = cumulative(inner.withColumn("_cell", cell).groupBy(*by, "_at", "_cell").agg(*counts), by)
-        brackets = pick(cum, F.col("_at")).select(
-            *by, (F.col("_at") - F.col("_skip")).alias("_at"), F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi")
+    base = df.filter(finite).select(*keys, (v + 0.0).alias("_v"))
+    brackets = whole.filter("n > 0").select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("held"), F.array_distinct(ranks.cast("array<bigint>")).alias("ranks"))
+    on = [*keys, "lo", "hi", "below", "ranks"]
+    upto = Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+
+    def inside(wanted: DataFrame) -> DataFrame:
+        renamed = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "lo", "hi", "below", "ranks")
+        same = F.col("_v").between(F.col("lo"), F.col("hi"))
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return base.join(renamed, same)
+
+    def counted(rows: DataFrame, cell: Column) -> DataFrame:
+        cells = rows.groupBy(*on, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        cells = cells.withColumn("_below", F.col("below") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        return cells.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))).filter(F.size("ranks") > 0)
+
+    wide = (F.col("held") > bound) & (F.col("lo") < F.col("hi"))
+    for shift in (48, 32, 16, 0):
+        large = brackets.filter(wide)
+        if large.isEmpty():
+            break
+        digit = F.shiftright(ordered_code(F.col("_v")), shift)
+        narrowed = counted(inside(large), digit).select(
+            *keys, F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_below").alias("below"), F.col("_c").alias("held"), "ranks"
         )
-    inner = base.join(brackets, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counted = inner.groupBy(*by, "_at", F.col("_v").alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
-    found = pick(cumulative(counted, by), F.col("_at")).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_cell"))).alias("_at_rank")
-    )
+        brackets = materialise(brackets.filter(~wide).unionByName(narrowed))
+    found = counted(inside(brackets), F.col("_v")).select(*keys, F.explode("ranks").alias("_rank"), F.col("_cell").alias("_value"))
+    maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("at"))
+    return whole.join(maps, keys, "left").select(*keys, "n", F.coalesce("at", F.create_map().cast("map<bigint,double>")).alias("at"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bound: int = RANKED_AT_ONCE, empty: bool = False) -> DataFrame:
+    """Linear-interpolated quantiles of finite ``value`` per key, exact at any group size.
+
+    One row per key with a finite value (with ``empty``, per key): ``n`` and ``q``, an array in the order of ``probs``.
+    """
+    place = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    ranks = F.array(*[f(p) for p in place for f in (F.floor, F.ceil)])
+    found = ranked_values(df, keys, value, ranks, bound)
 
-    def interpolated(p: float) -> Column:
-        place = F.lit(p) * (F.col("n") - 1)
-        lo, hi = (F.element_at("_at_rank", f(place)) for f in (F.floor, F.ceil))
-        return lo + (hi - lo) * (place - F.floor(place))
+    def interpolated(p: Column) -> Column:
+        lo, hi = (F.try_element_at("at", f(p).cast("bigint")) for f in (F.floor, F.ceil))
+        return lo + (hi - lo) * (p - F.floor(p))
 
-    return whole.join(found, keys).select(*keys, "n", F.array(*[interpolated(p) for p in probs]).alias("q"))
+    kept = found if empty else found.filter("n > 0")
+    return kept.select(*keys, "n", F.array(*[interpolated(p) for p in place]).alias("q"))

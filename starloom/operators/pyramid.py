@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from starloom import kernels
 from starloom.functions import grid
 from starloom.functions.nan import finite_count, finite_sum, is_finite, mean_or_nan
+from starloom.operators.stats import quantisation_tolerance
 from starloom.operators.tiles import TILE_COLUMNS
 from starloom.session import materialise
 
@@ -171,7 +172,7 @@ def compare_tiles(original: DataFrame, stored: DataFrame, tolerance: DataFrame)
     """Round-trip verdict per band and level.
 
     The NaN masks must be the same and the largest difference within ``tolerance``
-    (band, z, atol). A tile on one side only fails its level.
+    (band, z, atol; a level without one gets that of noise 0). A tile on one side only fails its level.
     """
     keys = ["band", "z", "tile_x", "tile_y"]
     both = original.select(*keys, F.col("pixels").alias("_a")).join(
@@ -197,6 +198,7 @@ def compare_tiles(original: DataFrame, stored: DataFrame, tolerance: DataFrame)
             F.coalesce(F.max("_e"), F.lit(0.0)).alias("max_err"),
             F.count(F.lit(1)).alias("n_tiles"),
         )
-        .join(tolerance, ["band", "z"])
+        .join(tolerance, ["band", "z"], "left")
+        .withColumn("atol", F.coalesce("atol", quantisation_tolerance(F.lit(0.0))))
         .withColumn("ok", F.col("mask_ok") & (F.col("max_err") <= F.col("atol")))
     )

@@ -1,8 +1,7 @@
 """Band statistics: histogram, noise, bright tail, display cuts, views.
 
-Two kinds of group sizes occur. Where the definition itself bounds the sample (the
-representative level, the quota sample, the view cap) Spark's ``percentile`` is used;
-where it does not, :func:`starloom.operators.ordering.exact_quantiles` is.
+Every statistic is over all finite values; a ``cap`` that thins them is a parameter whose
+default is none. Ranks come from :func:`starloom.operators.ordering.ranked_values`, at any size.
 """
 
 from __future__ import annotations
@@ -13,14 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from starloom import kernels
 from starloom.functions import grid
 from starloom.functions.nan import is_finite
-from starloom.operators.ordering import exact_quantiles
+from starloom.operators.ordering import exact_quantiles, ranked_values, with_running_sum
 from starloom.operators.tiles import runs_from_tiles
+from starloom.session import materialise
 
-# Sample caps, histogram bins and domain, scale from MAD to sigma.
-PIXEL_CAP = 2_000_000
-TRILOGY_CAP = 4_000_000
-VIEW_CAP = 131_072
-ROUNDTRIP_SAMPLE = 1_000_000
+# Histogram bins and domain, scale from MAD to sigma.
 BINS = 128
 DOMAIN = (0.001, 0.999)
 MAD_SIGMA = 1.4826
@@ -28,9 +24,9 @@ NOISE_FLOOR = 1e-6
 TAIL = (0.5, 0.99, 0.999, 0.9999, 0.99999)
 
 
-def representative_level(levels: DataFrame, cap: int = PIXEL_CAP) -> DataFrame:
-    """Per band: the finest level of at most ``cap`` pixels, else the coarsest."""
-    fits = F.col("h").cast("long") * F.col("w") <= cap
+def representative_level(levels: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per band: the finest level of at most ``cap`` pixels, else the coarsest; without a cap the native level."""
+    fits = F.lit(True) if cap is None else F.col("h").cast("long") * F.col("w") <= cap
     return levels.groupBy("band").agg(F.coalesce(F.min(F.when(fits, F.col("z"))), F.max("z")).alias("z"))
 
 
@@ -47,22 +43,16 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int = BINS) -> Column:
 def band_histogram(tiles: DataFrame, bins: int = BINS) -> DataFrame:
     """band, lo, hi, bin, n over the robust domain of a band's representative tiles.
 
-    Expects at most PIXEL_CAP pixels per band (see :func:`representative_level`). Bands
-    with no spread have no rows; empty bins have n = 0.
+    Bands with no spread have no rows; empty bins have n = 0.
     """
     values = finite_values(tiles)
     v = F.col("v").cast("double")
-    domain = values.groupBy("band").agg(
-        F.percentile(v, F.array(*[F.lit(p) for p in DOMAIN])).alias("_p"),
-        F.min(v).alias("_min"),
-        F.max(v).alias("_max"),
+    domain = exact_quantiles(values, ["band"], "v", [*DOMAIN, 0.0, 1.0])
+    q = F.col("q")
+    flat = ~(q[1] > q[0])
+    domain = materialise(
+        domain.select("band", F.when(flat, q[2]).otherwise(q[0]).alias("lo"), F.when(flat, q[3]).otherwise(q[1]).alias("hi")).filter("hi > lo")
     )
-    flat = ~(F.col("_p")[1] > F.col("_p")[0])
-    domain = domain.select(
-        "band",
-        F.when(flat, F.col("_min")).otherwise(F.col("_p")[0]).alias("lo"),
-        F.when(flat, F.col("_max")).otherwise(F.col("_p")[1]).alias("hi"),
-    ).filter("hi > lo")
     counts = (
         values.join(domain, "band")
         .filter((v >= F.col("lo")) & (v <= F.col("hi")))
@@ -74,12 +64,15 @@ def band_histogram(tiles: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def noise(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust sigma (1.4826 MAD) and quantisation tolerance per key, any group size."""
-    middle = exact_quantiles(values, keys, "v", [0.5]).select(*keys, "n", F.col("q")[0].alias("median"))
+    """Robust sigma (1.4826 MAD) and quantisation tolerance per key, any group size.
+
+    A key without finite values has a row too: n 0, sigma 0, the least tolerance.
+    """
+    middle = materialise(exact_quantiles(values, keys, "v", [0.5], empty=True).select(*keys, "n", F.col("q")[0].alias("median")))
     spread = values.join(middle, keys).withColumn("_d", F.abs(F.col("v") - F.col("median")))
-    mad = exact_quantiles(spread, keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("_mad"))
-    return middle.join(mad, keys).select(
-        *keys, "n", "median", (F.col("_mad") * MAD_SIGMA).alias("sigma")
+    mad = exact_quantiles(spread, keys, "_d", [0.5], empty=True).select(*keys, F.col("q")[0].alias("_mad"))
+    return middle.join(mad, keys, "left").select(
+        *keys, "n", "median", F.coalesce(F.col("_mad") * MAD_SIGMA, F.lit(0.0)).alias("sigma")
     ).withColumn("atol", quantisation_tolerance(F.col("sigma")))
 
 
@@ -88,14 +81,17 @@ def quantisation_tolerance(sigma: Column) -> Column:
 
 
 def quota_sample(
-    native: DataFrame, tile_size: int, blocks: int = grid.SUPERTILE_BLOCKS, cap: int = TRILOGY_CAP
+    native: DataFrame, tile_size: int, blocks: int = grid.SUPERTILE_BLOCKS, cap: int | None = None
 ) -> DataFrame:
-    """About ``cap`` finite native values per band, the same number from every supertile.
+    """About ``cap`` finite native values per band, the same number from every supertile; all without a cap.
 
     Every (n div quota)-th finite value of a supertile in row-major order. Positions come
     from a running count over image-row runs (256 pixels each), never over pixels.
     """
     keys = ["band", "tx0", "ty0"]
+    if cap is None:
+        origin = [grid.supertile_origin(F.col(c), blocks).alias(n) for c, n in (("tile_x", "tx0"), ("tile_y", "ty0"))]
+        return native.select("band", *origin, F.explode(F.filter("pixels", lambda v: is_finite(v))).alias("v"))
     runs = runs_from_tiles(native, tile_size).select(
         "band",
         grid.supertile_origin(F.col("tile_x"), blocks).alias("tx0"),
@@ -132,13 +128,11 @@ def quota_sample(
 
 def trilogy_stats(sample: DataFrame) -> DataFrame:
     """Sky level, noise and bright tail per band; no row for a band without spread."""
-    v = F.col("v").cast("double")
-    tail = sample.groupBy("band").agg(F.percentile(v, F.array(*[F.lit(p) for p in TAIL])).alias("_p"))
-    dev = sample.join(tail, "band").groupBy("band", "_p").agg(
-        F.percentile(F.abs(v - F.col("_p")[0]), F.lit(0.5)).alias("_mad")
-    )
+    tail = materialise(exact_quantiles(sample, ["band"], "v", TAIL).select("band", F.col("q").alias("_p")))
+    spread = sample.join(tail, "band").select("band", F.abs(F.col("v").cast("double") - F.col("_p")[0]).alias("_d"))
+    mad = exact_quantiles(spread, ["band"], "_d", [0.5]).select("band", F.col("q")[0].alias("_mad"))
     names = ("mean", "p99", "p99_9", "p99_99", "p99_999")
-    return dev.select(
+    return tail.join(mad, "band").select(
         "band",
         *[F.col("_p")[i].alias(n) for i, n in enumerate(names)],
         (F.col("_mad") * MAD_SIGMA).alias("sigma"),
@@ -148,8 +142,8 @@ def trilogy_stats(sample: DataFrame) -> DataFrame:
 def zscale(tiles: DataFrame, tile_size: int, blocks: int = grid.SUPERTILE_BLOCKS) -> DataFrame:
     """Display cuts z1, z2 per band from a strided sample of at most 1000 finite values.
 
-    Expects a band's representative level (at most PIXEL_CAP pixels); the order is that of
-    supertiles row-major, then pixels row-major inside each.
+    The sample is the definition's own. Its order is that of supertiles row-major, then pixels row-major inside
+    each; positions come from a running count over image-row runs, dealt by range, so a band of any size will do.
     """
     runs = runs_from_tiles(tiles, tile_size).select(
         "band",
@@ -159,11 +153,9 @@ def zscale(tiles: DataFrame, tile_size: int, blocks: int = grid.SUPERTILE_BLOCKS
         "tile_x",
         F.filter("values", lambda v: is_finite(v)).alias("vals"),
     )
-    order = Window.partitionBy("band").orderBy("ty0", "tx0", "y", "tile_x")
-    # Bounded: PIXEL_CAP / tile_size runs per band.
-    placed = runs.withColumn(
-        "_at", F.coalesce(F.sum(F.size("vals")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn("_n", F.sum(F.size("vals")).over(Window.partitionBy("band")))
+    sized = runs.withColumn("_size", F.size("vals"))
+    totals = sized.groupBy("band").agg(F.sum("_size").alias("_n"))
+    placed = with_running_sum(sized, ["band"], ["ty0", "tx0", "y", "tile_x"], "_size", "_at").join(totals, "band")
     stride = F.greatest(F.lit(1), F.floor(F.col("_n") / kernels.Z_SAMPLES)).cast("long")
     sample = placed.withColumn("_s", stride).select(
         "band",
@@ -184,8 +176,8 @@ def zscale(tiles: DataFrame, tile_size: int, blocks: int = grid.SUPERTILE_BLOCKS
     return sample.groupBy("band").applyInPandas(fit, "band string, z1 double, z2 double")
 
 
-def view_values(windows: DataFrame, tiles: DataFrame, keys: list[str], cap: int = VIEW_CAP) -> DataFrame:
-    """Finite values of the tiles of each view, thinned to ``cap`` by a fixed stride.
+def view_values(windows: DataFrame, tiles: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
+    """Finite values of the tiles of each view; with a ``cap``, thinned to it by a fixed stride.
 
     ``windows``: keys, band, z, tile_x, tile_y, one row per tile of a view. The stride
     counts every pixel, finite or not, over the tiles in row-major order; so it is worked
@@ -198,7 +190,7 @@ def view_values(windows: DataFrame, tiles: DataFrame, keys: list[str], cap: int
     placed = sized.withColumn("_at", F.coalesce(F.sum(size).over(order), F.lit(0))).withColumn(
         "_all", F.sum(size).over(Window.partitionBy(*by))
     )
-    stride = F.when(F.col("_all") > cap, F.ceil(F.col("_all") / cap)).otherwise(F.lit(1)).cast("long")
+    stride = (F.lit(1) if cap is None else F.when(F.col("_all") > cap, F.ceil(F.col("_all") / cap)).otherwise(F.lit(1))).cast("long")
     pixels = placed.withColumn("_s", stride).drop("w", "h").join(
         tiles.select("band", "z", "tile_x", "tile_y", "pixels"), ["band", "z", "tile_x", "tile_y"]
     )
@@ -209,25 +201,11 @@ def view_values(windows: DataFrame, tiles: DataFrame, keys: list[str], cap: int
 
 
 def nearest_rank_range(values: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
-    """Nearest-rank percentile pair per key; no row when the range collapses.
-
-    Equal values are counted first, so a key ranks at most VIEW_CAP distinct values.
-    """
-    counted = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy("v")
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy(*keys))
-    )
-
-    def at(p: float) -> Column:
-        rank = F.floor(F.lit(p) * (F.col("_n") - 1) + 0.5)
-        return F.min(F.when(F.col("_end") > rank, F.col("v"))).cast("double")
-
-    return (
-        ranked.groupBy(*keys)
-        .agg(at(lo).alias("lo"), at(hi).alias("hi"), F.max("_n").alias("n"))
-        .filter("hi > lo")
-    )
+    """Nearest-rank percentile pair per key; no row when the range collapses."""
+    rank = [F.floor(F.lit(p) * (F.col("n") - 1) + 0.5) for p in (lo, hi)]
+    found = ranked_values(values, keys, "v", F.array(*rank))
+    at = [F.try_element_at("at", x.cast("bigint")).alias(name) for x, name in zip(rank, ("lo", "hi"), strict=True)]
+    return found.select(*keys, *at, "n").filter("hi > lo")
 
 
 def view_histogram(values: DataFrame, domain: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:

@@ -56,7 +56,7 @@ def test_exact_quantiles_on_awkward_values(spark):
     pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])
     pdf = pd.concat([pdf, pd.DataFrame({"g": ["normal"] * 3, "v": [np.nan, np.inf, -np.inf]})])
     probs = [0.0, 0.001, 0.25, 0.5, 0.99999, 1.0]
-    got = {r.g: (r.n, r.q) for r in O.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, bins=64).collect()}
+    got = {r.g: (r.n, r.q) for r in O.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", probs, bound=64).collect()}
     for g, v in groups.items():
         assert got[g][0] == len(v)
         np.testing.assert_allclose(got[g][1], np.percentile(v, [100 * p for p in probs]), rtol=1e-12, atol=1e-15)
