@@ -33,7 +33,7 @@ def is_value_card(card: Column) -> Column:
     return (card_keyword(card) != "") & (F.substring(card, 9, 2) == "= ")
 
 
-def _quoted(raw: Column) -> Column:
+def is_quoted(raw: Column) -> Column:
     return raw.rlike(r"^[^/]*'")
 
 
@@ -41,14 +41,14 @@ def card_value(raw: Column) -> Column:
     """Value in the text after ``= ``: quoted text with doubled quotes undone and trailing
     blanks dropped, else the word before the slash."""
     inner = F.regexp_extract(raw, r"^[^']*'((?:[^']++|'')*+)", 1)
-    return F.when(_quoted(raw), F.rtrim(F.regexp_replace(inner, "''", "'"))).otherwise(
+    return F.when(is_quoted(raw), F.rtrim(F.regexp_replace(inner, "''", "'"))).otherwise(
         F.trim(F.regexp_extract(raw, r"^[^/]*", 0))
     )
 
 
 def card_comment(raw: Column) -> Column:
     after = F.regexp_extract(raw, r"^[^']*'(?:[^']++|'')*+'[^/]*/(.*)$", 1)
-    return F.trim(F.when(_quoted(raw), after).otherwise(F.regexp_extract(raw, r"^[^/]*/(.*)$", 1)))
+    return F.trim(F.when(is_quoted(raw), after).otherwise(F.regexp_extract(raw, r"^[^/]*/(.*)$", 1)))
 
 
 def words(text: Column) -> Column:

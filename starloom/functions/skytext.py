@@ -68,7 +68,8 @@ def _field_degrees(tokens: Column, is_ra: bool) -> Column:
             good & (F.size(n) == 3), sign * angle * (15.0 if is_ra else 1.0)
         )
 
-    numbers = F.transform(tokens, lambda t: t.try_cast("double"))
+    decimal = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    numbers = F.transform(tokens, lambda t: F.when(t.rlike(decimal), t.try_cast("double")))
     return let(pack(tokens=tokens, n=numbers), value)
 
 

@@ -10,10 +10,10 @@ from starloom.session import materialise
 
 
 def header_cards(headers: DataFrame, text: str = "header", keys: list[str] | None = None) -> DataFrame:
-    """Cards of fixed-width header text: keys, card_no, keyword, value, comment, is_value.
+    """Cards of fixed-width header text: keys, card_no, keyword, value, comment, is_value, is_text.
 
     Cards are read up to END. A value card has ``= `` in columns 9 and 10; quoted values
-    keep inner text with doubled quotes undone and trailing blanks dropped.
+    keep inner text with doubled quotes undone and trailing blanks dropped, and are text.
     """
     keys = keys or [c for c in headers.columns if c != text]
     live = headers.select(*keys, F.posexplode(C.split_cards(F.col(text))).alias("card_no", "card"))
@@ -24,6 +24,7 @@ def header_cards(headers: DataFrame, text: str = "header", keys: list[str] | Non
         F.when(is_value, C.card_value(raw)).alias("value"),
         F.when(is_value, C.card_comment(raw)).otherwise(F.trim(F.substring("card", 9, C.CARD))).alias("comment"),
         is_value.alias("is_value"),
+        (is_value & C.is_quoted(raw)).alias("is_text"),
     )
 
 
@@ -33,9 +34,22 @@ def merge_headers(cards: DataFrame, file: str = "file") -> DataFrame:
     return per_hdu.groupBy(file, "keyword").agg(F.max_by("value", "hdu").alias("value"))
 
 
-def card_scalar(v: Column) -> Column:
-    """A numeric card as a JSON scalar: NaN and infinities become NULL."""
-    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+def json_text(c: Column) -> Column:
+    """A string as JSON, ``null`` for NULL."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.to_json(F.struct(c.alias("s"))), r'(?s)^\{"s":(.*)\}$', 1), F.lit("")), F.lit("null"))
+
+
+def card_scalar(value: Column, is_text: Column) -> Column:
+    """A card's value as a JSON scalar: text, true or false, a number; an empty value or a number that JSON
+    cannot carry is null; anything else is text."""
+    plain = F.upper(F.trim(value))
+    whole = F.when(plain.rlike(r"^[+-]?\d{1,18}$"), plain.try_cast("bigint").cast("string"))
+    number = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([ED][+-]?\d+)?$"), F.regexp_replace(plain, "D", "E").try_cast("double"))
+    real = F.when(number.isNotNull(), F.when(F.abs(number) != float("inf"), number.cast("string")).otherwise(F.lit("null")))
+    bare = F.coalesce(
+        F.when((plain == "") | plain.isin("NAN", "INF", "+INF", "-INF"), F.lit("null")), F.when(plain == "T", F.lit("true")), F.when(plain == "F", F.lit("false")), whole, real
+    )
+    return F.when(value.isNull(), F.lit("null")).when(is_text, json_text(value)).otherwise(F.coalesce(bare, json_text(value)))
 
 
 def input_rejects(hdus: DataFrame) -> DataFrame:

@@ -75,15 +75,19 @@ def tile_tables(tables: DataFrame) -> DataFrame:
     )
 
 
-def view_weights(weights: DataFrame) -> DataFrame:
-    """Weights of views (view, band, weight ARRAY<DOUBLE>): 3 finite numbers each, at most 12 bands."""
+def view_weights(weights: DataFrame, bands: DataFrame | None = None) -> DataFrame:
+    """Weights of views (view, band, weight ARRAY<DOUBLE>): 3 finite numbers each, at most 12 bands, and only ``bands`` (band) if given."""
     bad = weights.filter((F.size("weight") != 3) | F.exists("weight", lambda x: ~_finite(x))).select(
         *_violation(F.concat_ws("/", "view", "band"), "weight", F.size("weight"))
     )
     many = weights.groupBy("view").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_BANDS).select(
         *_violation(F.col("view"), "too_many_bands", F.col("n"))
     )
-    return bad.unionByName(many)
+    out = bad.unionByName(many)
+    if bands is None:
+        return out
+    unknown = weights.join(bands.select("band").distinct(), "band", "left_anti")
+    return out.unionByName(unknown.select(*_violation(F.concat_ws("/", "view", "band"), "unknown_band", F.lit(None))))
 
 
 def path_escapes(paths: DataFrame, relative: Column) -> DataFrame:

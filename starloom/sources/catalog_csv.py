@@ -19,9 +19,15 @@ MISSING = ("nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 _BAD = "_malformed"
 
 
+#: A plain decimal number: no suffixes, no hexadecimal, no words.
+_DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    line = F.regexp_replace("value", "^﻿", "")
-    return spark.read.text(path).select(F.regexp_replace(line, "\r$", "").alias("line"))
+    """``line`` with its file and, as ``at``, its place there."""
+    line = F.regexp_replace("value", "^\ufeff", "")
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.regexp_replace(line, "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
 
 
 def version_violations(spark: SparkSession, path: str) -> DataFrame:
@@ -36,13 +42,13 @@ def version_violations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _number(c: Column) -> Column:
-    n = F.trim(c).try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
+    n = F.when(F.trim(c).rlike(_DECIMAL), F.trim(c).try_cast("double"))
+    return F.when(F.abs(n) != float("inf"), n)
 
 
 def parse_lines(lines: DataFrame, header: str, keys: list[str] | None = None) -> DataFrame:
     """Catalog rows of text lines (``line``) under a header line, with ``malformed`` marking rows
-    of the wrong width or without a position.
+    of the wrong width or without a position; see :func:`kept_rows` and :func:`rejected_rows`.
 
     Unknown columns go to ``data`` (MAP<STRING, STRING>), empty and non-finite ones left out.
     """
@@ -74,14 +80,34 @@ def parse_lines(lines: DataFrame, header: str, keys: list[str] | None = None) ->
     return typed.withColumn("malformed", F.col("_ragged") | ~placed).drop("_ragged")
 
 
+def kept_rows(parsed: DataFrame) -> DataFrame:
+    """The rows of the catalog: those of the header's width that have a position."""
+    return parsed.filter(~F.col("malformed")).drop("malformed")
+
+
+def rejected_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, dropped``: how many lines were left out."""
+    return parsed.filter("malformed").groupBy(*keys).agg(F.count(F.lit(1)).alias("dropped"))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog rows (all of them; filter on ``malformed`` to keep or count the bad ones)."""
+    """Catalog rows of a file or a folder of files (all of them, with ``malformed``).
+
+    The header of each file is its first line that is neither blank nor a comment; a later line that looks like it
+    is a row. Only the distinct headers come to the driver.
+    """
     text = F.trim("line")
     lines = _lines(spark, path).filter((text != "") & ~text.startswith("#"))
-    first = lines.first()
-    if first is None:
+    heads = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("head"))
+    headers = [r.line for r in heads.select("head.line").distinct().collect()]
+    if not headers:
         raise ValueError(f"no header row in {path}")
-    return parse_lines(lines.filter(F.col("line") != first.line), first.line)
+    out = None
+    for header in sorted(headers):
+        own = heads.filter(F.col("head.line") == header).select("file", F.col("head.at").alias("_head"))
+        rows = parse_lines(lines.join(own, "file").filter(F.col("at") != F.col("_head")), header)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def canonical_columns(df: DataFrame) -> list[str]:
@@ -94,11 +120,11 @@ def write_catalog(df: DataFrame, path: str, order: list[str], format_name: str =
     check_columns(df)
     full = with_ids(df, order)
     ordered = full.select(*canonical_columns(full))
-    ordered.write.mode("overwrite").option("nanValue", "nan").csv(path, header=True, nullValue="nan")
+    ordered.write.mode("overwrite").option("nanValue", "nan").option("escape", "\"").csv(path, header=True, nullValue="nan")
     spark = df.sparkSession
     spark.createDataFrame([(f"# {format_name}-catalog v{VERSION}",)], "value string").coalesce(1).write.mode(
         "overwrite"
     ).text(path + ".version")
 
 
-__all__ = ["canonical_columns", "parse_lines", "placeable", "read_catalog", "version_violations", "write_catalog"]
+__all__ = ["canonical_columns", "kept_rows", "parse_lines", "placeable", "read_catalog", "rejected_rows", "version_violations", "write_catalog"]

@@ -19,7 +19,9 @@ from starloom.functions.cards import word, words
 from starloom.functions.let import let, pack
 
 BLOCK, CARD = 2880, 80
-GLOB = "*.{fits,fit,fits.gz,fits.fz}"
+#: Inputs of a build, and what a build puts out.
+GLOB = "*.{fits,fit,fits.gz,fit.gz}"
+OUTPUT_GLOB = "*.fits.fz"
 #: Image bytes read by one task step.
 STRIP_BYTES = 64 * 1024 * 1024
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from starloom.operators.inventory import card_scalar, json_text
 from starloom.operators.validate import non_finite
 
 MANIFEST = (
@@ -19,7 +20,7 @@ def manifest_levels(manifests: DataFrame) -> DataFrame:
 
     A level without supertiles (the old form) becomes one supertile over its whole grid.
     """
-    lv = manifests.select("path", "version", "n_levels", "native_shape", F.coalesce("fpack_tile_size", F.lit(256)).alias("tile_size"), F.explode("levels").alias("l"))
+    lv = manifests.select("path", F.coalesce("version", F.lit(1)).alias("version"), F.coalesce("n_levels", F.size("levels") - 1).alias("n_levels"), "native_shape", F.coalesce("fpack_tile_size", F.lit(256)).alias("tile_size"), F.explode("levels").alias("l"))
     whole = F.array(
         F.struct(
             F.col("l.filename").alias("filename"), F.array(F.lit(0), F.lit(0)).alias("tile_origin"),
@@ -51,12 +52,31 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_violations(manifests: DataFrame) -> DataFrame:
-    """Unknown versions, and level lists that do not run 0..n_levels."""
-    zs = F.array_sort(F.transform("levels", lambda l: l["z"]))
-    bad_version = ~F.col("version").isin(1, 2)
-    bad_levels = zs != F.sequence(F.lit(0), F.col("n_levels"))
-    rule = F.when(bad_version, "version").when(bad_levels, "levels")
-    return manifests.select(F.col("path").alias("entity"), rule.alias("rule"), F.to_json(zs).alias("detail")).filter("rule is not null")
+    """entity, rule, detail of parsed manifests (``path`` and the MANIFEST columns), a row for each rule broken.
+
+    A missing version is the old one and a missing n_levels is derived; everything else has to be there.
+    """
+    pair = lambda c: F.coalesce((F.size(c) == 2) & F.forall(c, lambda x: x.isNotNull()), F.lit(False))
+    levels = F.coalesce("levels", F.array().cast(manifests.schema["levels"].dataType))
+    any_level = lambda test: F.exists(levels, lambda x: F.coalesce(test(x), F.lit(True)))
+    zs = F.array_sort(F.transform(levels, lambda x: x["z"]))
+    deepest = F.size(levels) - 1
+    bad_supertile = lambda t: F.coalesce(t["filename"].isNull() | ~pair(t["tile_origin"]) | ~pair(t["tile_count"]), F.lit(True))
+    rules = [
+        ("no_levels", F.size(levels) == 0, F.lit(None)),
+        ("version", F.col("version").isNotNull() & ~F.col("version").isin(1, 2), F.col("version")),
+        ("native_shape", ~pair(F.col("native_shape")), F.to_json("native_shape")),
+        ("levels", (F.size(levels) > 0) & ((F.coalesce("n_levels", deepest) != deepest) | F.coalesce(zs != F.sequence(F.lit(0), F.greatest(deepest, F.lit(0))), F.lit(True))), F.to_json(zs)),
+        ("shape", any_level(lambda x: ~pair(x["shape"])), F.lit(None)),
+        ("tile_count", any_level(lambda x: ~pair(x["fpack_tile_count"])), F.lit(None)),
+        ("filename", any_level(lambda x: x["supertiles"].isNull() & x["filename"].isNull()), F.lit(None)),
+        ("supertiles", any_level(lambda x: x["supertiles"].isNotNull() & (F.size(x["supertiles"]) == 0)), F.lit(None)),
+        ("supertile", any_level(lambda x: x["supertiles"].isNotNull() & F.exists(x["supertiles"], bad_supertile)), F.lit(None)),
+    ]
+    broken = F.filter(
+        F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, bad, detail in rules]), lambda v: v.isNotNull()
+    )
+    return manifests.select(F.col("path").alias("entity"), F.explode(broken).alias("v")).select("entity", "v.rule", "v.detail")
 
 
 def manifest_json(levels: DataFrame, supertiles: DataFrame, key: str = "band") -> DataFrame:
@@ -94,14 +114,12 @@ def manifest_json(levels: DataFrame, supertiles: DataFrame, key: str = "band") -
 
 
 def header_json(cards: DataFrame, file: str = "file") -> DataFrame:
-    """file, json: the ordered card list of each header."""
-    per = cards.groupBy(file).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("card_no", "keyword", "value", "comment"))),
-            lambda c: F.struct(c["keyword"].alias("keyword"), c["value"].alias("value"), c["comment"].alias("comment")),
-        ).alias("cards")
+    """file, json: the ordered card list of each header, values with their type. A header holds some hundred cards."""
+    card = F.concat(
+        F.lit('{"keyword":'), json_text(F.col("keyword")), F.lit(',"value":'), card_scalar(F.col("value"), F.col("is_text")), F.lit(',"comment":'), json_text(F.col("comment")), F.lit("}")
     )
-    return per.select(file, F.to_json(F.struct(F.lit(1).alias("version"), F.col(file).alias("source_file"), "cards"), {"ignoreNullFields": "false"}).alias("json"))
+    per = cards.groupBy(file).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("card_no", card.alias("json")))), lambda c: c["json"]), ",").alias("cards"))
+    return per.select(file, F.concat(F.lit('{"version":1,"source_file":'), json_text(F.col(file).cast("string")), F.lit(',"cards":['), "cards", F.lit("]}")).alias("json"))
 
 
 def dataset_json(bands: DataFrame, rgb: DataFrame, key: str = "dataset") -> DataFrame:

@@ -32,6 +32,23 @@ def _raw(path: str):
     return system.open_input_file(inner)
 
 
+def write_objects(objects: DataFrame, folder: str) -> None:
+    """Writes ``content`` (BINARY) of each row to ``path`` below ``folder``, on the executors. Rerun tasks write the same bytes."""
+    system_uri = folder if ":" in folder else f"file://{folder}"
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(system_uri)
+        for pdf in batches:
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(content)
+            yield pdf[["path"]]
+
+    objects.select("path", "content").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def list_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Ledger rows of every file below ``folder``; hidden names and the ledger itself are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starloom.functions import grid
 
+#: Fixed value: bytes that a stored file may have at most.
+FILE_CEILING = 512 * 1024 * 1024
+
 
 def write_tiles(tiles: DataFrame, path: str, blocks: int = grid.SUPERTILE_BLOCKS) -> None:
     """Range-partitioned by band, level and supertile, so a supertile's tiles lie together and
@@ -25,6 +28,12 @@ def write_tiles(tiles: DataFrame, path: str, blocks: int = grid.SUPERTILE_BLOCKS
     )
 
 
+def oversized_files(spark: SparkSession, path: str, ceiling: int = FILE_CEILING) -> DataFrame:
+    """Violations: stored files of more bytes than ``ceiling``. Files are listed, not opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return files.filter(F.col("length") > ceiling).select(F.col("path").alias("entity"), F.lit("file_size").alias("rule"), F.col("length").cast("string").alias("detail"))
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("supertile_x", "supertile_y")
 
