@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions import grid
@@ -43,7 +44,7 @@ def default_rgb(bands: DataFrame, key: str) -> DataFrame:
 def groups_by_hash(bands: DataFrame, key: str) -> DataFrame:
     """Group number of each band: 0 for the grid seen first in its dataset, and so on."""
     first = bands.groupBy(key, "grid_hash").agg(F.min("ord").alias("_first"))
-    numbered = first.withColumn("grid_group", F.dense_rank().over(Window.partitionBy(key).orderBy("_first")) - 1)
+    numbered = with_row_number(first, ["_first", "grid_hash"], "grid_group", [key])
     return bands.join(numbered.drop("_first"), [key, "grid_hash"])
 
 
@@ -140,31 +141,54 @@ def matching_pairs(grids: DataFrame, key: str) -> DataFrame:
     )
 
 
-def greedy_groups(bands: DataFrame, key: str, max_rounds: int = 100) -> DataFrame:
+def _connected(pairs: DataFrame) -> DataFrame:
+    """``ord, part`` of every grid in ``pairs``: the least grid it is connected with. A label spreads to neighbours and to
+    the grids that label them, and is then replaced by its own label: rounds grow with the logarithm of a chain."""
+    edges = materialise(pairs.unionByName(pairs.select(F.col("b_ord").alias("a_ord"), F.col("a_ord").alias("b_ord"))))
+    labels = edges.groupBy(F.col("a_ord").alias("ord")).agg(F.min("b_ord").alias("near")).select("ord", F.least("ord", "near").alias("part"))
+    before = None
+    while True:
+        labels = materialise(labels)
+        total = labels.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return labels
+        before = total
+        ends = [labels.select(F.col("ord").alias(o), F.col("part").alias(p)) for o, p in (("a_ord", "_a"), ("b_ord", "_b"))]
+        met = edges.join(ends[0], "a_ord").join(ends[1], "b_ord").select(F.explode(F.array("a_ord", "_a")).alias("ord"), "_b")
+        spread = met.groupBy("ord").agg(F.min("_b").alias("_near"))
+        better = labels.join(spread, "ord").select("ord", F.least("part", "_near").alias("part"))
+        labels = better.join(better.select(F.col("ord").alias("part"), F.col("part").alias("_next")), "part").select("ord", F.col("_next").alias("part"))
+
+
+def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Representatives of one connected part, in order of appearance."""
+    earlier: dict[int, list[int]] = {}
+    for a, b in zip(pdf.a_ord, pdf.b_ord, strict=True):
+        earlier.setdefault(b, []).append(a)
+    rep: dict[int, int] = {}
+    for o in sorted({*pdf.a_ord, *pdf.b_ord}):
+        rep[o] = min((a for a in earlier.get(o, ()) if rep[a] == a), default=o)
+    return pd.DataFrame({"ord": list(rep), "rep": list(rep.values())}, dtype="int64")
+
+
+def representatives(grids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``ord, rep`` of every grid: the earliest earlier representative that it is paired with, else itself."""
+    parted = pairs.join(_connected(pairs).select(F.col("ord").alias("a_ord"), "part"), "a_ord")
+    settled = parted.groupBy("part").applyInPandas(lambda pdf: _settle(pdf), "ord bigint, rep bigint")
+    return grids.join(settled, "ord", "left").select("ord", F.coalesce("rep", "ord").alias("rep"))
+
+
+def greedy_groups(bands: DataFrame, key: str) -> DataFrame:
     """Each band joins the earliest earlier representative it matches, else starts a group.
 
-    The rule is order-dependent and the match is not transitive, so rounds are needed: a
-    grid is decided once no undecided earlier match could still be its representative; the
-    earliest undecided grid always is, and usually nearly all are at once. ``bands``: key,
-    band, ord (unique) and the grid columns; the result adds ``grid_group``, numbered per
+    The rule goes by order and the match is not transitive, so it runs along each connected part of the match graph by
+    itself: distinct grids that lie within a twentieth of a pixel of a neighbour, however many bands share them.
+    ``bands``: key, band, ord (unique) and the grid columns; the result adds ``grid_group``, numbered per
     dataset in order of appearance.
     """
     distinct = materialise(distinct_grids(bands, key))
     pairs = materialise(matching_pairs(distinct, key))
-    state = distinct.select("ord", F.lit(None).cast("bigint").alias("rep"))
-    for _ in range(max_rounds):
-        earlier = pairs.join(state.select(F.col("ord").alias("a_ord"), F.col("rep").alias("_ar")), "a_ord")
-        seen = earlier.groupBy(F.col("b_ord").alias("ord")).agg(
-            F.min(F.when(F.col("_ar") == F.col("a_ord"), F.col("a_ord"))).alias("_rep"),
-            F.min(F.when(F.col("_ar").isNull(), F.col("a_ord"))).alias("_open"),
-        )
-        free = F.col("_open").isNull() | (F.col("_rep") < F.col("_open"))
-        decided = F.when(free, F.coalesce("_rep", "ord"))
-        state = materialise(state.join(seen, "ord", "left").select("ord", F.coalesce("rep", decided).alias("rep")))
-        if state.filter("rep is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("grid groups did not settle")
+    state = representatives(distinct.select("ord"), pairs)
     of_grid = distinct.drop("members").join(state, "ord").drop("ord")
     numbered = with_row_number(of_grid.select(key, "rep").distinct(), ["rep"], "grid_group", [key])
     of_grid = of_grid.join(numbered, [key, "rep"]).select(

@@ -295,7 +295,37 @@ def trilogy_stats(spark, sf):
     return trilogy(spark, sf).select("band", *[r(c, 9).alias(c) for c in ("mean", "sigma", "p99", "p99_9", "p99_99", "p99_999")])
 
 
-@query("zscale")
+def _zscale_sql() -> str:
+    """The clipped line fit, its five rounds written out; 1000 values make the rejected ones grow by ten places."""
+    steps = [f"""zpos AS (
+  SELECT band, v::DOUBLE AS v, row_number() OVER (PARTITION BY band ORDER BY y // {TILE * BLOCKS}, x // {TILE * BLOCKS}, y, x) - 1 AS p, count(*) OVER (PARTITION BY band) AS total
+  FROM pixels WHERE NOT isnan(v)
+), z0 AS (
+  SELECT band, v, row_number() OVER (PARTITION BY band ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY band) AS n, true AS keep, count(*) OVER (PARTITION BY band) AS kept,
+         count(*) OVER (PARTITION BY band) + 1 AS before, 0e0 AS slope
+  FROM zpos WHERE p % greatest(1, total // {kernels.Z_SAMPLES}) = 0 AND p // greatest(1, total // {kernels.Z_SAMPLES}) < {kernels.Z_SAMPLES}
+)"""]
+    for t in range(kernels.Z_ITERATIONS):
+        steps.append(f"""f{t} AS (
+  SELECT band, avg(i) FILTER (WHERE keep) AS xm, avg(v) FILTER (WHERE keep) AS vm, regr_slope(v, i) FILTER (WHERE keep) AS fitted,
+         any_value(kept) < any_value(before) AND any_value(kept) >= greatest({kernels.Z_MIN_PIXELS}, floor(any_value(n) * {kernels.Z_MAX_REJECT})) AS going FROM z{t} GROUP BY band
+), r{t} AS (SELECT z.*, going, fitted, v - (vm + fitted * (i - xm)) AS flat FROM z{t} z JOIN f{t} USING (band)
+), l{t} AS (SELECT band, {num(kernels.Z_KREJ)} * stddev_pop(flat) FILTER (WHERE keep) AS lim FROM r{t} GROUP BY band
+), k{t} AS (SELECT r.*, NOT bool_or(NOT keep OR flat < -lim OR flat > lim) OVER (PARTITION BY band ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS stays FROM r{t} r JOIN l{t} USING (band)
+), z{t + 1} AS (
+  SELECT band, v, i, n, CASE WHEN going THEN stays ELSE keep END AS keep, CASE WHEN going THEN count(*) FILTER (WHERE stays) OVER (PARTITION BY band) ELSE kept END AS kept,
+         CASE WHEN going THEN kept ELSE before END AS before, CASE WHEN going THEN fitted ELSE slope END AS slope FROM k{t}
+)""")
+    last = f"z{kernels.Z_ITERATIONS}"
+    return ",\n".join(steps) + f""", cuts AS (
+  SELECT band, any_value(kept) >= greatest({kernels.Z_MIN_PIXELS}, floor(any_value(n) * {kernels.Z_MAX_REJECT})) AS fits, min(v) AS lo, max(v) AS hi, median(v) AS med,
+         any_value(slope) / {num(kernels.Z_CONTRAST)} AS run, any_value(n) AS n FROM {last} GROUP BY band
+), zs AS (
+  SELECT band, CASE WHEN fits THEN greatest(lo, med - ((n - 1) // 2 - 1) * run) ELSE lo END AS z1, CASE WHEN fits THEN least(hi, med + (n - (n - 1) // 2) * run) ELSE hi END AS z2 FROM cuts
+)"""
+
+
+@query("zscale", f"""WITH {D.PIXELS_SQL}, {_zscale_sql()} SELECT band, {rs("z1", 9)} AS z1, {rs("z2", 9)} AS z2 FROM zs WHERE z2 > z1""")
 def zscale(spark, sf):
     return ST.zscale(representative_tiles(spark, sf), TILE, BLOCKS).select("band", r("z1", 9).alias("z1"), r("z2", 9).alias("z2"))
 

@@ -290,7 +290,22 @@ def grid_match_reference(spark, sf):
     return GR.match_reference(bands, first, "dataset").select(*big("dataset"), "band", "reference", "compatible")
 
 
-@query("greedy_grid_groups")
+@query(
+    "greedy_grid_groups",
+    """WITH RECURSIVE g AS (
+  SELECT c_nationkey AS dataset, 'g' || c_custkey AS band, c_custkey AS ord, c_custkey % 3 AS h, c_custkey % 19 = 0 AS bare, CASE WHEN c_custkey % 19 <> 0 THEN c_custkey % 7 END AS shift FROM customer
+), d AS (
+  SELECT dataset, h, bare, shift, row_number() OVER (PARTITION BY dataset ORDER BY min(ord)) AS n FROM g GROUP BY dataset, h, bare, shift
+), walk AS (
+  SELECT dataset, n, [{'h': h, 'bare': bare, 'shift': shift}] AS reps, h, bare, shift, 1::BIGINT AS place FROM d WHERE n = 1
+  UNION ALL
+  SELECT dataset, n, CASE WHEN place = 0 THEN list_append(reps, {'h': h, 'bare': bare, 'shift': shift}) ELSE reps END, h, bare, shift, CASE WHEN place = 0 THEN len(reps) + 1 ELSE place END
+  FROM (SELECT d.*, w.reps, coalesce(list_position(list_transform(w.reps, lambda r: r.h = d.h AND r.bare = d.bare AND (d.bare OR abs(r.shift - d.shift) <= 2)), true), 0) AS place
+        FROM walk w JOIN d ON d.dataset = w.dataset AND d.n = w.n + 1)
+)
+SELECT g.dataset::BIGINT AS dataset, band, ord::BIGINT AS ord, (place - 1)::BIGINT AS grid_group
+FROM g JOIN walk w ON w.dataset = g.dataset AND w.h = g.h AND w.bare = g.bare AND w.shift IS NOT DISTINCT FROM g.shift""",
+)
 def greedy_grid_groups(spark, sf):
     return GR.greedy_groups(grids_of(spark, sf), "dataset").select(*big("dataset"), "band", *big("ord", "grid_group"))
 

@@ -124,3 +124,21 @@ def test_regions_golden(spark):
     pairs = REG.points_in_regions(p, r, 1.0)
     assert {(x.point_id, x.id) for x in pairs.collect()} == {("in both", "rect"), ("in both", "poly"), ("notch", "rect"), ("poly only", "poly")}
     assert {(x.point_id, x.region) for x in REG.topmost_region(pairs).collect()} == {("in both", "poly"), ("notch", "rect"), ("poly only", "poly")}
+
+
+def test_a_long_chain_of_grids_settles(spark):
+    """500 grids in a row, each matching its neighbours, in shuffled order of appearance; and grids that match none."""
+    import random
+
+    from starloom.operators import grids as GR
+
+    order = list(range(500))
+    random.Random(1).shuffle(order)
+    pairs = [tuple(sorted((order[i], order[i + 1]))) for i in range(499)]
+    ords = spark.createDataFrame([(o,) for o in [*order, 900, 901]], "ord bigint")
+    got = {r.ord: r.rep for r in GR.representatives(ords, spark.createDataFrame(pairs, "a_ord bigint, b_ord bigint")).collect()}
+    near = {o: [a if b == o else b for a, b in pairs if o in (a, b)] for o in order}
+    want = {900: 900, 901: 901}
+    for o in sorted(order):
+        want[o] = min((n for n in near[o] if n < o and want[n] == n), default=o)
+    assert got == want
