@@ -7,34 +7,41 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from starloom.functions.let import let, pack
 
 # Pivot wavelengths in microns by instrument key and filter.
-PIVOTS = """
-NIRCAM     F070W 0.704  F090W 0.902  F115W 1.154  F140M 1.404  F150W 1.501  F150W2 1.659
-NIRCAM     F162M 1.626  F164N 1.645  F182M 1.845  F187N 1.874  F200W 1.990  F210M 2.093
-NIRCAM     F212N 2.120  F250M 2.503  F277W 2.786  F300M 2.996  F322W2 3.232 F323N 3.237
-NIRCAM     F335M 3.365  F356W 3.563  F360M 3.621  F405N 4.055  F410M 4.092  F430M 4.280
-NIRCAM     F444W 4.421  F460M 4.624  F466N 4.654  F470N 4.707  F480M 4.834
-NIRISS     F090W 0.901  F115W 1.150  F140M 1.404  F150W 1.493  F158M 1.587  F200W 1.972
-NIRISS     F277W 2.776  F356W 3.563  F380M 3.826  F430M 4.286  F444W 4.408  F480M 4.815
-MIRI       F560W 5.6    F770W 7.7    F1000W 10.0  F1130W 11.3  F1280W 12.8  F1500W 15.0
-MIRI       F1800W 18.0  F2100W 21.0  F2550W 25.5
-ACS        F435W 0.4329 F475W 0.4747 F502N 0.5023 F550M 0.5581 F555W 0.5361 F606W 0.5907
-ACS        F625W 0.6311 F658N 0.6584 F660N 0.6599 F775W 0.7693 F814W 0.8057 F850LP 0.9033
-WFC3/UVIS  F218W 0.2228 F225W 0.2372 F275W 0.2710 F336W 0.3355 F390W 0.3924 F438W 0.4326
-WFC3/UVIS  F475W 0.4773 F555W 0.5308 F606W 0.5887 F625W 0.6242 F775W 0.7651 F814W 0.8039
-WFC3/UVIS  F850LP 0.9176
-WFC3/IR    F098M 0.9864 F105W 1.0552 F110W 1.1534 F125W 1.2486 F127M 1.2740 F139M 1.3838
-WFC3/IR    F140W 1.3923 F153M 1.5322 F160W 1.5369
-"""
+PIVOTS = (
+    ("NIRCAM", "F070W", 0.704), ("NIRCAM", "F090W", 0.902), ("NIRCAM", "F115W", 1.154), ("NIRCAM", "F140M", 1.404),
+    ("NIRCAM", "F150W", 1.501), ("NIRCAM", "F150W2", 1.659), ("NIRCAM", "F162M", 1.626), ("NIRCAM", "F164N", 1.645),
+    ("NIRCAM", "F182M", 1.845), ("NIRCAM", "F187N", 1.874), ("NIRCAM", "F200W", 1.99), ("NIRCAM", "F210M", 2.093),
+    ("NIRCAM", "F212N", 2.12), ("NIRCAM", "F250M", 2.503), ("NIRCAM", "F277W", 2.786), ("NIRCAM", "F300M", 2.996),
+    ("NIRCAM", "F322W2", 3.232), ("NIRCAM", "F323N", 3.237), ("NIRCAM", "F335M", 3.365), ("NIRCAM", "F356W", 3.563),
+    ("NIRCAM", "F360M", 3.621), ("NIRCAM", "F405N", 4.055), ("NIRCAM", "F410M", 4.092), ("NIRCAM", "F430M", 4.28),
+    ("NIRCAM", "F444W", 4.421), ("NIRCAM", "F460M", 4.624), ("NIRCAM", "F466N", 4.654), ("NIRCAM", "F470N", 4.707),
+    ("NIRCAM", "F480M", 4.834),
+    ("NIRISS", "F090W", 0.901), ("NIRISS", "F115W", 1.15), ("NIRISS", "F140M", 1.404), ("NIRISS", "F150W", 1.493),
+    ("NIRISS", "F158M", 1.587), ("NIRISS", "F200W", 1.972), ("NIRISS", "F277W", 2.776), ("NIRISS", "F356W", 3.563),
+    ("NIRISS", "F380M", 3.826), ("NIRISS", "F430M", 4.286), ("NIRISS", "F444W", 4.408), ("NIRISS", "F480M", 4.815),
+    ("MIRI", "F560W", 5.6), ("MIRI", "F770W", 7.7), ("MIRI", "F1000W", 10.0), ("MIRI", "F1130W", 11.3), ("MIRI", "F1280W", 12.8),
+    ("MIRI", "F1500W", 15.0), ("MIRI", "F1800W", 18.0), ("MIRI", "F2100W", 21.0), ("MIRI", "F2550W", 25.5),
+    ("ACS", "F435W", 0.4329), ("ACS", "F475W", 0.4747), ("ACS", "F502N", 0.5023), ("ACS", "F550M", 0.5581), ("ACS", "F555W", 0.5361),
+    ("ACS", "F606W", 0.5907), ("ACS", "F625W", 0.6311), ("ACS", "F658N", 0.6584), ("ACS", "F660N", 0.6599), ("ACS", "F775W", 0.7693),
+    ("ACS", "F814W", 0.8057), ("ACS", "F850LP", 0.9033),
+    ("WFC3/UVIS", "F218W", 0.2228), ("WFC3/UVIS", "F225W", 0.2372), ("WFC3/UVIS", "F275W", 0.271), ("WFC3/UVIS", "F336W", 0.3355),
+    ("WFC3/UVIS", "F390W", 0.3924), ("WFC3/UVIS", "F438W", 0.4326), ("WFC3/UVIS", "F475W", 0.4773), ("WFC3/UVIS", "F555W", 0.5308),
+    ("WFC3/UVIS", "F606W", 0.5887), ("WFC3/UVIS", "F625W", 0.6242), ("WFC3/UVIS", "F775W", 0.7651), ("WFC3/UVIS", "F814W", 0.8039),
+    ("WFC3/UVIS", "F850LP", 0.9176),
+    ("WFC3/IR", "F098M", 0.9864), ("WFC3/IR", "F105W", 1.0552), ("WFC3/IR", "F110W", 1.1534), ("WFC3/IR", "F125W", 1.2486),
+    ("WFC3/IR", "F127M", 1.274), ("WFC3/IR", "F139M", 1.3838), ("WFC3/IR", "F140W", 1.3923), ("WFC3/IR", "F153M", 1.5322),
+    ("WFC3/IR", "F160W", 1.5369),
+)
 
 # Instrument keys in order of preference when only the filter is known.
-PREFERENCE = """
-NIRCAM     JWST  NIRCam
-NIRISS     JWST  NIRISS
-MIRI       JWST  MIRI
-WFC3/IR    HST   WFC3
-ACS        HST   ACS
-WFC3/UVIS  HST   WFC3
-"""
+PREFERENCE = (
+    ("NIRCAM", "JWST", "NIRCam"),
+    ("NIRISS", "JWST", "NIRISS"),
+    ("MIRI", "JWST", "MIRI"),
+    ("WFC3/IR", "HST", "WFC3"),
+    ("ACS", "HST", "ACS"),
+    ("WFC3/UVIS", "HST", "WFC3"),
+)
 
 # Telescope and display name of each supported instrument word.
 INSTRUMENTS = {
@@ -51,22 +58,9 @@ NAME_FILTER_PATTERN = r"(?i)(?<![a-z0-9])(f\d{3,4}(?:w2|lp|[wmnx])?)(?![a-z0-9])
 NAME_INSTRUMENT_PATTERN = r"(?i)(?<![a-z0-9])(nircam|niriss|miri|acs|wfc3)(?![a-z0-9])"
 
 
-def pivot_rows() -> list[tuple[str, str, float]]:
-    rows = []
-    for line in PIVOTS.split("\n"):
-        words = line.split()
-        rows += [(words[0], f, float(p)) for f, p in zip(words[1::2], words[2::2])]
-    return rows
-
-
 def pivot_table(spark: SparkSession) -> DataFrame:
     """lookup_key, filter, pivot_um: 84 rows, always small enough to broadcast."""
-    return spark.createDataFrame(pivot_rows(), "lookup_key string, filter string, pivot_um double")
-
-
-def preference_rows() -> list[tuple[str, str, str, int]]:
-    lines = [line.split() for line in PREFERENCE.split("\n") if line]
-    return [(*words, i) for i, words in enumerate(lines)]
+    return spark.createDataFrame(list(PIVOTS), "lookup_key string, filter string, pivot_um double")
 
 
 def word(v: Column) -> Column:

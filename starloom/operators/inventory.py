@@ -95,7 +95,7 @@ def _by_name(files: DataFrame, name: str) -> DataFrame:
     """Adds _nf, _nk (instrument token or NULL), _nl (table key), _ni, _nt from the file name."""
     spark = files.sparkSession
     # Both tables are fixed: 84 and 6 rows.
-    prefs = spark.createDataFrame(B.preference_rows(), "lookup_key string, telescope string, instrument string, pref int")
+    prefs = spark.createDataFrame([(*row, i) for i, row in enumerate(B.PREFERENCE)], "lookup_key string, telescope string, instrument string, pref int")
     choices = B.pivot_table(spark).join(F.broadcast(prefs), "lookup_key").groupBy(F.col("filter").alias("_nf")).agg(
         F.min_by(F.struct("lookup_key", "telescope", "instrument"), "pref").alias("_first"),
         F.bool_or(F.col("lookup_key") == "WFC3/IR").alias("_ir"),

@@ -168,7 +168,3 @@ def collection_cards(fields: DataFrame, bands: DataFrame) -> DataFrame:
         "field", title.alias("title"), F.coalesce("band_count", F.lit(0)).alias("band_count"),
         F.when(F.col("_c.ok"), F.col("_c.crval1")).alias("center_ra"), F.when(F.col("_c.ok"), F.col("_c.crval2")).alias("center_dec"),
     )
-
-
-def unbuilt_fields(fields: DataFrame, cards: DataFrame) -> DataFrame:
-    return fields.join(cards.select("field"), "field", "left_anti").select("field")

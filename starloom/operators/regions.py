@@ -14,12 +14,6 @@ from starloom.operators.spatial import bucketed_join
 MAX_SKEW = 1e-2
 
 
-def region_shape(shape: Column, vertices: Column, world_vertices: Column) -> Column:
-    """Given shape if known, else polygon when there are vertices, else rect."""
-    inferred = F.when(vertices.isNotNull() | world_vertices.isNotNull(), "polygon").otherwise("rect")
-    return F.when(shape.isin("rect", "polygon"), shape).otherwise(inferred)
-
-
 def _size(c: str) -> Column:
     return F.when(F.col(c).isNotNull() & is_finite(F.col(c)), F.greatest(F.lit(0.0), F.col(c))).otherwise(0.0)
 

@@ -270,7 +270,7 @@ def relative_paths(spark, sf):
 def headers(spark, sf):
     """Parts as image headers: every instrument, wheel layout and a few that cannot be told."""
     k = F.col("p_partkey")
-    rows = [(i, f) for i, (_, f, _) in enumerate(B.pivot_rows())]
+    rows = [(i, f) for i, (_, f, _) in enumerate(B.PIVOTS)]
     # 84 rows, fixed.
     table = spark.createDataFrame(rows, "_i bigint, _known string")
     p = D.read(spark, sf, "part").withColumn("_i", k % len(rows)).join(F.broadcast(table), "_i")
@@ -290,9 +290,9 @@ def headers(spark, sf):
     )
 
 
-_TABLE = ", ".join(f"'{f}'" for _, f, _ in B.pivot_rows())
-_PIV = ", ".join(f"('{k}', '{f}', {D.num(p)})" for k, f, p in B.pivot_rows())
-_PREF = ", ".join(f"('{k}', '{t}', '{i}', {n})" for k, t, i, n in B.preference_rows())
+_TABLE = ", ".join(f"'{f}'" for _, f, _ in B.PIVOTS)
+_PIV = ", ".join(f"('{k}', '{f}', {D.num(p)})" for k, f, p in B.PIVOTS)
+_PREF = ", ".join(f"('{k}', '{t}', '{i}', {n})" for n, (k, t, i) in enumerate(B.PREFERENCE))
 HEADERS_SQL = f"""h0 AS (
   SELECT p_partkey AS k, p_brand AS dataset, CASE WHEN p_partkey % 5 = 0 THEN 'F' || lpad((p_partkey % 900 + 100)::VARCHAR, 3, '0') || CASE WHEN p_partkey % 2 = 0 THEN 'W' ELSE 'N' END
     ELSE ([{_TABLE}])[p_partkey % 84 + 1] END AS f, (['NIRCAM', 'NIRISS', 'MIRI', 'ACS', 'WFC3', 'NIRSPEC'])[p_partkey % 6 + 1] AS ins FROM part
@@ -607,7 +607,6 @@ def stats_checks(spark, sf):
     h = F.struct(
         F.when(k % 10 == 1, F.array().cast("array<bigint>")).otherwise(F.array(k, k + 1)).alias("counts"), d(F.lit(0)).alias("lo"), d(F.when(k % 7 == 2, 0).otherwise(1)).alias("hi")
     )
-    z = F.when(k % 2 == 0, F.array(d(F.lit(0)), d(F.lit(1)))).when(k % 11 == 3, F.lit(None))
     z = F.when(k % 11 == 3, F.array(d(F.lit(1)), d(F.lit(0)))).when(k % 2 == 0, F.array(d(F.lit(0)), d(F.lit(1))))
     t = F.struct(
         d(F.lit(1)).alias("mean"), d(F.when(k % 13 == 4, float("inf")).otherwise(2)).alias("sigma"), *[d(k).alias(p) for p in ("p99", "p99_9", "p99_99", "p99_999")]
