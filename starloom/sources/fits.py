@@ -104,15 +104,26 @@ def wide_headers(headers: DataFrame, keywords: list[str]) -> DataFrame:
 
 
 def _read_ranges(batches):
-    for pdf in batches:
-        out = []
-        for path, rows in pdf.groupby("file", sort=False):
-            with _open(path) as f:
-                for i, r in rows.iterrows():
-                    f.seek(int(r.start))
-                    out.append((i, f.read(int(r.length))))
-        got = pd.Series(dict(out), dtype=object)
-        yield pdf.assign(content=got.reindex(pdf.index))
+    """Ranges in the order given, at most about STRIP_BYTES at a time; a file stays open while its ranges follow each other,
+    so those of a compressed file, which come sorted, are inflated once."""
+    path, handle = None, None
+    try:
+        for pdf in batches:
+            first, got, size = 0, [], 0
+            for i, (file, start, length) in enumerate(zip(pdf.file, pdf.start, pdf.length, strict=True)):
+                if file != path:
+                    if handle is not None:
+                        handle.close()
+                    path, handle = file, _open(file)
+                handle.seek(int(start))
+                got.append(handle.read(int(length)))
+                size += int(length)
+                if size >= STRIP_BYTES or i + 1 == len(pdf):
+                    yield pdf.iloc[first : i + 1].assign(content=got)
+                    first, got, size = i + 1, [], 0
+    finally:
+        if handle is not None:
+            handle.close()
 
 
 def read_ranges(ranges: DataFrame) -> DataFrame:
@@ -151,7 +162,7 @@ def decode_image_rows(strips: DataFrame, keys: list[str]) -> DataFrame:
 def image_rows(spark: SparkSession, headers: DataFrame) -> DataFrame:
     """Image rows of every file with exactly one two-dimensional image: file, img_h, img_w, y, values.
 
-    Work is split by file and strip of rows, so one huge mosaic is read by many tasks.
+    Work is split by file and strip of rows, so one huge mosaic is read by many tasks (unless it is compressed as a whole).
     """
     wide = wide_headers(headers, ["BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "BSCALE", "BZERO", "BLANK", "XTENSION"])
     plane = F.col("naxis").try_cast("int") == 2
@@ -172,7 +183,9 @@ def image_rows(spark: SparkSession, headers: DataFrame) -> DataFrame:
     ranges = strips.select(
         "file", "img_h", "img_w", F.col("bits").alias("bitpix"), F.col("img_w").alias("width"), "y0", "bscale", "bzero", "blank",
         (F.col("data_start") + F.col("y0") * F.col("_rb")).alias("start"), (n * F.col("_rb")).alias("length"),
-    ).repartition("file", "y0")
+    )
+    # Strips of a plain file are read anywhere; those of a compressed one by the one task that inflates it.
+    ranges = ranges.repartition("file", F.when(~F.lower("file").endswith(".gz"), F.col("y0"))).sortWithinPartitions("file", "start")
     return decode_image_rows(read_ranges(ranges), ["file", "img_h", "img_w"])
 
 
