@@ -22,8 +22,9 @@ def bucketed_join(
     y: str = "y",
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pairs of a point (x, y) and a probe box (x0, y0, x1, y1, inclusive) that contains it.
+    """Pairs of a point (x, y) and a probe box (x0, y0, x1, y1, inclusive) that contains it and is equal in the columns ``also``.
 
     Boxes are placed on the grid level (cell * 2**n) at which they span at most two cells
     a side, so a wide region costs four keys, not one per small cell, and narrow ones are
@@ -37,7 +38,7 @@ def bucketed_join(
     # The levels in use: a handful of integers (a double spans at most 2100).
     used = sorted(r[0] for r in probes.select("_lvl").distinct().collect())
     used = used or [0]
-    keys = ["_lvl", "_cx", "_cy"]
+    keys = ["_lvl", "_cx", "_cy", *also]
     keyed = points.select("*", F.explode(F.array(*[F.lit(n) for n in used])).alias("_lvl"))
     keyed = keyed.withColumn("_cx", _cell(F.col(x), F.col("_lvl"), cell)).withColumn(
         "_cy", _cell(F.col(y), F.col("_lvl"), cell)
@@ -67,7 +68,7 @@ def bucketed_join(
         .drop("_salts")
     )
     inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
-    return salted.join(boxes, [*keys, "_salt"], how).filter(inside).drop(*keys, "_salt")
+    return salted.join(boxes, [*keys, "_salt"], how).filter(inside).drop("_lvl", "_cx", "_cy", "_salt")
 
 
 def near_points(points: DataFrame, probes: DataFrame, cell: float) -> DataFrame:
@@ -116,12 +117,18 @@ def topmost_marker(markers: DataFrame, positions: DataFrame, cell: float) -> Dat
     ``markers``: id, ord, x, y, shape, size; ``positions``: pos_id, qx, qy (native), view
     STRUCT<cx, cy, zoom, vw, vh>, m STRUCT<m11..m22>, dpr, max_size. Glyphs are upright
     on screen: a box is a square, anything else a disc of half size (size/2 + 1) * dpr.
+    Markers are looked up by size class (powers of two), each with its own reach, so that one
+    very large marker widens no box but that of its class.
     """
-    reach = glyph_half(F.col("max_size"), F.col("dpr")) / F.col("view.zoom") * 2.0**0.5
+    classed = lambda size: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1.0))))).cast("int")
+    markers = markers.withColumn("_class", classed(F.col("size")))
+    positions = positions.select("*", F.explode(F.sequence(F.lit(0), classed(F.col("max_size")))).alias("_class"))
+    largest = F.least(F.pow(F.lit(2.0), F.col("_class")), F.greatest(F.col("max_size"), F.lit(1.0)))
+    reach = glyph_half(largest, F.col("dpr")) / F.col("view.zoom") * 2.0**0.5
     boxes = positions.select(
         "*", (F.col("qx") - reach).alias("x0"), (F.col("qy") - reach).alias("y0"), (F.col("qx") + reach).alias("x1"), (F.col("qy") + reach).alias("y1")
     )
-    near = bucketed_join(markers, boxes, cell)
+    near = bucketed_join(markers, boxes, cell, also=("_class",))
     ddx, ddy = (F.col("x") - F.col("qx")) * F.col("view.zoom"), (F.col("y") - F.col("qy")) * F.col("view.zoom")
     sx = F.col("m.m11") * ddx + F.col("m.m12") * ddy
     sy = F.col("m.m21") * ddx + F.col("m.m22") * ddy

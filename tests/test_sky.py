@@ -142,3 +142,23 @@ def test_a_long_chain_of_grids_settles(spark):
     for o in sorted(order):
         want[o] = min((n for n in near[o] if n < o and want[n] == n), default=o)
     assert got == want
+
+
+def test_topmost_marker_with_one_very_large_one(spark):
+    """Against all pairs, with a marker that covers everything and one probe in a crowd."""
+    rng = np.random.default_rng(9)
+    rows = [(f"m{i}", i, float(x), float(y), "box" if i % 2 else "circle", float(1 + i % 5)) for i, (x, y) in enumerate(rng.uniform(0, 100, (300, 2)))]
+    rows.append(("huge", -1, 50.0, 50.0, "circle", 400.0))
+    markers = spark.createDataFrame(rows, "id string, ord long, x double, y double, shape string, size double")
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (60, 2)))]
+    positions = spark.createDataFrame(places, "pos_id int, qx double, qy double").selectExpr(
+        "*", "named_struct('cx', 0D, 'cy', 0D, 'zoom', 2D, 'vw', 10D, 'vh', 10D) AS view", "named_struct('m11', 1D, 'm12', 0D, 'm21', 0D, 'm22', 1D) AS m", "1.0D AS dpr", "400.0D AS max_size"
+    )
+    got = {r.pos_id: (r.marker, r.hits) for r in SP.topmost_marker(markers, positions, 1.0).collect()}
+    for i, qx, qy in places:
+        hits = []
+        for name, order, x, y, shape, size in rows:
+            dx, dy, half = abs(2 * (x - qx)), abs(2 * (y - qy)), size / 2 + 1
+            if (dx <= half and dy <= half) if shape == "box" else dx * dx + dy * dy <= half * half:
+                hits.append((order, name))
+        assert got.get(i) == ((max(hits)[1], len(hits)) if hits else None)
