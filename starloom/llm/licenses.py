@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starloom.llm.common import ALNUM_WORD_ANY_CASE, alnum_words, ascii_lower, count_words
+from starloom.llm.common import ALNUM_WORD_ANY_CASE, BETWEEN_ALNUM, count_words
 from starloom.session import materialise
 
 #: Fixed values of the contract: phrases and their labels.
@@ -43,30 +43,39 @@ def template_sets(spark, templates: tuple[tuple[str, str], ...], threshold: floa
     return rows.withColumn("need", F.ceil(F.size("words") * threshold).cast("int"))
 
 
+def _lowered(text: Column) -> Column:
+    """Lower-cased text, for looking up ASCII words in. The Kelvin sign, the only other character whose lower case is an
+    ASCII letter alone, is put aside first; so the ASCII words are those of lower-casing A-Z only."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u20ac")))
+
+
 def _lines(rows: DataFrame) -> DataFrame:
-    """Lines as ``id, h, line, words``: the distinct words of each, lines without words left out."""
-    lines = rows.select("id", "h", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "said"))
-    return lines.select("id", "h", "line", F.array_distinct(alnum_words(F.col("said"))).alias("words")).where(F.size("words") > 0)
+    """Lines as ``id, h, line, words``."""
+    lines = rows.select("id", "h", F.posexplode(F.split(_lowered(F.col("text")), "\n")).alias("line", "said"))
+    return lines.select("id", "h", "line", F.split("said", BETWEEN_ALNUM).alias("words"))
 
 
 def matching_lines(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``id, h, line, label, containment`` of every line and template at or above the threshold; ``rows`` has ``id, h, text``."""
     sets = template_sets(rows.sparkSession, templates, threshold)
     vocabulary = sorted({w for _, words in templates for w in words.split()})
-    known = F.filter(F.col("words"), lambda w: w.isin(vocabulary))
+
+    def among(words: list[str]) -> DataFrame:
+        """Lines with those of ``words`` that they hold, in the order given; exploding a single value has it computed once."""
+        held = F.array_intersect(F.array(*[F.lit(w) for w in words]), F.col("words"))
+        return _lines(rows).select("id", "h", "line", F.explode(F.array(held)).alias("held"))
+
     # Only lines with as many of the templates' words as the least need can match any.
     floor = min(-(-len(set(w.split())) * threshold // 1) for _, w in templates)
-    lines = _lines(rows).withColumn("known", known)
-    counted = lines.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counted = among(vocabulary).select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     terms = sets.select("t", "label", "need", F.size("words").alias("size"), F.explode("words").alias("w"))
-    ranked = terms.join(counted, F.col("w") == F.col("word"), "left").select("t", "label", "need", "size", "w", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = materialise(terms.join(counted, F.col("w") == F.col("word"), "left").select("t", "label", "need", "size", "w", F.coalesce("n", F.lit(0)).alias("n")))
     ordered = ranked.groupBy("t", "label", "need", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w")))["w"].alias("ordered"))
     prefix = materialise(
         ordered.select("t", "label", "need", "size", "ordered", F.posexplode(F.slice("ordered", F.lit(1), F.col("size") - F.col("need") + 1)).alias("at", "token"))
     )
     order = [r.w for r in ranked.select("n", "w").distinct().orderBy("n", "w").collect()]  # the templates' words alone
-    held = lines.where(F.size("known") >= int(floor))
-    held = held.select("id", "h", "line", F.filter(F.array(*[F.lit(w) for w in order]), lambda w: F.array_contains("known", w)).alias("sorted"))
+    held = among(order).where(F.size("held") >= int(floor)).withColumnRenamed("held", "sorted")
     tokens = held.select("id", "h", "line", "sorted", F.posexplode("sorted").alias("place", "word"))
     met = tokens.join(F.broadcast(prefix) if len(templates) <= BROADCAST_TEMPLATES else prefix, F.col("word") == F.col("token"))
     enough = (F.size("sorted") >= F.col("need")) & (F.size("sorted") - F.col("place") >= F.col("need") - F.col("at")) & (F.col("size") - F.col("at") >= F.col("need") - F.col("place"))
@@ -99,13 +108,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     matched = matching_lines(rows, templates, threshold).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment")
     )
-    lowered = ascii_lower(F.coalesce("text", F.lit("")))
+    base = rows.select("id", "h", count_words(F.col("text"), ALNUM_WORD_ANY_CASE).alias("n_words"), F.explode(F.array(_lowered(F.col("text")))).alias("lowered"))
     may = F.lit(False)
     for phrase in PHRASES:
-        may = may | F.contains(lowered, F.lit(phrase.split()[0])) & F.contains(lowered, F.lit(phrase.split()[-1]))
-    spaced = F.when(may, F.concat_ws("", F.transform(alnum_words(F.col("text")), lambda w: F.concat(F.lit(" "), w, F.lit(" "))))).otherwise(F.lit(""))
-    base = rows.select("id", "h", count_words(F.col("text"), ALNUM_WORD_ANY_CASE).alias("n_words"), F.array(spaced).alias("_s"))
-    base = base.select("id", "h", "n_words", F.explode("_s").alias("spaced"))
+        may = may | F.contains(F.col("lowered"), F.lit(phrase.split()[0])) & F.contains(F.col("lowered"), F.lit(phrase.split()[-1]))
+    words = F.filter(F.split("lowered", BETWEEN_ALNUM), lambda w: w != "")
+    spaced = F.when(may, F.concat_ws("", F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))))).otherwise(F.lit(""))
+    base = base.select("id", "h", "n_words", F.explode(F.array(spaced)).alias("spaced"))
     places = {label: phrase_places(F.col("spaced"), phrase) for phrase, label in PHRASES.items()}
     base = base.select(
         "id", "h", "n_words",
