@@ -60,7 +60,7 @@ class Block:
         self.children: list = []
 
 
-def _is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
+def _is_boilerplate(tag: str, attributes: str, inside_article: bool, by_name: bool) -> bool:
     if tag in BOILERPLATE_TAGS and not (tag == "header" and inside_article):
         return True
     if "=" in attributes or "hidden" in attributes:
@@ -69,14 +69,14 @@ def _is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split() or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return True
-        if tag not in ("html", "body", "article", "main"):
-            names = NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")
-            return any(n.lower() in BOILERPLATE_NAMES for n in names)
+        if by_name and tag not in ("html", "body", "article", "main"):
+            names = {n.lower() for n in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+            return bool((names - {"header"} if inside_article else names) & BOILERPLATE_NAMES)
     return False
 
 
-def tree(page: str) -> Block:
-    """The page's blocks; unclosed and stray tags are forgiven."""
+def tree(page: str, by_name: bool = True) -> Block:
+    """The page's blocks; unclosed and stray tags are forgiven. ``by_name``: class and id names tell boilerplate too."""
     root = Block("html", None, False)
     at, links, spot, articles = root, 0, 0, 0
 
@@ -137,7 +137,7 @@ def tree(page: str) -> Block:
                     close_to(outer)
             if at.tag == "head" and tag != "head":
                 close_to(at)
-            child = Block(tag, at, at.hidden or _is_boilerplate(tag, m[3], articles > 0))
+            child = Block(tag, at, at.hidden or _is_boilerplate(tag, m[3], articles > 0, by_name))
             at.children.append(child)
             if tag not in VOID:
                 at = child
@@ -251,12 +251,18 @@ def _emit(node: Block, out: list[str]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The page's article, a line per block; empty for null, empty and text-free pages."""
+    """The page's article, a line per block; empty for null, empty and text-free pages.
+
+    If names of classes would leave nothing (a wrapper named after the sidebar that it holds), they are not heeded.
+    """
     if not page:
         return ""
     out: list[str] = []
-    for node in best_blocks(tree(page)):
-        _emit(node, out)
+    for by_name in (True, False):
+        for node in best_blocks(tree(page, by_name)):
+            _emit(node, out)
+        if out:
+            break
     return "\n".join(out)
 
 

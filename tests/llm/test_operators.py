@@ -341,6 +341,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 def test_main_text(spark):
     assert main_text.main_text(PAGE) == "Real & title\nThis is a paragraph, with commas, <signs> and a good length.\nSecond one, with a link, fine, unclosed bold\npoint one, which is real\npoint two"
     assert [main_text.main_text(p) for p in (None, "", "just text", "<p>hi", "<div>a<div>b</div>c</div>", "<script>x", "<p", "</p></div>x<br>y", "<nav>a</nav>")] == ["", "", "just text", "hi", "a\nb\nc", "", "", "x y", ""]
+    assert main_text.main_text('<div class="with-sidebar"><article><div class="entry-header"><h1>T</h1></div><p>Body, here.</p></article></div>') == "T\nBody, here."
     assert main_text.main_text("<div>" * 30000 + "deep") == "deep" and len(main_text.main_text("<p>" + "a b, " * 200000)) == 999999
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1))
