@@ -29,7 +29,6 @@ TOSSES = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWEST = np.array([(i & -i).bit_length() - 1 if i else 0 for i in range(256)], np.uint8)
-_POWERS = np.array([pow(int(_ODD), i, 1 << 64) for i in range(1, 64)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,14 +38,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _powers(place: np.ndarray) -> np.ndarray:
+    """Odd factors by place in a piece."""
+    return mixed(place.astype(np.uint64) + _ODD) | np.uint64(1)
+
+
+#: The same factors for the first places, which are most.
+_POWERS = _powers(np.arange(64))
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each piece: its values times powers by place, and its length."""
+    """Hash of each piece: its values times factors by place, and its length."""
     place = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
     lengths = np.diff(np.append(starts, len(values))).astype(np.uint64)
-    if len(_POWERS) > place.max(initial=0):
-        powers = _POWERS[place]
-    else:
-        powers = mixed(place.astype(np.uint64) + _ODD) | np.uint64(1)
+    powers = _POWERS[place] if len(_POWERS) > place.max(initial=0) else _powers(place)
     return mixed(np.add.reduceat(values * powers, starts) + lengths)
 
 

@@ -330,6 +330,16 @@ def test_parsing_is_local_and_the_same_in_company():
     assert near[0] == 1 and near[1] > 0.9 and 0.2 < near[2] < 0.6 and near[3] < 0.1
 
 
+def test_fingerprints_do_not_depend_on_long_neighbours():
+    rng = random.Random(6)
+    texts = ["one", "a b c", "", *["".join(rng.choices("abcdefgh ", k=n)) for n in (40, 900, 3000)]]
+    alone = phrases.as_text(*phrases.sketches(texts))
+    for n in (8_000, 60_000):
+        long = "".join(rng.choices("abcdefgh ", k=n))
+        assert phrases.as_text(*phrases.sketches([*texts, long]))[:-1] == alone
+        assert phrases.as_text(*phrases.sketches([long]))[0] == phrases.as_text(*phrases.sketches([*texts, long]))[-1]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="page menu-open"><div id="mainMenu"><a href=x>Home</a> <a href=y>About</a></div>
 <header><h1>Site</h1></header><div class="cookie-notice">We use cookies, please accept.</div><div id="content"><h2>Real &amp; title</h2>
 <p>This is a paragraph,   with commas, &lt;signs&gt; and a good length.<p>Second one, with <a href=z>a link</a>, fine, unclosed <b>bold
