@@ -4,9 +4,12 @@
    words and what it cannot take goes to the others by weight.
 2. Every shard has the same number of equal seats, a seat being one block of ``block`` words. Seats go to
    sources by the highest quotients target / (2k + 1). All but some boundary seats are certain from bounds on
-   the H-th quotient, so that about three quotients a source are ranked, however many seats there are.
+   the H-th quotient, so that about three quotients a source are ranked, however many seats there are. A source
+   with a target under FEW seats would miss it by more than 1 % or get no seat at all; such sources stand outside
+   the seats and give their targets to the word.
 3. Selection: a source's documents stand in a seeded order, end to end, as a circle of words. Shard i takes the
    run of quota blocks that follows the run of shard i - 1, so a document is whole unless a run's end cuts it.
+   Sources outside the seats give each shard an equal run, to the word.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from starloom.llm.common import SPACED_WORD, count_words, drawn, running_start
 #: Weights of the sources in code point order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARDS, SEATS, SEED = 16, 65536, 20240901
+#: Seats below which a source's target is met to the word instead: half a seat is 1 % of it there.
+FEW = 50
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -46,21 +51,24 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     )
 
 
-def apportion(targets: DataFrame, shards: int = SHARDS, seats: int = SEATS, share: float = 1.5) -> DataFrame:
-    """Adds ``block`` (words a seat) and ``quota`` (seats of the source in each shard).
+def apportion(targets: DataFrame, shards: int = SHARDS, seats: int = SEATS, share: float = 1.5, few: int = 0) -> DataFrame:
+    """Adds ``block`` (words a seat), ``quota`` (seats of the source in each shard) and ``words`` (of the source in all shards).
 
+    Sources with a target under ``few`` seats have no quota and take no part in the apportionment: their words are their target.
     With q the sources' shares of H seats and S sources, the H-th quotient lies between those of H - S/2 and
     H + S/2 seats; seats below the first bound are given, those past the second cannot be, the rest are ranked.
     """
     every = Window.partitionBy()
     rows = (
-        targets.withColumn("wanted", F.sum("target").over(every))
-        .withColumn("sources", F.count(F.lit(1)).over(every))
-        .withColumn("block", F.greatest(F.lit(1), F.floor(share * F.col("total") / (shards * seats))).cast("bigint"))
+        targets.withColumn("block", F.greatest(F.lit(1), F.floor(share * F.col("total") / (shards * seats))).cast("bigint"))
+        .withColumn("fine", F.col("target") < few * shards * F.col("block"))
+        .withColumn("seated", F.when(F.col("fine"), F.lit(0.0)).otherwise(F.col("target")))
+        .withColumn("wanted", F.sum("seated").over(every))
+        .withColumn("sources", F.sum(F.when(F.col("fine"), 0).otherwise(1)).over(every))
         .withColumn("seats", F.ceil(F.col("wanted") / (shards * F.col("block"))))
-        .withColumn("part", F.coalesce(F.col("target") / F.nullif(F.col("wanted"), F.lit(0.0)), F.lit(0.0)))
+        .withColumn("part", F.coalesce(F.col("seated") / F.nullif(F.col("wanted"), F.lit(0.0)), F.lit(0.0)))
         .withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("part") * (F.col("seats") - F.col("sources") / 2) - 0.5)))
-        .withColumn("limit", F.when(F.col("target") > 0, F.ceil(F.col("part") * (F.col("seats") + F.col("sources") / 2) + 1.5)).otherwise(F.lit(0)))
+        .withColumn("limit", F.when(F.col("seated") > 0, F.ceil(F.col("part") * (F.col("seats") + F.col("sources") / 2) + 1.5)).otherwise(F.lit(0)))
         .withColumn("open", F.col("seats") - F.sum("sure").over(every))
     )
     asked = (
@@ -71,9 +79,9 @@ def apportion(targets: DataFrame, shards: int = SHARDS, seats: int = SEATS, shar
         .where(F.col("place") <= F.col("open"))
     )
     won = asked.groupBy(F.col("rank").alias("won_rank")).agg(F.count(F.lit(1)).alias("won"))
-    return rows.join(won, F.col("rank") == F.col("won_rank"), "left").select(
-        "source", "source_size", "target", "block", (F.col("sure") + F.coalesce(F.col("won"), F.lit(0))).cast("bigint").alias("quota"),
-    )
+    quota = (F.col("sure") + F.coalesce(F.col("won"), F.lit(0))).cast("bigint")
+    words = F.when(F.col("fine"), F.round("target").cast("bigint")).otherwise(shards * quota * F.col("block"))
+    return rows.join(won, F.col("rank") == F.col("won_rank"), "left").select("source", "source_size", "target", "block", quota.alias("quota"), words.alias("words"))
 
 
 def _overlap(start: Column, size: Column, low: Column, high: Column) -> Column:
@@ -92,9 +100,9 @@ def _placed(
         count_words(F.col(text), SPACED_WORD).alias("size"),
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    quotas = apportion(source_targets(sizes, weights, share, float(most)), shards, seats, share).select(
+    quotas = apportion(source_targets(sizes, weights, share, float(most)), shards, seats, share, FEW).select(
         F.col("source").alias("_source"), "source_size", "target",
-        F.least(most * F.col("source_size"), shards * F.col("quota") * F.col("block")).alias("run"),
+        F.least(most * F.col("source_size"), F.col("words")).alias("run"),
     )
     placed = running_start(rows, ["source"], "_draw", ["_key", "size"], F.col("size"), "start")
     mixed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")))
@@ -118,7 +126,7 @@ def mix_documents(
     """Every document with the words the mix takes of it.
 
     ``size`` words, ``source_size`` and ``target`` of its source, ``start`` on the source's circle, ``run`` words the
-    source gives in all (``shards`` runs of quota blocks, at most ``most`` times its words), ``taken`` words of this
+    source gives in all (``shards`` runs of quota blocks, or its target under FEW seats; at most ``most`` times its words), ``taken`` words of this
     document, repeats counted. ``keep`` names input columns to carry (default: the key; not one of these names).
     A null text has no words, takes none and leaves nothing out; a null source is a source, the last in order; repeated
     rows are documents of their own; an empty table gives an empty result; other columns are ignored.

@@ -136,6 +136,31 @@ def test_seats_go_to_the_highest_quotients(spark, seats):
     assert {r.source: r.quota for r in got} == {s: want.get(s, 0) for s in targets}
 
 
+def test_small_sources_get_their_targets(spark):
+    rng = random.Random(7)
+    counted = {"a": 4000, "b": 12, "c": 3, "d": 300, "e": 4000, "f": 90}
+    rows = [(i, " ".join(rng.choices("abcdef", k=min(10, n - at))), s) for s, n in counted.items() for i, at in enumerate(range(0, n, 10))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    target = filled(counted, {s: (5, 2, 1)[i % 3] for i, s in enumerate(counted)}, 1.5 * sum(counted.values()))
+    for seats in (4, 100, 300):
+        block = int(1.5 * sum(counted.values()) / (16 * seats))
+        assert block > 1 and target["b"] < 8 * block or seats == 300
+        taken, sizes = Counter(), Counter()
+        for r in mixing.mix_documents(df, keep=["source"], seats=seats).collect():
+            taken[r.source] += r.taken
+            sizes[r.source] += r.size
+            assert r.taken > 0 or r.source in "ae"
+        assert sizes == counted
+        for s in counted:
+            if target[s] < mixing.FEW * 16 * block:
+                assert abs(taken[s] - target[s]) <= 0.5
+            else:
+                assert abs(taken[s] - target[s]) <= 0.02 * target[s]
+    targets = spark.createDataFrame([("a", 1000, 1, 1640, 2000.0), *[(f"s{i}", 4, i + 2, 1640, 8.0) for i in range(160)]], "source string, source_size bigint, rank int, total bigint, target double")
+    got = {r.source: r for r in mixing.apportion(targets, shards=1, seats=100, share=1.5, few=5).collect()}
+    assert got["a"].words == got["a"].quota * 24 and abs(got["a"].words - 2000) < 24 and all(got[f"s{i}"].words == 8 and got[f"s{i}"].quota == 0 for i in range(160))
+
+
 def print_of(text):
     w = [x for x in (text or "").encode().lower().split()]
     grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
