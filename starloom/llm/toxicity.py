@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all texts (SYMBOLS^3 cells at most, whatever the input).
-2. Words with digits or signs between letters, stretched letters, and runs of single characters are restored: every
-   character opens a lattice of readings (itself, letters it may stand for, nothing), and the Viterbi path with the
-   best model probability less the channel's costs is the restored word.
+2. Words with digits or signs, stretched or doubled letters or letters that may stand for others, and runs of single
+   characters are restored: every character opens a lattice of readings (itself, letters it may stand for, nothing),
+   and the Viterbi path with the best model probability less the channel's costs is the restored word. A word that is
+   one without its end signs counts as it stands too.
 3. The restored text is scored: each distinct word has the log odds of its longest well-known prefix among labelled
    documents, and a logistic model combines their extremes, counts and rates. It is fitted on at most SAMPLE labelled
    rows (documented bound; those of least hash); every row is scored over its whole text.
@@ -15,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,10 @@ STANDS_FOR = {
 AS_LETTER, AS_OTHER, DROP, DROP_END, REPEAT = 1.0, 3.0, 1.5, 0.3, 0.7
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¡¿"
 STRETCHED = re.compile(r"(.)\1\1")
+#: In a plain word, what leaves more than one reading: doubled letters, and signs and letters that stand for others.
+DOUBTED = re.compile(r"([^\W\d_])\1|[" + re.escape("".join(STANDS_FOR)) + "]")
+#: Runs of a sign, read as three.
+SIGNS = re.compile(r"([^\w\s])\1{3,}")
 CACHE = 200_000
 
 
@@ -60,6 +66,11 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
+@lru_cache(4096)
+def _symbol(letter: str) -> int:
+    return int(symbols(letter)[0])
+
+
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``cell, n``: how often three symbols follow each other in the lower-cased texts, each set between word ends."""
 
@@ -97,9 +108,9 @@ def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
 
     States are the last two symbols; each holds its best reading.
     """
-    size = SYMBOLS
+    chance = model.item
     states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    ends = (len(word) - len(word.lstrip(EDGE)), len(word.rstrip(EDGE)))
+    ends = (len(word) - len(word.lstrip(EDGE)), len(word.rstrip(EDGE))) if spaced or word.strip(EDGE) else (0, len(word))
     for at, c in enumerate(word):
         readings: list[tuple[str, float]] = []
         if c.isalpha():
@@ -109,27 +120,27 @@ def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
             readings += [(x, AS_LETTER) for x in STANDS_FOR.get(c, "")]
             readings.append(("", DROP if ends[0] <= at < ends[1] else DROP_END))
         into: dict[tuple[int, int], tuple[float, str]] = {}
-        coded = [(x, cost, int(symbols(x)[0]) if x else 0) for x, cost in readings]
+        coded = [(x, cost, _symbol(x) if x else 0) for x, cost in readings]
         for (a, b), (score, said) in states.items():
             for x, cost, s in coded:
                 if not x:
                     options = [((a, b), score - cost, said)]
                 else:
-                    options = [((b, s), score - cost + float(model[a, b, s]), said + x)]
+                    options = [((b, s), score - cost + chance(a, b, s), said + x)]
                     if b == s and b:
                         options.append(((a, b), score - cost - REPEAT, said))
                     if spaced and b:
-                        ended = score + float(model[a, b, 0])
-                        options.append(((0, s), ended - cost + float(model[b, 0, s]), f"{said} {x}"))
+                        ended = score + chance(a, b, 0)
+                        options.append(((0, s), ended - cost + chance(b, 0, s), f"{said} {x}"))
                 for state, new, text in options:
                     if state not in into or new > into[state][0]:
                         into[state] = (new, text)
         states = into
-    return max(((score + float(model[a, b, 0]), said) for (a, b), (score, said) in states.items()), default=(0.0, word))[1]
+    return max(((score + chance(a, b, 0), said) for (a, b), (score, said) in states.items()), default=(0.0, word))[1]
 
 
 def plain(word: str) -> str | None:
-    """The word without signs at its ends if it needs no restoring."""
+    """The word without signs at its ends if it is one as it stands."""
     core = word if word.isalpha() else word.strip(EDGE)
     if (core.isalpha() or not core) and not STRETCHED.search(core):
         return core
@@ -157,6 +168,8 @@ class Restorer:
             core = w if w.isalpha() and len(w) < 3 else plain(w)
             if core is not None:
                 found.add(core)
+                if len(w) > 2 and DOUBTED.search(w):
+                    found.update(self.reading(SIGNS.sub(r"\1\1\1", w)))
             elif any(c.isalpha() or c in STANDS_FOR for c in w):
                 found.update(self.reading(w))
         run: list[str] = []

@@ -397,6 +397,25 @@ def test_restoring(counts, said, meant):
     assert meant in toxicity.Restorer(counts).words(f"you are such {said} , the house")
 
 
+@pytest.fixture(scope="module")
+def more_counts():
+    text = "  " + "  ".join("you are such an idiot and a stupid clown but the house is nice ass idiot clown stupid house loser with them have over hit all week deed".split() * 30) + "  "
+    s = toxicity.symbols(text).astype(int)
+    return np.bincount(s[:-2] * 4096 + s[1:-1] * 64 + s[2:], minlength=64**3)
+
+
+@pytest.mark.parametrize(
+    "said, meant",
+    [("$tupid", "stupid"), ("@ss", "ass"), ("!diot", "idiot"), ("idio+", "idiot"), ("iddiioott", "idiot"), ("stuupid", "stupid"), ("stvpid", "stupid"), ("сlown", "clown"), ("idiоt", "idiot"), ("\"$tupid!!!\"", "stupid"), ("(loser", "loser"), ("@$$", "ass")],
+)
+def test_restoring_ends_doubles_and_letters(more_counts, said, meant):
+    assert meant in toxicity.Restorer(more_counts).words(f"you are such {said} , the house")
+
+
+def test_doubted_words_count_as_they_stand(more_counts):
+    assert toxicity.Restorer(more_counts).words("over have all week house! (the clown) #nice " + "*" * 5000) >= {"over", "have", "all", "week", "house", "the", "clown", "nice"}
+
+
 def test_plain_words_stay(counts):
     assert toxicity.Restorer(counts).words("The house, isn't \"nice\" été") >= {"the", "house", "nice", "été"}
     assert toxicity.Restorer(counts).words(None) == set() == toxicity.Restorer(counts).words(" \n")
