@@ -4,10 +4,16 @@ A notice is the set of words of a template, and a line matches when it holds at
 are ordered by how many lines of the corpus have them, rarest first. A matching line shares a word with the
 template's prefix (its first n - need + 1 words), has ``need`` words at least, and from the place of the first
 shared word both sides have enough words left. What passes is verified by the size of the intersection.
+
+Notices are wrapped over lines as well, so windows of consecutive words match too, whatever stands between the words.
+A window is as long as the template and a share of 1 - THRESHOLD more, and only texts that hold enough of a template's
+words anywhere are searched.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starloom.llm.common import ALNUM_WORD_ANY_CASE, BETWEEN_ALNUM, count_words
@@ -84,6 +90,26 @@ def matching_lines(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     return found.select("id", "h", "line", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 
+def matching_windows(rows: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, h, label, containment`` of the best window of every text of several lines and template at or above the threshold."""
+    vocabulary = sorted({w for _, words in templates for w in words.split()})
+    sets = []
+    for label, words in templates:
+        own = sorted(set(words.split()))
+        need, span = math.ceil(len(own) * threshold), math.ceil(len(words.split()) / threshold)
+        sets.append(F.struct(F.lit(label).alias("label"), F.array(*[F.lit(w) for w in own]).alias("own"), F.lit(need).alias("need"), F.lit(span).alias("span")))
+    floor = min((math.ceil(len(set(w.split())) * threshold) for _, w in templates), default=0)
+    words = F.filter(F.split(_lowered(F.col("text")), BETWEEN_ALNUM), lambda w: w != "")
+    texts = rows.where(F.contains(F.col("text"), F.lit("\n"))).select("id", "h", F.explode(F.array(words)).alias("words"))
+    held = texts.select("id", "h", "words", F.explode(F.array(F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), F.col("words")))).alias("held"))
+    likely = F.filter(F.array(*sets), lambda t: F.size(F.array_intersect(t["own"], F.col("held"))) >= t["need"])
+    met = held.where(F.size("held") >= floor).select("id", "h", "words", F.explode(likely).alias("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.col("t.own"), F.element_at("words", i)))
+    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i, F.col("t.span")), F.col("t.own")))))
+    found = met.select("id", "h", "t", F.explode(F.array(shared)).alias("shared")).where(F.col("shared") >= F.col("t.need"))
+    return found.select("id", "h", F.col("t.label").alias("label"), (F.col("shared") / F.size("t.own")).alias("containment"))
+
+
 def phrase_places(text: Column, phrase: str) -> tuple[Column, Column, Column]:
     """How often a phrase stands in the text's words, and the first and last word at which it starts (null if nowhere).
 
@@ -101,11 +127,12 @@ def phrase_places(text: Column, phrase: str) -> tuple[Column, Column, Column]:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """All rows as ``id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
-    The score is 1 where a base phrase stands, else the highest containment of a matching line, 0 without any. A null or empty text
+    The score is 1 where a base phrase stands, else the highest containment of a matching line or window, 0 without any. A null or empty text
     has no words and no labels; repeated rows each get their result; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    matched = matching_lines(rows, templates, threshold).groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(
+    met = matching_lines(rows, templates, threshold).select("id", "h", "label", "containment").unionAll(matching_windows(rows, templates, threshold))
+    matched = met.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("containment")
     )
     base = rows.select("id", "h", count_words(F.col("text"), ALNUM_WORD_ANY_CASE).alias("n_words"), F.explode(F.array(_lowered(F.col("text")))).alias("lowered"))

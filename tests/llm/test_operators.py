@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -289,6 +290,21 @@ def test_licenses(spark, docs):
     assert {r.id: r.labels for r in got}[500] == "mit,reserved"
 
 
+def test_licenses_of_wrapped_notices(spark):
+    notices = [words for _, words in licenses.TEMPLATES]
+    rows, want = [], {}
+    for i, (label, words) in enumerate(licenses.TEMPLATES):
+        for j, (width, start) in enumerate([(72, ""), (72, "# "), (40, "    "), (30, " * ")]):
+            rows.append((10 * i + j, "Some title\n" + start + ("\n" + start).join(textwrap.wrap("This file: " + words.capitalize() + ". More follows here", width))))
+            want[10 * i + j] = label
+    scattered = notices[6].split()
+    rows += [(900, "\n".join(f"{w} {'x ' * 9}" for w in scattered)), (901, "permission is hereby\ngranted free of charge"), (902, "released under\nthe mit license")]
+    want |= {902: "mit"}
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score >= licenses.THRESHOLD for i, label in want.items())
+    assert got[900].labels == got[901].labels == "" and got[900].score == got[901].score == 0
+
+
 def test_phrases(docs):
     got = defaultdict(list)
     for r in phrases.fingerprint_documents(docs).collect():
