@@ -2,8 +2,8 @@
 
 Tags become a tree of blocks; inline tags only matter for the share of link text. Paragraphs pass points for length
 and commas to their ancestors (all to the parent, half to the next, less further up), each container's points are
-discounted by its link density, and the best container is kept together with those siblings that score well or are
-plain paragraphs. Inside, boilerplate by tag, role or class is left out. Pages are independent rows: no shuffle.
+discounted by its link density, and the best container is kept together with those siblings that score well or, if
+it is no article itself, are headings, paragraphs, lists, quotes, tables or sections of few links. Inside, boilerplate by tag, role or class is left out. Pages are independent rows: no shuffle.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A page's heading may stand in a header inside its article.
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SCORED = frozenset("p pre td dd blockquote li div section article main body figcaption h1 h2 h3 h4 h5 h6 html dt th center details summary address".split())
+#: What belongs to the text beside it unless it is mostly links.
+BESIDE = HEADINGS | frozenset("p pre ul ol dl blockquote table figure section hgroup".split())
 ROOTS = frozenset(("html", "body"))
 
 
@@ -223,7 +225,8 @@ def best_blocks(root: Block) -> list[Block]:
             continue
         chars, linked = length[id(sibling)]
         plain = sibling.tag == "p" and chars > 80 and linked < 0.25 * chars
-        if sibling is best or score(sibling) >= floor or plain:
+        beside = best.tag not in ("article", "main") and sibling.tag in BESIDE and linked < 0.25 * chars
+        if sibling is best or score(sibling) >= floor or plain or beside:
             kept.append(sibling)
     return kept
 

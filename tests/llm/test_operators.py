@@ -401,6 +401,17 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+def test_main_text_beside_the_container():
+    body = "".join(f"<p>Paragraph {i} of the text, with commas, and a good length for a paragraph, as they are.</p>" for i in range(4))
+    said = [f"Paragraph {i} of the text, with commas, and a good length for a paragraph, as they are." for i in range(4)]
+    page = (
+        f'<div id=page><nav>n</nav><h1>Title</h1><p>Short lead.</p><ul><li><a href=a>Home</a><li><a href=b>About</a></ul><div class=text>{body}</div><blockquote>Quote.</blockquote>'
+        '<ol><li>one<li>two</ol><table><tr><td>1<td>2</table><section><h2>End</h2>Short.</section><h3><a href=x>More here</a></h3><ul class=share><li>Share</ul></div>'
+    )
+    assert main_text.main_text(page).split("\n") == ["Title", "Short lead.", *said, "Quote.", "one", "two", "1", "2", "End", "Short."]
+    assert main_text.main_text(f"<h1>Site</h1><article>{body}</article><p>Beside.</p>").split("\n") == said
+
+
 @pytest.fixture(scope="module")
 def counts():
     text = "  " + "  ".join("you are such an idiot and a stupid clown but the house is nice idiot clown stupid house that loser with them".split() * 30) + "  "
