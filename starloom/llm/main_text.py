@@ -3,7 +3,8 @@
 Tags become a tree of blocks; inline tags only matter for the share of link text. Paragraphs pass points for length
 and commas to their ancestors (all to the parent, half to the next, less further up), each container's points are
 discounted by its link density, and the best container is kept together with those siblings that score well or, if
-it is no article itself, are headings, paragraphs, lists, quotes, tables or sections of few links. Inside, boilerplate by tag, role or class is left out. Pages are independent rows: no shuffle.
+it is no article itself, are headings, paragraphs, lists, quotes, tables or sections of few links. Inside, boilerplate by tag or role is left
+out, and by name only with a second sign, as headings and sections are named after their titles. Pages are independent rows: no shuffle.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BOILERPLATE_TAGS = frozenset("nav aside footer header form head button menu dial
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of class and id names, whole words of hyphen, underscore or camel case names.
 BOILERPLATE_NAMES = frozenset(
-    "ad ads adbox adsense adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright "
+    "ad ads adbox adsense adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
     "disqus footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications overlay pager pagination popup "
     "promo promoted promotion promotions recommend recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
@@ -50,31 +51,40 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SCORED = frozenset("p pre td dd blockquote li div section article main body figcaption h1 h2 h3 h4 h5 h6 html dt th center details summary address".split())
 #: What belongs to the text beside it unless it is mostly links.
 BESIDE = HEADINGS | frozenset("p pre ul ol dl blockquote table figure section hgroup".split())
+#: Blocks without a meaning of their own, for which a boilerplate class is enough.
+NEUTRAL = frozenset("div ul ol dl table center".split())
 ROOTS = frozenset(("html", "body"))
 
 
 class Block:
-    __slots__ = ("children", "hidden", "points", "tag", "up")
+    __slots__ = ("children", "hidden", "named", "points", "tag", "up")
 
     def __init__(self, tag: str, up: Block | None, hidden: bool):
         self.tag, self.up, self.hidden, self.points = tag, up, hidden, 0.0
+        #: Hidden by its name alone: "class", "id", or "title" for an id of which only some words are boilerplate.
+        self.named = ""
         #: Blocks, and runs of text as (text, whether in a link).
         self.children: list = []
 
 
-def _is_boilerplate(tag: str, attributes: str, inside_article: bool, by_name: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, inside_article: bool, by_name: bool) -> tuple[bool, str]:
+    """Whether tag, role or style tell boilerplate, and else which name does."""
     if tag in BOILERPLATE_TAGS and not (tag == "header" and inside_article):
-        return True
+        return True, ""
     if "=" in attributes or "hidden" in attributes:
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
         if found.get("role", "").lower() in BOILERPLATE_ROLES or found.get("aria-hidden") == "true":
-            return True
+            return True, ""
         if "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split() or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
-            return True
+            return True, ""
         if by_name and tag not in ("html", "body", "article", "main"):
-            names = {n.lower() for n in NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-            return bool((names - {"header"} if inside_article else names) & BOILERPLATE_NAMES)
-    return False
+            heeded = BOILERPLATE_NAMES - {"header"} if inside_article else BOILERPLATE_NAMES
+            if heeded & {n.lower() for n in NAME_PARTS.findall(found.get("class", ""))}:
+                return False, "class"
+            names = {n.lower() for n in NAME_PARTS.findall(found.get("id", ""))}
+            if names & heeded and tag not in HEADINGS:
+                return False, "id" if names <= heeded else "title"
+    return False, ""
 
 
 def tree(page: str, by_name: bool = True) -> Block:
@@ -139,7 +149,9 @@ def tree(page: str, by_name: bool = True) -> Block:
                     close_to(outer)
             if at.tag == "head" and tag != "head":
                 close_to(at)
-            child = Block(tag, at, at.hidden or _is_boilerplate(tag, m[3], articles > 0, by_name))
+            certain, named = _boilerplate(tag, m[3], articles > 0, by_name)
+            child = Block(tag, at, at.hidden or certain)
+            child.named = named
             at.children.append(child)
             if tag not in VOID:
                 at = child
@@ -168,18 +180,57 @@ def _runs(node: Block) -> Iterator[tuple[str, int]]:
             parts, linked = [], []
 
 
-def _walk(root: Block) -> list[Block]:
+def _walk(root: Block, named: bool = False) -> list[Block]:
+    """Blocks that are not hidden, parents first; ``named``: also those hidden by name."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        if not node.hidden:
+        if not node.hidden and (named or not node.named):
             order.append(node)
             todo.extend(c for c in node.children if isinstance(c, Block))
     return order
 
 
+def _heed_signs(container: Block) -> None:
+    """Shows blocks of an article or container that are hidden by name without a second sign: links, or standing at its end."""
+    order = _walk(container, named=True)
+    if not any(n.named for n in order):
+        return
+    length = {id(n): [0, 0] for n in order}
+    for node in reversed(order):
+        for text, links in _runs(node):
+            length[id(node)][0] += len(text)
+            length[id(node)][1] += links
+        if node is not container:
+            length[id(node.up)][0] += length[id(node)][0]
+            length[id(node.up)][1] += length[id(node)][1]
+    last, ends = container, set()
+    while last is not None:
+        node, last = last, None
+        for child in reversed(node.children):
+            if isinstance(child, tuple):
+                if child[0].strip():
+                    break
+            elif child.named in ("class", "id") and child.tag not in HEADINGS:
+                ends.add(id(child))
+            elif not child.hidden:
+                last = child
+                break
+    for node in order:
+        chars, linked = length[id(node)]
+        sign = id(node) in ends or linked > 0.3 * chars or (node.named == "class" and node.tag in NEUTRAL)
+        if node is not container and node.named and not sign:
+            node.named = ""
+
+
 def best_blocks(root: Block) -> list[Block]:
     """The best container and its kept siblings, in page order."""
+    within: set[int] = set()
+    for node in _walk(root):
+        if node.tag == "article" or id(node.up) in within:
+            if id(node.up) not in within:
+                _heed_signs(node)
+            within.add(id(node))
     order = _walk(root)
     own = {id(n): list(_runs(n)) for n in order}
     length = {id(n): [0, 0] for n in order}
@@ -217,11 +268,12 @@ def best_blocks(root: Block) -> list[Block]:
         node = node.up
         if node.tag in ("article", "main"):
             best = node
+    _heed_signs(best)
     if best.up is None:
         return [best]
     floor, kept = max(10.0, 0.2 * score(best)), []
     for sibling in best.up.children:
-        if not isinstance(sibling, Block) or sibling.hidden:
+        if not isinstance(sibling, Block) or sibling.hidden or sibling.named:
             continue
         chars, linked = length[id(sibling)]
         plain = sibling.tag == "p" and chars > 80 and linked < 0.25 * chars
@@ -245,7 +297,7 @@ def _emit(node: Block, out: list[str]) -> None:
             if text := _clean(parts):
                 out.append(text)
             parts.clear()
-            if not child.hidden:
+            if not (child.hidden or child.named):
                 todo.append((at, i))
                 at, i = child, 0
         if text := _clean(parts):

@@ -401,6 +401,21 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("around", ["article", 'div id="content"'])
+def test_main_text_of_blocks_named_after_titles(around):
+    said = [f"Paragraph {i} of the text, with commas, and a good length for a paragraph, as they are." for i in range(6)]
+    p = [f"<p>{t}</p>" for t in said]
+    page = (
+        f'<body><div class="sidebar"><p>{said[0]}</p></div><{around}><h1>T</h1><p class="byline">By A</p>{p[0]}<h2 id="related-work">Related work</h2>{p[1]}'
+        f'<section id="social-impact"><h2>Social impact</h2>{p[2]}</section><div class="ad">Buy now</div><h2 id="copyright-law">Copyright law</h2><p class="notice">Notice this.</p>{p[3]}'
+        f'<div id="related"><a href=x>Other page</a></div>{p[4]}<section id="comments-on-the-method"><h2>Comments on the method</h2>{p[5]}</section>'
+        f'<section id="comments"><p>I think so.</p></section></{around.split()[0]}></body>'
+    )
+    assert main_text.main_text(page).split("\n") == [
+        "T", "By A", said[0], "Related work", said[1], "Social impact", said[2], "Copyright law", "Notice this.", said[3], said[4], "Comments on the method", said[5],
+    ]
+
+
 def test_main_text_beside_the_container():
     body = "".join(f"<p>Paragraph {i} of the text, with commas, and a good length for a paragraph, as they are.</p>" for i in range(4))
     said = [f"Paragraph {i} of the text, with commas, and a good length for a paragraph, as they are." for i in range(4)]
