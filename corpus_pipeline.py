@@ -31,8 +31,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document; where a run ends inside one, its words in the run."""
-    return mixing.mixed_rows(docs)
+    """A row for each time that the mix takes a document; where a run ends inside one, its words in the run. Documents without words stay once."""
+    return mixing.mixed_rows(docs, wordless=True)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,14 +149,18 @@ def mixed_rows(
     shards: int = SHARDS,
     seats: int = SEATS,
     seed: int = SEED,
+    wordless: bool = False,
 ) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a document is taken.
 
-    Where a run's end cuts a document, only its words inside the run remain, joined by spaces.
+    Where a run's end cuts a document, only its words inside the run remain, joined by spaces. Documents without words
+    (null, empty and blank texts) leave, or with ``wordless`` stay once each as they are.
     """
     columns = docs.columns
     placed = _placed(docs, columns, key, source, text, weights, share, most, shards, seats, seed)
-    taken = placed.withColumn("taken", F.explode("turns")).where(F.col("taken") > 0)
+    wordless = F.lit(wordless)
+    turns = F.when(F.col("size") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.col("turns"))
+    taken = placed.withColumn("taken", F.explode(turns)).where((F.col("taken") > 0) | wordless & (F.col("size") == 0))
     said = F.col(f"k_{text}")
     words = F.filter(F.split(said, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(said)

@@ -76,6 +76,13 @@ def test_stages(spark, folder, tmp_path):
         docs, before = result, after
 
 
+def test_documents_without_words_stay_in_the_mix(spark, folder):
+    rows = [(1, "a b c d e f g h", "en", "s0", 15), (2, None, "en", "s0", None), (3, "", "en", "s1", 0), (4, " \t\n", "en", None, 3), (4, " \t\n", "en", None, 3), (None, None, None, None, None)]
+    after = corpus_pipeline.mixing_stage(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    assert Counter(tuple(r) for r in after if r.doc_id != 1) == Counter(rows[1:])
+    assert any(r.doc_id == 1 for r in after)
+
+
 def test_run_gives_the_last_stage(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() == corpus_pipeline.run(spark, folder).count() > 100
