@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from starloom.llm import decontaminate, licenses, main_text, mixing, phrases, preference, sharding, simhash, toxicity, url_lists
+from starloom.llm import bpe, decontaminate, hard_negatives, licenses, main_text, merkle, mixing, phrases, preference, sharding, simhash, toxicity, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,6 +217,90 @@ def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+#: Nodes level by level in SQL; CRC-32 from its polynomial decides where newlines are deleted.
+@query(
+    "op11_merkle_manifest",
+    r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (
+  SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1]))) AS crc FROM documents, crc),
+kinds AS (SELECT doc_id, source, lang, n_chars, text, 0 AS altered FROM d UNION ALL
+  SELECT doc_id, source, lang, n_chars, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END, 1 FROM d),
+hashed AS (
+  SELECT doc_id, source, altered, sha256(array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text],
+    lambda v: CASE WHEN v IS NULL THEN '-' ELSE octet_length(encode(v)) || ':' || v END), '')) AS digest FROM kinds),
+l AS (
+  SELECT a.doc_id, dense_rank() OVER (ORDER BY a.source NULLS FIRST) AS tree, row_number() OVER (PARTITION BY a.source ORDER BY a.doc_id) - 1 AS idx,
+    count(*) OVER (PARTITION BY a.source) AS n, a.digest, b.digest AS altered
+  FROM hashed a JOIN hashed b ON a.doc_id = b.doc_id AND b.altered = 1 WHERE a.altered = 0),
+low AS (
+  SELECT tree, 0 AS level, idx, n, digest FROM l
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+subroots AS (SELECT tree, level AS height, digest FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, tree - 1 AS idx, (SELECT count(*) FROM subroots) AS n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY level, idx // 3, n),
+nodes AS (
+  SELECT tree, level, idx, digest FROM low WHERE n > 1
+  UNION ALL SELECT tree, height + level, idx, h.digest FROM subroots, high h WHERE h.n > 1),
+paths AS (
+  SELECT l.doc_id, l.tree, l.altered, height, unnest(range(height + (SELECT max(level) FROM high))) AS level, l.idx AS leaf FROM l JOIN subroots USING (tree)),
+placed AS (
+  SELECT *, CASE WHEN level < height THEN leaf // (3 ** level)::BIGINT ELSE (tree - 1) // (3 ** (level - height))::BIGINT END AS idx FROM paths),
+beside AS (
+  SELECT p.doc_id, p.level, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (WHERE s.idx < p.idx), '') AS before, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (WHERE s.idx > p.idx), '') AS after
+  FROM placed p JOIN nodes s ON s.tree = p.tree AND s.level = p.level AND s.idx // 3 = p.idx // 3 GROUP BY p.doc_id, p.level),
+proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM beside GROUP BY doc_id),
+fold AS (
+  SELECT doc_id, 0 AS level, altered AS digest FROM l
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(before || digest || after) FROM fold f JOIN beside b ON b.doc_id = f.doc_id AND b.level = f.level),
+top AS (SELECT doc_id, max_by(digest, level) AS folded FROM fold GROUP BY doc_id)
+SELECT l.doc_id, l.digest AS leaf, s.digest AS subroot, r.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM l JOIN subroots s USING (tree) JOIN top USING (doc_id) LEFT JOIN proofs USING (doc_id), (SELECT digest FROM high WHERE n = 1) r
+""",
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered={"text": text}).withColumnRenamed("key", "doc_id")
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as ranks:
+        found = bpe.tokenise(table(spark, sf_dir, "documents"), ranks.read(), public_tokenizers.PATTERN, keep_ids=False)
+    return found.select(F.col("key").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query(
+    "op13_hard_negatives",
+    """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id) AS place FROM s WHERE alike) WHERE place <= 5),
+w AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, p.score AS positive_score, n.other_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.score DESC, n.other_id) AS rank
+  FROM p JOIN s n ON n.ar = p.ar AND NOT n.alike AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 5
+""",
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
