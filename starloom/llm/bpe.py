@@ -3,7 +3,8 @@
 The distinct pieces of many texts are laid end to end. An inverted index leads from each pair of neighbouring tokens (by the
 rank of what they merge to) to the places where it stands; ranks are taken from a queue in order, every place of a rank is
 merged from the left, and only the two pairs beside it are looked up again. A merge that makes a pair of lower rank gives way
-to that pair first, so each piece sees its merges in the very order in which they would come if it were encoded alone.
+to that pair first, so each piece sees its merges in the very order in which they would come if it were encoded alone. Where
+the order can't matter, all places of a rank are merged as arrays.
 
 A text is cut into units where white space follows something else: no piece crosses such a place, and what stands on one side
 does not change the other. A unit is split into pieces and encoded when it is first met; texts are then the ids of their units.
@@ -17,6 +18,7 @@ import functools
 import heapq
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Characters whose new units are replayed as one corpus, and the most characters of a text that are held as units at a time.
 CHUNK = 1 << 22
-#: Units remembered between chunks.
-KNOWN = 400_000
+#: Units remembered between chunks, and pieces replayed as one corpus.
+KNOWN, TOGETHER = 400_000, 1 << 16
 
 #: White space, perhaps more than the pattern knows: places that look joined stay joined, which is always right.
 _GLUED = re.compile(r"\s ")
@@ -54,69 +56,100 @@ class Vocabulary:
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
                     self.merged[left << self.bits | right] = rank
+        #: Tokens of the bytes and then the stop; and what pairs of these merge to (-1: nothing).
+        self.first = np.array([*self.octets, self.stop], np.int32)
+        self.first_pairs = np.array([[self.merged.get(int(a) << self.bits | int(b), -1) for b in self.first] for a in self.first], np.int32)
 
     def decoded(self, ids: bytes) -> bytes:
         """The bytes of packed ids."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def replay(pieces: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """The token ids of every piece."""
-    octets, bits, stop, merge = vocabulary.octets, vocabulary.bits, vocabulary.stop, vocabulary.merged.get
-    tokens = [stop]
-    for piece in pieces:
-        tokens += [octets[b] for b in piece]
-        tokens.append(stop)
-    n = len(tokens)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    ranks = [merge(a << bits | b) for a, b in zip(tokens, tokens[1:], strict=False)] + [None]
-    index: dict[int, list[int]] = {}
-    for place, rank in enumerate(ranks):
-        if rank is not None:
-            index.setdefault(rank, []).append(place)
+#: Places of one rank from which on they are merged as arrays.
+MANY = 24
+
+
+def replay(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of all pieces, one after the other, and the number of each piece's."""
+    if not pieces:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    bits, stop, merge = vocabulary.bits, vocabulary.stop, vocabulary.merged.get
+    lengths = np.array([len(piece) for piece in pieces], np.int64)
+    stops = np.concatenate([[0], np.cumsum(lengths + 1)])
+    n = int(stops[-1]) + 1
+    octets = np.full(n, 256, np.int64)
+    inside = np.ones(n, bool)
+    inside[stops] = False
+    octets[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+    # Both plain values and arrays look at the same memory.
+    tokens, following, before, ranks = (array("i", v.astype(np.int32).tobytes()) for v in (vocabulary.first[octets], np.arange(1, n + 1), np.arange(-1, n - 1), np.append(vocabulary.first_pairs[octets[:-1], octets[1:]], -1)))
+    tokens_, following_, before_, ranks_ = (np.frombuffer(v, np.int32) for v in (tokens, following, before, ranks))
+    order = np.argsort(ranks_, kind="stable")
+    order = order[np.searchsorted(ranks_[order], 0) :]
+    there, starts = np.unique(ranks_[order], return_index=True)
+    initial = dict(zip(there.tolist(), np.split(order, starts[1:]), strict=False))
+    index: dict[int, list[int]] = {rank: [] for rank in initial}
     queue = list(index)
     heapq.heapify(queue)
 
-    def stands(rank: int, place: int) -> None:
-        found = index.get(rank)
-        if found is None:
-            index[rank] = [place]
-            heapq.heappush(queue, rank)
-        else:
-            found.append(place)
+    def stand(found: int | None, place: int) -> None:
+        if found is not None:
+            places = index.get(found)
+            if places is None:
+                index[found] = [place]
+                heapq.heappush(queue, found)
+            else:
+                places.append(place)
 
-    while queue:
-        rank = heapq.heappop(queue)
-        places = index.pop(rank)
-        places.sort()
+    def one_after_the_other(rank: int, places: list[int]) -> None:
         for i, place in enumerate(places):
             if ranks[place] != rank:
                 continue
             gone = following[place]
             right, left = following[gone], before[place]
-            tokens[place], following[place], before[right], ranks[gone] = rank, right, place, None
-            ranks[place] = ahead = merge(rank << bits | tokens[right])
-            ranks[left] = behind = merge(tokens[left] << bits | rank)
-            if ahead is not None:
-                stands(ahead, place)
-            if behind is not None:
-                stands(behind, left)
+            tokens[place], following[place], before[right], ranks[gone], tokens[gone] = rank, right, place, -1, -1
+            ahead, behind = merge(rank << bits | tokens[right]), merge(tokens[left] << bits | rank)
+            ranks[place] = -1 if ahead is None else ahead
+            ranks[left] = -1 if behind is None else behind
+            stand(ahead, place)
+            stand(behind, left)
             if (ahead is not None and ahead < rank) or (behind is not None and behind < rank):
-                rest = places[i + 1 :]
-                if rest:
-                    index[rank] = rest
+                if i + 1 < len(places):
+                    index[rank] = places[i + 1 :]
                     heapq.heappush(queue, rank)
-                break
-    out, current, place = [], [], following[0]
-    while place < n:
-        token = tokens[place]
-        if token == stop:
-            out.append(current)
-            current = []
-        else:
-            current.append(token)
-        place = following[place]
-    return out
+                return
+
+    def together(rank: int, places: np.ndarray) -> bool:
+        """False, with nothing done, where the order of these merges could matter: neighbours, or a new pair of lower rank."""
+        gone = following_[places]
+        right, left = following_[gone], before_[places]
+        if (right[:-1] >= places[1:]).any():
+            return False
+        ahead = list(map(merge, (tokens_[right].astype(np.int64) | rank << bits).tolist()))
+        behind = list(map(merge, (tokens_[left].astype(np.int64) << bits | rank).tolist()))
+        new_ahead, new_behind = (np.array([-1 if r is None else r for r in found], np.int32) for found in (ahead, behind))
+        if ((new_ahead >= 0) & (new_ahead < rank)).any() or ((new_behind >= 0) & (new_behind < rank)).any():
+            return False
+        tokens_[places], following_[places], before_[right], ranks_[gone], tokens_[gone] = rank, right, places, -1, -1
+        ranks_[places], ranks_[left] = new_ahead, new_behind
+        for found, at in ((ahead, places), (behind, left)):
+            for r, place in zip(found, at.tolist(), strict=True):
+                if r is not None:
+                    stand(r, place)
+        return True
+
+    while queue:
+        rank = heapq.heappop(queue)
+        places, given = index.pop(rank), initial.pop(rank, None)
+        if len(places) + (0 if given is None else len(given)) < MANY:
+            one_after_the_other(rank, sorted(places if given is None else places + given.tolist()))
+            continue
+        at = np.array(places, np.int64) if given is None else np.concatenate([given, np.array(places, np.int64)])
+        at = np.sort(at[ranks_[at] == rank])
+        if not together(rank, at):
+            one_after_the_other(rank, at.tolist())
+    live = (tokens_ >= 0) & inside
+    return tokens_[live], np.diff(np.cumsum(live)[stops])
 
 
 def segments(text: str, size: int = CHUNK) -> Iterator[str]:
@@ -166,8 +199,11 @@ def newer_characters() -> frozenset[str]:
 class Encoder:
     """Ids of texts under a vocabulary and a pattern, with the units met so far. The pattern may have white space only alone or as a piece's first space."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, known: int = KNOWN):
-        self.vocabulary, self.pieces, self.most = vocabulary, regex.compile(pattern), known
+    def __init__(self, vocabulary: Vocabulary, pattern: str, known: int = KNOWN, together: int = TOGETHER):
+        self.vocabulary, self.pieces, self.most, self.together = vocabulary, regex.compile(pattern), known, together
+        #: Whether letters behind a space are always one piece: that alternative comes before any other but contractions.
+        before = pattern.split(r"| ?\p{L}+|")[0]
+        self.letters_are_whole = before != pattern and all(a.startswith("'") for a in before.split("|"))
         self.known: dict[str, bytes] = {}
         #: Newer characters are split as the unassigned ones that they are to the library.
         self.newer = newer_characters()
@@ -178,30 +214,43 @@ class Encoder:
             return [unit[slice(*m.span())] for m in self.pieces.finditer(unit.translate(self.unassigned))]
         return self.pieces.findall(unit)
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
     def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of units given with their space."""
-        split = {unit: self._split(unit) for unit in new}
-        met = {piece for pieces in split.values() for piece in pieces}
-        of, todo = {}, []
-        for piece in met:
-            octets = piece.encode("utf-8")
-            whole = self.vocabulary.ranks.get(octets)
-            if whole is None:
-                todo.append((piece, octets))
+        whole, split = [], {}
+        for unit in new:
+            if self.letters_are_whole and unit[1:].isalpha() and unit[0] == " ":
+                whole.append(unit)
+            else:
+                split[unit] = self._split(unit)
+        met = list({piece for pieces in split.values() for piece in pieces}.union(whole))
+        octets = [piece.encode("utf-8") for piece in met]
+        ranks = list(map(self.vocabulary.ranks.get, octets))
+        todo = [o for o, rank in zip(octets, ranks, strict=True) if rank is None]
+        packed, sizes, low = [], [], 0
+        while low < len(todo):
+            ids, counts = replay(todo[low : low + self.together], self.vocabulary)
+            packed.append(ids.astype("<u4").tobytes())
+            sizes += counts.tolist()
+            low += self.together
+        flat, at, of = b"".join(packed), 0, {}
+        size = iter(sizes)
+        for piece, rank in zip(met, ranks, strict=True):
+            if rank is None:
+                end = at + 4 * next(size)
+                of[piece] = flat[at:end]
+                at = end
             else:
-                of[piece] = self._pack([whole])
-        for (piece, _), ids in zip(todo, replay([o for _, o in todo], self.vocabulary), strict=True):
-            of[piece] = self._pack(ids)
-        return {unit: b"".join(map(of.__getitem__, pieces)) for unit, pieces in split.items()}
+                of[piece] = rank.to_bytes(4, "little")
+        for unit, pieces in split.items():
+            if len(pieces) != 1:
+                of[unit] = b"".join(map(of.__getitem__, pieces))
+        return of
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of each text."""
         split = [units(t) for t in texts]
-        wanted = {u for parts in split for u in parts[1:]}
-        new = [u for u in wanted if u not in self.known]
+        wanted = set().union(*split)
+        new = wanted - self.known.keys()
         learnt = self._learn({" " + u for u in new} | {parts[0] for parts in split})
         known = self.known
         for u in new:
