@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 # Fixed values of the public dither sequence: table length, generator, scaling and zero marker.
 N_RANDOM = 10000
@@ -208,3 +209,84 @@ def zscale_limits(sample: np.ndarray, contrast: float = Z_CONTRAST) -> tuple[flo
     if not (z2 > z1) or not (np.isfinite(z1) and np.isfinite(z2)):
         return None
     return float(z1), float(z2)
+
+
+#: Pixels of partial sums that a task holds before it passes them on.
+HELD_PIXELS = 1 << 21
+SUMS_SCHEMA = (
+    "z int, tile_x int, tile_y int, w int, tr double, tg double, tb double, h int, "
+    "r array<double>, g array<double>, b array<double>, shown array<boolean>"
+)
+_SUMS = pa.schema(
+    [(c, pa.int32()) for c in ("z", "tile_x", "tile_y", "w")] + [(c, pa.float64()) for c in ("tr", "tg", "tb")] + [("h", pa.int32())]
+    + [(c, pa.list_(pa.float64())) for c in "rgb"] + [("shown", pa.list_(pa.bool_()))]
+)
+
+
+class _Sums:
+    """By tile (place, width, divisors): its height, sums of shape (3, pixels) and mask. Bands may end at different rows."""
+
+    def __init__(self):
+        self.held: dict[tuple, list] = {}
+        self.size = 0
+
+    def add(self, head: tuple, h: int, sums: np.ndarray, mask: np.ndarray) -> None:
+        n = len(mask)
+        if head not in self.held:
+            self.held[head] = [h, np.zeros((3, n)), np.zeros(n, bool)]
+            self.size += n
+        mine = self.held[head]
+        if n > len(mine[2]):
+            more = n - len(mine[2])
+            self.size += more
+            mine[:] = h, np.pad(mine[1], ((0, 0), (0, more))), np.pad(mine[2], (0, more))
+        mine[1][:, :n] += sums
+        mine[2][:n] |= mask
+
+    def batch(self) -> pa.RecordBatch:
+        heads, held = list(self.held), list(self.held.values())
+        offsets = np.concatenate([[0], np.cumsum([len(m) for _, _, m in held])]).astype(np.int32)
+        arrays = [pa.array([h[i] for h in heads], _SUMS.field(i).type) for i in range(7)] + [pa.array([h for h, _, _ in held], pa.int32())]
+        arrays += [pa.ListArray.from_arrays(offsets, np.concatenate([s[c] for _, s, _ in held])) for c in range(3)]
+        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([m for _, _, m in held]))))
+        return pa.RecordBatch.from_arrays(arrays, schema=_SUMS)
+
+
+def weighted_sums(batches):
+    """Stretched pixels times weights, summed by tile over the bands that this task meets.
+
+    z, tile_x, tile_y, w, h, x0, x2, k, weights of r, g, b, their totals, pixels -> partial sums.
+    """
+    found = _Sums()
+    for batch in batches:
+        heads = zip(*[batch.column(i).to_pylist() for i in range(14)], strict=True)
+        column = batch.column(14)
+        offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        for (z, tx, ty, w, h, x0, x2, k, wr, wg, wb, tr, tg, tb), low, high in zip(heads, offsets, offsets[1:], strict=False):
+            v = flat[low:high].astype(np.float64)
+            there = ~np.isnan(v)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                n = np.clip((v - x0) / (x2 - x0), 0.0, 1.0) if x2 != x0 else np.where(v == x0, np.nan, v > x0)
+                s = np.where(there, np.log(k * n + 1) / np.log(k + 1) if k > 0 else n, 0.0)
+            found.add((z, tx, ty, w, tr, tg, tb), h, np.multiply.outer((wr, wg, wb), s), there)
+        if found.size >= HELD_PIXELS:
+            yield found.batch()
+            found = _Sums()
+    if found.held:
+        yield found.batch()
+
+
+def added_sums(batches):
+    """Partial sums, sorted by tile, added up: the same columns, one row for each tile."""
+    found = _Sums()
+    for batch in batches:
+        heads = zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True)
+        offsets, heights = batch.column(8).offsets.to_numpy(), batch.column(7).to_pylist()
+        flat = [batch.column(8 + c).values.to_numpy(zero_copy_only=False) for c in range(4)]
+        for head, h, low, high in zip(heads, heights, offsets, offsets[1:], strict=False):
+            if found.held and head not in found.held:
+                yield found.batch()
+                found = _Sums()
+            found.add(head, h, np.stack([f[low:high] for f in flat[:3]]), flat[3][low:high])
+    if found.held:
+        yield found.batch()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starloom import kernels
 from starloom.functions import stretch as S
 from starloom.functions.let import let, pack
 
@@ -91,32 +92,21 @@ def weighted_composite(tiles: DataFrame, weighted: DataFrame, saturation: float
 
     ``weighted``: band, x0, x2, k, wr, wg, wb, one row for each band of the view, however many. A NaN band adds nothing
     but its weight stays in the divisor; a channel without weight is 0; a pixel where every stored band is NaN is not
-    shown. A tile gathers one array per band.
+    shown. Sums of whole tiles are formed before the shuffle and added up after it; no tile gathers its bands.
     """
     whole = Window.partitionBy()  # a row per band of one view
     named = weighted.withColumns({"_t" + c: F.sum(c).over(whole) for c in ("wr", "wg", "wb")})
     knobs = ["x0", "x2", "k", "wr", "wg", "wb", "_twr", "_twg", "_twb"]
-    joined = tiles.join(named, "band").groupBy("z", "tile_x", "tile_y", "w").agg(
-        F.max("h").alias("h"), F.array_sort(F.collect_list(F.struct("band", *knobs, "pixels"))).alias("bands")
-    )
-    none = F.struct(*[F.lit(0.0).alias(c) for c in "rgb"], F.lit(False).alias("shown"))
-
-    def added(acc: Column, b: Column) -> Column:
-        def one(a: Column, v: Column) -> Column:
-            s = S.scale_value(v, b["x0"], b["x2"], "trilogy", b["k"])
-            more = let(s, lambda x: F.struct(*[(a[c] + b["w" + c] * x).alias(c) for c in "rgb"], F.lit(True).alias("shown")))
-            return F.when(_has_data(v), more).otherwise(a)
-
-        return F.zip_with(acc, b["pixels"], one)
-
-    sums = F.aggregate("bands", F.array_repeat(none, F.col("w") * F.col("h")), added)
-    total = {c: F.col("bands")[0]["_tw" + c] for c in "rgb"}
+    joined = tiles.join(named, "band").select("z", "tile_x", "tile_y", "w", "h", *[F.col(c).cast("double").alias(c) for c in knobs], "pixels")
+    partial = joined.mapInArrow(kernels.weighted_sums, kernels.SUMS_SCHEMA)
+    dealt = partial.repartition("z", "tile_x", "tile_y").sortWithinPartitions("z", "tile_x", "tile_y")
+    sums = dealt.mapInArrow(kernels.added_sums, kernels.SUMS_SCHEMA)
 
     def finished(a: Column) -> Column:
-        chans = [F.when(total[c] > 0, S.clamp01(a[c] / total[c])).otherwise(0.0) for c in "rgb"]
+        chans = [F.when(F.col("t" + c) > 0, S.clamp01(a[c] / F.col("t" + c))).otherwise(0.0) for c in "rgb"]
         return _shown(S.saturate(*chans, saturation), a["shown"])
 
-    return joined.select("z", "tile_x", "tile_y", "w", "h", F.transform(sums, finished).alias("out"))
+    return sums.select("z", "tile_x", "tile_y", "w", "h", F.transform(F.arrays_zip("r", "g", "b", "shown"), finished).alias("out"))
 
 
 def colour_mapped(pixels: DataFrame, lut: DataFrame, scaled: Column, size: int = 256) -> DataFrame:

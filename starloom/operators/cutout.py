@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from starloom.functions import grid
 from starloom.functions.nan import is_finite
 from starloom.functions.wcs import FIELDS, Wcs, sky_to_pix
-from starloom.operators.ordering import coalesce_ranges
+from starloom.operators.ordering import coalesce_bounded
 
 PERIMETER_SAMPLES = 16
 
@@ -170,7 +170,8 @@ def plan_files(plan: DataFrame) -> DataFrame:
 def plan_byte_ranges(plan: DataFrame, index: DataFrame, gap: int = 0) -> DataFrame:
     """Byte ranges to fetch per request and file. ``index``: filename, local_x, local_y, start, length."""
     hits = plan.filter(~F.col("missing")).join(index, ["filename", "local_x", "local_y"])
-    return coalesce_ranges(hits.select("request_id", "filename", "start", "length"), ["request_id", "filename"], gap)
+    # A supertile file has a bounded number of tiles, and so has a request in it.
+    return coalesce_bounded(hits.select("request_id", "filename", "start", "length"), ["request_id", "filename"], gap)
 
 
 def ancestors(wanted: DataFrame, first: int, max_level: Column | int) -> DataFrame:

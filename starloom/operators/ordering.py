@@ -7,8 +7,10 @@ and carry one small row per (group, range) across them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starloom.functions.let import let
@@ -111,6 +113,44 @@ def coalesce_ranges(df: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFra
     )
 
 
+def _unions(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatch]:
+    """Ranges (keys, then start, stop, pieces) of one batch and key that touch, overlap or lie at most ``gap`` apart, as one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n = batch.num_columns - 3
+        start, stop, pieces = (batch.column(n + i).to_numpy() for i in range(3))
+        codes = [batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy() for i in range(n)]
+        order = np.lexsort((start, *codes))
+        start, stop, pieces, codes = start[order], stop[order], pieces[order], [c[order] for c in codes]
+        first = np.ones(len(order), bool)
+        first[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+        # The furthest stop so far within the key: running maxima of ranks that are lifted from key to key.
+        ends, rank = np.unique(stop, return_inverse=True)
+        lift = np.cumsum(first) * len(ends)
+        reach = ends[np.maximum.accumulate(rank + lift) - lift]
+        first[1:] |= start[1:] > reach[:-1] + gap
+        at = np.flatnonzero(first)
+        last = np.append(at[1:], len(order)) - 1
+        keys = batch.select(range(n)).take(pa.array(order[at]))
+        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(start[at]), pa.array(reach[last]), pa.array(np.add.reduceat(pieces, at))], schema=batch.schema)
+
+
+def coalesce_bounded(df: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFrame:
+    """:func:`coalesce_ranges` for keys whose ranges, once united, fit a task: no checkpoint and one shuffle.
+
+    Merging is associative, so each batch unites its ranges first and what is left of a key is united after the
+    shuffle. ``pieces`` counts ranges. For keys of any size use :func:`coalesce_ranges`.
+    """
+    whole = df.select(*keys, F.col("start").cast("bigint").alias("start"), (F.col("start") + F.col("length")).cast("bigint").alias("stop"), F.lit(1).cast("bigint").alias("pieces"))
+    united = whole.mapInArrow(lambda batches: _unions(batches, gap), whole.schema)
+    order = Window.partitionBy(*keys).orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = united.withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0))
+    islands = marked.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), (F.max("stop") - F.min("start")).alias("length"), F.sum("pieces").alias("pieces"))
+
+
 #: Values of one key that a window may rank at once; larger brackets are narrowed by digits first.
 RANKED_AT_ONCE = 1 << 16
 
@@ -130,13 +170,49 @@ def ordered_code(v: Column) -> Column:
     return let(F.abs(v), coded) * F.when(v < 0, -1).otherwise(1)
 
 
+#: Size of the quantile sketches of groups that are too large to be ranked at once, and the share of a group's ranks by which
+#: such a sketch is off, twice over (the published error at 99 %).
+SKETCH, GRID = 4096, 1024
+SKETCH_ERROR = 2 * 2.296 / SKETCH**0.9723
+
+
+def _sketched(base: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key of ``wide``: disjoint ascending intervals ``spans`` that should hold its ``ranks``, from a mergeable sketch of its values."""
+    names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    held = base.join(wide.select(*names), _same(keys)).groupBy(*keys).agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_sketch"))
+    found = wide.join(held.select(*names, "_sketch"), _same(keys)).drop(*[f"_k{i}" for i in range(len(keys))])
+    # Quantiles are asked for on a fixed grid; an interval reaches to the grid points beyond the error on both sides.
+    edges = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]))
+    found = found.withColumn("_edges", edges).drop("_sketch")
+    share = F.transform(F.array_sort("ranks"), lambda r: r / F.col("n"))
+    edge = lambda i: F.get("_edges", F.least(F.greatest(i, F.lit(0)), F.lit(GRID)).cast("int"))
+    found = found.withColumn("_lows", F.transform(share, lambda p: edge(F.floor((p - SKETCH_ERROR) * GRID))))
+    found = found.withColumn("_highs", F.transform(share, lambda p: edge(F.ceil((p + SKETCH_ERROR) * GRID))))
+    spans = F.zip_with("_lows", "_highs", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    # Intervals ascend at both ends, so one that begins within the last one only moves its end.
+    joined = F.aggregate(
+        spans, F.array().cast("array<struct<lo:double,hi:double>>"),
+        lambda done, s: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["hi"] >= s["lo"]),
+                               F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.get(done, F.size(done) - 1)["lo"].alias("lo"), s["hi"].alias("hi"))))).otherwise(F.concat(done, F.array(s))),
+    )
+    return found.withColumn("spans", joined).drop("_edges", "_lows", "_highs")
+
+
+def _same(keys: list[str]) -> Column:
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Column, bound: int = RANKED_AT_ONCE) -> DataFrame:
     """Per key: ``n`` finite values and ``at`` (MAP rank -> value) for ``ranks``, an array computed from ``n``.
 
-    A bracket of more than ``bound`` values is narrowed by the next 16 bits of :func:`ordered_code`, counted with partial
-    aggregates: at most 65 536 rows per bracket and task, four times at most, whatever the distribution. What is left
-    is ranked by its distinct values. Brackets are checkpointed, so each pass is one scan of ``df``. A key without
-    finite values has ``n`` = 0 and an empty map.
+    ``df`` is read twice where no key has more than ``bound`` values, else three times: for the totals, for sketches of the large keys, whose
+    quantiles give intervals around the ranks, and to count the values between intervals and each distinct one inside. Counts show whether a rank
+    lies in its interval; one that does not is looked for again in the gap where it lies. Only the distinct values inside are kept
+    (checkpointed). More than ``bound`` of them are narrowed by 16 bits of :func:`ordered_code` at a time, with partial aggregates,
+    whatever the distribution; what is left is ranked. A key without finite values has ``n`` = 0 and an empty map.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -145,35 +221,65 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Column,
         df.groupBy(*keys).agg(F.count(F.when(finite, 1)).alias("n"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"))
     )
     base = df.filter(finite).select(*keys, (v + 0.0).alias("_v"))
-    brackets = whole.filter("n > 0").select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("held"), F.array_distinct(ranks.cast("array<bigint>")).alias("ranks"))
-    on = [*keys, "lo", "hi", "below", "ranks"]
+    span = F.array(F.struct(F.col("lo"), F.col("hi")))
+    todo = whole.filter("n > 0").select(*keys, "n", F.array_distinct(ranks.cast("array<bigint>")).alias("ranks"), span.alias("spans"))
+    large = (F.col("n") > bound) & (F.col("spans")[0]["lo"] < F.col("spans")[0]["hi"])
+    wide = todo.filter(large)
+    if not wide.isEmpty():
+        todo = materialise(todo.filter(~large).unionByName(_sketched(base, wide.drop("spans"), keys)))
+    brackets = cells = None
+    for attempt in range(1 << 16):
+        hit, inside, todo = _settled(base, todo, keys, attempt)
+        brackets, cells = (hit, inside) if brackets is None else (brackets.unionByName(hit), cells.unionByName(inside))
+        if todo.isEmpty():
+            break
+    on = [*keys, "_try", "lo", "hi", "below", "ranks"]
     upto = Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
 
-    def inside(wanted: DataFrame) -> DataFrame:
-        renamed = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "lo", "hi", "below", "ranks")
-        same = F.col("_v").between(F.col("lo"), F.col("hi"))
-        for i, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        return base.join(renamed, same)
+    def within(wanted: DataFrame) -> DataFrame:
+        renamed = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_try").alias("_t"), "lo", "hi", "below", "ranks")
+        return cells.join(renamed, F.col("_v").between(F.col("lo"), F.col("hi")) & (F.col("_try") == F.col("_t")) & _same(keys))
 
     def counted(rows: DataFrame, cell: Column) -> DataFrame:
-        cells = rows.groupBy(*on, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        cells = cells.withColumn("_below", F.col("below") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-        return cells.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))).filter(F.size("ranks") > 0)
+        sums = rows.groupBy(*on, cell.alias("_cell")).agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_held"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        sums = sums.withColumn("_below", F.col("below") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        return sums.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("_below")) & (r < F.col("_below") + F.col("_c")))).filter(F.size("ranks") > 0)
 
-    wide = (F.col("held") > bound) & (F.col("lo") < F.col("hi"))
+    wide = F.col("held") > bound
     for shift in (48, 32, 16, 0):
-        large = brackets.filter(wide)
-        if large.isEmpty():
+        crowded = brackets.filter(wide)
+        if crowded.isEmpty():
             break
         digit = F.shiftright(ordered_code(F.col("_v")), shift)
-        narrowed = counted(inside(large), digit).select(
-            *keys, F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_below").alias("below"), F.col("_c").alias("held"), "ranks"
+        narrowed = counted(within(crowded), digit).select(
+            *keys, "_try", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_below").alias("below"), F.col("_held").alias("held"), "ranks"
         )
         brackets = materialise(brackets.filter(~wide).unionByName(narrowed))
-    found = counted(inside(brackets), F.col("_v")).select(*keys, F.explode("ranks").alias("_rank"), F.col("_cell").alias("_value"))
+    found = counted(within(brackets), F.col("_v")).select(*keys, F.explode("ranks").alias("_rank"), F.col("_cell").alias("_value"))
     maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("at"))
-    return whole.join(maps, keys, "left").select(*keys, "n", F.coalesce("at", F.create_map().cast("map<bigint,double>")).alias("at"))
+    named = maps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "at")
+    return whole.join(named, _same(keys), "left").select(*keys, "n", F.coalesce("at", F.create_map().cast("map<bigint,double>")).alias("at"))
+
+
+def _settled(base: DataFrame, todo: DataFrame, keys: list[str], attempt: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over the values: brackets (keys, lo, hi, below, held, ranks) with exact counts, the distinct values inside intervals
+    with theirs, and what is left to do, with the gap as interval, where a rank lies outside of all."""
+    renamed = todo.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "spans")
+    at = F.size(F.filter("spans", lambda s: s["lo"] <= F.col("_v")))
+    rows = base.join(renamed, _same(keys)).select(*keys, "_v", at.alias("_at"), F.get("spans", at - 1)["hi"].alias("_end"))
+    gap = F.coalesce(F.col("_v") > F.col("_end"), F.lit(True))
+    cells = materialise(rows.groupBy(*keys, "_at", gap.alias("_gap"), F.when(~gap, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    # At most two blocks an interval and one more.
+    before = Window.partitionBy(*keys).orderBy("_at", "_gap").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cells.groupBy(*keys, "_at", "_gap").agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("held"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+    blocks = blocks.withColumn("below", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    asked = todo.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", F.col("ranks").alias("_ranks"))
+    placed = blocks.join(asked, _same(keys)).withColumn("ranks", F.filter("_ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("_n")))).filter(F.size("ranks") > 0)
+    placed = materialise(placed.select(*keys, "n", "lo", "hi", "below", "held", "ranks", "_gap"))
+    hit = placed.filter(~F.col("_gap")).select(*keys, F.lit(attempt).alias("_try"), "lo", "hi", "below", "held", "ranks")
+    span = F.struct("lo", "hi", "ranks")
+    missed = placed.filter("_gap").groupBy(*keys).agg(F.first("n").alias("n"), F.flatten(F.collect_list("ranks")).alias("ranks"), F.transform(F.array_sort(F.collect_list(span)), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))).alias("spans"))
+    return hit, cells.filter(~F.col("_gap")).select(*keys, F.lit(attempt).alias("_try"), "_v", "_c"), missed
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bound: int = RANKED_AT_ONCE, empty: bool = False) -> DataFrame:

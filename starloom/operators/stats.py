@@ -183,14 +183,17 @@ def view_values(windows: DataFrame, tiles: DataFrame, keys: list[str], cap: int
     counts every pixel, finite or not, over the tiles in row-major order; so it is worked
     out from tile sizes alone before any pixel is touched.
     """
+    by = [*keys, "band"]
+    if cap is None:
+        shown = windows.join(tiles.select("band", "z", "tile_x", "tile_y", "pixels"), ["band", "z", "tile_x", "tile_y"])
+        return shown.select(*by, F.explode(F.filter("pixels", lambda v: is_finite(v))).alias("v"))
     size = F.col("w").cast("long") * F.col("h")
     sized = windows.join(tiles.select("band", "z", "tile_x", "tile_y", "w", "h"), ["band", "z", "tile_x", "tile_y"])
-    by = [*keys, "band"]
     order = Window.partitionBy(*by).orderBy("tile_y", "tile_x").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_at", F.coalesce(F.sum(size).over(order), F.lit(0))).withColumn(
         "_all", F.sum(size).over(Window.partitionBy(*by))
     )
-    stride = (F.lit(1) if cap is None else F.when(F.col("_all") > cap, F.ceil(F.col("_all") / cap)).otherwise(F.lit(1))).cast("long")
+    stride = F.when(F.col("_all") > cap, F.ceil(F.col("_all") / cap)).otherwise(F.lit(1)).cast("long")
     pixels = placed.withColumn("_s", stride).drop("w", "h").join(
         tiles.select("band", "z", "tile_x", "tile_y", "pixels"), ["band", "z", "tile_x", "tile_y"]
     )

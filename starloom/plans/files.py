@@ -473,24 +473,25 @@ def table_header(rows, wide, k):
     )
 
 
-def compressed_tables(spark, sf):
-    """Orders as compressed tables, one row of the table per line item, written out byte by byte.
+def compressed_tables(spark, sf, key="l_orderkey", other="l_suppkey"):
+    """Orders (or suppliers) as compressed tables, one row of the table per line item, written out byte by byte.
 
     Scales are 2.0 and zero points 1.0 or -0.5, whose bytes are known constants.
     """
     li = D.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    wide = F.col("l_orderkey") % 2 == 0
+    wide = F.col(key) % 2 == 0
+    order = [c for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice") if c != key]
     hexed = lambda v, n: F.lpad(F.hex(v.cast("bigint")), n, "0")
     width = F.when(wide, 16).otherwise(8)
     desc = F.when(wide, F.concat(hexed(F.col("l_quantity"), 16), hexed(F.col("l_partkey") * 100, 16))).otherwise(
         F.concat(hexed(F.col("l_quantity"), 8), hexed(F.col("l_partkey") * 100, 8))
     )
-    row = F.concat(desc, hexed(F.col("l_suppkey"), 8), F.lit("4000000000000000"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("3FF0000000000000")).otherwise(F.lit("BFE0000000000000")))
-    # An order has a handful of line items.
-    per = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", row.alias("hex")))).alias("rows"), F.count(F.lit(1)).alias("n")
+    row = F.concat(desc, hexed(F.col(other), 8), F.lit("4000000000000000"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("3FF0000000000000")).otherwise(F.lit("BFE0000000000000")))
+    # An order has a handful of line items, a supplier some hundred: a table of theirs is a value of one row, as the format's content is.
+    per = li.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(*order, row.alias("hex")))).alias("rows"), F.count(F.lit(1)).alias("n")
     )
-    k = F.col("l_orderkey")
+    k = F.col(key)
     return per.select(
         k.cast("string").alias("file"), table_header(F.col("n"), k % 2 == 0, k).alias("header"), F.lit(5760).cast("bigint").alias("data_start"),
         F.unhex(F.array_join(F.transform("rows", lambda e: e["hex"]), "")).alias("content"),
@@ -510,13 +511,35 @@ SELECT l_orderkey::VARCHAR AS file, row::BIGINT AS local_x, 0::BIGINT AS local_y
        CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE -1 END::BIGINT AS dither_method, (l_orderkey % 10000 + 1)::BIGINT AS zdither0 FROM tb WHERE l_orderkey % 17 <> 0""",
 )
 def tile_index(spark, sf):
-    from starloom.sources import fits as FITS
+    from starloom.sources import tile_table as TT
 
-    t = compressed_tables(spark, sf)
-    out = FITS.tile_index(FITS.table_layout(t.select("file", "header", "data_start")), t.select("file", "content"))
+    out = TT.tile_index(compressed_tables(spark, sf))
     return out.select("file", *big("local_x", "local_y", "start", "length", "w", "h"), "zscale", "zzero", "zblank", *big("dither_method", "zdither0"))
 
 
+@query(
+    "tile_index_scan",
+    """WITH tb AS (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS row, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+SELECT 's' || l_suppkey || '.fits.fz' AS file, row::BIGINT AS local_x, (5760 + n * CASE WHEN l_suppkey % 2 = 0 THEN 36 ELSE 28 END + l_partkey * 100)::BIGINT AS start, l_quantity::BIGINT AS length,
+       least(16, n * 16 - 5 - row * 16)::BIGINT AS w, CASE WHEN l_linenumber % 2 = 0 THEN 1e0 ELSE -0.5e0 END AS zzero, l_orderkey::DOUBLE AS zblank, (l_suppkey % 10000 + 1)::BIGINT AS zdither0
+FROM tb WHERE l_suppkey % 17 <> 0""",
+)
+def tile_index_scan(spark, sf):
+    """The line items of each supplier written as a compressed-image file, then the folder's row tables scanned; files of other kinds are passed over."""
+    from starloom.sources import fits as FITS, objects as OBJ, tile_table as TT
+
+    folder, t = scratch(spark), compressed_tables(spark, sf, "l_suppkey", "l_orderkey")
+    block = lambda text: F.encode(F.rpad(text, FITS.BLOCK, " "), "US-ASCII")
+    primary = F.concat(F.rpad(F.lit("SIMPLE  =                    T"), 80, " "), card("BITPIX", F.lit("8")), card("NAXIS", F.lit("0")), F.rpad(F.lit("END"), 80, " "))
+    size = F.octet_length("content")
+    padding = F.unhex(F.repeat(F.lit("00"), ((FITS.BLOCK - size % FITS.BLOCK) % FITS.BLOCK).cast("int")))
+    files = t.select(F.explode(F.array(F.concat(F.lit("s"), "file", F.lit(".fits.fz")), F.concat(F.lit("s"), "file", F.lit(".fits")))).alias("path"), F.concat(block(primary), block(F.col("header")), "content", padding).alias("content"))
+    OBJ.write_objects(files.filter(F.col("path").endswith(".fz") | (F.substring("path", 2, 1) == "1")), folder)
+    out = TT.scan_tile_index(spark, folder)
+    return out.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), *big("local_x", "start", "length", "w"), "zzero", "zblank", *big("zdither0"))
+
+
 @query(
     "table_checks",
     f"""WITH {TABLES_SQL}, o AS (SELECT DISTINCT l_orderkey AS k, n FROM tb)
@@ -524,10 +547,10 @@ SELECT k::VARCHAR AS entity, 'compression' AS rule, 'HCOMPRESS_1' AS detail FROM
 UNION ALL SELECT k::VARCHAR, 'heap_overflow', (k * 1000000)::VARCHAR FROM o WHERE k % 2 = 1 AND k * 1000000 >= 2147483648""",
 )
 def table_checks(spark, sf):
-    from starloom.sources import fits as FITS
+    from starloom.sources import tile_table as TT
 
     t = compressed_tables(spark, sf)
-    lay = FITS.table_layout(t.select("file", "header", "data_start")).withColumn("entity", F.col("file"))
+    lay = TT.table_layout(t.select("file", "header", "data_start")).withColumn("entity", F.col("file"))
     heap = lay.select("entity", F.transform("columns", lambda c: c["tform"]).alias("tforms"), (F.col("pcount") * 1000).alias("pcount"))
     return V.tile_tables(lay).unionByName(V.heap_overflow(heap))
 

@@ -374,7 +374,8 @@ def window_values(spark, sf):
     rows = wins.select("*", F.explode(F.sequence(F.col("vy"), F.col("vy") + F.col("ny") - 1)).alias("tile_y")).select(
         "*", F.explode(F.sequence(F.col("vx"), F.col("vx") + F.col("nx") - 1)).alias("tile_x")
     ).withColumn("z", F.lit(0))
-    return ST.view_values(rows, D.native_tiles(spark, sf), WINDOW)
+    # Stored tiles are what a view is measured on; several passes read them.
+    return ST.view_values(rows, materialise(D.native_tiles(spark, sf)), WINDOW)
 
 
 @query(

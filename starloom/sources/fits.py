@@ -1,14 +1,16 @@
-"""FITS files: discovery, header scan, image rows, compressed-tile index.
+"""FITS files: discovery, header scan, image rows.
 
-Listing never opens a file (the content column of the binary reader is pruned). Headers,
-row tables and image strips are then read by byte range on the executors.
+Listing never opens a file (the content column of the binary reader is pruned). Headers
+and image strips are then read by byte range on the executors.
 """
 
 from __future__ import annotations
 
 import gzip
+import math
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -38,15 +40,29 @@ def _open(path: str):
     return gzip.GzipFile(fileobj=handle) if path.lower().endswith(".gz") else handle
 
 
-def _number(cards: dict[str, str], key: str, default: int) -> int:
-    try:
-        return int(cards[key].split("/")[0])
-    except (KeyError, ValueError):
-        return default
+def header_words(text: str) -> dict[str, str]:
+    """First value of each keyword up to END: quoted text unquoted, else the word before the slash.
+
+    For code that walks a file; columns of header text are read by ``functions.cards``, to which the tests hold this.
+    """
+    out: dict[str, str] = {}
+    for i in range(0, len(text), CARD):
+        key, raw = text[i : i + 8].strip(), text[i + 10 : i + CARD]
+        if key == "END":
+            break
+        if key and text[i + 8 : i + 10] == "= " and key not in out:
+            quoted = re.match(r"[^/']*'((?:[^']|'')*)", raw)
+            out[key] = quoted[1].replace("''", "'").rstrip() if quoted else raw.split("/")[0].strip()
+    return out
+
 
+def header_number(given: dict[str, str], key: str, default: int | None = None) -> int | None:
+    value = given.get(key, "")
+    return int(value) if re.fullmatch(r"[+-]?\d+", value) else default
 
-def _headers_of(path: str) -> Iterator[tuple[int, str, int]]:
-    """(hdu, header text without padding blocks, offset of the data) down the file."""
+
+def headers_of(path: str) -> Iterator[tuple[int, str, int, BinaryIO]]:
+    """(hdu, header text without padding blocks, offset of the data, the open file) down the file."""
     with _open(path) as f:
         hdu, at = 0, 0
         while True:
@@ -60,20 +76,13 @@ def _headers_of(path: str) -> Iterator[tuple[int, str, int]]:
                 at += BLOCK
                 if any(block[i : i + 8] == b"END     " for i in range(0, BLOCK, CARD)):
                     break
-            yield hdu, text, at
-            cards: dict[str, str] = {}
-            for i in range(0, len(text), CARD):
-                card = text[i : i + CARD]
-                if card[8:10] == "= ":
-                    cards.setdefault(card[:8].strip(), card[10:])
-            axes = _number(cards, "NAXIS", 0)
+            yield hdu, text, at, f
+            given = header_words(text)
+            axes = header_number(given, "NAXIS", 0)
             size = 0
             if axes:
-                size = abs(_number(cards, "BITPIX", 8)) // 8 * _number(cards, "GCOUNT", 1)
-                cells = 1
-                for n in range(1, axes + 1):
-                    cells *= _number(cards, f"NAXIS{n}", 0)
-                size *= cells + _number(cards, "PCOUNT", 0)
+                cells = math.prod(header_number(given, f"NAXIS{n}", 0) for n in range(1, axes + 1))
+                size = abs(header_number(given, "BITPIX", 8)) // 8 * header_number(given, "GCOUNT", 1) * (cells + header_number(given, "PCOUNT", 0))
             at += -(-size // BLOCK) * BLOCK
             hdu += 1
 
@@ -83,7 +92,7 @@ def _scan_headers(batches):
         rows = []
         for path in pdf.path:
             try:
-                rows += [(path, hdu, text, start, None) for hdu, text, start in _headers_of(path)]
+                rows += [(path, hdu, text, start, None) for hdu, text, start, _ in headers_of(path)]
             except (OSError, EOFError, ValueError) as e:
                 rows.append((path, None, None, None, str(e)))
         yield pd.DataFrame(rows, columns=["file", "hdu", "header", "data_start", "error"])
@@ -187,156 +196,3 @@ def image_rows(spark: SparkSession, headers: DataFrame) -> DataFrame:
     # Strips of a plain file are read anywhere; those of a compressed one by the one task that inflates it.
     ranges = ranges.repartition("file", F.when(~F.lower("file").endswith(".gz"), F.col("y0"))).sortWithinPartitions("file", "start")
     return decode_image_rows(read_ranges(ranges), ["file", "img_h", "img_w"])
-
-
-# Bytes per element of each table column code.
-_CODE_BYTES = {"L": 1, "X": 1, "B": 1, "A": 1, "I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "C": 8, "M": 16}
-_LAYOUT = (
-    "file string, data_start bigint, zcmptype string, zquantiz string, row_bytes bigint, n_rows bigint, pcount bigint, "
-    "zblank_key bigint, znaxis1 bigint, znaxis2 bigint, ztile1 bigint, ztile2 bigint, block_size bigint, zdither0 bigint, "
-    "theap bigint, heap_start bigint, nx bigint, has_zscale boolean, valid boolean, "
-    "columns array<struct<name:string,tform:string,offset:int>>"
-)
-
-
-def _width(tform: str) -> int | None:
-    """Bytes of one table column: descriptors are 16 or 8, the rest count times element size."""
-    if "Q" in tform or "P" in tform:
-        return 16 if "Q" in tform else 8
-    found = re.match(r"\s*(\d*)([A-Z])", tform)
-    if found is None or found[2] not in _CODE_BYTES:
-        return None
-    return int(found[1] or 1) * _CODE_BYTES[found[2]]
-
-
-def _words(text: str) -> dict[str, str]:
-    """First value of each keyword up to END: quoted text unquoted, else the word before the slash."""
-    out: dict[str, str] = {}
-    for i in range(0, len(text), CARD):
-        key, raw = text[i : i + 8].strip(), text[i + 10 : i + CARD]
-        if key == "END":
-            break
-        if key and text[i + 8 : i + 10] == "= " and key not in out:
-            quoted = re.match(r"[^/']*'((?:[^']|'')*)", raw)
-            out[key] = quoted[1].replace("''", "'").rstrip() if quoted else raw.split("/")[0].strip()
-    return out
-
-
-def _layout_of(text: str) -> dict:
-    w = _words(text)
-
-    def number(key: str, default: int | None = None) -> int | None:
-        value = w.get(key, "")
-        return int(value) if re.fullmatch(r"[+-]?\d+", value) else default
-
-    columns, at = [], 0
-    for i in range(1, (number("TFIELDS", 0) or 0) + 1):
-        form = w.get(f"TFORM{i}", "")
-        columns.append({"name": w.get(f"TTYPE{i}", f"COL{i}"), "tform": form, "offset": at})
-        width = _width(form)
-        at = None if at is None or width is None else at + width
-    row_bytes, n_rows, n1, n2 = (number(k) for k in ("NAXIS1", "NAXIS2", "ZNAXIS1", "ZNAXIS2"))
-    t1, t2 = number("ZTILE1", n1), number("ZTILE2", 1)
-    names = {c["name"] for c in columns}
-    known = None not in (row_bytes, n_rows, n1, n2, at) and t1 and t2
-    nx = -(-n1 // t1) if known else None
-    kind = w.get("ZCMPTYPE")
-    valid = bool(
-        known and at == row_bytes and n_rows == nx * -(-n2 // t2) and kind in ("RICE_1", "GZIP_2")
-        and "COMPRESSED_DATA" in names and (kind != "RICE_1" or "ZSCALE" in names)
-    )
-    theap = number("THEAP", row_bytes * n_rows if known else None)
-    return {
-        "zcmptype": kind, "zquantiz": w.get("ZQUANTIZ"), "row_bytes": row_bytes, "n_rows": n_rows, "pcount": number("PCOUNT", 0),
-        "zblank_key": number("ZBLANK"), "znaxis1": n1, "znaxis2": n2, "ztile1": t1, "ztile2": t2,
-        "block_size": number("ZBLOCKSIZE", 32), "zdither0": number("ZDITHER0", 0), "theap": theap, "nx": nx,
-        "has_zscale": "ZSCALE" in names, "valid": valid, "columns": columns if at is not None else [],
-    }
-
-
-def _layouts(batches):
-    order = [part.split()[0] for part in re.sub(r"<.*>", "", _LAYOUT).split(", ")]
-    for pdf in batches:
-        rows = []
-        for file, text, start in zip(pdf.file, pdf.header, pdf.data_start):
-            made = _layout_of(text)
-            made.update(file=file, data_start=start, heap_start=None if made["theap"] is None else start + made["theap"])
-            rows.append([made[c] for c in order])
-        yield pd.DataFrame(rows, columns=order, dtype=object)
-
-
-def table_layout(headers: DataFrame) -> DataFrame:
-    """Byte layout of compressed-image tables from their header text, one row per file.
-
-    ``headers``: file, header, data_start. ``valid`` is false where the tile index cannot be
-    read (see ``validate.tile_tables`` for the reasons); ``columns`` lists name, tform, offset.
-    """
-    return headers.select("file", "header", "data_start").mapInPandas(_layouts, _LAYOUT)
-
-
-def _column(table: np.ndarray, columns, name: str, kind: str, width: int):
-    for c in columns:
-        if c["name"] == name:
-            raw = table[:, c["offset"] : c["offset"] + width]
-            return np.ascontiguousarray(raw).view(kind)
-    return None
-
-
-def _decode_rows(batches):
-    """Row tables to one row per tile; everything known per file rides along."""
-    for pdf in batches:
-        frames = []
-        for r in pdf.itertuples(index=False):
-            n = int(r.n_rows)
-            table = np.frombuffer(r.content, dtype=np.uint8, count=n * int(r.row_bytes)).reshape(n, int(r.row_bytes))
-            form = next(c["tform"] for c in r.columns if c["name"] == "COMPRESSED_DATA")
-            wide = "Q" in form
-            desc = _column(table, r.columns, "COMPRESSED_DATA", ">i8" if wide else ">i4", 16 if wide else 8)
-            blank = _column(table, r.columns, "ZBLANK", ">i4", 4)
-            key = np.nan if r.zblank_key is None or pd.isna(r.zblank_key) else float(r.zblank_key)
-            scale, zero = (_column(table, r.columns, c, ">f8", 8) for c in ("ZSCALE", "ZZERO"))
-            row = np.arange(n)
-            lx, ly = row % int(r.nx), row // int(r.nx)
-            frames.append(
-                {
-                    "file": np.full(n, r.file, dtype=object), "local_x": lx, "local_y": ly, "row": row,
-                    "start": int(r.heap_start) + desc[:, 1].astype(np.int64), "length": desc[:, 0].astype(np.int64),
-                    "w": np.minimum(int(r.ztile1), int(r.znaxis1) - lx * int(r.ztile1)), "h": np.minimum(int(r.ztile2), int(r.znaxis2) - ly * int(r.ztile2)),
-                    "zscale": np.full(n, np.nan) if scale is None else scale[:, 0].astype(float),
-                    "zzero": np.full(n, np.nan) if zero is None else zero[:, 0].astype(float),
-                    "zblank": np.full(n, key) if blank is None else blank[:, 0].astype(float),
-                    "dither_method": np.full(n, r.dither_method), "zdither0": np.full(n, r.zdither0),
-                    "compression": np.full(n, r.zcmptype, dtype=object), "block_size": np.full(n, r.block_size),
-                }
-            )
-        if frames:
-            yield pd.DataFrame({c: np.concatenate([f[c] for f in frames]) for c in frames[0]})
-
-
-_INDEX = (
-    "file string, local_x int, local_y int, row int, start bigint, length bigint, w int, h int, zscale double, zzero double, "
-    "zblank double, dither_method int, zdither0 int, compression string, block_size int"
-)
-
-
-def tile_index(layouts: DataFrame, row_tables: DataFrame) -> DataFrame:
-    """One row per compressed tile: where its bytes are and how to undo the quantisation.
-
-    ``layouts`` from :func:`table_layout`; ``row_tables``: file, content (the fixed-width
-    part of the table). Tables that break a rule of ``validate.tile_tables`` have no rows.
-    """
-    from starloom.operators.quantise import dither_method
-
-    ready = layouts.filter("valid").select(
-        "file", "n_rows", "row_bytes", "columns", "zblank_key", "heap_start", "zcmptype", "zdither0", "block_size",
-        "znaxis1", "znaxis2", "ztile1", "ztile2", "nx", dither_method(F.col("zquantiz")).alias("dither_method"),
-    )
-    return ready.join(row_tables.select("file", "content"), "file").mapInPandas(_decode_rows, _INDEX)
-
-
-def scan_tile_index(headers: DataFrame) -> DataFrame:
-    """Tile index of compressed files straight from their header scan; only row tables are read."""
-    tables = headers.filter("hdu = 1 and header is not null").select("file", "header", "data_start")
-    layouts = table_layout(tables)
-    ranges = layouts.select("file", F.col("data_start").alias("start"), (F.col("row_bytes") * F.col("n_rows")).alias("length"))
-    return tile_index(layouts, read_ranges(ranges).select("file", "content"))

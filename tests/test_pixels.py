@@ -167,3 +167,36 @@ def test_round_trip_flags(spark):
     b = spark.createDataFrame([("ok", 0, 0, 0, [1.05, nan]), ("mask", 0, 0, 0, [1.0, 2.0]), ("far", 0, 0, 0, [1.0, 3.0])], cols)
     tol = spark.createDataFrame([(n, 0, 0.1) for n in ("ok", "mask", "far", "lost")], "band string, z int, atol double")
     assert {r.band: r.ok for r in P.compare_tiles(a, b, tol).collect()} == {"ok": True, "mask": False, "far": False, "lost": False}
+
+
+def test_weighted_composite_of_five_hundred_bands(spark, monkeypatch):
+    """Partial sums over several tasks and flushes against one sum in numpy; holes, edge tiles, a band without spread, a channel without weight."""
+    from starloom import kernels
+    from starloom.operators import composite as C
+
+    monkeypatch.setattr(kernels, "HELD_PIXELS", 64)
+    rng = np.random.default_rng(11)
+    n, sizes = 500, {(0, 0): (8, 8), (1, 0): (5, 8)}
+    px = {(b, at): np.where(rng.random(w * h) < 0.3, np.nan, rng.random(w * h)).astype(np.float32) for b in range(n) for at, (w, h) in sizes.items()}
+    for b in range(n):
+        px[b, (0, 0)][3] = np.nan
+    knobs = [(f"b{b:03d}", 0.2, 0.2 if b == 7 else 0.9, float(b % 3) * 5, 1.0 + b % 4, float(b % 2), 0.0) for b in range(n)]
+    rows = [(f"b{b:03d}", 0, at[0], at[1], *sizes[at], p.tolist()) for (b, at), p in px.items()]
+    for b in (0, 9, 499):  # bands that end three rows earlier
+        px[b, (1, 0)][25:] = np.nan
+        rows = [(*r[:5], 5, r[6][:25]) if r[0] == f"b{b:03d}" and r[2] == 1 else r for r in rows]
+    tiles = spark.createDataFrame(rows, "band string, z int, tile_x int, tile_y int, w int, h int, pixels array<float>")
+    out = C.weighted_composite(tiles.repartition(7), spark.createDataFrame(knobs, "band string, x0 double, x2 double, k double, wr double, wg double, wb double"))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    for row in out.collect():
+        sums, seen = np.zeros((3, row.w * row.h)), np.zeros(row.w * row.h, bool)
+        for b, (_, x0, x2, k, *w) in enumerate(knobs):
+            v = px[b, (row.tile_x, row.tile_y)].astype(np.float64)
+            x = np.clip((v - x0) / (x2 - x0), 0, 1) if x2 != x0 else (v > x0).astype(float)
+            x = np.log(k * x + 1) / np.log(k + 1) if k > 0 else x
+            sums += np.outer(w, np.where(np.isnan(v), 0, x))
+            seen |= ~np.isnan(v)
+        total = np.array([sum(k[4 + c] for k in knobs) for c in range(3)])[:, None]
+        want = np.clip(np.divide(sums, total, out=np.zeros_like(sums), where=total > 0), 0, 1)
+        np.testing.assert_allclose(np.array([[p.r, p.g, p.b] for p in row.out]).T, want, atol=1e-12)
+        assert [p.shown for p in row.out] == seen.tolist()

@@ -3,13 +3,14 @@ import hashlib
 import itertools
 import json
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from starloom.operators import inventory as INV, ledger as L, tiles as T, validate as V
-from starloom.sources import catalog_csv as CSV, fits as FITS, metadata as META, objects as OBJ, tile_store as TS
+from starloom.sources import catalog_csv as CSV, fits as FITS, metadata as META, objects as OBJ, tile_store as TS, tile_table as TT
 
 
 def header(*cards):
@@ -78,14 +79,67 @@ def test_scan_compressed_tables(spark, tmp_path):
     (tmp_path / "t.fits.fz").write_bytes(head + padded(table.tobytes() + b"x" * 108))
     assert FITS.discover(spark, str(tmp_path)).count() == 0  # what a build puts out is no input
     heads = FITS.scan_headers(FITS.discover(spark, str(tmp_path), FITS.OUTPUT_GLOB))
-    idx = FITS.scan_tile_index(heads).orderBy("row").toPandas()
+    idx = TT.scan_tile_index(spark, str(tmp_path)).orderBy("row").toPandas()
     assert idx.start.tolist() == [len(head) + n * width + 8 + 10 * i for i in range(n)]
     assert idx.length.tolist() == [1, 2, 3, 4, 5, 6] and idx.w.tolist() == [100, 100, 50] * 2 and idx.h.tolist() == [100] * 3 + [50] * 3
     assert idx.zzero.tolist() == [0, 1, 2, 3, 4, 5] and set(idx.zblank) == {-9.0} and set(idx.dither_method) == {1}
-    lay = FITS.table_layout(heads.filter("hdu = 1")).withColumn("entity", F.lit("t")).withColumn("n_rows", F.lit(7))
+    lay = TT.table_layout(heads.filter("hdu = 1")).withColumn("entity", F.lit("t")).withColumn("n_rows", F.lit(7))
     assert [r.rule for r in V.tile_tables(lay).collect()] == ["row_count"]
 
 
+def row_table(n, seed):
+    table = np.zeros(n, dtype=[("d", ">i8", 2), ("b", ">i4"), ("s", ">f8")])
+    rng = np.random.default_rng(seed)
+    table["d"][:, 0], table["d"][:, 1] = rng.integers(1, 900, n), np.arange(n) * 900
+    table["b"], table["s"] = rng.integers(-9, 9, n), rng.random(n)
+    cards = [
+        ("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 28), ("NAXIS2", n), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 3),
+        ("TTYPE1", "'COMPRESSED_DATA'"), ("TFORM1", "'1QB(900)'"), ("TTYPE2", "'ZBLANK'"), ("TFORM2", "'1J'"), ("TTYPE3", "'ZSCALE'"), ("TFORM3", "'1D'"),
+        ("ZCMPTYPE", "'GZIP_2'"), ("ZNAXIS1", n * 8 - 3), ("ZNAXIS2", 8), ("ZTILE1", 8), ("ZTILE2", 8),
+    ]
+    head = header(("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0)) + header(*cards)
+    return table, len(head), head + padded(table.tobytes())
+
+
+def test_row_tables_are_read_in_shares(spark, tmp_path, monkeypatch):
+    """One table of 200 000 rows by many tasks, small ones together; a filter on the file opens no other; unreadable files have their reason."""
+    large, start, octets = row_table(200_000, 1)
+    (tmp_path / "large.fits.fz").write_bytes(octets)
+    small = {f"s{i}.fits.fz": row_table(3 + i, i) for i in range(5)}
+    for name, (_, _, o) in small.items():
+        (tmp_path / name).write_bytes(o)
+    empty = re.sub(rb"(NAXIS2  = *)1 ", rb"\g<1>0 ", row_table(1, 0)[2])
+    for name, o in {"bad.fits.fz": b"none", "cut.fits.fz": octets[:9000], "plain.fits.fz": header(("SIMPLE", "T"), ("NAXIS", 0)), "none.fits.fz": empty, "other.fits": octets}.items():
+        (tmp_path / name).write_bytes(o)
+    parts = TT.read_row_tables(spark, str(tmp_path), chunk=500_000)
+    assert parts.rdd.getNumPartitions() >= 12
+    bad = {os.path.basename(r.file): r.error for r in parts.filter("error is not null").collect()}
+    assert set(bad) == {"bad.fits.fz", "cut.fits.fz", "plain.fits.fz"} and "cut short" in bad["cut.fits.fz"]
+    idx = TT.scan_tile_index(spark, str(tmp_path), chunk=500_000).toPandas()
+    for name, (table, at, _) in {**small, "large.fits.fz": (large, start, None)}.items():
+        rows = idx[idx.file == f"{tmp_path}/{name}"].sort_values("row")
+        n = len(table)
+        assert rows.row.tolist() == list(range(n)) and rows.length.tolist() == table["d"][:, 0].tolist()
+        assert rows.start.tolist() == (at + n * 28 + table["d"][:, 1]).tolist() and rows.zscale.tolist() == table["s"].tolist()
+        assert rows.zblank.tolist() == table["b"].tolist() and rows.w.tolist() == [8] * (n - 1) + [5] and rows.zzero.isna().all()
+    assert len(idx) == 200_000 + sum(3 + i for i in range(5))
+    one = TT.scan_tile_index(spark, str(tmp_path), files=[f"{tmp_path}/s2.fits.fz"])
+    assert one.count() == 5
+    for name in list(small) + ["large.fits.fz"]:
+        if name != "s2.fits.fz":
+            (tmp_path / name).write_bytes(b"gone")
+    assert TT.read_row_tables(spark, str(tmp_path)).filter(F.col("file") == f"{tmp_path}/s2.fits.fz").filter("error is null").count() == 1
+
+
+def test_headers_read_alike_in_columns_and_in_files(spark):
+    from starloom.functions.cards import word, words
+
+    texts = {"A": "'it''s  '  / said", "B": "  12 / n", "C": "T", "D": "'a / b'", "E": "", "F": "/ only a comment", "G": "1.5E3 /x'y'"}
+    text = "".join(f"{f'{k:<8}= {v}':<80}" for k, v in texts.items()) + f"{'A       = 9':<80}" + f"{'COMMENT = no':<80}" + f"{'END':<80}" + f"{'Z       = 1':<80}"
+    got = spark.createDataFrame([(text,)], "t string").select(*[word(words(F.col("t")), k).alias(k) for k in (*texts, "Z")]).first().asDict()
+    assert {k: v for k, v in got.items() if v is not None} == {k: v for k, v in FITS.header_words(text).items() if k in got}
+
+
 def test_catalog_round_trip(spark, tmp_path):
     src = "﻿# sky-catalog v1\r\n# note\r\nRA, dec,ID,Mag,edge_width\r\n10.5,-3,a,nan,2\r\n,,b,1,1\r\n1,2\r\n0.1,1e-7,\"c, d\",21.5,\r\n"
     (tmp_path / "c.csv").write_text(src, newline="")
