@@ -208,7 +208,7 @@ def _same(keys: list[str]) -> Column:
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Column, bound: int = RANKED_AT_ONCE) -> DataFrame:
     """Per key: ``n`` finite values and ``at`` (MAP rank -> value) for ``ranks``, an array computed from ``n``.
 
-    ``df`` is read twice where no key has more than ``bound`` values, else three times: for the totals, for sketches of the large keys, whose
+    ``df`` is read twice where no key has more than ``bound`` values: for the totals and to rank. Larger keys are read for sketches, whose
     quantiles give intervals around the ranks, and to count the values between intervals and each distinct one inside. Counts show whether a rank
     lies in its interval; one that does not is looked for again in the gap where it lies. Only the distinct values inside are kept
     (checkpointed). More than ``bound`` of them are narrowed by 16 bits of :func:`ordered_code` at a time, with partial aggregates,
@@ -221,12 +221,29 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Column,
         df.groupBy(*keys).agg(F.count(F.when(finite, 1)).alias("n"), F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi"))
     )
     base = df.filter(finite).select(*keys, (v + 0.0).alias("_v"))
-    span = F.array(F.struct(F.col("lo"), F.col("hi")))
-    todo = whole.filter("n > 0").select(*keys, "n", F.array_distinct(ranks.cast("array<bigint>")).alias("ranks"), span.alias("spans"))
-    large = (F.col("n") > bound) & (F.col("spans")[0]["lo"] < F.col("spans")[0]["hi"])
-    wide = todo.filter(large)
-    if not wide.isEmpty():
-        todo = materialise(todo.filter(~large).unionByName(_sketched(base, wide.drop("spans"), keys)))
+    asked = F.array_distinct(ranks.cast("array<bigint>"))
+    large = F.col("n") > bound
+    some = not whole.filter(large).isEmpty()
+    # A key of at most ``bound`` values is ranked as it is.
+    small = whole.filter(~large & (F.col("n") > 0)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    rows = base.join(small, _same(keys)).select(*keys, "_v") if some else base
+    group = Window.partitionBy(*keys)
+    ranked = rows.withColumn("_rank", (F.row_number().over(group.orderBy("_v")) - 1).cast("bigint")).withColumn("n", F.count(F.lit(1)).over(group))
+    found = ranked.filter(F.array_contains(asked, F.col("_rank"))).select(*keys, "_rank", F.col("_v").alias("_value"))
+    if some:
+        constant = whole.filter(large & (F.col("lo") == F.col("hi"))).select(*keys, F.explode(asked).alias("_rank"), (F.col("lo") + 0.0).alias("_value"))
+        wide = whole.filter(large & (F.col("lo") < F.col("hi"))).select(*keys, "n", asked.alias("ranks"))
+        found = found.unionByName(constant)
+        if not wide.isEmpty():
+            found = found.unionByName(_ranked_wide(base, wide, keys, bound))
+    maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("at"))
+    named = maps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "at")
+    return whole.join(named, _same(keys), "left").select(*keys, "n", F.coalesce("at", F.create_map().cast("map<bigint,double>")).alias("at"))
+
+
+def _ranked_wide(base: DataFrame, wide: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """keys, _rank, _value for the keys of ``wide`` (keys, n, ranks)."""
+    todo = materialise(_sketched(base, wide, keys))
     brackets = cells = None
     for attempt in range(1 << 16):
         hit, inside, todo = _settled(base, todo, keys, attempt)
@@ -255,10 +272,7 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: Column,
             *keys, "_try", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.col("_below").alias("below"), F.col("_held").alias("held"), "ranks"
         )
         brackets = materialise(brackets.filter(~wide).unionByName(narrowed))
-    found = counted(within(brackets), F.col("_v")).select(*keys, F.explode("ranks").alias("_rank"), F.col("_cell").alias("_value"))
-    maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("at"))
-    named = maps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "at")
-    return whole.join(named, _same(keys), "left").select(*keys, "n", F.coalesce("at", F.create_map().cast("map<bigint,double>")).alias("at"))
+    return counted(within(brackets), F.col("_v")).select(*keys, F.explode("ranks").alias("_rank"), F.col("_cell").alias("_value"))
 
 
 def _settled(base: DataFrame, todo: DataFrame, keys: list[str], attempt: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -708,7 +708,7 @@ def manifest_supertiles(spark, sf):
 
 
 #: What is wrong with the manifest of an order, by the last two digits of its number (0: only in the old form without supertiles).
-BROKEN = {3: "no_levels", 4: "supertiles", 5: "supertile", 8: "native_shape", 10: "levels", 11: "tile_count", 12: "shape"}
+BROKEN = {3: "no_levels", 4: "supertiles", 5: "supertile", 8: "native_shape", 10: "levels", 11: "tile_count", 12: "shape", 13: "version", 14: "version", 15: "levels", 16: "supertiles", 17: "version"}
 
 
 def broken_manifests(spark, sf):
@@ -731,10 +731,14 @@ def broken_manifests(spark, sf):
         "levels": F.when(F.col("n") != 3, F.transform("levels", level)), "native_shape": F.when(F.col("n") == 8, F.slice("native_shape", 1, 1)).otherwise(F.col("native_shape")),
         "n_levels": F.when(F.col("n") != 6, F.col("n_levels")), "version": F.when(F.col("n") != 7, F.col("version")),
     })
-    from starloom.sources.metadata import MANIFEST
-
-    text = m.select("path", F.to_json(F.struct(*[c for c in m.columns if c not in ("path", "n")])).alias("j"))
-    return text.select("path", F.from_json("j", MANIFEST).alias("m")).select("path", "m.*")
+    from starloom.sources.metadata import parse_manifests
+
+    text = m.select("path", "n", F.to_json(F.struct(*[c for c in m.columns if c not in ("path", "n")])).alias("j"))
+    # Types that a field can't have; where it can have none, null is one.
+    said = F.when(F.col("n").isin(13, 14, 17), F.regexp_replace("j", r'"version":\d+', F.element_at(F.create_map(*[F.lit(x) for x in (13, '"version":2.5', 14, '"version":"2"', 17, '"version":null')]), F.col("n"))))
+    said = said.when(F.col("n") == 15, F.regexp_replace("j", r'"n_levels":\d+', '"n_levels":"x"'))
+    said = said.when(F.col("n") == 16, F.replace(F.replace("j", F.lit('"supertiles"'), F.lit('"other"')), F.lit('"z":0,'), F.lit('"z":0,"supertiles":"no",')))
+    return parse_manifests(text.select("path", said.otherwise(F.col("j")).alias("json")))
 
 
 @query(

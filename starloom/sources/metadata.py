@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starloom.operators.inventory import card_scalar, json_text
 from starloom.operators.validate import non_finite
@@ -45,16 +45,45 @@ def manifest_supertiles(levels: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """All manifest files below a folder."""
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").text(folder)
+    return parse_manifests(text.select(F.input_file_name().alias("path"), F.col("value").alias("json")))
+
+
+def parse_manifests(texts: DataFrame) -> DataFrame:
+    """``path, json`` and the MANIFEST columns. A field of another type is null among these; ``json`` still tells."""
+    return texts.select("path", "json", F.from_json("json", MANIFEST).alias("_m")).select("path", "json", "_m.*")
+
+
+def _kind(value: Column) -> Column:
+    """number, text, flag, list, object or null as JSON has it; NULL where there is nothing."""
+    name = F.schema_of_variant(value)
+    number = name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|TINYINT|SMALLINT|INT)")
     return (
-        spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "manifest.json").json(folder).withColumn("path", F.input_file_name())
+        F.when(number, "number").when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "object")
+        .when(name == "STRING", "text").when(name == "BOOLEAN", "flag").when(name == "VOID", "null").otherwise(name)
     )
 
 
+def _wrong_types(json: Column) -> dict[str, Column]:
+    """By rule: a field that may be missing is there with a type it can't have. The types are those of the text, read as a variant."""
+    whole = F.try_parse_json(json)
+    at = lambda path: F.try_variant_get(whole, path, "variant")
+    other = lambda value, kind: F.coalesce(_kind(value) != kind, F.lit(False))
+    levels = F.coalesce(F.try_variant_get(whole, "$.levels", "array<variant>"), F.array().cast("array<variant>"))
+    fraction = F.coalesce(F.try_variant_get(whole, "$.version", "double") % 1 != 0, F.lit(False))
+    return {
+        "json": json.isNotNull() & ~F.coalesce(_kind(whole) == "object", F.lit(False)),
+        "version": other(at("$.version"), "number") | fraction,
+        "levels": other(at("$.n_levels"), "number") | F.coalesce(F.try_variant_get(whole, "$.n_levels", "double") % 1 != 0, F.lit(False)) | F.exists(levels, lambda x: other(F.try_variant_get(x, "$.z", "variant"), "number")),
+        "supertiles": F.exists(levels, lambda x: other(F.try_variant_get(x, "$.supertiles", "variant"), "list")),
+    }
+
+
 def manifest_violations(manifests: DataFrame) -> DataFrame:
     """entity, rule, detail of parsed manifests (``path`` and the MANIFEST columns), a row for each rule broken.
 
-    A missing version is the old one and a missing n_levels is derived; everything else has to be there.
+    A missing version is the old one and a missing n_levels is derived; everything else has to be there. With the text in
+    ``json`` (see :func:`parse_manifests`), a version, n_levels or supertiles of a wrong type is told from a missing one.
     """
     pair = lambda c: F.coalesce((F.size(c) == 2) & F.forall(c, lambda x: x.isNotNull()), F.lit(False))
     levels = F.coalesce("levels", F.array().cast(manifests.schema["levels"].dataType))
@@ -73,6 +102,9 @@ def manifest_violations(manifests: DataFrame) -> DataFrame:
         ("supertiles", any_level(lambda x: x["supertiles"].isNotNull() & (F.size(x["supertiles"]) == 0)), F.lit(None)),
         ("supertile", any_level(lambda x: x["supertiles"].isNotNull() & F.exists(x["supertiles"], bad_supertile)), F.lit(None)),
     ]
+    if "json" in manifests.columns:
+        wrong = _wrong_types(F.col("json"))
+        rules = [("json", wrong["json"], F.lit(None)), *[(rule, bad | wrong[rule] if rule in wrong else bad, detail) for rule, bad, detail in rules]]
     broken = F.filter(
         F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, bad, detail in rules]), lambda v: v.isNotNull()
     )

@@ -245,3 +245,24 @@ def test_band_detection_cases(spark):
     names = {"mosaic_f128n_sci.fits": ("F128N", "", 1.28), "xf090w.fits": None, "f200w_matched_to_f444w.fits": None, "weight.fits": None, "a.F814W-wfc3.fits": ("F814W", "WFC3", 0.8039), "f150w_nircam_niriss.fits": ("F150W", "NIRCam", 1.501)}
     got = {r.name: (r.band_filter, r.instrument, pytest.approx(r.pivot_um)) for r in INV.detect_from_names(spark.createDataFrame([(n,) for n in names], "name string"), ["name"]).collect()}
     assert got == {n: v for n, v in names.items() if v}
+
+
+def test_manifest_fields_of_a_wrong_type(spark):
+    """What the typed parse leaves null is told from what is missing."""
+    good = {"version": 2, "native_shape": [4, 4], "n_levels": 0, "levels": [{"z": 0, "filename": "f", "shape": [4, 4], "fpack_tile_count": [1, 1]}]}
+    level = lambda **more: {"levels": [{**good["levels"][0], **more}]}
+    cases = {
+        "good": ({}, set()), "whole": ({"version": 2.0}, set()), "fraction": ({"version": 2.5}, {"version"}), "text": ({"version": "2"}, {"version"}), "null": ({"version": None}, {"version"}), "flag": ({"version": True}, {"version"}),
+        "n": ({"n_levels": "x"}, {"levels"}), "n null": ({"n_levels": None}, {"levels"}), "half": ({"n_levels": 0.5}, {"levels"}),
+        "tiles text": (level(supertiles="no"), {"supertiles"}), "tiles null": (level(supertiles=None), {"supertiles"}), "tiles object": (level(supertiles={}), {"supertiles"}), "z": (level(z="0"), {"levels"}),
+    }
+    rows = [(name, json.dumps({**good, **change})) for name, (change, _) in cases.items()]
+    rows += [(f"missing {key}", json.dumps({k: v for k, v in good.items() if k != key})) for key in ("version", "n_levels")]
+    rows += [("broken", "{"), ("list", "[1]"), ("number", "7")]
+    got = {}
+    for r in META.manifest_violations(META.parse_manifests(spark.createDataFrame(rows, "path string, json string"))).collect():
+        got.setdefault(r.entity, set()).add(r.rule)
+    for name, (_, rules) in cases.items():
+        assert got.get(name, set()) == rules, name
+    assert "missing version" not in got and "missing n_levels" not in got
+    assert all("json" in got[name] for name in ("broken", "list", "number"))
