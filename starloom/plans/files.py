@@ -826,6 +826,91 @@ def metadata_roundtrip(spark, sf):
     return card.select("file", *big("place"), F.get_json_object("card", "$.keyword").alias("keyword"), value.alias("value"), kind.alias("kind"))
 
 
+def written_json(spark, df, key, schema):
+    """JSON lines of a sink written by key, read again and parsed."""
+    from starloom.sources import metadata as META
+
+    folder = scratch(spark)
+    META.write_json(df, folder, key)
+    back = spark.read.option("recursiveFileLookup", False).text(folder)
+    return back.select(F.col(key).cast("string").alias(key), F.from_json("value", schema).alias("j"))
+
+
+@query(
+    "dataset_json",
+    """SELECT c_nationkey::VARCHAR AS dataset, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::BIGINT AS place, 'n' || c_custkey AS band, 'p/' || c_custkey || '.json' AS path,
+  (c_custkey % 500 + 1)::BIGINT AS h, 64::BIGINT AS w, (c_custkey % 360)::DOUBLE AS crval1, -0.5e0 AS cd21, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal::DOUBLE END AS pixel_scale_arcsec, md5(c_name) AS grid_hash,
+  CASE WHEN c_nationkey % 3 = 0 THEN 'n' || max(c_custkey) OVER (PARTITION BY c_nationkey) END AS red, 1::BIGINT AS version FROM customer""",
+)
+def dataset_json(spark, sf):
+    """Customers as bands of their nation's dataset, every third with default colours, through the dataset sink and back."""
+    from starloom.sources import metadata as META
+
+    k, half = F.col("c_custkey"), lambda n, v: F.lit(v).alias(n)
+    c = D.read(spark, sf, "customer")
+    bands = c.select(
+        F.col("c_nationkey").cast("string").alias("dataset"), F.concat(F.lit("n"), k).alias("band"), F.concat(F.lit("p/"), k, F.lit(".json")).alias("path"), k.alias("ord"),
+        F.lit("RA---TAN").alias("ctype1"), F.lit("DEC--TAN").alias("ctype2"), (k % 500 + 1).cast("int").alias("h"), F.lit(64).alias("w"), half("crpix1", 1.0), half("crpix2", 2.0),
+        (k % 360).cast("double").alias("crval1"), half("crval2", 3.0), half("cd11", 0.25), half("cd12", 0.5), half("cd21", -0.5), half("cd22", 1.0),
+        F.when(k % 7 != 0, F.col("c_acctbal").cast("double")).alias("pixel_scale_arcsec"), F.md5("c_name").alias("grid_hash"),
+    )
+    name = lambda which: F.concat(F.lit("n"), which(k))
+    rgb = c.filter("c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").cast("string").alias("dataset")).agg(name(F.max).alias("r"), name(F.min).alias("g"), name(F.min).alias("b"))
+    band = "name string, path string, ctype1 string, shape array<int>, crval array<double>, cd array<double>, pixel_scale_arcsec double, grid_hash string"
+    back = written_json(spark, META.dataset_json(bands, rgb), "dataset", f"version int, bands array<struct<{band}>>, default_rgb struct<r: string, g: string, b: string>")
+    rows = back.select("dataset", "j.version", "j.default_rgb", F.posexplode("j.bands").alias("place", "b"))
+    return rows.select(
+        "dataset", *big("place"), F.col("b.name").alias("band"), "b.path", F.col("b.shape")[0].cast("bigint").alias("h"), F.col("b.shape")[1].cast("bigint").alias("w"), F.col("b.crval")[0].alias("crval1"),
+        F.col("b.cd")[2].alias("cd21"), "b.pixel_scale_arcsec", "b.grid_hash", F.col("default_rgb.r").alias("red"), *big("version"),
+    )
+
+
+@query(
+    "collection_json",
+    """WITH b AS (SELECT c_nationkey AS field, c_custkey AS ord, CASE WHEN c_custkey % 6 = 0 THEN 'NaN'::DOUBLE ELSE c_custkey % 360 END AS ra, (c_custkey % 90)::DOUBLE AS dec FROM customer),
+p AS (SELECT field, count(*) AS n, arg_min(ra, ord) AS ra, arg_min(dec, ord) AS dec FROM b GROUP BY field)
+SELECT n_nationkey::VARCHAR AS field, CASE WHEN n_nationkey % 3 = 0 THEN 'T' || n_nationkey WHEN n_nationkey % 3 = 1 THEN n_name ELSE n_nationkey::VARCHAR END AS title, coalesce(n, 0)::BIGINT AS band_count,
+       CASE WHEN NOT isnan(ra) THEN ra END AS center_ra, CASE WHEN NOT isnan(ra) THEN dec END AS center_dec, 'all sky' AS collection, 'All "sky"' AS collection_title
+FROM nation LEFT JOIN p ON field = n_nationkey WHERE n_nationkey % 5 <> 4""",
+)
+def collection_json(spark, sf):
+    """The cards of the collection through their sink and back."""
+    from starloom.sources import metadata as META
+
+    cards = collection_cards(spark, sf)
+    schema = "schemaVersion int, collection struct<name: string, title: string>, field struct<name: string, title: string, bandCount: bigint, center: struct<ra: double, dec: double>>"
+    back = written_json(spark, META.collection_json(cards, "all sky", 'All "sky"'), "field", schema)
+    return back.select(
+        F.col("j.field.name").alias("field"), "j.field.title", F.col("j.field.bandCount").alias("band_count"), F.col("j.field.center.ra").alias("center_ra"), F.col("j.field.center.dec").alias("center_dec"),
+        F.col("j.collection.name").alias("collection"), F.col("j.collection.title").alias("collection_title"),
+    )
+
+
+@query(
+    "config_json",
+    """WITH b AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place FROM customer)
+SELECT c_nationkey::VARCHAR AS dataset, place::BIGINT AS place, 'n' || c_custkey AS band, c_name AS label, 'p/' || c_custkey AS path, (c_custkey % 2)::BIGINT AS grid_group, c_acctbal::DOUBLE AS scale,
+  CASE WHEN c_custkey % 4 <> 0 THEN c_custkey / 1000e0 END AS pivot_um, 'single' AS mode, 'n' || min(c_custkey) OVER (PARTITION BY c_nationkey) AS shown FROM b""",
+)
+def config_json(spark, sf):
+    """Customers as narrow bands (so every dataset opens on a single one) through the configuration sink and back."""
+    from starloom.sources import metadata as META
+
+    k = F.col("c_custkey")
+    bands = D.read(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("dataset"), F.concat(F.lit("n"), k).alias("band"), F.concat(F.lit("n"), k).alias("name"), F.col("c_name").alias("label"), F.concat(F.lit("p/"), k).alias("path"),
+        (k % 2).cast("int").alias("grid_group"), F.col("c_acctbal").cast("double").alias("pixel_scale_arcsec"), F.when(k % 4 != 0, k / 1000.0).alias("pivot_um"), F.lit(False).alias("is_broadband"), k.alias("ord"),
+    )
+    band = "name string, tiles array<string>, grid struct<group: int, pixelScaleArcsec: double>, label string, pivotUm double"
+    schema = f"schemaVersion int, dataset struct<name: string, bands: array<struct<{band}>>>, defaultView struct<mode: string, band: string, r: string>"
+    back = written_json(spark, META.config_json(bands, INV.default_views(bands, "dataset")), "dataset", schema)
+    rows = back.select("dataset", "j.defaultView", F.posexplode("j.dataset.bands").alias("place", "b"))
+    return rows.select(
+        "dataset", *big("place"), F.col("b.name").alias("band"), "b.label", F.col("b.tiles")[0].alias("path"), F.col("b.grid.group").cast("bigint").alias("grid_group"), F.col("b.grid.pixelScaleArcsec").alias("scale"),
+        F.col("b.pivotUm").alias("pivot_um"), F.col("defaultView.mode").alias("mode"), F.col("defaultView.band").alias("shown"),
+    )
+
+
 @query(
     "object_listing",
     """SELECT CASE WHEN page_id % 3 = 0 THEN 'tiles/p' || page_id || '.fits.fz' WHEN page_id % 3 = 1 THEN 'assets/p' || page_id || '.js' ELSE 'p' || page_id || '.html' END AS path,
