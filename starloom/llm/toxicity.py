@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -43,7 +44,7 @@ STRETCHED = re.compile(r"(.)\1\1")
 DOUBTED = re.compile(r"([^\W\d_])\1|[" + re.escape("".join(STANDS_FOR)) + "]")
 #: Runs of a sign, read as three.
 SIGNS = re.compile(r"([^\w\s])\1{3,}")
-CACHE = 200_000
+CACHE = 400_000
 
 
 def _code_table() -> np.ndarray:
@@ -108,8 +109,12 @@ def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
 
     States are the last two symbols; each holds its best reading.
     """
-    chance = model.item
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    return _restored(word, model.ravel().tolist(), spaced)
+
+
+def _restored(word: str, chance: list[float], spaced: bool) -> str:
+    """:func:`restore` with the model as one list, the last symbol running fastest. A state is its two symbols as one number."""
+    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
     ends = (len(word) - len(word.lstrip(EDGE)), len(word.rstrip(EDGE))) if spaced or word.strip(EDGE) else (0, len(word))
     for at, c in enumerate(word):
         readings: list[tuple[str, float]] = []
@@ -119,24 +124,31 @@ def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
         else:
             readings += [(x, AS_LETTER) for x in STANDS_FOR.get(c, "")]
             readings.append(("", DROP if ends[0] <= at < ends[1] else DROP_END))
-        into: dict[tuple[int, int], tuple[float, str]] = {}
+        into: dict[int, tuple[float, str]] = {}
+        best = into.get
         coded = [(x, cost, _symbol(x) if x else 0) for x, cost in readings]
-        for (a, b), (score, said) in states.items():
+        for ab, (score, said) in states.items():
+            b = ab % SYMBOLS
             for x, cost, s in coded:
                 if not x:
-                    options = [((a, b), score - cost, said)]
-                else:
-                    options = [((b, s), score - cost + chance(a, b, s), said + x)]
-                    if b == s and b:
-                        options.append(((a, b), score - cost - REPEAT, said))
-                    if spaced and b:
-                        ended = score + chance(a, b, 0)
-                        options.append(((0, s), ended - cost + chance(b, 0, s), f"{said} {x}"))
-                for state, new, text in options:
-                    if state not in into or new > into[state][0]:
-                        into[state] = (new, text)
+                    held = best(ab)
+                    if held is None or score - cost > held[0]:
+                        into[ab] = (score - cost, said)
+                    continue
+                state, new = b * SYMBOLS + s, score - cost + chance[ab * SYMBOLS + s]
+                held = best(state)
+                if held is None or new > held[0]:
+                    into[state] = (new, said + x)
+                if b == s and b:
+                    held, new = best(ab), score - cost - REPEAT
+                    if held is None or new > held[0]:
+                        into[ab] = (new, said)
+                if spaced and b:
+                    held, new = best(s), score + chance[ab * SYMBOLS] - cost + chance[b * SYMBOLS * SYMBOLS + s]
+                    if held is None or new > held[0]:
+                        into[s] = (new, f"{said} {x}")
         states = into
-    return max(((score + chance(a, b, 0), said) for (a, b), (score, said) in states.items()), default=(0.0, word))[1]
+    return max(((score + chance[ab * SYMBOLS], said) for ab, (score, said) in states.items()), default=(0.0, word))[1]
 
 
 def plain(word: str) -> str | None:
@@ -148,18 +160,24 @@ def plain(word: str) -> str | None:
 
 
 class Restorer:
-    """Distinct restored words of texts. Readings are remembered, for CACHE words at a time."""
+    """Distinct restored words of texts. Readings are remembered; of more than CACHE, those met since the last CACHE new ones stay."""
 
     def __init__(self, counts: np.ndarray):
-        self.model, self.seen = language_model(counts), {}
+        self.chance = language_model(counts).ravel().tolist()
+        self.seen: dict[tuple[str, bool], tuple[str, ...]] = {}
+        self.older: dict[tuple[str, bool], tuple[str, ...]] = {}
 
     def reading(self, word: str, spaced: bool = False) -> tuple[str, ...]:
         key = (word, spaced)
-        if key not in self.seen:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            self.seen[key] = tuple(restore(word, self.model, spaced).split())
-        return self.seen[key]
+        found = self.seen.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is None:
+                found = tuple(_restored(word, self.chance, spaced).split())
+            if len(self.seen) >= CACHE // 2:
+                self.seen, self.older = {}, self.seen
+            self.seen[key] = found
+        return found
 
     def words(self, text: str | None) -> set[str]:
         said = (text or "").lower().split()
@@ -186,6 +204,18 @@ class Restorer:
         return found
 
 
+#: The restorer of this Python worker and the counts it is for: later tasks find the readings of earlier ones.
+_RESTORERS: dict[bytes, Restorer] = {}
+
+
+def restorer_of(counts: np.ndarray) -> Restorer:
+    name = hashlib.sha256(counts.tobytes()).digest()
+    if name not in _RESTORERS:
+        _RESTORERS.clear()
+        _RESTORERS[name] = Restorer(counts)
+    return _RESTORERS[name]
+
+
 def units(word: str) -> list[int]:
     """Cells of the word's prefixes (in bytes, up to LONGEST) and of the whole word, shortest first."""
     c, cells = 0, []
@@ -312,7 +342,7 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int
     train = materialise(training_rows(docs, labels, key, text, sample))
 
     def count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, found = Restorer(lm.value), np.zeros((2, CELLS), np.int32)
+        restorer, found = restorer_of(lm.value), np.zeros((2, CELLS), np.int32)
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cells = np.array(sorted({c for w in restorer.words(t) for c in units(w)}), np.int64)
@@ -329,7 +359,7 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int
     shared = sc.broadcast((toxic, both, (n_toxic, n_all)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scorer = Restorer(lm.value), Scorer(*shared.value)
+        restorer, scorer = restorer_of(lm.value), Scorer(*shared.value)
         for batch in batches:
             ys = batch.column(1).to_pylist()
             rows = [[float(v) for v in scorer.features(restorer.words(t), y)] for t, y in zip(batch.column(0).to_pylist(), ys, strict=True)]
@@ -340,7 +370,7 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int
     weights = fit_logistic(x, seen["y"].to_numpy(float))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scorer = Restorer(lm.value), Scorer(*shared.value)
+        restorer, scorer = restorer_of(lm.value), Scorer(*shared.value)
         for batch in batches:
             rows = np.array([scorer.features(restorer.words(t)) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, -1)
             values = probability(weights, rows) if batch.num_rows else np.zeros(0)
