@@ -118,6 +118,7 @@ class RowTables(DataSource):
 
 def read_row_tables(spark: SparkSession, folder: str, glob: str = OUTPUT_GLOB, chunk: int = CHUNK) -> DataFrame:
     """Parts of row tables: file, header, data_start, first_row, content, error (unreadable files, then the rest is null)."""
+    # Without this setting, which is off by default, filters would not reach pushFilters.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RowTables)
     return spark.read.format(FORMAT).option("glob", glob).option("chunk", chunk).load(folder)
