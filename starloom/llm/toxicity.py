@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ STRETCHED = re.compile(r"(.)\1\1")
 DOUBTED = re.compile(r"([^\W\d_])\1|[" + re.escape("".join(STANDS_FOR)) + "]")
 #: Runs of a sign, read as three.
 SIGNS = re.compile(r"([^\w\s])\1{3,}")
-CACHE = 400_000
+#: Words that a worker remembers, and the longest of them in characters.
+CACHE, LONG = 400_000, 64
 
 
 def _code_table() -> np.ndarray:
@@ -67,9 +69,26 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-@lru_cache(4096)
-def _symbol(letter: str) -> int:
-    return int(symbols(letter)[0])
+@lru_cache(8192)
+def _readings(c: str, inside: bool) -> tuple[tuple[str, float, int], ...]:
+    """What a character may stand for, with its costs and symbols; "" drops it. ``inside``: it does not stand at an end of its word."""
+    if c.isalpha():
+        said = [(c, 0.0), *((x, AS_OTHER) for x in STANDS_FOR.get(c, "") if "a" <= x <= "z")]
+    else:
+        said = [*((x, AS_LETTER) for x in STANDS_FOR.get(c, "")), ("", DROP if inside else DROP_END)]
+    return tuple((x, cost, int(symbols(x)[0]) if x else 0) for x, cost in said)
+
+
+class Certain(dict):
+    """Symbols of characters that are read as they stand, -1 for others."""
+
+    def __missing__(self, c: str) -> int:
+        found = _readings(c, True)
+        self[c] = found[0][2] if len(found) == 1 and found[0][0] else -1
+        return self[c]
+
+
+CERTAIN = Certain()
 
 
 def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -115,18 +134,30 @@ def restore(word: str, model: np.ndarray, spaced: bool = False) -> str:
 def _restored(word: str, chance: list[float], spaced: bool) -> str:
     """:func:`restore` with the model as one list, the last symbol running fastest. A state is its two symbols as one number."""
     states: dict[int, tuple[float, str]] = {0: (0.0, "")}
-    ends = (len(word) - len(word.lstrip(EDGE)), len(word.rstrip(EDGE))) if spaced or word.strip(EDGE) else (0, len(word))
-    for at, c in enumerate(word):
-        readings: list[tuple[str, float]] = []
-        if c.isalpha():
-            readings.append((c, 0.0))
-            readings += [(x, AS_OTHER) for x in STANDS_FOR.get(c, "") if "a" <= x <= "z"]
-        else:
-            readings += [(x, AS_LETTER) for x in STANDS_FOR.get(c, "")]
-            readings.append(("", DROP if ends[0] <= at < ends[1] else DROP_END))
+    size = len(word)
+    ends = (0, size)
+    if not word.isalpha() and (spaced or word.strip(EDGE)):
+        ends = (size - len(word.lstrip(EDGE)), len(word.rstrip(EDGE)))
+    at = 0
+    while at < size:
+        if len(states) == 1 and not spaced:
+            # One path until a character has two readings or repeats the one before.
+            ((ab, (score, said)),) = states.items()
+            start, b = at, ab % SYMBOLS
+            while at < size:
+                s = CERTAIN[word[at]]
+                if s < 0 or (s == b and b):
+                    break
+                score += chance[ab * SYMBOLS + s]
+                ab, b = b * SYMBOLS + s, s
+                at += 1
+            states = {ab: (score, said + word[start:at])}
+            if at == size:
+                break
+        coded = _readings(word[at], ends[0] <= at < ends[1])
+        at += 1
         into: dict[int, tuple[float, str]] = {}
         best = into.get
-        coded = [(x, cost, _symbol(x) if x else 0) for x, cost in readings]
         for ab, (score, said) in states.items():
             b = ab % SYMBOLS
             for x, cost, s in coded:
@@ -159,53 +190,65 @@ def plain(word: str) -> str | None:
     return None
 
 
+class Remembered(dict):
+    """Values of words, worked out on first use. Of more than CACHE, those met since the last CACHE // 2 new ones stay; words over LONG are not held."""
+
+    def __init__(self, make: Callable[[str], object]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= LONG:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 class Restorer:
-    """Distinct restored words of texts. Readings are remembered; of more than CACHE, those met since the last CACHE new ones stay."""
+    """Distinct restored words of texts. A text costs one look-up for each of its distinct words; only new ones are taken apart."""
 
     def __init__(self, counts: np.ndarray):
         self.chance = language_model(counts).ravel().tolist()
-        self.seen: dict[tuple[str, bool], tuple[str, ...]] = {}
-        self.older: dict[tuple[str, bool], tuple[str, ...]] = {}
-
-    def reading(self, word: str, spaced: bool = False) -> tuple[str, ...]:
-        key = (word, spaced)
-        found = self.seen.get(key)
-        if found is None:
-            found = self.older.get(key)
-            if found is None:
-                found = tuple(_restored(word, self.chance, spaced).split())
-            if len(self.seen) >= CACHE // 2:
-                self.seen, self.older = {}, self.seen
-            self.seen[key] = found
-        return found
+        self.readings = Remembered(self._read)
+        self.runs = Remembered(lambda run: _restored(run, self.chance, True))
+
+    def _read(self, w: str) -> str:
+        """The restored words of a word, space-joined."""
+        core = w if w.isalpha() and len(w) < 3 else plain(w)
+        if core is not None:
+            if len(w) > 2 and DOUBTED.search(w):
+                return f"{core} {_restored(SIGNS.sub(r'\1\1\1', w), self.chance, False)}"
+            return core
+        if any(c.isalpha() or c in STANDS_FOR for c in w):
+            return _restored(w, self.chance, False)
+        return ""
 
     def words(self, text: str | None) -> set[str]:
         said = (text or "").lower().split()
-        found: set[str] = set()
-        for w in set(said):
-            core = w if w.isalpha() and len(w) < 3 else plain(w)
-            if core is not None:
-                found.add(core)
-                if len(w) > 2 and DOUBTED.search(w):
-                    found.update(self.reading(SIGNS.sub(r"\1\1\1", w)))
-            elif any(c.isalpha() or c in STANDS_FOR for c in w):
-                found.update(self.reading(w))
-        run: list[str] = []
-        last = -2
-        for i in [*(i for i, w in enumerate(said) if len(w) == 1), len(said) + 1]:
-            if i != last + 1:
-                if len(run) >= 3:
-                    found.update(self.reading("".join(run), True))
-                run = []
-            if i < len(said):
-                run.append(said[i])
-            last = i
-        found.discard("")
+        found = set(" ".join(map(self.readings.__getitem__, set(said))).split())
+        alone = np.fromiter(map(len, said), np.int64, len(said)) == 1
+        if (alone[:-2] & alone[1:-1] & alone[2:]).any():
+            run: list[str] = []
+            last = -2
+            for i in [*np.flatnonzero(alone).tolist(), len(said) + 1]:
+                if i != last + 1:
+                    if len(run) >= 3:
+                        found.update(self.runs["".join(run)].split())
+                    run = []
+                if i < len(said):
+                    run.append(said[i])
+                last = i
         return found
 
 
-#: The restorer of this Python worker and the counts it is for: later tasks find the readings of earlier ones.
+#: The restorer and the scorer of this Python worker and the counts they are for: later tasks find what earlier ones worked out.
 _RESTORERS: dict[bytes, Restorer] = {}
+_SCORERS: dict[bytes, Scorer] = {}
 
 
 def restorer_of(counts: np.ndarray) -> Restorer:
@@ -216,25 +259,36 @@ def restorer_of(counts: np.ndarray) -> Restorer:
     return _RESTORERS[name]
 
 
+def scorer_of(toxic: np.ndarray, both: np.ndarray, rows: tuple[int, int]) -> Scorer:
+    name = hashlib.sha256(toxic.tobytes() + both.tobytes() + repr(rows).encode()).digest()
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(toxic, both, rows)
+    return _SCORERS[name]
+
+
 def units(word: str) -> list[int]:
     """Cells of the word's prefixes (in bytes, up to LONGEST) and of the whole word, shortest first."""
     c, cells = 0, []
     octets = word.encode("utf-8", "surrogatepass")
     for i in range(min(len(octets), LONGEST)):
-        c = zlib.crc32(octets[i : i + 1], c)
+        c = crc32(octets[i : i + 1], c)
         cells.append(c & (CELLS - 1))
-    cells.append(zlib.crc32(b"\0", zlib.crc32(octets)) & (CELLS - 1))
+    cells.append(crc32(b"\0", crc32(octets)) & (CELLS - 1))
     return cells
 
 
+OCTETS = [bytes([b]) for b in range(256)]
+
+
 class Scorer:
     """Log odds of words and features of texts, from how many labelled documents of either kind have each unit."""
 
     def __init__(self, toxic: np.ndarray, both: np.ndarray, rows: tuple[int, int]):
-        self.toxic, self.both = array("i", toxic.tolist()), array("i", both.tolist())
+        self.toxic, self.both, self.known = array("i", toxic.tolist()), array("i", both.tolist()), (both >= KNOWN).tobytes()
         self.base = (rows[0] + 0.5) / (rows[1] + 1.0)
         self.offset = float(np.log(self.base / (1 - self.base)))
-        self.seen: dict[str, float] = {}
+        self.seen = Remembered(self._odds)
 
     def odds(self, word: str, own: int | None = None) -> float:
         """``own``: the label of the document itself, whose counts are then left out."""
@@ -242,37 +296,43 @@ class Scorer:
         octets = word.encode("utf-8", "surrogatepass")
         c, mask, less = 0, CELLS - 1, own is not None
         for i in range(min(len(octets), LONGEST)):
-            c = zlib.crc32(octets[i : i + 1], c)
+            c = crc32(octets[i : i + 1], c)
             m = self.both[c & mask] - less
             if m < KNOWN:
                 break
             n, t = m, self.toxic[c & mask] - (own or 0)
         else:
-            cell = zlib.crc32(b"\0", zlib.crc32(octets)) & mask
+            cell = crc32(b"\0", crc32(octets)) & mask
             if self.both[cell] - less >= KNOWN:
                 n, t = self.both[cell] - less, self.toxic[cell] - (own or 0)
+        return self._log_odds(t, n)
+
+    def _log_odds(self, t: int, n: int) -> float:
         p = (max(t, 0) + SHRINK * self.base) / (n + SHRINK)
-        return float(np.log(p / (1 - p)) - self.offset) if p < 1 else 20.0
+        return log(p / (1 - p)) - self.offset if p < 1 else 20.0
 
-    def features(self, words: set[str], own: int | None = None) -> list[float]:
-        if own is not None:
-            odds = [self.odds(w, own) for w in words]
+    def _odds(self, word: str) -> float:
+        """:meth:`odds` of a document that is not among the counted ones."""
+        octets = word.encode("utf-8", "surrogatepass")
+        c, mask, known, cell = 0, CELLS - 1, self.known, -1
+        for octet in octets[:LONGEST]:
+            c = crc32(OCTETS[octet], c)
+            if not known[c & mask]:
+                break
+            cell = c & mask
         else:
-            seen = self.seen
-            if len(seen) > CACHE:
-                seen.clear()
-            odds = []
-            for w in words:
-                v = seen.get(w)
-                if v is None:
-                    v = seen[w] = self.odds(w)
-                odds.append(v)
+            whole = crc32(b"\0", crc32(octets)) & mask
+            cell = whole if known[whole] else cell
+        return self._log_odds(self.toxic[cell], self.both[cell]) if cell >= 0 else self._log_odds(0, 0)
+
+    def features(self, words: set[str], own: int | None = None) -> list[float]:
+        odds = [self.odds(w, own) for w in words] if own is not None else list(map(self.seen.__getitem__, words))
         x = np.sort(np.array(odds or [0.0]))[::-1]
-        strong, very = float((x > 1.0).sum()), float((x > 2.0).sum())
+        strong, very = float(np.count_nonzero(x > 1.0)), float(np.count_nonzero(x > 2.0))
         n = len(x)
         return [
             1.0, x[0], x[: min(3, n)].mean(), np.log1p(strong), np.log1p(1000 * strong / n), np.log1p(very), np.log1p(1000 * very / n),
-            np.clip(x, -2, 4).sum() / np.sqrt(n), np.log(n), np.log1p(strong) * np.log1p(1000 * strong / n), np.log1p(very) * np.log1p(1000 * very / n),
+            np.minimum(np.maximum(x, -2), 4).sum() / np.sqrt(n), np.log(n), np.log1p(strong) * np.log1p(1000 * strong / n), np.log1p(very) * np.log1p(1000 * very / n),
         ]
 
 
@@ -359,7 +419,7 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int
     shared = sc.broadcast((toxic, both, (n_toxic, n_all)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scorer = restorer_of(lm.value), Scorer(*shared.value)
+        restorer, scorer = restorer_of(lm.value), scorer_of(*shared.value)
         for batch in batches:
             ys = batch.column(1).to_pylist()
             rows = [[float(v) for v in scorer.features(restorer.words(t), y)] for t, y in zip(batch.column(0).to_pylist(), ys, strict=True)]
@@ -370,7 +430,7 @@ def _scored(docs: DataFrame, labels: DataFrame, key: str, text: str, sample: int
     weights = fit_logistic(x, seen["y"].to_numpy(float))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, scorer = restorer_of(lm.value), Scorer(*shared.value)
+        restorer, scorer = restorer_of(lm.value), scorer_of(*shared.value)
         for batch in batches:
             rows = np.array([scorer.features(restorer.words(t)) for t in batch.column(0).to_pylist()]).reshape(batch.num_rows, -1)
             values = probability(weights, rows) if batch.num_rows else np.zeros(0)
