@@ -4,13 +4,14 @@ Tags become a tree of blocks; inline tags only matter for the share of link text
 and commas to their ancestors (all to the parent, half to the next, less further up), each container's points are
 discounted by its link density, and the best container is kept together with those siblings that score well or, if
 it is no article itself, are headings, paragraphs, lists, quotes, tables or sections of few links. Inside, boilerplate by tag or role is left
-out, and by name only with a second sign, as headings and sections are named after their titles. Pages are independent rows: no shuffle.
+out, and by name only with a second sign, as headings and sections are named after their titles, or if a whole name is unmistakable. Pages are independent rows: no shuffle.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "xmp", "noframes")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "select", "xmp", "noframes")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -45,6 +46,10 @@ BOILERPLATE_NAMES = frozenset(
     "disqus footer footnav gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications overlay pager pagination popup "
     "promo promoted promotion promotions recommend recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: Whole class names that are enough on any tag, those that are on articles, and ids that are.
+SURE = frozenset("ad ads adbox adsense adslot advert adverts advertisement comment comments commentlist disqus gdpr newsletter promo promoted sponsored".split())
+SURE_ARTICLES = frozenset("ad ads advert adverts advertisement comment comments commentlist".split())
+SURE_IDS = frozenset("comment comments commentlist disqus newsletter respond".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A page's heading may stand in a header inside its article.
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -54,6 +59,8 @@ BESIDE = HEADINGS | frozenset("p pre ul ol dl blockquote table figure section hg
 #: Blocks without a meaning of their own, for which a boilerplate class is enough.
 NEUTRAL = frozenset("div ul ol dl table center".split())
 ROOTS = frozenset(("html", "body"))
+#: Ancestors get points until their share is less, so that a page's time does not grow with its depth times its blocks.
+LEAST_SHARE = 1e-6
 
 
 class Block:
@@ -61,14 +68,14 @@ class Block:
 
     def __init__(self, tag: str, up: Block | None, hidden: bool):
         self.tag, self.up, self.hidden, self.points = tag, up, hidden, 0.0
-        #: Hidden by its name alone: "class", "id", or "title" for an id of which only some words are boilerplate.
+        #: Hidden by its name alone: "sure", "class" or "part", "id", or "title" for an id of which only some words are boilerplate.
         self.named = ""
         #: Blocks, and runs of text as (text, whether in a link).
         self.children: list = []
 
 
 def _boilerplate(tag: str, attributes: str, inside_article: bool, by_name: bool) -> tuple[bool, str]:
-    """Whether tag, role or style tell boilerplate, and else which name does."""
+    """Whether tag, role or style tell boilerplate, and else how sure its names are: "sure", a whole "class" or only a "part" of one, "id" or "title"."""
     if tag in BOILERPLATE_TAGS and not (tag == "header" and inside_article):
         return True, ""
     if "=" in attributes or "hidden" in attributes:
@@ -77,10 +84,16 @@ def _boilerplate(tag: str, attributes: str, inside_article: bool, by_name: bool)
             return True, ""
         if "hidden" in re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes).split() or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return True, ""
-        if by_name and tag not in ("html", "body", "article", "main"):
+        if by_name and tag not in ("html", "body", "main"):
+            classes, ids = found.get("class", "").split(), found.get("id", "").split()
+            if tag == "article":
+                return False, "sure" if SURE_ARTICLES & {c.lower() for c in classes} else ""
+            if SURE & {c.lower() for c in classes} or (tag not in HEADINGS and SURE_IDS & {i.lower() for i in ids}):
+                return False, "sure"
             heeded = BOILERPLATE_NAMES - {"header"} if inside_article else BOILERPLATE_NAMES
-            if heeded & {n.lower() for n in NAME_PARTS.findall(found.get("class", ""))}:
-                return False, "class"
+            parts = [[n.lower() for n in NAME_PARTS.findall(c)] for c in classes]
+            if any(heeded.intersection(p) for p in parts):
+                return False, "class" if any(p and (p[0] in SURE or heeded.issuperset(p)) for p in parts) else "part"
             names = {n.lower() for n in NAME_PARTS.findall(found.get("id", ""))}
             if names & heeded and tag not in HEADINGS:
                 return False, "id" if names <= heeded else "title"
@@ -91,10 +104,15 @@ def tree(page: str, by_name: bool = True) -> Block:
     """The page's blocks; unclosed and stray tags are forgiven. ``by_name``: class and id names tell boilerplate too."""
     root = Block("html", None, False)
     at, links, spot, articles = root, 0, 0, 0
+    #: How many blocks of a tag are open, so that a stray end tag need not look for its block.
+    opened: Counter[str] = Counter()
 
     def close_to(target: Block) -> None:
         nonlocal at
-        at = target.up or root
+        above = target.up or root
+        while at is not above:
+            opened[at.tag] -= 1
+            at = at.up
 
     def say(text: str) -> None:
         if text:
@@ -114,7 +132,7 @@ def tree(page: str, by_name: bool = True) -> Block:
                 links = max(0, links - 1)
             elif tag == "br":
                 say(" ")
-            elif tag in BLOCKS:
+            elif tag in BLOCKS and opened[tag]:
                 node = at
                 while node is not root and node.tag != tag:
                     node = node.up
@@ -130,7 +148,7 @@ def tree(page: str, by_name: bool = True) -> Block:
             if tag in ("html", "body"):
                 at.hidden = at.hidden and at is root
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"]:
                 node = at
                 while node is not root and node.tag != "p":
                     if node.tag in ("td", "th", "table", "button", "div", "section", "article", "li", "blockquote"):
@@ -155,6 +173,7 @@ def tree(page: str, by_name: bool = True) -> Block:
             at.children.append(child)
             if tag not in VOID:
                 at = child
+                opened[tag] += 1
                 articles += tag == "article"
                 links = 0
     say(page[spot:])
@@ -192,7 +211,7 @@ def _walk(root: Block, named: bool = False) -> list[Block]:
 
 
 def _heed_signs(container: Block) -> None:
-    """Shows blocks of an article or container that are hidden by name without a second sign: links, or standing at its end."""
+    """Shows blocks of an article or container that are hidden by name without a second sign: links, or standing at its end. Some whole names are enough."""
     order = _walk(container, named=True)
     if not any(n.named for n in order):
         return
@@ -211,14 +230,14 @@ def _heed_signs(container: Block) -> None:
             if isinstance(child, tuple):
                 if child[0].strip():
                     break
-            elif child.named in ("class", "id") and child.tag not in HEADINGS:
+            elif child.named in ("sure", "class", "part", "id") and child.tag not in HEADINGS:
                 ends.add(id(child))
             elif not child.hidden:
                 last = child
                 break
     for node in order:
         chars, linked = length[id(node)]
-        sign = id(node) in ends or linked > 0.3 * chars or (node.named == "class" and node.tag in NEUTRAL)
+        sign = node.named == "sure" or id(node) in ends or linked > 0.3 * chars or (node.named == "class" and node.tag in NEUTRAL)
         if node is not container and node.named and not sign:
             node.named = ""
 
@@ -249,7 +268,7 @@ def best_blocks(root: Block) -> list[Block]:
         for text, links in own[id(node)]:
             points = (1.0 + text.count(",") + min(len(text) / 100, 3.0)) * (1.0 if len(text) >= 25 else 0.25) * (1 - links / max(len(text), 1))
             above, share = node.up if node.tag in ("p", "pre", "li", "td", "dd", "dt", "blockquote", "th") or node.tag in HEADINGS else node, 1.0
-            while above is not None:
+            while above is not None and share > LEAST_SHARE:
                 above.points += points * share
                 above, share = above.up, share / 2 if share == 1.0 else share * 2 / 3
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -427,6 +428,37 @@ def test_main_text_beside_the_container():
     assert main_text.main_text(f"<h1>Site</h1><article>{body}</article><p>Beside.</p>").split("\n") == said
 
 
+SAID = [f"Paragraph {i} of the text, with commas, and a good length for a paragraph, as they are." for i in range(4)]
+
+
+@pytest.mark.parametrize("block", [
+    '<p class="advertisement">Buy this now.</p>', '<section class="newsletter"><p>Get our letter.</p></section>',
+    '<section id="comments"><p>I think so, too.</p></section>', '<div class="ad-banner">Buy</div>', '<article class="comment"><p>I think so, too.</p></article>',
+])
+def test_main_text_drops_unmistakable_names(block):
+    p = [f"<p>{t}</p>" for t in SAID]
+    assert main_text.main_text(f"<body><article>{p[0]}{p[1]}{block}{p[2]}{p[3]}</article></body>").split("\n") == SAID
+    assert main_text.main_text(f"<body><article>{''.join(p)}</article>{block}</body>").split("\n") == SAID
+
+
+@pytest.mark.parametrize(("block", "text"), [
+    ('<div class="market-share"><p>The share grew, as said.</p></div>', "The share grew, as said."), ('<div class="related-work">Others did so.</div>', "Others did so."),
+    ('<ul class="market-share"><li>A tenth</ul>', "A tenth"), ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then.</p>", "If x=1 then."),
+])
+def test_main_text_keeps_names_that_are_only_parts(block, text):
+    p = [f"<p>{t}</p>" for t in SAID]
+    assert main_text.main_text(f"<body><article>{p[0]}{p[1]}{block}{p[2]}{p[3]}</article></body>").split("\n") == [*SAID[:2], text, *SAID[2:]]
+
+
+def test_main_text_time_of_unclosed_tags():
+    def seconds(n: int) -> float:
+        start = time.process_time()
+        assert main_text.main_text("<div><p>a, b</section>" * n).count("\n") == n - 1
+        return time.process_time() - start
+
+    assert seconds(20_000) < 12 * max(seconds(4_000), 0.05)  # 25 times, if it were quadratic
+
+
 @pytest.fixture(scope="module")
 def counts():
     text = "  " + "  ".join("you are such an idiot and a stupid clown but the house is nice idiot clown stupid house that loser with them".split() * 30) + "  "
