@@ -45,6 +45,11 @@ def tile_count(extent: Column, tile_size: int = TILE_SIZE) -> Column:
     return F.ceil(extent / tile_size).cast("int")
 
 
+def indices(n: Column, step: int = 1) -> Column:
+    """0, step, 2 * step .. below n. A level thinner than one pixel has no tiles: NULL, so that explode drops the row."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
+
+
 def tile_extent(extent: Column, t: Column, tile_size: int = TILE_SIZE) -> Column:
     """Width (or height) of tile ``t``: full size, or what is left at the high edge."""
     return F.least(F.lit(tile_size), extent - t * tile_size).cast("int")

@@ -111,8 +111,8 @@ def supertile_blocks(levels: DataFrame, blocks: int = grid.SUPERTILE_BLOCKS) ->
     """Disjoint row-major cover of each level's tile grid by blocks x blocks rectangles."""
     nx = F.ceil(F.col("n_tx") / blocks).cast("int")
     cut = levels.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("n_ty") - 1, F.lit(blocks))).alias("ty0")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.col("n_tx") - 1, F.lit(blocks))).alias("tx0"))
+        "*", F.explode(grid.indices(F.col("n_ty"), blocks)).alias("ty0")
+    ).select("*", F.explode(grid.indices(F.col("n_tx"), blocks)).alias("tx0"))
     return cut.select(
         "*",
         ((F.col("ty0") / blocks).cast("int") * nx + (F.col("tx0") / blocks).cast("int")).alias("idx"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom.functions import grid, skytext as X, wcs as K
-from starloom.operators import cutout as CUT, grids as GR, regions as REG, spatial as SP
+from starloom.operators import cutout as CUT, grids as GR, pyramid as P, regions as REG, spatial as SP
 
 
 def wcs(crpix=(256.5, 256.5), crval=(150.0, 2.2), cd=(-8e-6, 0.0, 0.0, 8e-6), lonpole=180.0):
@@ -162,3 +162,15 @@ def test_topmost_marker_with_one_very_large_one(spark):
             if (dx <= half and dy <= half) if shape == "box" else dx * dx + dy * dy <= half * half:
                 hits.append((order, name))
         assert got.get(i) == ((max(hits)[1], len(hits)) if hits else None)
+
+
+def thin_levels(spark):
+    """An image 200 times as tall as wide: its coarsest levels have no width."""
+    return P.level_table(spark.createDataFrame([("b0", 800, 4)], "band string, img_h int, img_w int"), 16)
+
+
+def test_levels_without_width_have_no_supertiles(spark):
+    levels = thin_levels(spark)
+    assert levels.filter("n_tx = 0").count() > 0
+    got = CUT.tile_map(P.supertile_blocks(levels, 2).withColumn("filename", F.lit("f")))
+    assert sorted((r.z, r.tile_y) for r in got.collect()) == sorted((r.z, y) for r in levels.filter("n_tx > 0").collect() for y in range(r.n_ty))
