@@ -103,8 +103,8 @@ def level_wcs(levels: DataFrame) -> DataFrame:
 def level_tiles(levels: DataFrame) -> DataFrame:
     """Every tile of every level."""
     return levels.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("n_ty") - 1)).alias("tile_y")
-    ).select("*", F.explode(F.sequence(F.lit(0), F.col("n_tx") - 1)).alias("tile_x"))
+        "*", F.explode(grid.indices(F.col("n_ty"))).alias("tile_y")
+    ).select("*", F.explode(grid.indices(F.col("n_tx"))).alias("tile_x"))
 
 
 def supertile_blocks(levels: DataFrame, blocks: int = grid.SUPERTILE_BLOCKS) -> DataFrame:

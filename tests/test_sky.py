@@ -174,3 +174,13 @@ def test_levels_without_width_have_no_supertiles(spark):
     assert levels.filter("n_tx = 0").count() > 0
     got = CUT.tile_map(P.supertile_blocks(levels, 2).withColumn("filename", F.lit("f")))
     assert sorted((r.z, r.tile_y) for r in got.collect()) == sorted((r.z, y) for r in levels.filter("n_tx > 0").collect() for y in range(r.n_ty))
+
+
+def test_levels_without_width_have_no_tiles(spark):
+    levels = thin_levels(spark)
+    tiles = P.level_tiles(levels).select("band", "z", "tile_x", "tile_y")
+    assert sorted((r.z, r.tile_x, r.tile_y) for r in tiles.collect()) == sorted((r.z, 0, y) for r in levels.filter("n_tx > 0").collect() for y in range(r.n_ty))
+    deepest = levels.filter("n_tx > 0").agg(F.max("z")).first()[0]
+    assert CUT.coarser_source(tiles, tiles, 40).agg(F.max("from_z")).first()[0] == deepest
+    assert CUT.common_level(tiles, tiles, 1, 40).agg(F.max("z")).first()[0] == deepest
+    assert CUT.finer_cover(tiles, tiles).agg(F.max("z")).first()[0] == deepest
