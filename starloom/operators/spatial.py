@@ -71,12 +71,20 @@ def bucketed_join(
     return salted.join(boxes, [*keys, "_salt"], how).filter(inside).drop("_lvl", "_cx", "_cy", "_salt")
 
 
+def with_box(df: DataFrame, cx: Column, cy: Column, r: Column) -> DataFrame:
+    """x0, y0, x1, y1 around a centre, for a later exact test of the distance.
+
+    Each side lies outward by more than all rounding of that test, so that it never loses a point on the rim.
+    """
+    slack = lambda c: (F.abs(c) + r) * 2.0**-48 + 2.0**-500
+    sides = (("x0", cx - r - slack(cx)), ("y0", cy - r - slack(cy)), ("x1", cx + r + slack(cx)), ("y1", cy + r + slack(cy)))
+    return df.select("*", *[e.alias(n) for n, e in sides])
+
+
 def near_points(points: DataFrame, probes: DataFrame, cell: float) -> DataFrame:
     """Points within ``radius`` of a probe position (qx, qy)."""
     r = F.greatest(F.lit(0.0), F.col("radius"))
-    boxes = probes.select(
-        "*", (F.col("qx") - r).alias("x0"), (F.col("qy") - r).alias("y0"), (F.col("qx") + r).alias("x1"), (F.col("qy") + r).alias("y1")
-    )
+    boxes = with_box(probes, F.col("qx"), F.col("qy"), r)
     dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
     return bucketed_join(points, boxes, cell).filter(dx * dx + dy * dy <= r * r).drop("x0", "y0", "x1", "y1")
 
@@ -125,9 +133,7 @@ def topmost_marker(markers: DataFrame, positions: DataFrame, cell: float) -> Dat
     positions = positions.select("*", F.explode(F.sequence(F.lit(0), classed(F.col("max_size")))).alias("_class"))
     largest = F.least(F.pow(F.lit(2.0), F.col("_class")), F.greatest(F.col("max_size"), F.lit(1.0)))
     reach = glyph_half(largest, F.col("dpr")) / F.col("view.zoom") * 2.0**0.5
-    boxes = positions.select(
-        "*", (F.col("qx") - reach).alias("x0"), (F.col("qy") - reach).alias("y0"), (F.col("qx") + reach).alias("x1"), (F.col("qy") + reach).alias("y1")
-    )
+    boxes = with_box(positions, F.col("qx"), F.col("qy"), reach)
     near = bucketed_join(markers, boxes, cell, also=("_class",))
     ddx, ddy = (F.col("x") - F.col("qx")) * F.col("view.zoom"), (F.col("y") - F.col("qy")) * F.col("view.zoom")
     sx = F.col("m.m11") * ddx + F.col("m.m12") * ddy

@@ -184,3 +184,12 @@ def test_levels_without_width_have_no_tiles(spark):
     assert CUT.coarser_source(tiles, tiles, 40).agg(F.max("from_z")).first()[0] == deepest
     assert CUT.common_level(tiles, tiles, 1, 40).agg(F.max("z")).first()[0] == deepest
     assert CUT.finer_cover(tiles, tiles).agg(F.max("z")).first()[0] == deepest
+
+
+def test_points_on_the_rim_are_kept(spark):
+    # 8.1 - 6.1 is 2.0 or a bit less, 6.1 + 2.0 a bit less than 8.1, and so on: the box must not decide.
+    pts = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") / 10.0).alias("x"), F.lit(0.0).alias("y"))
+    probes = spark.range(2000).select(F.col("id").alias("pos_id"), (F.col("id") / 10.0).alias("qx"), F.lit(0.0).alias("qy"), F.lit(2.0).alias("radius"))
+    got = SP.near_points(pts, probes, 1.0).select("k", "pos_id")
+    v = np.arange(2000) / 10.0
+    assert got.count() == int(((v[:, None] - v) ** 2 <= 4.0).sum())
