@@ -109,7 +109,7 @@ _pa = "degrees(atan2(cos(radians(dec2)) * sin(radians(ra2 - ra1)), cos(radians(d
 @query(
     "separation_pa",
     f"""WITH {WIDE_SQL} SELECT k::BIGINT AS k, {rs(sep_sql('ra1', 'dec1', 'ra2', 'dec2'), 8)} AS sep,
-  {rs(f'CASE WHEN {_pa} < 0 THEN {_pa} + 360 ELSE {_pa} END', 8)} AS pa FROM wide""",
+  {rs(f'CASE WHEN {_pa} < 0 THEN ({_pa} + 360) % 360 ELSE {_pa} END', 8)} AS pa FROM wide""",
 )
 def separation_pa(spark, sf):
     a = [F.col(c) for c in ("ra1", "dec1", "ra2", "dec2")]
@@ -126,7 +126,7 @@ _r2, _d2 = pix_to_sky_sql("(px + 3)", "(py + 4 + ord % 5)")
     "ruler",
     f"""WITH {CAT_SQL}, e AS (SELECT *, {_r1} AS ra1, {_d1} AS dec1, {_r2} AS ra2, {_d2} AS dec2 FROM cat)
 SELECT id, {rs('sqrt(9 + (4 + ord % 5) ** 2)', 9)} AS pixel_dist, {rs(sep_sql('ra1', 'dec1', 'ra2', 'dec2'), 9)} AS sep,
-       {rs(f'CASE WHEN {_pa} < 0 THEN {_pa} + 360 ELSE {_pa} END')} AS pa FROM e""",
+       {rs(f'CASE WHEN {_pa} < 0 THEN ({_pa} + 360) % 360 ELSE {_pa} END')} AS pa FROM e""",
 )
 def ruler(spark, sf):
     m = K.ruler(fixed_wcs(), F.col("px"), F.col("py"), F.col("px") + 3, F.col("py") + 4 + F.col("ord") % 5)

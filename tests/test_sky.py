@@ -1,3 +1,6 @@
+import tempfile
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -193,3 +196,15 @@ def test_points_on_the_rim_are_kept(spark):
     got = SP.near_points(pts, probes, 1.0).select("k", "pos_id")
     v = np.arange(2000) / 10.0
     assert got.count() == int(((v[:, None] - v) ** 2 <= 4.0).sum())
+
+
+def test_position_angle_just_west_of_north(spark):
+    """Below 0 by less than half a step of doubles at 360 is 0 in both engines, never 360."""
+    from __spark_entry__ import oracle_sql, queries
+
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([(22500,), (67500,)], "c_custkey bigint").coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries()["separation_pa"](spark, folder).collect())
+    assert got == sorted(con.execute(oracle_sql()["separation_pa"]).fetchall()) == [(22500, 138.0, 0.0), (67500, 54.0, 0.0)]
