@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def _edges(vertices: Column) -> Column:
+def edges(vertices: Column) -> Column:
     """Each vertex with the one before it (the last before the first)."""
     n = F.size(vertices)
     return F.transform(
@@ -26,9 +26,13 @@ def point_in_rect(x, y, cx, cy, half_w, half_h, ux, uy, vx, vy) -> Column:
 
 
 def point_in_polygon(x: Column, y: Column, vertices: Column) -> Column:
-    """Even-odd rule: count the edges that span y and cross to the right of x."""
+    return point_in_edges(x, y, edges(vertices))
+
+
+def point_in_edges(x: Column, y: Column, sides: Column) -> Column:
+    """Even-odd rule: count the edges (see :func:`edges`) that span y and cross to the right of x."""
     crossings = F.filter(
-        _edges(vertices),
+        sides,
         lambda e: ((e["y"] > y) != (e["py"] > y))
         & (x < e["px"] + (y - e["py"]) / (e["y"] - e["py"]) * (e["x"] - e["px"])),
     )
@@ -61,7 +65,7 @@ def summary(vertices: Column) -> Column:
 def signed_area2(vertices: Column) -> Column:
     """Twice the signed area."""
     return F.aggregate(
-        _edges(vertices), F.lit(0.0), lambda a, e: a + e["px"] * e["y"] - e["x"] * e["py"]
+        edges(vertices), F.lit(0.0), lambda a, e: a + e["px"] * e["y"] - e["x"] * e["py"]
     )
 
 

@@ -905,14 +905,13 @@ HIT_SQL = f"""hit AS (
 )"""
 
 
-def hits(spark, sf):
-    pts = catalog(spark, sf).select(F.col("id").alias("point_id"), "px", "py")
-    return REG.points_in_regions(pts, regions(spark, sf), 2.0)
+def region_points(spark, sf):
+    return catalog(spark, sf).select(F.col("id").alias("point_id"), "px", "py")
 
 
 @query("points_in_regions", f"WITH {CAT_SQL}, {RECT_SQL}, {POLY_SQL}, {HIT_SQL} SELECT point_id, id, shape FROM hit")
 def points_in_regions(spark, sf):
-    return hits(spark, sf).select("point_id", "id", "shape")
+    return REG.points_in_regions(region_points(spark, sf), regions(spark, sf), 2.0).select("point_id", "id", "shape")
 
 
 @query(
@@ -921,7 +920,7 @@ def points_in_regions(spark, sf):
 SELECT point_id, arg_max(id, CASE WHEN shape = 'polygon' THEN 1000000000 ELSE 0 END + ord) AS region, count(*)::BIGINT AS n FROM hit GROUP BY point_id""",
 )
 def topmost_region(spark, sf):
-    return REG.topmost_region(hits(spark, sf)).select("point_id", "region", *big("n"))
+    return REG.topmost_region_at(region_points(spark, sf), regions(spark, sf), 2.0).select("point_id", "region", *big("n"))
 
 
 PATCH_SQL = """base AS (

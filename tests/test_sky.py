@@ -208,3 +208,23 @@ def test_position_angle_just_west_of_north(spark):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet/*.parquet'")
     got = sorted(tuple(r) for r in queries()["separation_pa"](spark, folder).collect())
     assert got == sorted(con.execute(oracle_sql()["separation_pa"]).fetchall()) == [(22500, 138.0, 0.0), (67500, 54.0, 0.0)]
+
+
+def test_alike_regions_and_points_are_tested_once(spark, monkeypatch):
+    shape = "id string, ord bigint, shape string, cx double, cy double, bound_radius double, half_w double, half_h double, ux double, uy double, vx double, vy double, verts array<struct<x: double, y: double>>"
+    notch = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (4.0, 2.0), (0.0, 8.0)]
+    rows = [(f"r{i}", i, "rect", 2.0, 2.0, 3.0, 2.0, 2.0, 1.0, 0.0, 0.0, 1.0, None) for i in range(30)]
+    rows += [(f"p{i}", i, "polygon", 4.0, 3.6, 7.0, *[None] * 6, notch) for i in range(20)]
+    regions = spark.createDataFrame(rows, shape)
+    points = spark.createDataFrame([(f"s{i}", *((1.0, 1.0), (4.0, 4.0), (4.0, 5.0), (7.0, 3.0))[i % 4]) for i in range(40)], "point_id string, px double, py double")
+    tested = []
+    whole = REG._held
+    monkeypatch.setattr(REG, "_held", lambda *a: tested.append(whole(*a)) or tested[-1])
+    monkeypatch.setattr(REG, "MEMBERS", 25)
+    pairs = REG.points_in_regions(points, regions, 1.0)
+    want = {(f"s{i}", r) for i in range(40) for r in [f"r{k}" for k in range(30) if i % 4 < 2] + [f"p{k}" for k in range(20) if i % 4 in (0, 3)]}
+    got = [(x.point_id, x.id) for x in pairs.collect()]
+    assert len(got) == len(want) and set(got) == want and set(pairs.columns) == {*points.columns, *regions.columns}
+    assert tested[0].count() <= 2 * 4
+    assert sorted(REG.topmost_region_at(points, regions, 1.0).collect()) == sorted(REG.topmost_region(pairs).collect())
+    assert tested[1].count() == 4
