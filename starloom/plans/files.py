@@ -488,7 +488,9 @@ def compressed_tables(spark, sf, key="l_orderkey", other="l_suppkey"):
     )
     row = F.concat(desc, hexed(F.col(other), 8), F.lit("4000000000000000"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("3FF0000000000000")).otherwise(F.lit("BFE0000000000000")))
     # An order has a handful of line items, a supplier some hundred: a table of theirs is a value of one row, as the format's content is.
-    per = li.groupBy(key).agg(
+    # A table costs far more work than its bytes tell: by number, so that small partitions are not joined into a few tasks.
+    spread = li.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+    per = spread.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(*order, row.alias("hex")))).alias("rows"), F.count(F.lit(1)).alias("n")
     )
     k = F.col(key)

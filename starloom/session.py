@@ -26,6 +26,16 @@ def build_session(name: str = "starloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+#: Bytes of one batch between the JVM and Python. The default bounds its rows only, whatever their size.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """For steps whose rows hold whole files or parts of files."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by ``spark.checkpoint.dir``.
 

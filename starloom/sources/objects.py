@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starloom.functions import naming as N
 from starloom.operators.ledger import COLUMNS
+from starloom.session import bound_batches
 
 #: Bytes hashed at a time; objects are too big to load whole.
 CHUNK = 1024 * 1024
@@ -34,6 +35,7 @@ def _raw(path: str):
 
 def write_objects(objects: DataFrame, folder: str) -> None:
     """Writes ``content`` (BINARY) of each row to ``path`` below ``folder``, on the executors. Rerun tasks write the same bytes."""
+    bound_batches(objects.sparkSession)
     system_uri = folder if ":" in folder else f"file://{folder}"
 
     def write(batches):

@@ -7,25 +7,29 @@ header) becomes index rows without a join or a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatch
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from starloom.functions.cards import word, words
 from starloom.operators.quantise import dither_method
-from starloom.sources.fits import OUTPUT_GLOB, header_number, header_words, headers_of
+from starloom.session import bound_batches
+from starloom.sources.fits import CARD, OUTPUT_GLOB, header_number, header_words, headers_of
 
 FORMAT = "starloom_row_tables"
 #: Bytes of files that one task is given; a larger file is read by several tasks, each with a share of its rows.
 CHUNK = 128 << 20
 #: Table bytes in one row of the source.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 @dataclass
@@ -72,7 +76,18 @@ class RowTableReader(DataSourceReader):
             size += length
         return [*shares, Share(group)]
 
-    def read(self, partition: Share) -> Iterator[tuple]:
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        """Batches of about PIECE bytes, so that a task holds no more of its files at a time."""
+        waiting, size = [], 0
+        for row in self._rows(partition):
+            waiting.append(row)
+            size += len(row[4] or b"") + len(row[1] or "")
+            if size >= PIECE:
+                yield _batch(waiting)
+                waiting, size = [], 0
+        yield _batch(waiting)
+
+    def _rows(self, partition: Share) -> Iterator[tuple]:
         for file, k, n in partition.value:
             try:
                 yield from _rows_of(file, k, n)
@@ -80,6 +95,13 @@ class RowTableReader(DataSourceReader):
                 yield file, None, None, None, None, str(e)
 
 
+_ROW = pa.schema([("file", pa.string()), ("header", pa.string()), ("data_start", pa.int64()), ("first_row", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROW)], schema=_ROW)
+
+
 def _rows_of(file: str, k: int, n: int) -> Iterator[tuple]:
     """The k-th of n shares of the rows of the first table, in pieces; the first share of a table without rows has an empty piece."""
     for hdu, text, start, handle in headers_of(file):
@@ -118,6 +140,7 @@ class RowTables(DataSource):
 
 def read_row_tables(spark: SparkSession, folder: str, glob: str = OUTPUT_GLOB, chunk: int = CHUNK) -> DataFrame:
     """Parts of row tables: file, header, data_start, first_row, content, error (unreadable files, then the rest is null)."""
+    bound_batches(spark)
     # Without this setting, which is off by default, filters would not reach pushFilters.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RowTables)
@@ -128,12 +151,40 @@ def read_row_tables(spark: SparkSession, folder: str, glob: str = OUTPUT_GLOB, c
 _CODE_BYTES = {"L": 1, "X": 1, "B": 1, "A": 1, "I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "C": 8, "M": 16}
 
 
-def _width(form: Column) -> Column:
-    """Bytes of one table column: descriptors are 16 or 8, the rest count times element size; null for an unknown code."""
-    sizes = F.create_map(*[F.lit(v) for pair in _CODE_BYTES.items() for v in pair])
-    code, count = F.regexp_extract(form, r"^\s*(\d*)([A-Z])", 2), F.regexp_extract(form, r"^\s*(\d*)([A-Z])", 1)
-    plain = F.try_element_at(sizes, code) * F.when(count == "", 1).otherwise(count.try_cast("int"))
-    return F.when(form.contains("Q"), 16).when(form.contains("P"), 8).otherwise(plain)
+#: Words of a table header that the layout needs, and their columns.
+_WORDS = "ZCMPTYPE ZQUANTIZ NAXIS1 NAXIS2 PCOUNT ZBLANK ZNAXIS1 ZNAXIS2 ZTILE1 ZTILE2 ZBLOCKSIZE ZDITHER0 THEAP".split()
+_HEAD = ", ".join(f"{w.lower()} string" for w in _WORDS) + ", name array<string>, tform array<string>, offset array<int>, table_bytes int"
+
+
+@lru_cache(maxsize=4096)
+def _width(form: str) -> int | None:
+    """Bytes of one table column: descriptors are 16 or 8, the rest count times element size; None for an unknown code."""
+    if "Q" in form or "P" in form:
+        return 16 if "Q" in form else 8
+    found = re.match(r"\s*([0-9]*)([A-Z])", form)
+    size = _CODE_BYTES.get(found[2]) if found else None
+    count = int(found[1] or 1) if found else 0
+    return size * count if size is not None and count < 1 << 31 else None
+
+
+def _head(text: str | None) -> tuple:
+    """The words of one header, then names, forms and offsets of its table columns and the bytes of a row; None without END."""
+    if text is None or not any(text[i : i + 8].strip() == "END" for i in range(0, len(text), CARD)):
+        return (None,) * (len(_WORDS) + 4)
+    given = header_words(text)
+    columns = range(1, header_number(given, "TFIELDS", 0) + 1)
+    forms = [given.get(f"TFORM{i}", "") for i in columns]
+    widths = [_width(f) for f in forms]
+    ends = None if None in widths else [0, *accumulate(widths)]
+    return (
+        *[given.get(w) for w in _WORDS], [given.get(f"TTYPE{i}", f"COL{i}") for i in columns], forms,
+        ends and ends[:-1], ends and ends[-1],
+    )
+
+
+def header_layout(headers: pd.Series) -> pd.DataFrame:
+    out = pd.DataFrame([_head(t) for t in headers], columns=[f.split()[0] for f in _HEAD.split(", ")], dtype=object)
+    return out.assign(table_bytes=out.table_bytes.astype("Int32"))
 
 
 def table_layout(tables: DataFrame) -> DataFrame:
@@ -145,42 +196,28 @@ def table_layout(tables: DataFrame) -> DataFrame:
     head = F.col("_w")
 
     def number(key: str, default: Column | None = None) -> Column:
-        value = word(head, key)
+        value = head[key.lower()]
         whole = F.when(value.rlike(r"^[+-]?\d+$"), value.try_cast("bigint"))
         return whole if default is None else F.coalesce(whole, default)
 
     one = F.lit(1).cast("bigint")
-    fixed = tables.withColumn("_w", words(F.col("header"))).select(
-        *tables.columns, "_w", word(head, "ZCMPTYPE").alias("zcmptype"), word(head, "ZQUANTIZ").alias("zquantiz"),
+    placed = tables.withColumn("_w", F.pandas_udf(header_layout, _HEAD)(F.col("header"))).select(
+        *tables.columns, "_w", head["zcmptype"].alias("zcmptype"), head["zquantiz"].alias("zquantiz"),
         number("NAXIS1").alias("row_bytes"), number("NAXIS2").alias("n_rows"), number("PCOUNT", one * 0).alias("pcount"), number("ZBLANK").alias("zblank_key"),
         number("ZNAXIS1").alias("znaxis1"), number("ZNAXIS2").alias("znaxis2"), number("ZTILE1").alias("ztile1"), number("ZTILE2", one).alias("ztile2"),
-        number("ZBLOCKSIZE", one * 32).alias("block_size"), number("ZDITHER0", one * 0).alias("zdither0"), number("THEAP").alias("theap"), number("TFIELDS", one * 0).alias("_n"),
+        number("ZBLOCKSIZE", one * 32).alias("block_size"), number("ZDITHER0", one * 0).alias("zdither0"), number("THEAP").alias("theap"), head["table_bytes"].alias("_all"),
     )
-    numbers = F.when(F.col("_n") > 0, F.sequence(one, "_n")).otherwise(F.array().cast("array<bigint>"))
-    named = fixed.withColumn("ztile1", F.coalesce("ztile1", "znaxis1")).withColumn(
-        "_c",
-        F.transform(
-            numbers,
-            lambda i: F.struct(
-                F.coalesce(word(head, F.concat(F.lit("TTYPE"), i)), F.concat(F.lit("COL"), i)).alias("name"),
-                F.coalesce(word(head, F.concat(F.lit("TFORM"), i)), F.lit("")).alias("tform"),
-            ),
-        ),
-    ).withColumn("_b", F.transform("_c", lambda c: _width(c["tform"])))
-    before = lambda i: F.aggregate(F.slice("_b", F.lit(1), i), F.lit(0), lambda a, b: a + b)
-    placed = named.withColumn("_all", before(F.size("_b"))).withColumn(
-        "columns",
-        F.when(F.col("_all").isNull(), F.array().cast("array<struct<name:string,tform:string,offset:int>>")).otherwise(
-            F.transform("_c", lambda c, i: F.struct(c["name"].alias("name"), c["tform"].alias("tform"), before(i).alias("offset")))
-        ),
+    kind = "array<struct<name:string,tform:string,offset:int>>"
+    placed = placed.withColumn("ztile1", F.coalesce("ztile1", "znaxis1")).withColumn(
+        "columns", F.when(F.col("_all").isNull(), F.array().cast(kind)).otherwise(F.arrays_zip("_w.name", "_w.tform", "_w.offset").cast(kind))
     )
-    has = lambda name: F.exists("_c", lambda c: c["name"] == name)
+    has = lambda name: F.coalesce(F.array_contains("_w.name", name), F.lit(False))
     known = F.col("_all").isNotNull() & F.col("row_bytes").isNotNull() & F.col("n_rows").isNotNull() & (F.col("ztile1") > 0) & (F.col("ztile2") > 0) & F.col("znaxis2").isNotNull()
     across, down = (F.ceil(F.col(n) / F.col(t)).cast("bigint") for n, t in (("znaxis1", "ztile1"), ("znaxis2", "ztile2")))
     valid = known & (F.col("_all") == F.col("row_bytes")) & (F.col("n_rows") == across * down) & F.col("zcmptype").isin("RICE_1", "GZIP_2") & has("COMPRESSED_DATA")
     valid = valid & ((F.col("zcmptype") != "RICE_1") | has("ZSCALE"))
     laid = placed.select(
-        *[c for c in placed.columns if c not in ("_w", "_n", "_c", "_b", "_all", "theap")],
+        *[c for c in placed.columns if c not in ("_w", "_all", "theap")],
         F.coalesce("theap", F.col("row_bytes") * F.col("n_rows")).alias("theap"), F.when(known, across).alias("nx"), has("ZSCALE").alias("has_zscale"),
         F.coalesce(valid, F.lit(False)).alias("valid"),
     ).withColumn("heap_start", F.col("data_start") + F.col("theap"))
@@ -195,13 +232,25 @@ _INDEX = (
 _INDEX_TYPES = [pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.int32()] * 2, *[pa.float64()] * 3, *[pa.int32()] * 2, pa.string(), pa.int32()]
 
 
+#: Table bytes decoded at once: an index row takes some ten times its table row.
+DECODED = 2 << 20
+
+
+def _shares(laid: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of one layout, in shares that begin at most DECODED bytes apart."""
+    for layout in np.unique(laid, axis=0):
+        chosen = np.flatnonzero((laid == layout).all(axis=1))
+        before = np.cumsum([0, *(sizes[i] for i in chosen)])[:-1]
+        for at in np.split(chosen, np.flatnonzero(np.diff(before // DECODED)) + 1):
+            yield layout, at
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of row tables to one row per tile. Parts of one layout are decoded together, as one array of table rows."""
     for batch in batches:
         col = {n: batch.column(n) for n in batch.schema.names}
         laid = np.stack([col[n].to_numpy() for n in ("row_bytes", "wide", "at_data", "at_blank", "at_scale", "at_zero")], axis=1)
-        for layout in np.unique(laid, axis=0):
-            chosen = np.flatnonzero((laid == layout).all(axis=1))
+        for layout, chosen in _shares(laid, [len(c.as_buffer()) for c in col["content"]]):
             width, wide, at_data, at_blank, at_scale, at_zero = layout.tolist()
             octets = [col["content"][int(i)].as_buffer() for i in chosen]
             counts = np.array([len(o) // width for o in octets], np.int64)

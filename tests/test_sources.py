@@ -266,3 +266,36 @@ def test_manifest_fields_of_a_wrong_type(spark):
         assert got.get(name, set()) == rules, name
     assert "missing version" not in got and "missing n_levels" not in got
     assert all("json" in got[name] for name in ("broken", "list", "number"))
+
+
+def test_small_tables_are_not_left_to_one_task(spark):
+    from starloom.plans.files import compressed_tables
+
+    tables = compressed_tables(spark, "/root/testdata/sf0.001")
+    assert tables.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_words_of_a_table_header_as_columns_and_in_one_step(spark):
+    from starloom.functions.cards import word, words
+    from starloom.sources import tile_table as TT
+
+    card = lambda k, v: f"{k:<8}= {v}".ljust(80)
+    body = card("NAXIS1", "28") + card("NAXIS1", "99") + card("ZCMPTYPE", "'RICE_1  '") + card("TFIELDS", "2") + card("TFORM1", "'1PB(9)'") + card("TFORM2", "'2D'") + card("TTYPE2", "'B'")
+    end = "END".ljust(80)
+    texts = [body + end, body, end, "", None, body + card("TFIELDS", "x") + end, end + body, card("TFIELDS", "1") + card("TFORM1", "'?'") + end]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, header string")
+    want = df.select("i", *[word(words(F.col("header")), k).alias(k) for k in TT._WORDS]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in want] == [TT._head(t)[: len(TT._WORDS)] for t in texts]
+    assert TT._head(texts[0])[-4:] == (["COL1", "B"], ["1PB(9)", "2D"], [0, 8], 24) and TT._head(texts[-1])[-4:] == (["COL1"], ["?"], None, None)
+
+
+def test_tables_are_read_and_decoded_in_bounded_parts():
+    from starloom.sources import tile_table as TT
+
+    sizes = [TT.DECODED // 3] * 10
+    shares = [at.tolist() for _, at in TT._shares(np.zeros((10, 6), np.int64), sizes)]
+    assert sum(shares, []) == list(range(10)) and max(map(len, shares)) <= 4
+    reader = TT.RowTableReader({"path": "/nowhere"})
+    reader._rows = lambda p: (("f", "h", 0, i, bytes(TT.PIECE // 2), None) for i in range(7))
+    batches = list(reader.read(TT.Share([])))
+    assert sum(b.num_rows for b in batches) == 7 and max(b.num_rows for b in batches) == 2
