@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from starloom.functions.let import let
-
 TILE_SIZE = 256
 SUPERTILE_BLOCKS = 48
 #: Objects above this size are not cached at the edge.
@@ -164,21 +164,24 @@ def grid_signature(ctype1, ctype2, crval1, crval2, cd11, cd12, cd21, cd22) -> Co
 
 def fnv1a_hex(text: Column, charset: str = "UTF-8") -> Column:
     """32-bit FNV-1a over bytes (UTF-8) or 16-bit code units (UTF-16BE) as 8 hex digits."""
-    digits = {"UTF-8": 2, "UTF-16BE": 4}[charset]
-
-    def fold(packed: Column) -> Column:
-        n = (F.length(packed) / digits).cast("int")
-        # For empty text the sequence runs 0, -1: such indexes are left out.
-        units = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
-        return F.aggregate(
-            units,
-            F.lit(FNV_OFFSET).cast("long"),
-            lambda h, i: (
-                h.bitwiseXOR(F.conv(F.substring(packed, i * digits + 1, F.lit(digits)), 16, 10).cast("long")) * F.lit(FNV_PRIME)
-            ).bitwiseAND(F.lit(0xFFFFFFFF)),
-        )
-
-    return F.lower(F.lpad(F.hex(let(F.hex(F.encode(text, charset)), fold)), 8, "0"))
+    kind, codec = {"UTF-8": ("u1", "utf-8"), "UTF-16BE": (">u2", "utf-16-be")}[charset]
+
+    def fold(texts: pd.Series) -> pd.Series:
+        """All texts of a batch together, one unit at a time; the longest come first, so that those not yet at their end lead."""
+        given = texts.dropna()
+        coded = [t.encode(codec) for t in given]
+        sizes = np.array([len(c) for c in coded], np.int64) // np.dtype(kind).itemsize
+        units = np.frombuffer(b"".join(coded), kind).astype(np.uint64)
+        order = np.argsort(-sizes, kind="stable")
+        starts, longest = (np.cumsum(sizes) - sizes)[order], -sizes[order]
+        h = np.full(len(order), FNV_OFFSET, np.uint64)
+        for i in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(longest, -i))
+            h[:n] = ((h[:n] ^ units[starts[:n] + i]) * np.uint64(FNV_PRIME)) & np.uint64(0xFFFFFFFF)
+        out = pd.Series([f"{v:08x}" for v in h.tolist()], index=given.index[order], dtype=object)
+        return out.reindex(texts.index)
+
+    return F.pandas_udf(fold, "string")(text)
 
 
 def grid_hash_text(ctype1, ctype2, h, w, crpix1, crpix2, crval1, crval2, cd11, cd12, cd21, cd22) -> Column:

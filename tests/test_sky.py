@@ -228,3 +228,19 @@ def test_alike_regions_and_points_are_tested_once(spark, monkeypatch):
     assert tested[0].count() <= 2 * 4
     assert sorted(REG.topmost_region_at(points, regions, 1.0).collect()) == sorted(REG.topmost_region(pairs).collect())
     assert tested[1].count() == 4
+
+
+def test_fnv_of_many_texts_at_once(spark):
+    texts = ["", None, "a", "é" * 7, "RA---TAN|" * 30, "x", None, "𝄞b"]
+
+    def fnv(units):
+        h = 2166136261
+        for u in units:
+            h = (h ^ u) * 16777619 & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).select("i", grid.fnv1a_hex(F.col("t")).alias("b"), grid.fnv1a_hex(F.col("t"), "UTF-16BE").alias("w"))
+    # One step for the texts of a batch, not a loop of expressions for every letter of every row.
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(None, None) if t is None else (fnv(t.encode()), fnv(np.frombuffer(t.encode("utf-16-be"), ">u2").tolist())) for t in texts]
+    assert [(r.b, r.w) for r in got.orderBy("i").collect()] == want
