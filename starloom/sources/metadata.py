@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from starloom.functions.let import let
 from starloom.operators.inventory import card_scalar, json_text
 from starloom.operators.validate import non_finite
 
@@ -56,17 +57,19 @@ def parse_manifests(texts: DataFrame) -> DataFrame:
 
 def _kind(value: Column) -> Column:
     """number, text, flag, list, object or null as JSON has it; NULL where there is nothing."""
-    name = F.schema_of_variant(value)
-    number = name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|TINYINT|SMALLINT|INT)")
-    return (
-        F.when(number, "number").when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "object")
-        .when(name == "STRING", "text").when(name == "BOOLEAN", "flag").when(name == "VOID", "null").otherwise(name)
-    )
+
+    def named(name: Column) -> Column:
+        number = name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|TINYINT|SMALLINT|INT)")
+        return (
+            F.when(number, "number").when(name.startswith("ARRAY"), "list").when(name.startswith("OBJECT"), "object")
+            .when(name == "STRING", "text").when(name == "BOOLEAN", "flag").when(name == "VOID", "null").otherwise(name)
+        )
+
+    return let(F.schema_of_variant(value), named)
 
 
-def _wrong_types(json: Column) -> dict[str, Column]:
-    """By rule: a field that may be missing is there with a type it can't have. The types are those of the text, read as a variant."""
-    whole = F.try_parse_json(json)
+def _wrong_types(json: Column, whole: Column) -> dict[str, Column]:
+    """By rule: a field that may be missing is there with a type it can't have. The types are those of the text, read as a variant (``whole``)."""
     at = lambda path: F.try_variant_get(whole, path, "variant")
     other = lambda value, kind: F.coalesce(_kind(value) != kind, F.lit(False))
     levels = F.coalesce(F.try_variant_get(whole, "$.levels", "array<variant>"), F.array().cast("array<variant>"))
@@ -103,7 +106,9 @@ def manifest_violations(manifests: DataFrame) -> DataFrame:
         ("supertile", any_level(lambda x: x["supertiles"].isNotNull() & F.exists(x["supertiles"], bad_supertile)), F.lit(None)),
     ]
     if "json" in manifests.columns:
-        wrong = _wrong_types(F.col("json"))
+        # A column of its own: inside the rules the text would be parsed again for each of them.
+        manifests = manifests.withColumn("_whole", F.try_parse_json("json"))
+        wrong = _wrong_types(F.col("json"), F.col("_whole"))
         rules = [("json", wrong["json"], F.lit(None)), *[(rule, bad | wrong[rule] if rule in wrong else bad, detail) for rule, bad, detail in rules]]
     broken = F.filter(
         F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, bad, detail in rules]), lambda v: v.isNotNull()

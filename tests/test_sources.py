@@ -299,3 +299,10 @@ def test_tables_are_read_and_decoded_in_bounded_parts():
     reader._rows = lambda p: (("f", "h", 0, i, bytes(TT.PIECE // 2), None) for i in range(7))
     batches = list(reader.read(TT.Share([])))
     assert sum(b.num_rows for b in batches) == 7 and max(b.num_rows for b in batches) == 2
+
+
+def test_manifest_text_is_parsed_once_for_all_rules(spark):
+    texts = spark.createDataFrame([("a", '{"version":2.5,"levels":[]}')], "path string, json string")
+    found = META.manifest_violations(META.parse_manifests(texts))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("VariantExpressionEvalUtils.parseJson") == 1
+    assert {r.rule for r in found.collect()} >= {"version", "no_levels", "native_shape"}
