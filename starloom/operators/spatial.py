@@ -133,11 +133,17 @@ def topmost_marker(markers: DataFrame, positions: DataFrame, cell: float) -> Dat
     positions = positions.select("*", F.explode(F.sequence(F.lit(0), classed(F.col("max_size")))).alias("_class"))
     largest = F.least(F.pow(F.lit(2.0), F.col("_class")), F.greatest(F.col("max_size"), F.lit(1.0)))
     reach = glyph_half(largest, F.col("dpr")) / F.col("view.zoom") * 2.0**0.5
-    boxes = with_box(positions, F.col("qx"), F.col("qy"), reach)
-    near = bucketed_join(markers, boxes, cell, also=("_class",))
+    boxes = with_box(positions.select("pos_id", "qx", "qy", "view", "m", "dpr", "max_size", "_class"), F.col("qx"), F.col("qy"), reach)
+    # Markers alike in place and glyph are hit together: the last drawn and their number are enough.
+    look = ["x", "y", "shape", "size", "_class"]
+    alike = markers.groupBy(*look).agg(F.max("ord").alias("ord"), F.count(F.lit(1)).alias("_alike"))
+    near = bucketed_join(alike, boxes, cell, also=("_class",))
     ddx, ddy = (F.col("x") - F.col("qx")) * F.col("view.zoom"), (F.col("y") - F.col("qy")) * F.col("view.zoom")
     sx = F.col("m.m11") * ddx + F.col("m.m12") * ddy
     sy = F.col("m.m21") * ddx + F.col("m.m22") * ddy
     half = glyph_half(F.col("size"), F.col("dpr"))
     hit = F.when(F.col("shape") == "box", (F.abs(sx) <= half) & (F.abs(sy) <= half)).otherwise(sx * sx + sy * sy <= half * half)
-    return near.filter(hit).groupBy("pos_id").agg(F.max_by("id", "ord").alias("marker"), F.count(F.lit(1)).alias("hits"))
+    # Numbers only: a hash aggregate that keeps one row a position, where one with texts would sort every hit.
+    top = near.filter(hit).groupBy("pos_id").agg(F.max("ord").alias("ord"), F.sum("_alike").alias("hits"))
+    named = markers.groupBy("ord").agg(F.max("id").alias("marker"))
+    return top.join(named, "ord").select("pos_id", "marker", "hits")

@@ -244,3 +244,15 @@ def test_fnv_of_many_texts_at_once(spark):
     assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = [(None, None) if t is None else (fnv(t.encode()), fnv(np.frombuffer(t.encode("utf-16-be"), ">u2").tolist())) for t in texts]
     assert [(r.b, r.w) for r in got.orderBy("i").collect()] == want
+
+
+def test_alike_markers_are_hit_together(spark, monkeypatch):
+    rows = [(f"m{i}", i, float(i % 4), 0.0, "box", 2.0) for i in range(200)]
+    markers = spark.createDataFrame(rows, "id string, ord long, x double, y double, shape string, size double")
+    positions = spark.createDataFrame([(0, 0.0, 0.0), (1, 9.0, 9.0)], "pos_id int, qx double, qy double").selectExpr(
+        "*", "named_struct('cx', 0D, 'cy', 0D, 'zoom', 1D, 'vw', 10D, 'vh', 10D) AS view", "named_struct('m11', 1D, 'm12', 0D, 'm21', 0D, 'm22', 1D) AS m", "1.0D AS dpr", "2.0D AS max_size"
+    )
+    joined, whole = [], SP.bucketed_join
+    monkeypatch.setattr(SP, "bucketed_join", lambda points, *a, **k: joined.append(points) or whole(points, *a, **k))
+    assert [tuple(r) for r in SP.topmost_marker(markers, positions, 1.0).collect()] == [(0, "m198", 150)]
+    assert joined[0].count() == 4
