@@ -36,6 +36,11 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerOutputBatch", str(BATCH_BYTES))
 
 
+def spread(df: DataFrame, *by) -> DataFrame:
+    """Rows that name files, over all tasks: a partition count that is given is kept, where small rows would be joined into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by ``spark.checkpoint.dir``.
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starloom.functions.cards import word, words
 from starloom.functions.let import let, pack
+from starloom.session import spread
 
 BLOCK, CARD = 2880, 80
 #: Inputs of a build, and what a build puts out.
@@ -100,7 +101,8 @@ def _scan_headers(batches):
 
 def scan_headers(paths: DataFrame) -> DataFrame:
     """Header text of every HDU: file, hdu, header, data_start, error (unreadable files)."""
-    return paths.select("path").mapInPandas(
+    # In turn, not by name: dropDuplicates has partitioned by name already, and a second time would be left out.
+    return spread(paths.select("path")).mapInPandas(
         _scan_headers, "file string, hdu int, header string, data_start bigint, error string"
     )
 
@@ -194,5 +196,5 @@ def image_rows(spark: SparkSession, headers: DataFrame) -> DataFrame:
         (F.col("data_start") + F.col("y0") * F.col("_rb")).alias("start"), (n * F.col("_rb")).alias("length"),
     )
     # Strips of a plain file are read anywhere; those of a compressed one by the one task that inflates it.
-    ranges = ranges.repartition("file", F.when(~F.lower("file").endswith(".gz"), F.col("y0"))).sortWithinPartitions("file", "start")
+    ranges = spread(ranges, "file", F.when(~F.lower("file").endswith(".gz"), F.col("y0"))).sortWithinPartitions("file", "start")
     return decode_image_rows(read_ranges(ranges), ["file", "img_h", "img_w"])

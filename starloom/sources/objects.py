@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starloom.functions import naming as N
 from starloom.operators.ledger import COLUMNS
-from starloom.session import bound_batches
+from starloom.session import bound_batches, spread
 
 #: Bytes hashed at a time; objects are too big to load whole.
 CHUNK = 1024 * 1024
@@ -62,7 +62,7 @@ def list_objects(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("path", rel)
         .filter(~N.is_hidden(F.col("path")) & (F.col("path") != N.LEDGER_NAME))
     )
-    hashed = listed.repartition("full_path").mapInPandas(_hash, "full_path string, size bigint, path string, sha256 string")
+    hashed = spread(listed, "full_path").mapInPandas(_hash, "full_path string, size bigint, path string, sha256 string")
     return (
         hashed.withColumn("cls", N.object_class(F.col("path")))
         .withColumn("content_type", N.content_type(F.col("path")))

@@ -306,3 +306,8 @@ def test_manifest_text_is_parsed_once_for_all_rules(spark):
     found = META.manifest_violations(META.parse_manifests(texts))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("VariantExpressionEvalUtils.parseJson") == 1
     assert {r.rule for r in found.collect()} >= {"version", "no_levels", "native_shape"}
+
+
+def test_files_are_read_by_all_tasks(spark, tmp_path):
+    paths = spark.createDataFrame([(str(tmp_path / f"{i}.fits"),) for i in range(20)], "path string").distinct()
+    assert FITS.scan_headers(paths).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
